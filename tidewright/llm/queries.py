@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import html_text, mixing, stream_dedup
 from .common import WORD, table
 
 
+def op1_html_main_text(spark, sf_dir):
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,23 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM placed
 """
 
-QUERIES = {"op3_mix_sources": op3_mix_sources}
-ORACLES = {"op3_mix_sources": OP3_SQL}
+
+def op6_stream_exact_dedup(spark, sf_dir):
+    return stream_dedup.dedup_exact(spark, f"{sf_dir}/documents.parquet")
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY norm)
+"""
+
+QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
+    "op3_mix_sources": op3_mix_sources,
+    "op6_stream_exact_dedup": op6_stream_exact_dedup,
+}
+ORACLES = {
+    "op3_mix_sources": OP3_SQL,
+    "op6_stream_exact_dedup": OP6_SQL,
+}
