@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, stream_dedup
+from . import html_text, mixing, stream_dedup, warc
 from .common import WORD, table
 
 
@@ -50,10 +50,15 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM t WINDOW same AS (PARTITION BY norm)
 """
 
+def op8_warc_from_arc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op3_mix_sources": op3_mix_sources,
     "op6_stream_exact_dedup": op6_stream_exact_dedup,
+    "op8_warc_from_arc": op8_warc_from_arc,
 }
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
