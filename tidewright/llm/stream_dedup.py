@@ -27,6 +27,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    # A store's local files go when its task has committed, so disk follows the running tasks and not the number of partitions.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
