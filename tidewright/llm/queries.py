@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, stream_dedup, warc
+from . import embedding_dedup, html_text, mixing, stream_dedup, warc
 from .common import WORD, table
 
 
@@ -40,6 +40,25 @@ FROM placed
 """
 
 
+def op5_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_near_dups(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), reach(u, v) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), counts AS (SELECT u, count(*) AS n FROM links GROUP BY u), parts AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN parts p ON p.u = e.vec_id LEFT JOIN counts c ON c.u = e.vec_id
+"""
+
+
 def op6_stream_exact_dedup(spark, sf_dir):
     return stream_dedup.dedup_exact(spark, f"{sf_dir}/documents.parquet")
 
@@ -57,10 +76,12 @@ def op8_warc_from_arc(spark, sf_dir):
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op3_mix_sources": op3_mix_sources,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_stream_exact_dedup": op6_stream_exact_dedup,
     "op8_warc_from_arc": op8_warc_from_arc,
 }
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
+    "op5_embedding_near_dedup": OP5_SQL,
     "op6_stream_exact_dedup": OP6_SQL,
 }
