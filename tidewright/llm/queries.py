@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, mixing, stream_dedup, warc
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import embedding_dedup, html_text, language_id, mixing, packing, stream_dedup, warc
 from .common import WORD, table
 
 
@@ -69,6 +72,21 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM t WINDOW same AS (PARTITION BY norm)
 """
 
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op7_harmonic_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_json())
+
+
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out")), language_id.train(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_warc_from_arc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -78,7 +96,9 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_stream_exact_dedup": op6_stream_exact_dedup,
+    "op7_harmonic_packing": op7_harmonic_packing,
     "op8_warc_from_arc": op8_warc_from_arc,
+    "op9_language_id": op9_language_id,
 }
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
