@@ -28,7 +28,7 @@ from .common import fresh_name, staged
 CAPACITY = 4096
 END_ID = 2
 #: Text that is tokenised at a time, in bytes. Words that a worker remembers.
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 200_000
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 600_000
 CHUNK_ROWS = 1 << 15
 
 
@@ -52,34 +52,35 @@ class WordIds:
     def __init__(self, tokenizer_json: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tok, self.end = Tokenizer.from_str(tokenizer_json), end_id
-        self.cache: dict[str, np.ndarray] = {}
+        self.tok = Tokenizer.from_str(tokenizer_json)
+        # Remembered words by number; number 0 is the end of a text.
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.array([end_id], np.uint32), np.ones(1, np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and the number of ids of each."""
         words = pc.ascii_split_whitespace(texts)
-        per_doc = np.diff(words.offsets.to_numpy())
+        ends = words.offsets.to_numpy()[1:].astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = [self.cache.get(w) for w in unique]
-        new = [k for k, f in enumerate(found) if f is None]
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-            for k, e in zip(new, self.tok.encode_batch([unique[k] for k in new], add_special_tokens=False), strict=True):
-                found[k] = ids = np.array(e.ids, np.uint32)
-                if len(self.cache) < CACHE_WORDS:
-                    self.cache[unique[k]] = ids
-        found.append(np.array([self.end], np.uint32))
-        sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
-        flat, first = np.concatenate(found), np.cumsum(sizes) - sizes
-        ends = np.cumsum(per_doc)
-        index = np.insert(index.astype(np.int64), ends, len(found) - 1)
-        length = sizes[index]
+        unique = coded.dictionary.to_pylist()
+        known = self.known.get
+        number = np.fromiter((known(w, -1) for w in unique), np.int64, len(unique))
+        flat, size = self.flat, self.size
+        if len(new := np.nonzero(number < 0)[0]):
+            fresh = [unique[k] for k in new.tolist()]
+            coding = self.tok.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            number[new] = np.arange(len(size), len(size) + len(new))
+            flat = np.concatenate([flat, np.array(coding.ids, np.uint32)])
+            size = np.concatenate([size, np.bincount(np.array(coding.word_ids, np.int64), minlength=len(new))])
+            if len(size) <= CACHE_WORDS:
+                self.known.update(zip(fresh, number[new].tolist(), strict=True))
+                self.flat, self.size = flat, size
+        first = np.cumsum(size) - size
+        index = np.insert(number[coded.indices.to_numpy()], ends, 0)
+        length = size[index]
         stop = np.cumsum(length)
         ids = flat[np.repeat(first[index] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
-        closed = stop[ends + np.arange(len(ends))]
-        return ids, np.diff(closed, prepend=0)
+        return ids, np.diff(stop[ends + np.arange(len(ends))], prepend=0)
 
 
 def _cut(tokenizer, end_id: int, capacity: int, names: list[str]):
