@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, language_id, mixing, packing, stream_dedup, warc
+from . import embedding_dedup, html_text, jaccard_join, language_id, mixing, packing, stream_dedup, warc
 from .common import WORD, table
 
 
@@ -43,6 +43,27 @@ FROM placed
 """
 
 
+def op4_jaccard_divide_skip(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS k FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id != b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY ALL
+), links AS MATERIALIZED (SELECT u, v FROM shared WHERE 100 * k >= 90 * (nu + nv - k)),
+reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+parts AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT s.doc_id, len(s.s) AS n_shingles, p.component_id FROM sets s JOIN parts p ON p.u = s.doc_id
+"""
+
+
 def op5_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.embedding_near_dups(table(spark, sf_dir, "embeddings"))
 
@@ -94,6 +115,7 @@ def op8_warc_from_arc(spark, sf_dir):
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op3_mix_sources": op3_mix_sources,
+    "op4_jaccard_divide_skip": op4_jaccard_divide_skip,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_stream_exact_dedup": op6_stream_exact_dedup,
     "op7_harmonic_packing": op7_harmonic_packing,
@@ -102,6 +124,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
+    "op4_jaccard_divide_skip": OP4_SQL,
     "op5_embedding_near_dedup": OP5_SQL,
     "op6_stream_exact_dedup": OP6_SQL,
 }
