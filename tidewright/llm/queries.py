@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, jaccard_join, language_id, mixing, packing, stream_dedup, warc
+from . import embedding_dedup, html_text, jaccard_join, language_id, mixing, packing, stream_dedup, suffix_dedup, warc
 from .common import WORD, table
 
 
@@ -13,6 +13,10 @@ def op1_html_main_text(spark, sf_dir):
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -114,6 +118,7 @@ def op8_warc_from_arc(spark, sf_dir):
 
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_jaccard_divide_skip": op4_jaccard_divide_skip,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
