@@ -153,8 +153,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     are told apart by their size only, and those of equal size are taken alike.
     """
     size, copies, key = fresh_name(docs, "mix_size"), fresh_name(docs, "mix_copies"), fresh_name(docs, "mix_id")
-    took = mix_sources(docs, **how)
-    took = took.groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.min(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).alias(copies))
+    took = mix_sources(docs, **how).filter("size > 0")
+    took = took.groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.min(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).alias(copies))
     took = took.filter(F.col(copies) > 0)
     rows = docs.join(took, (docs["doc_id"] == took[key]) & (word_count(docs["text"]) == took[size]))
     return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)
