@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own runtime Bloom filters, from small tables on: at most 8 MB of bits however many keys.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def staged_selective(df: DataFrame, name: str) -> DataFrame:
+    """:func:`staged`, for inner joins that need few rows of a large table: those are picked before the shuffle."""
+    with settings(df.sparkSession, _BLOOM):
+        return staged(df, name)
+
+
+def picked(keys: DataFrame, column: str) -> DataFrame:
+    """``keys``, marked as a selection (by a condition that all rows meet), which is what makes Spark derive a filter from it."""
+    return keys.filter(F.pmod(F.hash(column), F.lit(1)) == 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
