@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import picked, staged, staged_selective
 from .induced_sort import sort_suffixes
 from .shingles import _BYTES, _powers, mixed
 
@@ -249,14 +249,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     leads = repeated.filter("leads")
     several = leads.groupBy("anchor").agg(F.count("*").alias("pieces"), F.max("inner").alias("inner")).filter("pieces > 1 or inner").select("anchor")
     wanted = leads.join(several, "anchor").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "windows", "copied")).alias("wanted"))
+    wanted = picked(staged(wanted, "wanted-pieces"), "doc")
     # A repeated row's piece is wanted of one of the rows only; more would do no harm.
     sources = keyed.select("doc", "version", "text").join(wanted, ["doc", "version"])
     fetched = sources.mapInArrow(_fetch(window), "anchor long, doc long, version int, start int, windows int, copied boolean, bytes binary")
     shards = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    sorted_ = staged(shards.mapInArrow(_sort_shards(window), _DOC + ", lo int, hi int"), "repeated-windows")
+    sorted_ = staged_selective(shards.mapInArrow(_sort_shards(window), _DOC + ", lo int, hi int"), "repeated-windows")
     whole = repeated.filter("copied").select("doc", "version", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi"))
     ranges = whole.unionByName(sorted_).groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    out = keyed.join(ranges, ["doc", "version"], "left").select("doc_id", "text", "ranges")
+    ranges = staged(ranges, "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = out.mapInArrow(_strip(window, with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    cut = keyed.join(picked(ranges, "doc"), ["doc", "version"]).select("doc_id", "text", "ranges").mapInArrow(_strip(window, with_text), schema)
+    cut = staged_selective(cut, "cut-documents")
+    # Texts that stay whole need no shuffle, only their digests do.
+    whole_text = F.col("text") if with_text else F.lit(None).cast("binary")
+    same = keyed.select("doc", "version", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), whole_text.alias("kept"))
+    out = same.join(ranges, ["doc", "version"], "left_anti").drop("doc", "version").unionByName(cut)
     return out if with_text else out.drop("kept")
