@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, staged
+from .common import fresh_name, picked, staged, staged_selective
 from .jaccard_join import _stars
 from .shingles import _powers, mixed, slices, word_hashes
 
@@ -197,9 +197,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = halves.mapInArrow(_stars, "u long, v long")
     able = shared.select(F.explode(F.array("u", "v")).alias("line")).distinct()
     wanted = lines.join(able, "line").select("line", "first.*").groupBy("doc", "version").agg(F.collect_list(F.struct("no", "line")).alias("wanted"))
+    wanted = picked(staged(wanted, "wanted-lines"), "doc")
     # One row per document, were it repeated, is enough.
     words = keyed.join(wanted, ["doc", "version"]).select("text", "wanted").mapInArrow(_words_of, "line long, words binary").dropDuplicates(["line"])
-    words = staged(words.join(lines.select("line", "first"), "line").select("line", "words", "first.doc", "first.version", "first.no"), "line-words")
+    words = staged_selective(words.join(lines.select("line", "first"), "line").select("line", "words", "first.doc", "first.version", "first.no"), "line-words")
     variants = words.mapInArrow(_variants, "key long, place int, doc long, version int, no int, line long")
     variants = variants.repartition(parts, "key").sortWithinPartitions("key", "place", "doc", "version", "no")
     tied = variants.mapInArrow(_ties, "line long, doc long, version int, no int, partner long")
