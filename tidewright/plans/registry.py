@@ -1,5 +1,28 @@
-"""Registered queries of the time-series engine."""
+"""Registered queries of the time-series engine and their twins in the checking engine."""
 
-FLAGSHIP = "ohlcv_1h"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .dialect import Dialect, Duck, Spark
+from .series import SERIES
+
+FLAGSHIP = "features_returns"
+_TABLE = re.compile(r"\{(\w+)\}")
+
+
+def run_sql(spark: SparkSession, text: str, sf_dir: str) -> DataFrame:
+    """Run SQL whose ``{table}`` marks are Parquet tables of a folder."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLE.findall(text))}
+    return spark.sql(text, **tables)
+
+
+def _query(make: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_sql(spark, make(Spark()), sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in SERIES.items()}
+ORACLES: dict[str, str] = {name: _TABLE.sub(r"\1", make(Duck())) for name, make in SERIES.items()}
