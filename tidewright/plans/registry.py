@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import Dialect, Duck, Spark
-from .series import SERIES
+from tidewright.operators import info_bars, montecarlo, recursive, regimes, swings
+
+from .series import SERIES, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"
 _TABLE = re.compile(r"\{(\w+)\}")
@@ -26,3 +28,44 @@ def _query(make: Callable[[Dialect], str]) -> Callable[[SparkSession, str], Data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in SERIES.items()}
 ORACLES: dict[str, str] = {name: _TABLE.sub(r"\1", make(Duck())) for name, make in SERIES.items()}
+
+
+# ---- sequential operators: one sort and one pass per series -----------------------------------------------------------------
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, f"SELECT * FROM {bars(Spark())} b", sf_dir)
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, f"SELECT * FROM {ticks()} t", sf_dir)
+
+
+def _info(kind: str, params: info_bars.BarParams):
+    return lambda spark, sf_dir: info_bars.info_bars(_ticks(spark, sf_dir), kind, params)
+
+
+_BAR_PARAMS = {
+    "dollar": info_bars.BarParams(60_000.0), "volume": info_bars.BarParams(250.0), "volatility": info_bars.BarParams(60.0), "range": info_bars.BarParams(50.0),
+    "renko": info_bars.BarParams(20.0), "hybrid": info_bars.BarParams(60_000.0, second_target=100.0),
+}
+QUERIES.update({f"bars_{kind}": _info(kind, p) for kind, p in _BAR_PARAMS.items()})
+QUERIES.update({f"calibrate_{kind}": (lambda spark, sf_dir, kind=kind: info_bars.calibrate(_ticks(spark, sf_dir), kind)) for kind in info_bars.KINDS})
+QUERIES["indicators_recursive"] = lambda spark, sf_dir: recursive.recursive_indicators(_bars(spark, sf_dir))
+QUERIES["regime_engine"] = lambda spark, sf_dir: regimes.regime_engine(_bars(spark, sf_dir))
+QUERIES["smc_structure"] = lambda spark, sf_dir: swings.market_structure(_bars(spark, sf_dir))
+QUERIES["monte_carlo"] = lambda spark, sf_dir: montecarlo.resampled_paths(run_sql(spark, f"SELECT * FROM {ledger()} t", sf_dir), "trade_return_pct")
+
+
+def _ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recursive.simple_ema(_bars(spark, sf_dir), 12).selectExpr("symbol", "ts", "round(ema, 6) AS ema")
+
+
+QUERIES["ema_recursive"] = _ema
+_D = Duck()
+ORACLES["ema_recursive"] = _TABLE.sub(
+    r"\1",
+    f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, ts, c, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM {bars(_D)} x),
+e(symbol, ts, k, ema) AS (SELECT symbol, ts, k, c FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.ts, b.k, e.ema + 2e0 / 13 * (b.c - e.ema) FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1)
+SELECT symbol, ts, round(ema, 6) AS ema FROM e""",
+)
