@@ -21,9 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
+
 ORDER = 4
 #: The training sample: documents of each language (those with the smallest hashed ids), and the characters counted of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 2_000_000
+#: A table of up to so many languages is sent to the executors.
+MANY = 10_000
 #: One in so many sampled documents calibrates score and rejection instead of being counted.
 CALIBRATION = 5
 #: A text is rejected above the largest calibrated cross-entropy of its language times this.
@@ -233,8 +237,10 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, s
     ``sample_chars`` characters are reached. Only their n-gram counts come to the driver.
     """
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = staged(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
+    # Its size is checked; beyond that, rows are shuffled by language instead.
+    share = F.broadcast(share) if share.limit(MANY + 1).count() <= MANY else share
     near = rows.join(share, "lang").select("lang", "text", spread.alias("at"), "rows").filter(F.col("at") * F.col("rows") <= F.lit(2.0 * sample_docs) * (1 << 30))
 
     def run(group: pa.Table) -> pa.Table:
