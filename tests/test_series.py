@@ -159,3 +159,18 @@ def test_files(spark, tmp_path):
     assert files.load_state(spark, str(tmp_path / "none")) is None
     gaps = files.make_ohlcv(spark, 10).filter(F.hour("ts") != 4)
     assert frames.fill_gaps(gaps, "1h").count() == 10 and frames.resample(gaps, "4h").count() == 3
+
+
+def test_window_stats_batches(spark):
+    from tidewright.operators import window_stats
+
+    bars = files.make_ohlcv(spark, 260, ("A", "B"))
+    names = ["permutation_entropy", "hurst_exponent", "drawdown_duration", "lead_lag_signature"]
+    whole = {(r.symbol, r.ts): str(r) for r in window_stats.window_stats(bars, names).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "31")
+    try:
+        assert whole == {(r.symbol, r.ts): str(r) for r in window_stats.window_stats(bars, names).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(KeyError):
+        window_stats.window_stats(bars, ["nothing"])

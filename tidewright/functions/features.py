@@ -294,7 +294,41 @@ def _smart() -> None:
     _add(f, "accumulation_score", 0, lambda d: "clv * v")
 
 
-for _build in (_returns, _volatility, _volume, _trend, _statistics, _shape, _events, _risk, _smart):
+def _indicators() -> None:
+    """Trailing indicators of the usual technical-analysis sets, on the current row's window."""
+    f, n = "indicators", 14
+    fit = lambda d, a: d.w2(a, "c", "rn", -n + 1, 0)
+    _add(f, "mom_10", 10, lambda d: f"c - {d.lag('c', 10)}")
+    _add(f, "rocp_10", 10, lambda d: f"c / {d.lag('c', 10)} - 1")
+    _add(f, "rocr_10", 10, lambda d: f"c / {d.lag('c', 10)}")
+    _add(f, "rocr100_10", 10, lambda d: f"100 * c / {d.lag('c', 10)}")
+    _add(f, "bop", 0, lambda d: d.div("c - o", "h - l"))
+    _add(f, "trange", 1, lambda d: "tr")
+    _add(f, "linearreg_slope", n - 1, lambda d: fit(d, "regr_slope"))
+    _add(f, "linearreg_intercept", n - 1, lambda d: f"{fit(d, 'regr_intercept')} + {fit(d, 'regr_slope')} * (rn - {n - 1})")
+    _add(f, "linearreg", n - 1, lambda d: f"{fit(d, 'regr_intercept')} + {fit(d, 'regr_slope')} * rn")
+    _add(f, "tsf", n - 1, lambda d: f"{fit(d, 'regr_intercept')} + {fit(d, 'regr_slope')} * (rn + 1)")
+    _add(f, "linearreg_angle", n - 1, lambda d: f"degrees(atan({fit(d, 'regr_slope')}))")
+    _add(f, "stddev_5", 4, lambda d: d.w("stddev_pop", "c", -4, 0))
+    _add(f, "var_5", 4, lambda d: d.w("var_pop", "c", -4, 0))
+    _add(f, "ma_30", 29, lambda d: d.w("avg", "c", -29, 0))
+    _add(f, "wma_10", 9, lambda d: f"({d.total(d.over_index(10, 'i', 'i * ' + d.at(d.list('c', -9, 0), 'i')))}) / 55")
+    _add(f, "trima_10", 9, lambda d: f"({d.total(d.over_index(10, 'i', 'least(i, 11 - i) * ' + d.at(d.list('c', -9, 0), 'i')))}) / 30")
+    _add(f, "apo_sma", 25, lambda d: f"{d.w('avg', 'c', -11, 0)} - {d.w('avg', 'c', -25, 0)}")
+    _add(f, "ppo_sma", 25, lambda d: d.div(f"100 * ({d.w('avg', 'c', -11, 0)} - {d.w('avg', 'c', -25, 0)})", d.w("avg", "c", -25, 0)))
+    _add(f, "stochf_k", 4, lambda d: d.div(f"100 * (c - {d.w('min', 'l', -4, 0)})", f"({d.w('max', 'h', -4, 0)} - {d.w('min', 'l', -4, 0)})"))
+    since = lambda d, x, agg: f"({d.size(d.keep(d.over_index(n + 1, 'i', f'CASE WHEN {d.at(d.list(x, -n, 0), "i")} = {d.w(agg, x, -n, 0)} THEN i END'), 'z', 'z IS NOT NULL'))})"
+    last = lambda d, x, agg: d.at(d.keep(d.over_index(n + 1, "i", f"CASE WHEN {d.at(d.list(x, -n, 0), 'i')} = {d.w(agg, x, -n, 0)} THEN i END"), "z", "z IS NOT NULL"), since(d, x, agg))
+    _add(f, "aroon_up", n, lambda d: f"100.0 * ({last(d, 'h', 'max')} - 1) / {n}")
+    _add(f, "aroon_down", n, lambda d: f"100.0 * ({last(d, 'l', 'min')} - 1) / {n}")
+    _add(f, "aroonosc", n, lambda d: f"100.0 * ({last(d, 'h', 'max')} - {last(d, 'l', 'min')}) / {n}")
+    _add(f, "bb_upper", 19, lambda d: f"{d.w('avg', 'c', -19, 0)} + 2 * {d.w('stddev_pop', 'c', -19, 0)}")
+    _add(f, "bb_lower", 19, lambda d: f"{d.w('avg', 'c', -19, 0)} - 2 * {d.w('stddev_pop', 'c', -19, 0)}")
+    _add(f, "midpoint_14", 13, lambda d: f"({d.w('max', 'c', -13, 0)} + {d.w('min', 'c', -13, 0)}) / 2")
+    _add(f, "minus_dm_raw", 1, lambda d: f"CASE WHEN {d.lag('l')} - l > h - {d.lag('h')} AND {d.lag('l')} - l > 0 THEN {d.lag('l')} - l ELSE 0 END")
+
+
+for _build in (_returns, _volatility, _volume, _trend, _statistics, _shape, _events, _risk, _smart, _indicators):
     _build()
 
 FAMILIES = tuple(dict.fromkeys(x.family for x in FEATURES.values()))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import Dialect, Duck, Spark
-from tidewright.operators import info_bars, montecarlo, recursive, regimes, swings
+from tidewright.operators import info_bars, montecarlo, recursive, regimes, swings, window_stats
 
 from .series import SERIES, bars, ledger, ticks
 
@@ -52,6 +52,7 @@ _BAR_PARAMS = {
 QUERIES.update({f"bars_{kind}": _info(kind, p) for kind, p in _BAR_PARAMS.items()})
 QUERIES.update({f"calibrate_{kind}": (lambda spark, sf_dir, kind=kind: info_bars.calibrate(_ticks(spark, sf_dir), kind)) for kind in info_bars.KINDS})
 QUERIES["indicators_recursive"] = lambda spark, sf_dir: recursive.recursive_indicators(_bars(spark, sf_dir))
+QUERIES["window_stats"] = lambda spark, sf_dir: window_stats.window_stats(_bars(spark, sf_dir))
 QUERIES["regime_engine"] = lambda spark, sf_dir: regimes.regime_engine(_bars(spark, sf_dir))
 QUERIES["smc_structure"] = lambda spark, sf_dir: swings.market_structure(_bars(spark, sf_dir))
 QUERIES["monte_carlo"] = lambda spark, sf_dir: montecarlo.resampled_paths(run_sql(spark, f"SELECT * FROM {ledger()} t", sf_dir), "trade_return_pct")

@@ -255,7 +255,7 @@ def equi_join_meta(d):
 
 def _family(family: str) -> Callable[[Dialect], str]:
     names = [n for n, f in FEATURES.items() if f.family == family]
-    digits = {"statistics": 5, "volatility": 5, "volume": 5}.get(family, 6)
+    digits = {"statistics": 5, "volatility": 5, "volume": 5, "indicators": 5}.get(family, 6)
     return lambda d: features_sql(d, names, f"{bars(d)} b", digits)
 
 
@@ -501,6 +501,78 @@ def ledger_cash_flow(d):
     return f"SELECT day, CAST(sum(flow) AS BIGINT) AS flow_cents FROM ({moves}) m GROUP BY day"
 
 
+@series
+def ledger_benchmark(d):
+    """Daily returns of closed trades against a buy-and-hold of daily closes: beta, alpha, tracking error, capture."""
+    mine = f"SELECT exit_datetime AS day, sum(trade_return_pct) / 10000 AS r FROM {ledger()} t GROUP BY exit_datetime"
+    market = f"SELECT ts AS day, c / lag(c) OVER (ORDER BY ts) - 1 AS m FROM {daily()} b"
+    x = f"SELECT k.day, coalesce(a.r, 0e0) AS r, k.m FROM ({market}) k LEFT JOIN ({mine}) a ON a.day = k.day WHERE k.m IS NOT NULL"
+    return (
+        f"SELECT count(*) AS days, {r6('covar_samp(r, m) / var_samp(m)')} AS beta, {r6('avg(r) - covar_samp(r, m) / var_samp(m) * avg(m)')} AS alpha, {r6('stddev_samp(r - m)')} AS tracking_error, "
+        f"{r6('avg(r - m) / stddev_samp(r - m)')} AS information_ratio, {r6('corr(r, m)')} AS correlation, {r6('avg(CASE WHEN m > 0 THEN r END) / avg(CASE WHEN m > 0 THEN m END)')} AS up_capture FROM ({x}) z"
+    )
+
+
+@series
+def ledger_daily_returns(d):
+    return f"SELECT exit_datetime AS day, {r6('exp(sum(ln(1 + trade_return_pct / 10000))) - 1')} AS daily_return, count(*) AS trades FROM {ledger()} t GROUP BY exit_datetime"
+
+
+@series
+def ledger_underwater(d):
+    return f"SELECT id, exit_datetime, {r6('(equity - peak) / peak')} AS drawdown FROM {_equity()} e"
+
+
+@series
+def ledger_exposure(d):
+    return f"SELECT direction, count(*) AS n, {r6('avg(size)')} AS mean_size, {r6('stddev_pop(size)')} AS sd_size, {r6(d.quantile('size', 0.95))} AS p95_size, {r6('1e0 * count(*) / sum(count(*)) OVER ()')} AS share FROM {ledger()} t GROUP BY direction"
+
+
+@series
+def ledger_recent_performance(d):
+    last = f"SELECT *, row_number() OVER (ORDER BY exit_datetime DESC) AS k FROM (SELECT exit_datetime, sum(ln(1 + trade_return_pct / 10000)) AS g FROM {ledger()} t GROUP BY exit_datetime) q"
+    parts = " UNION ALL ".join(f"SELECT {n} AS days, {r6('exp(sum(g)) - 1')} AS total FROM ({last}) z WHERE k <= {n}" for n in (1, 7, 15, 30, 45, 60, 90))
+    return f"SELECT days, total FROM ({parts}) u"
+
+
+@series
+def ledger_monthly_heatmap(d):
+    return f"SELECT year(exit_datetime) AS y, month(exit_datetime) AS m, {r6('sum(trade_return_pct)')} AS total FROM {ledger()} t GROUP BY year(exit_datetime), month(exit_datetime)"
+
+
+@series
+def ledger_value_at_risk(d):
+    cut = f"SELECT {d.quantile('trade_return_pct', 0.05)} AS v FROM {ledger()} t"
+    return f"SELECT {r6('max(v)')} AS var_95, {r6('avg(trade_return_pct)')} AS cvar_95, count(*) AS n FROM {ledger()} t CROSS JOIN ({cut}) q WHERE trade_return_pct <= v"
+
+
+@series
+def variance_ratio_test(d):
+    """Lo-MacKinlay variance ratio of log returns for q of 2, 5 and 10."""
+    x = f"SELECT symbol, ln(c) - ln({d.lag('c')}) AS r1, " + ", ".join(f"ln(c) - ln({d.lag('c', q)}) AS r{q}" for q in (2, 5, 10)) + f" FROM {bars(d)} b"
+    return f"SELECT symbol, {', '.join(f'{r6(f"var_samp(r{q}) / ({q} * var_samp(r1))")} AS vr_{q}' for q in (2, 5, 10))} FROM ({x}) z GROUP BY symbol"
+
+
+@series
+def ic_conditional(d):
+    """Correlation of momentum and next return in calm and in wild bars."""
+    x = f"SELECT symbol, c / {d.lag('c', 5)} - 1 AS f, {d.lead('c')} / c - 1 AS y, abs(c / {d.lag('c')} - 1) AS m FROM {bars(d)} b"
+    return f"SELECT symbol, {r6('corr(CASE WHEN m < 0.5 THEN f END, CASE WHEN m < 0.5 THEN y END)')} AS calm, {r6('corr(CASE WHEN m > 2 THEN f END, CASE WHEN m > 2 THEN y END)')} AS wild, {r6('corr(f, y)')} AS every FROM ({x}) z WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol"
+
+
+@series
+def ic_rolling_stability(d):
+    x = f"SELECT symbol, ts, c / {d.lag('c', 5)} - 1 AS f, {d.lead('c')} / c - 1 AS y FROM {bars(d)} b"
+    y = f"SELECT symbol, ts, CASE WHEN row_number() OVER ({d.over}) >= 60 THEN {d.w2('corr', 'f', 'y', -59, 0)} END AS ic FROM ({x}) z WHERE f IS NOT NULL AND y IS NOT NULL"
+    return f"SELECT symbol, {r6('avg(ic)')} AS mean_ic, {r6('least(abs(avg(ic)) / nullif(stddev_samp(ic), 0), 100e0)')} AS stability FROM ({y}) q GROUP BY symbol"
+
+
+@series
+def signal_turnover(d):
+    x = f"SELECT symbol, CASE WHEN trend_signals <> {d.lag('trend_signals')} THEN 1e0 ELSE 0e0 END AS flip FROM {_signals(d)} s"
+    return f"SELECT symbol, {r6('avg(flip)')} AS turnover, count(*) AS n FROM ({x}) q GROUP BY symbol"
+
+
 @series
 def ledger_rolling(d):
     w = "OVER (PARTITION BY regime ORDER BY entry_datetime, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
