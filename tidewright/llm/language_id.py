@@ -32,8 +32,10 @@ MANY = 10_000
 CALIBRATION = 5
 #: A text is rejected above the largest calibrated cross-entropy of its language times this.
 MARGIN = 1.5
+#: Short texts get more room: the limit of n characters is 1 + SHORT / n times that.
+SHORT = 20
 #: Characters scored at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 UNKNOWN = "und"
 
 _SEEDS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(16)], np.uint64)
@@ -313,7 +315,7 @@ def predict(docs: DataFrame, model: CharModel | None, names: tuple[str, str, str
                     lang.append(m.languages[b] if k else UNKNOWN)
                     score.append(float(s) if k else 0.0)
                     entropy.append(float(e) if k else None)
-                    good.append(bool(k and e <= m.limits[b]))
+                    good.append(bool(k and e <= m.limits[b] * (1 + SHORT / k)))
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(good, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=[*columns, *names])
 
