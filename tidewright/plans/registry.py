@@ -50,7 +50,19 @@ _BAR_PARAMS = {
     "renko": info_bars.BarParams(20.0), "hybrid": info_bars.BarParams(60_000.0, second_target=100.0),
 }
 QUERIES.update({f"bars_{kind}": _info(kind, p) for kind, p in _BAR_PARAMS.items()})
-QUERIES.update({f"calibrate_{kind}": (lambda spark, sf_dir, kind=kind: info_bars.calibrate(_ticks(spark, sf_dir), kind)) for kind in info_bars.KINDS})
+
+
+def _calibration(kind: str):
+    """Query and twin of one kind's start values."""
+    size = {"dollar": "sum(price * quantity)", "volume": "sum(quantity)", "volatility": "sum(move)", "hybrid": "sum(price * quantity)"}.get(kind, "(max(price) - min(price)) / quantile_cont(price, 0.5)")
+    moves = f"SELECT *, CAST(ts AS DATE) AS day, min(CAST(ts AS DATE)) OVER (PARTITION BY symbol) AS first, coalesce(abs(price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, trade_id) - 1), 0) AS move FROM {ticks()} t"
+    per_day = f"SELECT symbol, day, {size} AS size FROM ({moves}) m WHERE date_diff('day', first, day) < 14 GROUP BY symbol, day"
+    twin = f"SELECT symbol, round(quantile_cont(size, 0.5) / {info_bars.PER_DAY[kind]}, 4) AS target FROM ({per_day}) d GROUP BY symbol"
+    return lambda spark, sf_dir: info_bars.calibrate(_ticks(spark, sf_dir), kind).selectExpr("symbol", "round(target, 4) AS target"), _TABLE.sub(r"\1", twin)
+
+
+for _kind in info_bars.KINDS:
+    QUERIES[f"calibrate_{_kind}"], ORACLES[f"calibrate_{_kind}"] = _calibration(_kind)
 QUERIES["indicators_recursive"] = lambda spark, sf_dir: recursive.recursive_indicators(_bars(spark, sf_dir))
 QUERIES["window_stats"] = lambda spark, sf_dir: window_stats.window_stats(_bars(spark, sf_dir))
 QUERIES["regime_engine"] = lambda spark, sf_dir: regimes.regime_engine(_bars(spark, sf_dir))
