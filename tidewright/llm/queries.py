@@ -137,6 +137,14 @@ gone AS (SELECT doc_id, count(*) AS n, string_agg(no::VARCHAR, ',' ORDER BY no)
 SELECT s.doc_id, len(l) AS n_lines, coalesce(g.n, 0) AS n_dropped, coalesce(g.nos, '') AS dropped_lines FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first THEN first END AS refers_to
+FROM p
+"""
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -154,5 +162,6 @@ ORACLES = {
     "op4_jaccard_divide_skip": OP4_SQL,
     "op5_embedding_near_dedup": OP5_SQL,
     "op6_stream_exact_dedup": OP6_SQL,
+    "op8_warc_from_arc": OP8_SQL,
     "op10_line_neighbourhood_dedup": OP10_SQL,
 }
