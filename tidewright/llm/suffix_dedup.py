@@ -24,7 +24,7 @@ from .shingles import _BYTES, _powers, mixed
 
 WINDOW, ANCHOR = 200, 80
 #: Bytes of a document hashed at a time; bytes after which a shard ends, between anchors; windows of a piece at most.
-PART, SHARD, LONGEST = 4 << 20, 4 << 20, 4096
+PART, SHARD, LONGEST = 4 << 20, 1 << 20, 4096
 
 _DOC = "doc long, version int"
 _PIECE = "anchor long, piece long, doc long, version int, start int, windows int, inner boolean"
