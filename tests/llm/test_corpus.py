@@ -83,8 +83,10 @@ def test_extraction_keeps_rows_and_columns(spark):
 # ---- 2 ---------------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("few", [1, 1024])
 @pytest.mark.parametrize("block", [1, 4, 1 << 16])
-def test_suffix_order(block):
+def test_suffix_order(block, few, monkeypatch):
+    monkeypatch.setattr(induced_sort, "FEW", few)
     rng = np.random.default_rng(block)
     for _ in range(60):
         t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 60)), 0)

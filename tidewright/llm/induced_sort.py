@@ -20,6 +20,14 @@ import numpy as np
 
 #: Tuples that come out of a queue together; tuples that a queue keeps in memory.
 BLOCK, MEMORY = 1 << 16, 1 << 23
+#: Of so few symbols each is a block of its own: its suffixes come out in order without sorting.
+FEW = 1024
+
+
+def _by(symbols: np.ndarray) -> np.ndarray:
+    """Stable order; symbols below 2**16 are sorted by radix."""
+    small = len(symbols) and int(symbols.max()) < 1 << 16
+    return np.argsort(symbols.astype(np.uint16) if small else symbols, kind="stable")
 
 
 class BulkQueue:
@@ -32,7 +40,7 @@ class BulkQueue:
     def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
         if not len(symbols):
             return
-        order = np.argsort(symbols, kind="stable")
+        order = _by(symbols)
         self.runs.append([symbols[order], suffixes[order], 0, False])
         self.held += len(symbols)
         if self.held > self.memory:
@@ -43,7 +51,7 @@ class BulkQueue:
         keep = [r for r in self.runs if r[3]]
         fresh = [r for r in self.runs if not r[3]]
         symbols, suffixes = (np.concatenate([r[k][r[2] :] for r in fresh]) for k in (0, 1))
-        order = np.argsort(symbols, kind="stable")
+        order = _by(symbols)
         run: list = []
         for x in (symbols[order], suffixes[order]):
             path = os.path.join(self.folder, f"{id(self)}-{self.files}.npy")
@@ -68,7 +76,7 @@ class BulkQueue:
         if not symbols:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         symbols, suffixes = np.concatenate(symbols), np.concatenate(suffixes)
-        order = np.argsort(symbols, kind="stable")
+        order = _by(symbols)
         return symbols[order], suffixes[order]
 
 
@@ -113,17 +121,16 @@ def _order_block(symbols: np.ndarray, suffixes: np.ndarray, seeds: np.ndarray, t
         right = by[np.searchsorted(inside, inside[own] + 1, sorter=by)]
         big = len(inside) + 1
         key = first * big + sub
+        order = np.argsort(key)  # keys differ
         while True:
-            order = np.argsort(key, kind="stable")
             place = np.empty(len(inside), np.int64)
             place[order] = np.arange(len(inside))
-            new = key.copy()
-            new[own] = first[own] * big + place[right]
-            if np.array_equal(np.argsort(new, kind="stable"), order):
+            key[own] = first[own] * big + place[right]
+            before, order = order, np.argsort(key)
+            if np.array_equal(before, order):
                 break
-            key = new
     else:
-        order = np.argsort(first * (len(inside) + 1) + sub, kind="stable")
+        order = _by(first)
     return inside[order], is_seed[order]
 
 
@@ -149,6 +156,7 @@ def _induce(text: np.ndarray, induced: np.ndarray, seeds: np.ndarray, count: np.
 def _both_ways(text: np.ndarray, ascending: np.ndarray, starts: np.ndarray, size: int, folder: str, memory: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """L suffixes and S suffixes in order, from S* suffixes in order."""
     descending = ~ascending
+    block = 1 if size <= FEW else block
     count = np.bincount(text, minlength=size)
     down = _induce(text, descending, starts, count, folder, memory, block)
     mirrored = size - 1 - text
@@ -169,7 +177,7 @@ def suffix_order(text: np.ndarray, size: int, folder: str, memory: int = MEMORY,
     ascending = known[nearest]
     star = np.append(False, ascending[1:] & ~ascending[:-1])
     starts = np.flatnonzero(star)
-    first = starts[np.argsort(text[starts], kind="stable")]
+    first = starts[_by(text[starts])]
     down, up = _both_ways(text, ascending, first, size, folder, memory, block)
     # The sentinel is S* but induced by nothing; it is the smallest.
     substrings = np.concatenate([[n - 1], up[star[up]]])
@@ -182,7 +190,7 @@ def suffix_order(text: np.ndarray, size: int, folder: str, memory: int = MEMORY,
     down, up = _both_ways(text, ascending, ordered, size, folder, memory, block)
     # L before S within a symbol.
     both = np.concatenate([[n - 1], down, up])
-    return both[np.argsort(text[both] * 2 + ascending[both], kind="stable")]
+    return both[_by(text[both] * 2 + ascending[both])]
 
 
 def _names(text: np.ndarray, ascending: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
