@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, staged
+from .common import fresh_name, picked, staged, staged_selective
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
@@ -259,13 +259,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["node", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], names=["node", *keep, "shingles"])
 
-    return docs.mapInArrow(run, "node long, block long, shingles binary")
+    return docs.mapInArrow(run, "node long, block long, level int, tiles int, above int, below int, shingles binary")
 
 
 def _join_units(percent: int):
@@ -279,7 +279,7 @@ def _join_units(percent: int):
         unit, nodes, sides, sets = None, [], [], []
         for batch in batches:
             for block, a, b, side, node, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, a, b) != unit:
+                if (block, a, b) != unit:  # a: classes and first tile
                     if len(nodes) > 1:
                         yield solve(nodes, sides, sets)
                     unit, nodes, sides, sets = (block, a, b), [], [], []
@@ -311,14 +311,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rep_of = signed.join(classes, ["n", "digest"]).select(F.col("doc_id").cast("long").alias("node"), "rep").distinct()
     near = near.join(rep_of.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u").join(rep_of.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v")
     blocks = staged(connected_components(near.select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "blocks")
-    members = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(blocks.withColumnRenamed("component", "block"), "node")
-    sets = staged(_sets(members.select("node", "text", "block"), width).dropDuplicates(["node", "shingles"]), "block-sets")
-    # A block within one tile is one unit; of a larger one, each pair of tiles.
-    load = sets.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum(F.length("shingles")) / (8 * TILE_SHINGLES))).cast("int").alias("tiles"))
-    dealt = sets.join(load, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = dealt.select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.col("tile").alias("side"), "node", "shingles")
-    links = staged(units.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(_join_units(percent), "u long, v long"), "links")
+    # A block within one tile is one unit. A larger one is dealt by size class, and classes by hash into tiles; a tile meets those
+    # of its own class and of the next ones, since linked sets differ by less than a class. Decided on counts, before texts move.
+    sized = blocks.withColumnRenamed("component", "block").join(classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("least")), "node")
+    # Where rows share an id but not a size, the block is dealt into tiles without classes.
+    plain = F.max((F.col("n") != F.col("least")).cast("int")) == 0
+    full = sized.groupBy("block").agg((plain & ((F.count("*") > TILE_DOCS) | (F.sum("n") > TILE_SHINGLES))).alias("large"))
+    # A class is a little wider than linked sets can differ, so that rounding never puts two classes between them.
+    level = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) + 1).otherwise(F.lit(0)).cast("int")
+    sized = staged(sized.join(full, "block").withColumn("level", level), "block-sizes")
+    load = sized.groupBy("block", "level").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    near_level = lambda step, name: load.select("block", (F.col("level") + step).alias("level"), F.col("tiles").alias(name)).filter("level > 0")
+    members = sized.join(load, ["block", "level"]).join(near_level(-1, "above"), ["block", "level"], "left").join(near_level(1, "below"), ["block", "level"], "left")
+    members = picked(staged(members.select("node", "block", "level", "tiles", F.coalesce("above", F.lit(0)).alias("above"), F.when(F.col("level") > 1, F.coalesce("below", F.lit(0))).otherwise(0).alias("below")), "block-members"), "block")
+    keep = ["block", "level", "tiles", "above", "below"]
+    sets = _sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("node", "text", *keep), width, keep)
+    dealt = sets.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    upto = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda j: j)
+    unit = lambda low, high, a, b, side: F.struct(low.alias("low"), high.alias("high"), a.alias("a"), b.alias("b"), side.alias("side"))
+    own = F.transform(upto(F.col("tiles")), lambda j: unit(F.col("level"), F.col("level"), F.least("tile", j), F.greatest("tile", j), F.col("tile")))
+    up = F.when(F.col("above") > 0, F.transform(upto(F.col("above")), lambda j: unit(F.col("level"), F.col("level") + 1, F.col("tile"), j, F.lit(-1)))).otherwise(F.filter(own, lambda x: F.lit(False)))
+    down = F.when(F.col("below") > 0, F.transform(upto(F.col("below")), lambda j: unit(F.col("level") - 1, F.col("level"), j, F.col("tile"), F.lit(-2)))).otherwise(F.filter(own, lambda x: F.lit(False)))
+    units = dealt.withColumn("unit", F.explode(F.concat(own, up, down)))
+    units = units.select("block", F.struct("unit.low", "unit.high", "unit.a").alias("a"), F.col("unit.b").alias("b"), F.col("unit.side").alias("side"), "node", "shingles")
+    links = units.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(_join_units(percent), "u long, v long")
+    links = staged_selective(links, "links")
     parts_of = connected_components(links)
     named = classes.join(parts_of, classes["rep"] == parts_of["node"], "left").select(F.col("n").alias("_n"), F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
     joined = signed.join(named, (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")
@@ -331,5 +348,5 @@ def first_of_components(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     Rows with a null id stay; of repeated rows with one id all do.
     """
     parts, key = jaccard_components(docs, width, percent), fresh_name(docs, "dropped_id")
-    dropped = parts.filter("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    dropped = staged(parts.filter("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct(), "dropped-ids")
     return docs.join(dropped, docs["doc_id"] == dropped[key], "left_anti")
