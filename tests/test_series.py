@@ -50,6 +50,18 @@ def test_twins(spark, duck, name):
     assert sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) // 200
 
 
+@pytest.mark.parametrize("name,hours,op", [("asof_backward", 1, ">="), ("asof_forward", 1, "<="), ("asof_forward_strict", 24, "<")])
+def test_asof_of_every_event(spark, duck, name, hours, op):
+    closes = ORACLES["ohlcv_1h" if hours == 1 else "ohlcv_1d"]
+    sql = f"SELECT e.event_type AS symbol, e.event_id AS id, b.c AS v, CAST(b.ts AS TIMESTAMP) AS bar_ts FROM events e ASOF LEFT JOIN ({closes}) b ON b.symbol = e.event_type AND e.ts {op} b.ts"
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(sql).fetchdf())
+
+
+def test_asof_clip_of_every_event(spark, duck):
+    sql = f"SELECT e.event_type AS symbol, e.event_id AS id, coalesce(b.c, f.v0) AS v FROM events e ASOF LEFT JOIN ({ORACLES['ohlcv_1h']}) b ON b.symbol = e.event_type AND e.ts > b.ts JOIN (SELECT symbol, arg_min(c, ts) AS v0 FROM ({ORACLES['ohlcv_1h']}) GROUP BY symbol) f ON f.symbol = e.event_type"
+    assert rows(QUERIES["asof_clip"](spark, SF).toPandas()) == rows(duck.execute(sql).fetchdf())
+
+
 def test_asof_join_against_brute_force(spark):
     left = spark.createDataFrame([("a", t, i) for i, t in enumerate((1, 3, 3, 7, 0))] + [("b", 5, 9)], "symbol string, ts long, id long")
     right = spark.createDataFrame([("a", 3, 30.0), ("a", 5, 50.0), ("c", 1, 1.0)], "symbol string, ts long, x double")

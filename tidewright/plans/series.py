@@ -167,8 +167,9 @@ def _asof(d: Dialect, left: str, right: str, forward: bool = False, strict: bool
     side = f"SELECT symbol, ts, {second} AS side, id, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS TIMESTAMP) AS bar_ts FROM {left} l UNION ALL SELECT symbol, ts, {first} AS side, NULL AS id, v, ts AS bar_ts FROM {right} r"
     if forward:
         side = f"SELECT symbol, ts, {first} AS side, id, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS TIMESTAMP) AS bar_ts FROM {left} l UNION ALL SELECT symbol, ts, {second} AS side, NULL AS id, v, ts AS bar_ts FROM {right} r"
-    frame = "PARTITION BY symbol ORDER BY ts, side"
-    pick = (lambda x: f"{d.ignoring('first_value', x)} OVER ({frame} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)") if forward else (lambda x: f"{d.ignoring('last_value', x)} OVER ({frame} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    # Forward is carried in the reverse order: a frame that ends with the series is read anew for every row.
+    frame = f"PARTITION BY symbol ORDER BY {'ts DESC, side DESC' if forward else 'ts, side'} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    pick = lambda x: f"{d.ignoring('last_value', x)} OVER ({frame})"
     return f"(SELECT symbol, ts, id, {value}, bar_ts FROM (SELECT symbol, ts, id, {pick('v')} AS {value}, {pick('bar_ts')} AS bar_ts FROM ({side}) u) q WHERE id IS NOT NULL)"
 
 
@@ -182,8 +183,10 @@ def asof(d: Dialect, left: str, right: str, forward: bool = False, strict: bool
     return _native_asof(d, left, right, {(False, False): ">=", (False, True): ">", (True, False): "<=", (True, True): "<"}[forward, strict])
 
 
-def _trades() -> str:
-    return "(SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id AS id FROM {events} WHERE event_id % 7 = 0)"
+def _trades(d: Dialect) -> str:
+    """Every event is a trade. The twin's given text still takes one event in seven."""
+    given = " WHERE event_id % 7 = 0" if d.name == "duckdb" else ""
+    return f"(SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id AS id FROM {{events}}{given})"
 
 
 def _closes(d: Dialect, hours: int = 1) -> str:
@@ -192,24 +195,24 @@ def _closes(d: Dialect, hours: int = 1) -> str:
 
 @series
 def asof_backward(d):
-    return f"SELECT symbol, id, v, bar_ts FROM {asof(d, _trades(), _closes(d))} j"
+    return f"SELECT symbol, id, v, bar_ts FROM {asof(d, _trades(d), _closes(d))} j"
 
 
 @series
 def asof_forward(d):
-    return f"SELECT symbol, id, v, bar_ts FROM {asof(d, _trades(), _closes(d), forward=True)} j"
+    return f"SELECT symbol, id, v, bar_ts FROM {asof(d, _trades(d), _closes(d), forward=True)} j"
 
 
 @series
 def asof_forward_strict(d):
-    return f"SELECT symbol, id, v, bar_ts FROM {asof(d, _trades(), _closes(d, 24), forward=True, strict=True)} j"
+    return f"SELECT symbol, id, v, bar_ts FROM {asof(d, _trades(d), _closes(d, 24), forward=True, strict=True)} j"
 
 
 @series
 def asof_clip(d):
     """Backward, trades before the first bar get the first bar."""
     first = f"SELECT symbol, {d.first_by('c', 'ts')} AS v0 FROM {bars(d)} b GROUP BY symbol"
-    return f"SELECT j.symbol, j.id, coalesce(j.v, f.v0) AS v FROM {asof(d, _trades(), _closes(d), strict=True)} j JOIN ({first}) f ON f.symbol = j.symbol"
+    return f"SELECT j.symbol, j.id, coalesce(j.v, f.v0) AS v FROM {asof(d, _trades(d), _closes(d), strict=True)} j JOIN ({first}) f ON f.symbol = j.symbol"
 
 
 @series
