@@ -451,6 +451,13 @@ def test_lines_odd(odd):
     assert line_dedup.line_report(odd.limit(0)).count() == 0 and line_dedup.drop_lines(odd).columns == odd.columns
 
 
+def test_short_lines_equal(spark):
+    texts = ["All rights reserved.\n\none two three\n版权所有", "\nAll  rights reserved.\nAll rights\none two four\n版权所有\n ", "one two three\none two three\nAll rights Reserved."]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    assert {r.doc_id: r.dropped_lines for r in line_dedup.line_report(docs).collect()} == {0: "", 1: "1,4", 2: "0,1"}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {0: texts[0], 1: "\nAll rights\none two four\n ", 2: "All rights Reserved."}
+
+
 def test_one_edit():
     a = np.array([1, 2, 3, 4], np.uint64)
     for b, yes in (([1, 2, 3, 4], 1), ([1, 2, 4], 1), ([2, 3, 4], 1), ([1, 2, 3], 1), ([1, 9, 3, 4], 1), ([1, 2, 3, 4, 5], 1), ([0, 1, 2, 3, 4], 1), ([1, 3, 2, 4], 0), ([1, 2], 0), ([2, 3, 4, 5], 0)):

@@ -26,7 +26,7 @@ from .common import fresh_name, picked, staged, staged_selective
 from .jaccard_join import _stars
 from .shingles import _powers, mixed, slices, word_hashes
 
-#: Lines of fewer words are always kept; with one edit allowed, five words are a similarity of 0.8.
+#: Lines of fewer words go only as exact copies; with one edit allowed, five words are a similarity of 0.8.
 MIN_WORDS = 5
 
 _SALT = np.uint64(0xE7037ED1A0B428DB)
@@ -34,7 +34,7 @@ _NULL_ID = 2**63 - 1
 
 
 def line_hashes(texts: list[str | None], min_words: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slice by slice, of every line of at least ``min_words`` words: text, line number, two hashes, hashes of four halves; then the lines of each text."""
+    """Slice by slice, of every line with a word: text, line number, two hashes, whether it has ``min_words`` words, hashes of four halves of those that have; then the lines of each text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     for part in slices([len(t) for t in raw]):
         some = raw[part]
@@ -51,26 +51,27 @@ def line_hashes(texts: list[str | None], min_words: int) -> Iterator[tuple[np.nd
         total, other = np.zeros(len(words) + 1, np.uint64), np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up[: len(words)], out=total[1:])
         np.cumsum(mixed(words ^ _SALT) * up[: len(words)], out=other[1:])
-        keep = np.flatnonzero(n >= min_words)
+        keep = np.flatnonzero(n)
         a, b, n = at[keep], to[keep], n[keep].astype(np.uint64)
         first = mixed((total[b] - total[a]) * down[a] + n)
         second = mixed((other[b] - other[a]) * down[a] + n)
-        halves = []
+        long = n >= min_words
+        a, b, n, halves = a[long], b[long], n[long], []
         for m in (n, n - np.uint64(1)):  # as the line is, and as the longer of two lines
             half = (m >> np.uint64(1)).astype(np.int64)
             rest = m.astype(np.int64) - half
             halves.append(mixed((total[a + half] - total[a]) * down[a] + (m << np.uint64(1))))
             halves.append(mixed((total[b] - total[b - rest]) * down[b - rest] + (m << np.uint64(1)) + np.uint64(1)))
-        yield owner[keep] + part.start, number[keep], first, second, halves, np.bincount(owner, minlength=len(some))
+        yield owner[keep] + part.start, number[keep], first, second, long, halves, np.bincount(owner, minlength=len(some))
 
 
 def _scan(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, version = batch.column(0), batch.column(1)
-            for owner, number, first, second, halves, _ in line_hashes(batch.column(2).to_pylist(), min_words):
+            for owner, number, first, second, long, halves, _ in line_hashes(batch.column(2).to_pylist(), min_words):
                 rows = pa.array(owner)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(owner) + 1, 4, dtype=np.int32)), pa.array(np.stack(halves, axis=1).ravel().view(np.int64)))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(4 * long)).astype(np.int32)), pa.array(np.stack(halves, axis=1).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([doc.take(rows), version.take(rows), pa.array(number.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), keys], names=["doc", "version", "no", "h1", "h2", "halves"])
 
     return run
@@ -184,7 +185,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A line goes when an earlier line anywhere is alike: equal, or one word inserted, deleted or replaced. Earlier means a smaller
     id (null ids last, rows that share an id by a hash of their text), then a smaller line number. Lines of fewer than
-    ``min_words`` words stay. A repeated row is its own twin, not an earlier one: all its copies are treated alike.
+    ``min_words`` words go only when equal, lines without words stay. A repeated row is its own twin, not an earlier one: all its copies are treated alike.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
