@@ -114,6 +114,31 @@ def test_repeats(docs, corpus, window, anchor):
     assert got == dict(zip(range(len(corpus)), want, strict=True))
 
 
+def test_repeats_hot_anchor(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = words(rng, 12, 5000)
+    texts = [f"{words(rng, 8, 5000)} {passage} {words(rng, 8, 5000)}" for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC).repartition(3)
+    sort = suffix_dedup._sort_shards
+
+    def bounded(window):
+        def run(batches):
+            size = Counter()
+            held = list(batches)
+            for b in held:
+                for anchor, piece in zip(b.column(0).to_pylist(), b.column(6).to_pylist()):
+                    size[anchor] += len(piece)
+            assert max(size.values(), default=0) <= 2000
+            yield from sort(window)(iter(held))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", 2000)
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", bounded)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, 30, 12).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 30)))
+
+
 def test_repeats_odd(odd):
     out = suffix_dedup.remove_repeats(odd, 10, 4, with_text=True).collect()
     assert len(out) == 5 and sorted(r.n_removed for r in out) == [0, 0, 0, 27, 27]

@@ -5,7 +5,8 @@ equal windows belong to equal anchors; a document falls into pieces, each a run
 one anchor. An anchor with one piece in the whole corpus repeats nothing. Pieces with a copy are
 repeated as a whole. What is left, different pieces with the same anchor, is cut into shards that
 keep an anchor together, and each shard's suffixes are sorted by external induced sorting: windows
-that agree over their whole length are neighbours then.
+that agree over their whole length are neighbours then. An anchor with more bytes than a shard
+would be one shard of any size: its windows are hashed one by one and sorted by Spark instead.
 """
 
 from __future__ import annotations
@@ -178,6 +179,61 @@ def _sort_shards(window: int):
     return run
 
 
+def _hash_windows(window: int):
+    """Anchor, hash and place of every window of the wanted pieces of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple], places: list, hashes: list) -> pa.RecordBatch:
+            counts = [len(h) for h in hashes]
+            fixed = [pa.array(np.repeat(np.array(c, t), counts)) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.int32, bool), strict=True)]
+            return pa.RecordBatch.from_arrays([*fixed, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=["anchor", "doc", "version", "copied", "at", "h"])
+
+        for batch in batches:
+            rows, places, hashes, size = [], [], [], 0
+            for doc, version, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for w in wanted:
+                    s, n = w["start"], w["windows"]
+                    raw = np.frombuffer(text[s : s + n + window - 1], np.uint8)
+                    up, down = _powers(len(raw) + 1)
+                    total = np.zeros(len(raw) + 1, np.uint64)
+                    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
+                    rows.append((w["anchor"], doc, version, w["copied"]))
+                    places.append(np.arange(s, s + n))
+                    hashes.append(mixed((total[window:] - total[:-window]) * down[:n]))
+                    size += n
+                    if size > 1 << 18:
+                        yield out(rows, places, hashes)
+                        rows, places, hashes, size = [], [], [], 0
+            if rows:
+                yield out(rows, places, hashes)
+
+    return run
+
+
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by hash and anchor, those that equal a neighbour and aren't of copied pieces."""
+    held: pa.RecordBatch | None = None  # the last row, whose successor isn't known yet
+    before = False  # whether it equals the row before it
+    for batch in _with_end(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        known = [b for b in (held, batch) if b is not None]
+        if not known:
+            return
+        whole = pa.Table.from_batches(known).combine_chunks().to_batches()[0]
+        anchor, h = whole.column(0).to_numpy(), whole.column(5).to_numpy()
+        same = (anchor[1:] == anchor[:-1]) & (h[1:] == h[:-1])
+        back, ahead = np.append(before, same), np.append(same, False)
+        done = len(h) if batch is None else len(h) - 1
+        take = np.flatnonzero(((back | ahead) & ~whole.column(3).to_numpy(zero_copy_only=False))[:done])
+        if len(take):
+            part = whole.take(pa.array(take))
+            lo = part.column(4)
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lo, pa.array(lo.to_numpy() + 1, pa.int32())], names=["doc", "version", "lo", "hi"])
+        if batch is not None:
+            held, before = whole.slice(done, 1), bool(back[-1])
+
+
 def _fetch(window: int):
     """Bytes of the wanted pieces of each document."""
 
@@ -247,14 +303,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     pieces = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "piece")
     repeated = staged(pieces.mapInArrow(_repeated, _PIECE + ", copied boolean, leads boolean"), "repeated-pieces")
     leads = repeated.filter("leads")
-    several = leads.groupBy("anchor").agg(F.count("*").alias("pieces"), F.max("inner").alias("inner")).filter("pieces > 1 or inner").select("anchor")
-    wanted = leads.join(several, "anchor").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "start", "windows", "copied")).alias("wanted"))
-    wanted = picked(staged(wanted, "wanted-pieces"), "doc")
+    several = leads.groupBy("anchor").agg(F.count("*").alias("pieces"), F.max("inner").alias("inner"), (F.sum(F.col("windows") + (window - 1)) > SHARD).alias("hot")).filter("pieces > 1 or inner").select("anchor", "hot")
+    wanted = leads.join(several, "anchor").groupBy("hot", "doc", "version").agg(F.collect_list(F.struct("anchor", "start", "windows", "copied")).alias("wanted"))
+    every = staged(wanted, "wanted-pieces")
+    wanted = picked(every.filter("not hot").drop("hot"), "doc")
     # A repeated row's piece is wanted of one of the rows only; more would do no harm.
     sources = keyed.select("doc", "version", "text").join(wanted, ["doc", "version"])
     fetched = sources.mapInArrow(_fetch(window), "anchor long, doc long, version int, start int, windows int, copied boolean, bytes binary")
     shards = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor")
     sorted_ = staged_selective(shards.mapInArrow(_sort_shards(window), _DOC + ", lo int, hi int"), "repeated-windows")
+    hot = every.filter("hot").drop("hot")
+    if not hot.isEmpty():
+        texts = keyed.select("doc", "version", "text").join(picked(hot, "doc"), ["doc", "version"])
+        places = texts.mapInArrow(_hash_windows(window), "anchor long, doc long, version int, copied boolean, at int, h long")
+        places = places.repartition(parts, "h", "anchor").sortWithinPartitions("h", "anchor")
+        sorted_ = sorted_.unionByName(staged_selective(places.mapInArrow(_equal_windows, _DOC + ", lo int, hi int"), "equal-windows"))
     whole = repeated.filter("copied").select("doc", "version", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi"))
     ranges = whole.unionByName(sorted_).groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     ranges = staged(ranges, "ranges")
