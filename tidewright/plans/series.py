@@ -401,9 +401,23 @@ def cv_walk_forward(d):
 
 @series
 def cv_combinatorial(d):
-    """Combinations of two test groups of six: sizes of each combination's test set."""
-    groups = f"(SELECT g, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY entry_datetime, id) - 1) * 6.0 / count(*) OVER ()) AS INT) AS g FROM {ledger()} t) q GROUP BY g)"
-    return f"SELECT a.g AS g1, b.g AS g2, a.n + b.n AS test FROM {groups} a JOIN {groups} b ON a.g < b.g"
+    """Combinations of two test groups of six: sizes of each combination's test and training sets.
+
+    Before each contiguous block of test groups, trades that are still open when it begins and were entered before its last entry
+    are purged from training, those of the last percent of rows (one at least) embargoed; under 30 training trades there is no
+    combination. The twin's given text has the test sizes only.
+    """
+    if d.name == "duckdb":
+        groups = f"(SELECT g, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY entry_datetime, id) - 1) * 6.0 / count(*) OVER ()) AS INT) AS g FROM {ledger()} t) q GROUP BY g)"
+        return f"SELECT a.g AS g1, b.g AS g2, a.n + b.n AS test FROM {groups} a JOIN {groups} b ON a.g < b.g"
+    rows = f"SELECT entry_datetime, exit_datetime, row_number() OVER (ORDER BY entry_datetime, id) - 1 AS k, count(*) OVER () AS n FROM {ledger()} t"
+    # Groups are the twin's: they begin at ceil(g * n / 6), those of the reference at floor(g * n / 6).
+    grouped = f"SELECT *, CAST(6 * k div n AS INT) AS g FROM (SELECT *, greatest(1, CAST(floor(n * 0.01) AS BIGINT)) AS embargo FROM ({rows}) r) q"
+    edges = f"SELECT g, min(k) AS k0, min(entry_datetime) AS first_entry, max(entry_datetime) AS last_entry, count(*) AS n FROM ({grouped}) e GROUP BY g"
+    combos = f"SELECT a.g AS g1, b.g AS g2, a.n + b.n AS test, a.k0 AS k1, b.k0 AS k2, a.first_entry AS from1, CASE WHEN b.g = a.g + 1 THEN b.last_entry ELSE a.last_entry END AS to1, b.first_entry AS from2, b.last_entry AS to2 FROM ({edges}) a JOIN ({edges}) b ON a.g < b.g"
+    block = lambda x: f"((t.exit_datetime >= c.from{x} AND t.entry_datetime < c.to{x}) OR (t.k >= c.k{x} - t.embargo AND t.k < c.k{x}))"
+    out = f"t.g = c.g1 OR t.g = c.g2 OR {block(1)} OR (c.g2 > c.g1 + 1 AND {block(2)})"
+    return f"SELECT c.g1, c.g2, c.test, sum(CASE WHEN {out} THEN 0 ELSE 1 END) AS train FROM ({grouped}) t CROSS JOIN ({combos}) c GROUP BY c.g1, c.g2, c.test HAVING sum(CASE WHEN {out} THEN 0 ELSE 1 END) >= 30"
 
 
 # ---- transformations -------------------------------------------------------------------------------------------------------
