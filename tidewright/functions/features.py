@@ -175,10 +175,14 @@ def _trend() -> None:
 
 
 def _acf(d: Dialect, x: str, n: int, lag: int) -> str:
-    """Lag-``lag`` autocorrelation of the frame's values with the frame's mean."""
-    xs, m = d.list(x, -n, -1), d.w("avg", x, -n, -1)
-    products = d.over_index(n - lag, "i", f"({d.at('xs_', 'i')} - m_) * ({d.at('xs_', f'i + {lag}')} - m_)")
-    top = d.total(products.replace("xs_", f"({xs})").replace("m_", f"({m})"))
+    """Lag-``lag`` autocorrelation of the frame's values with the frame's mean, by windowed sums: no arrays.
+
+    Sum of (x_i - m)(x_{i+lag} - m) = sum of products - m (sum of the later ones + sum of the earlier ones) + (n - lag) m^2.
+    """
+    product = f"p{lag}_{'abs' if x != 'r' else 'r'}"
+    DERIVED.setdefault(product, lambda d: f"{x} * {d.lag(x, lag)}")
+    m = d.w("avg", x, -n, -1)
+    top = f"({d.w('sum', product, -n + lag, -1)} - {m} * ({d.w('sum', x, -n + lag, -1)} + {d.w('sum', x, -n, -1 - lag)}) + {n - lag} * {m} * {m})"
     return d.div(top, f"({n} * {d.w('var_pop', x, -n, -1)})")
 
 
@@ -245,23 +249,28 @@ def _events() -> None:
         _add(f, f"fourier_component_{hours}h", 100, lambda d, p=part: f"sqrt(power({p(d, 'cos')}, 2) + power({p(d, 'sin')}, 2)) / 100")
 
 
-def _drawdowns(d: Dialect, n: int) -> str:
-    """Drawdowns inside the frame: each close against the largest so far."""
-    xs = d.list("c", -n, -1)
+def _falls(d: Dialect) -> str:
+    """Of the closes of a frame against the largest so far: deepest drawdown, sum of squares, sum and number of negative ones.
+
+    Spark carries them through the frame once; the twin makes the list of drawdowns.
+    """
     if d.name == "spark":
-        return f"aggregate({xs}, named_struct('m', CAST(0 AS DOUBLE), 'out', CAST(array() AS array<double>)), (a_, x_) -> named_struct('m', greatest(a_.m, x_), 'out', array_append(a_.out, (x_ - greatest(a_.m, x_)) / greatest(a_.m, x_)))).out"
-    return f"list_transform(range(1, {n} + 1), lambda i: (({xs})[i] - list_max(({xs})[1:i])) / list_max(({xs})[1:i]))"
+        fall = "x_ / greatest(a_.top, x_) - 1"
+        zero = "named_struct('top', 0D, 'low', 0D, 'squares', 0D, 'total', 0D, 'below', 0)"
+        return f"aggregate(closes, {zero}, (a_, x_) -> named_struct('top', greatest(a_.top, x_), 'low', least(a_.low, {fall}), 'squares', a_.squares + ({fall}) * ({fall}), 'total', a_.total + ({fall}), 'below', a_.below + CASE WHEN x_ < a_.top THEN 1 ELSE 0 END))"
+    z = "list_transform(range(1, len(closes) + 1), lambda i: closes[i] / list_max(closes[1:i]) - 1)"
+    return f"{{'low': list_min({z}), 'squares': list_sum(list_transform({z}, lambda q: q * q)), 'total': list_sum({z}), 'below': len(list_filter({z}, lambda q: q < 0))}}"
 
 
 def _risk() -> None:
     f = "risk"
-    dd = lambda d: _drawdowns(d, 100)
-    low = lambda d, xs: f"array_min({xs})" if d.name == "spark" else f"list_min({xs})"
-    _add(f, "max_drawdown", 100, lambda d: low(d, dd(d)))
+    DERIVED["closes"] = lambda d: d.list("c", -100, -1)
+    DERIVED2["falls"] = lambda d: f"CASE WHEN rn > 100 THEN {_falls(d)} END"
+    _add(f, "max_drawdown", 100, lambda d: "falls.low")
     _add(f, "current_drawdown", 100, lambda d: f"c / {d.w('max', 'c', -100, -1)} - 1")
-    _add(f, "ulcer_index", 100, lambda d: f"sqrt({d.mean(d.map(dd(d), 'z', 'z * z'))})")
-    _add(f, "pain_index", 100, lambda d: f"coalesce({d.mean(d.keep(dd(d), 'z', 'z < 0'))}, 0.0)")
-    _add(f, "calmar_ratio", 101, lambda d: d.div(f"{d.w('avg', 'r', -100, -1)} * 252", f"abs({low(d, dd(d))})"))
+    _add(f, "ulcer_index", 100, lambda d: "sqrt(falls.squares / 100)")
+    _add(f, "pain_index", 100, lambda d: "coalesce(falls.total / nullif(falls.below, 0), 0.0)")
+    _add(f, "calmar_ratio", 101, lambda d: d.div(f"{d.w('avg', 'r', -100, -1)} * 252", "abs(falls.low)"))
     _add(f, "sharpe_ratio", 61, lambda d: d.div(f"{d.w('avg', 'r', -60, -1)} * sqrt(252.0)", d.w("stddev_pop", "r", -60, -1)))
     _add(f, "sortino_ratio", 61, lambda d: d.div(f"{d.w('avg', 'r', -60, -1)} * sqrt(252.0)", d.w("stddev_pop", "CASE WHEN r < 0 THEN r END", -60, -1)))
     _add(f, "omega_ratio", 101, lambda d: d.div(d.w("sum", "greatest(r, 0.0)", -100, -1), d.w("sum", "greatest(-r, 0.0)", -100, -1)))
@@ -343,7 +352,7 @@ def features_sql(d: Dialect, names: list[str], source: str, digits: int | None =
     need1 = _needed(DERIVED, " ".join([*texts.values(), *need2.values()]), d)
     step = lambda cols: "".join(f", {sql} AS {name}" for name, sql in cols.items())
     base = {n: sql(d) for n, sql in COLUMNS.items()}
-    rounded = lambda x: f"round(CAST({x} AS DOUBLE), {digits})" if digits is not None else x
+    rounded = lambda x: f"(round(CAST({x} AS DOUBLE), {digits}) + 0e0)" if digits is not None else x
     out = "".join(f", {rounded(f'CASE WHEN rn > {FEATURES[n].after} THEN {sql} END')} AS {n}" for n, sql in texts.items())
     return (
         f"WITH bars_ AS (SELECT * FROM {source}), base_ AS (SELECT *{step(base)} FROM bars_), more_ AS (SELECT *{step(need1)} FROM base_), "

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .dialect import Dialect, Duck, Spark
 from tidewright.operators import info_bars, montecarlo, recursive, regimes, swings, window_stats
 
+from . import portfolio, research  # noqa: F401  they register their queries
 from .series import SERIES, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"

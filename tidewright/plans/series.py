@@ -20,7 +20,8 @@ def series(fn: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
 
 
 def r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    """Six digits; a rounded negative zero is zero."""
+    return f"(round(CAST({x} AS DOUBLE), 6) + 0e0)"
 
 
 # ---- projections -----------------------------------------------------------------------------------------------------------
@@ -120,8 +121,8 @@ def gapfill_linear(d):
 
 @series
 def zero_volume_repair(d):
-    """Zero volumes take the last volume, at the head the next one, 1 if there is none."""
-    odd = f"(SELECT symbol, ts, CASE WHEN {d.hour('ts')} % 6 = 0 THEN 0e0 ELSE v END AS v FROM {bars(d)} b)"
+    """Zero volumes take the last volume, at the head the next one, 1 if there is none; bars of a single tick count as without volume."""
+    odd = f"(SELECT symbol, ts, CASE WHEN n < 2 THEN 0e0 ELSE v END AS v FROM {bars(d)} b)"
     return f"SELECT symbol, ts, coalesce({d.last('nullif(v, 0)')}, {d.next('nullif(v, 0)')}, 1e0) AS v FROM {odd} z"
 
 
@@ -146,6 +147,8 @@ def downsample_average(d):
 
 @series
 def unpivot_metrics(d):
+    if d.name == "spark":  # one pass over the bars
+        return f"SELECT symbol, ts, metric, value FROM {bars(d, 24)} b LATERAL VIEW stack(4, 'o', o, 'h', h, 'l', l, 'c', c) u AS metric, value"
     parts = " UNION ALL ".join(f"SELECT symbol, ts, '{m}' AS metric, {m} AS value FROM {bars(d, 24)} b" for m in ("o", "h", "l", "c"))
     return f"SELECT symbol, ts, metric, value FROM ({parts}) u"
 
@@ -184,9 +187,8 @@ def asof(d: Dialect, left: str, right: str, forward: bool = False, strict: bool
 
 
 def _trades(d: Dialect) -> str:
-    """Every event is a trade. The twin's given text still takes one event in seven."""
-    given = " WHERE event_id % 7 = 0" if d.name == "duckdb" else ""
-    return f"(SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id AS id FROM {{events}}{given})"
+    """Every event is a trade."""
+    return "(SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id AS id FROM {events})"
 
 
 def _closes(d: Dialect, hours: int = 1) -> str:
@@ -298,15 +300,13 @@ SESSIONS = (("Sydney", 21, 6), ("Tokyo", 0, 9), ("London", 7, 16), ("New York",
 
 @series
 def smc_sessions(d):
-    parts = []
-    for name, a, b in SESSIONS:
-        hour = d.hour("ts")
-        inside = f"{hour} >= {a} AND {hour} < {b}" if a < b else f"({hour} >= {a} OR {hour} < {b})"
-        starts = f"SELECT symbol, ts, h, l, CASE WHEN {inside} THEN 1 ELSE 0 END AS active FROM {bars(d)} x"
-        groups = f"SELECT *, sum(CASE WHEN active = 0 THEN 1 ELSE 0 END) OVER ({d.over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ({starts}) y"
-        run = "OVER (PARTITION BY symbol, g ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        parts.append(f"SELECT '{name}' AS session, symbol, ts, active, CASE WHEN active = 1 THEN max(CASE WHEN active = 1 THEN h END) {run} END AS high, CASE WHEN active = 1 THEN min(CASE WHEN active = 1 THEN l END) {run} END AS low FROM ({groups}) z")
-    return f"SELECT session, symbol, ts, active, high, low FROM ({' UNION ALL '.join(parts)}) u"
+    """Whether a bar lies in a session, and the session's high and low so far; every bar meets every session once."""
+    inside = " OR ".join(f"(session = '{name}' AND ({d.hour('ts')} >= {a} {'AND' if a < b else 'OR'} {d.hour('ts')} < {b}))" for name, a, b in SESSIONS)
+    named = ", ".join(f"('{name}')" for name, _, _ in SESSIONS)
+    starts = f"SELECT session, symbol, ts, h, l, CASE WHEN {inside} THEN 1 ELSE 0 END AS active FROM {bars(d)} x CROSS JOIN (VALUES {named}) AS n(session)"
+    groups = f"SELECT *, sum(CASE WHEN active = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, session ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ({starts}) y"
+    run = "OVER (PARTITION BY symbol, session, g ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"SELECT session, symbol, ts, active, CASE WHEN active = 1 THEN max(CASE WHEN active = 1 THEN h END) {run} END AS high, CASE WHEN active = 1 THEN min(CASE WHEN active = 1 THEN l END) {run} END AS low FROM ({groups}) z"
 
 
 @series
@@ -329,9 +329,10 @@ def regime_vol_percentile(d):
 
 
 @series
-def labels_fixed_pct(d):
-    ahead = f"({d.lead('c', 10)} / c - 1)"
-    return f"SELECT symbol, ts, CASE WHEN {ahead} > 0.5 THEN 1 WHEN {ahead} < -0.5 THEN -1 ELSE 0 END AS label FROM {bars(d)} b"
+def labels_fixed_pct(d, horizon: int = 20, threshold: float = 0.02):
+    """Sign of the return over ``horizon`` bars where it exceeds the threshold."""
+    ahead = f"({d.lead('c', horizon)} / c - 1)"
+    return f"SELECT symbol, ts, CASE WHEN {ahead} > {threshold} THEN 1 WHEN {ahead} < -{threshold} THEN -1 ELSE 0 END AS label FROM {bars(d)} b"
 
 
 @series
@@ -382,44 +383,6 @@ def microstructure(d):
     )
 
 
-@series
-def weights_time_decay(d):
-    return f"SELECT id, {r6('1.0 * row_number() OVER (ORDER BY entry_datetime, id) / count(*) OVER ()')} AS weight FROM {ledger()} t"
-
-
-@series
-def cv_walk_forward(d):
-    """Five expanding folds; training trades that are still open when the test begins are purged, those of the last percent embargoed."""
-    numbered = f"SELECT id, entry_datetime, exit_datetime, row_number() OVER (ORDER BY entry_datetime, id) AS k, count(*) OVER () AS n FROM {ledger()} t"
-    parts = []
-    for f in range(1, 6):
-        begin = f"floor(n * {f} / 6.0)"
-        edge = f"SELECT min(entry_datetime) AS begins FROM ({numbered}) e WHERE k > {begin}"
-        parts.append(f"SELECT {f} AS fold, sum(CASE WHEN k <= {begin} AND exit_datetime < begins AND k <= {begin} - floor(n * 0.01) THEN 1 ELSE 0 END) AS train, sum(CASE WHEN k > {begin} AND k <= floor(n * {f + 1} / 6.0) THEN 1 ELSE 0 END) AS test FROM ({numbered}) q CROSS JOIN ({edge}) e")
-    return f"SELECT fold, CAST(train AS BIGINT) AS train, CAST(test AS BIGINT) AS test FROM ({' UNION ALL '.join(parts)}) u"
-
-
-@series
-def cv_combinatorial(d):
-    """Combinations of two test groups of six: sizes of each combination's test and training sets.
-
-    Before each contiguous block of test groups, trades that are still open when it begins and were entered before its last entry
-    are purged from training, those of the last percent of rows (one at least) embargoed; under 30 training trades there is no
-    combination. The twin's given text has the test sizes only.
-    """
-    if d.name == "duckdb":
-        groups = f"(SELECT g, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY entry_datetime, id) - 1) * 6.0 / count(*) OVER ()) AS INT) AS g FROM {ledger()} t) q GROUP BY g)"
-        return f"SELECT a.g AS g1, b.g AS g2, a.n + b.n AS test FROM {groups} a JOIN {groups} b ON a.g < b.g"
-    rows = f"SELECT entry_datetime, exit_datetime, row_number() OVER (ORDER BY entry_datetime, id) - 1 AS k, count(*) OVER () AS n FROM {ledger()} t"
-    # Groups are the twin's: they begin at ceil(g * n / 6), those of the reference at floor(g * n / 6).
-    grouped = f"SELECT *, CAST(6 * k div n AS INT) AS g FROM (SELECT *, greatest(1, CAST(floor(n * 0.01) AS BIGINT)) AS embargo FROM ({rows}) r) q"
-    edges = f"SELECT g, min(k) AS k0, min(entry_datetime) AS first_entry, max(entry_datetime) AS last_entry, count(*) AS n FROM ({grouped}) e GROUP BY g"
-    combos = f"SELECT a.g AS g1, b.g AS g2, a.n + b.n AS test, a.k0 AS k1, b.k0 AS k2, a.first_entry AS from1, CASE WHEN b.g = a.g + 1 THEN b.last_entry ELSE a.last_entry END AS to1, b.first_entry AS from2, b.last_entry AS to2 FROM ({edges}) a JOIN ({edges}) b ON a.g < b.g"
-    block = lambda x: f"((t.exit_datetime >= c.from{x} AND t.entry_datetime < c.to{x}) OR (t.k >= c.k{x} - t.embargo AND t.k < c.k{x}))"
-    out = f"t.g = c.g1 OR t.g = c.g2 OR {block(1)} OR (c.g2 > c.g1 + 1 AND {block(2)})"
-    return f"SELECT c.g1, c.g2, c.test, sum(CASE WHEN {out} THEN 0 ELSE 1 END) AS train FROM ({grouped}) t CROSS JOIN ({combos}) c GROUP BY c.g1, c.g2, c.test HAVING sum(CASE WHEN {out} THEN 0 ELSE 1 END) >= 30"
-
-
 # ---- transformations -------------------------------------------------------------------------------------------------------
 
 
@@ -446,10 +409,28 @@ def quantile_transform(d):
 # ---- ledgers ---------------------------------------------------------------------------------------------------------------
 
 
-def _equity() -> str:
+def running(d: Dialect, rows: str, x: str, name: str, agg: str = "sum") -> str:
+    """``rows`` (with ``exit_datetime, id``) with the running sum or maximum of ``x`` in order of exit, then id.
+
+    Spark takes it in two levels, over days and within each day, so that no task holds the whole ledger; the twin over all rows.
+    """
+    along = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    if d.name == "duckdb":
+        return f"(SELECT *, {agg}({x}) OVER (ORDER BY exit_datetime, id {along}) AS {name} FROM {rows} r_)"
+    days = f"SELECT exit_datetime AS day_, {agg}({x}) AS part_ FROM {rows} d_ GROUP BY exit_datetime"
+    before = f"SELECT day_, {agg}(part_) OVER (ORDER BY day_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM ({days}) p_"
+    within = f"{agg}({x}) OVER (PARTITION BY exit_datetime ORDER BY id {along})"
+    value = f"coalesce(before_, 0) + {within}" if agg == "sum" else f"greatest(before_, {within})"
+    return f"(SELECT * EXCEPT (day_, before_), {value} AS {name} FROM {rows} r_ JOIN ({before}) b_ ON day_ = exit_datetime)"
+
+
+def _equity(d: Dialect) -> str:
     """Trades by exit with running equity (sum of account returns of 1 % of a trade's) and its peak."""
-    base = f"SELECT id, exit_datetime, trade_return_pct AS ret, direction, regime, round(100 + sum(trade_return_pct / 100) OVER (ORDER BY exit_datetime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS equity FROM {ledger()} t"
-    return f"(SELECT *, greatest(100, max(equity) OVER (ORDER BY exit_datetime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM ({base}) q)"
+    rows = f"(SELECT id, exit_datetime, trade_return_pct AS ret, direction, regime FROM {ledger()} t)"
+    base = f"(SELECT * EXCEPT (gain), round(100 + gain, 6) AS equity FROM {running(d, rows, 'ret / 100', 'gain')} g)"
+    base = base if d.name == "spark" else base.replace("* EXCEPT (gain)", "* EXCLUDE (gain)")
+    top = running(d, base, "equity", "top", "max")
+    return f"(SELECT id, exit_datetime, ret, direction, regime, equity, greatest(100, top) AS peak FROM {top} q)"
 
 
 @series
@@ -457,7 +438,7 @@ def ledger_essential_stats(d):
     return (
         f"SELECT count(*) AS trades, {r6('avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {r6('avg(ret)')} AS mean_return, {r6('min((equity - peak) / peak)')} AS max_drawdown, "
         f"{r6('avg(ret / 100) / stddev_samp(ret / 100) * sqrt(365.0)')} AS sharpe, {r6('sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / nullif(sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END), 0)')} AS profit_factor, "
-        f"{r6('avg(ret) * sqrt(365.0) / nullif(sqrt(avg(CASE WHEN ret < 0 THEN ret * ret END)), 0)')} AS sortino FROM {_equity()} e"
+        f"{r6('avg(ret) * sqrt(365.0) / nullif(sqrt(avg(CASE WHEN ret < 0 THEN ret * ret END)), 0)')} AS sortino FROM {_equity(d)} e"
     )
 
 
@@ -481,14 +462,14 @@ def ledger_streaks(d):
 @series
 def ledger_drawdowns(d):
     """Drawdown periods: from one equity peak to the next."""
-    marked = f"SELECT *, sum(CASE WHEN equity >= peak THEN 1 ELSE 0 END) OVER (ORDER BY exit_datetime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS period FROM {_equity()} e"
-    return f"SELECT CAST(period AS BIGINT) AS period, count(*) AS trades, {r6('min((equity - peak) / peak)')} AS depth FROM ({marked}) m WHERE equity < peak GROUP BY period"
+    marked = running(d, _equity(d), "CASE WHEN equity >= peak THEN 1 ELSE 0 END", "period")
+    return f"SELECT CAST(period AS BIGINT) AS period, count(*) AS trades, {r6('min((equity - peak) / peak)')} AS depth FROM {marked} m WHERE equity < peak GROUP BY period"
 
 
 @series
 def ledger_monthly(d):
     month = "year(exit_datetime) * 100 + month(exit_datetime)"
-    last = f"SELECT {month} AS month, {d.last_by('equity', 'struct_(exit_datetime, id)')} AS balance FROM {_equity()} e GROUP BY {month}".replace("struct_(", "struct(" if d.name == "spark" else "row(")
+    last = f"SELECT {month} AS month, {d.last_by('equity', 'struct_(exit_datetime, id)')} AS balance FROM {_equity(d)} e GROUP BY {month}".replace("struct_(", "struct(" if d.name == "spark" else "row(")
     return f"SELECT month, {r6('balance')} AS balance, {r6('balance / lag(balance) OVER (ORDER BY month) - 1')} AS change FROM ({last}) q"
 
 
@@ -537,7 +518,7 @@ def ledger_daily_returns(d):
 
 @series
 def ledger_underwater(d):
-    return f"SELECT id, exit_datetime, {r6('(equity - peak) / peak')} AS drawdown FROM {_equity()} e"
+    return f"SELECT id, exit_datetime, {r6('(equity - peak) / peak')} AS drawdown FROM {_equity(d)} e"
 
 
 @series
@@ -548,8 +529,7 @@ def ledger_exposure(d):
 @series
 def ledger_recent_performance(d):
     last = f"SELECT *, row_number() OVER (ORDER BY exit_datetime DESC) AS k FROM (SELECT exit_datetime, sum(ln(1 + trade_return_pct / 10000)) AS g FROM {ledger()} t GROUP BY exit_datetime) q"
-    parts = " UNION ALL ".join(f"SELECT {n} AS days, {r6('exp(sum(g)) - 1')} AS total FROM ({last}) z WHERE k <= {n}" for n in (1, 7, 15, 30, 45, 60, 90))
-    return f"SELECT days, total FROM ({parts}) u"
+    return f"SELECT days, {r6('exp(sum(g)) - 1')} AS total FROM (SELECT * FROM ({last}) z WHERE k <= 90) y JOIN (VALUES (1), (7), (15), (30), (45), (60), (90)) AS n(days) ON y.k <= n.days GROUP BY days"
 
 
 @series
@@ -648,8 +628,16 @@ def regime_duration(d):
 
 @series
 def regime_fitness(d):
-    x = "trade_return_pct"
-    return f"SELECT regime, {r6(f'4e-1 * greatest(-1e0, least(1e0, avg({x}) / 10)) + 4e-1 * (2 * avg(CASE WHEN {x} > 0 THEN 1e0 ELSE 0e0 END) - 1) + 2e-1 * greatest(-1e0, least(1e0, min({x}) / 100))')} AS fitness FROM {_tagged()} g GROUP BY regime"
+    """Weighted win rate, capped profit factor, capped mean return and trade count of a regime, times a drawdown penalty."""
+    run = "PARTITION BY regime ORDER BY exit_datetime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    wealth = f"SELECT regime, exit_datetime, id, trade_return_pct AS x, exp(sum(ln(greatest(1 + trade_return_pct / 100, 1e-10))) OVER ({run})) AS w FROM {_tagged()} g"
+    falls = f"SELECT regime, x, w / greatest(1e0, max(w) OVER ({run})) - 1 AS fall FROM ({wealth}) e"
+    gain, loss = "sum(CASE WHEN x > 0 THEN x ELSE 0 END)", "sum(CASE WHEN x < 0 THEN -x ELSE 0 END)"
+    if d.name == "duckdb":
+        stats = f"SELECT regime, count(*) AS n, 100e0 * count(*) FILTER (x > 0) / count(*) AS win, CASE WHEN {loss} > 0 THEN {gain} / {loss} ELSE 0 END AS pf, avg(x) AS mean, min(fall) * 100 AS dd FROM ({falls}) f GROUP BY regime"
+        return f"SELECT regime, round((least(greatest(win / 100, 0), 1) * 0.25e0 + least(greatest(pf, 0), 3) / 3 * 0.30e0 + least(greatest(mean, 0), 5) / 5 * 0.25e0 + least(n / 30.0, 1) * 0.20e0) * (1 - least(abs(dd) / 100, 1)), 4) AS fitness, n >= 30 AS reliable FROM ({stats}) s"
+    score = f"25e-2 * avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END) + 3e-1 * least(coalesce({gain} / nullif({loss}, 0), 0), 3) / 3 + 25e-2 * least(greatest(avg(x), 0), 5) / 5 + 2e-1 * least(count(*) / 3e1, 1)"
+    return f"SELECT regime, round(({score}) * (1 - least(-min(fall), 1)), 4) AS fitness, count(*) >= 30 AS reliable FROM ({falls}) f GROUP BY regime"
 
 
 @series
@@ -711,7 +699,11 @@ def rank_ic(d):
 
 @series
 def ic_decay_profile(d):
-    parts = " UNION ALL ".join(f"SELECT symbol, {k} AS horizon, {r6('corr(f, y)')} AS ic FROM (SELECT symbol, c / {d.lag('c', 5)} - 1 AS f, {d.lead('c', k)} / c - 1 AS y FROM {bars(d)} b) a WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol" for k in (1, 3, 5, 10, 20))
+    horizons = (1, 3, 5, 10, 20)
+    moves = f"SELECT symbol, c / {d.lag('c', 5)} - 1 AS f, " + ", ".join(f"{d.lead('c', k)} / c - 1 AS y{k}" for k in horizons) + f" FROM {bars(d)} b"
+    if d.name == "spark":  # one pass over the bars
+        return f"SELECT symbol, horizon, {r6('corr(f, y)')} AS ic FROM ({moves}) a LATERAL VIEW stack({len(horizons)}, {', '.join(f'{k}, y{k}' for k in horizons)}) u AS horizon, y WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol, horizon"
+    parts = " UNION ALL ".join(f"SELECT symbol, {k} AS horizon, {r6(f'corr(f, y{k})')} AS ic FROM ({moves}) a WHERE f IS NOT NULL AND y{k} IS NOT NULL GROUP BY symbol" for k in horizons)
     return f"SELECT symbol, horizon, ic FROM ({parts}) u"
 
 
@@ -725,7 +717,8 @@ def last_trade_topk(d):
 
 @series
 def open_trades(d):
-    return "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_orderkey IS NOT NULL)"
+    """Trades whose status is open: a filter that reaches the scan."""
+    return "SELECT o_orderkey AS id, o_orderdate AS entry_datetime, o_totalprice AS size FROM {orders} WHERE o_orderstatus = 'O'"
 
 
 @series
@@ -734,24 +727,36 @@ def series_extent(d):
 
 
 def _two_versions() -> str:
-    return f"(SELECT id, direction, trade_return_pct AS ret, 1 AS version, CASE WHEN id % 3 = 0 THEN 'Open' ELSE 'Closed' END AS status FROM {ledger()} a WHERE id % 2 = 0 UNION ALL SELECT id, direction, trade_return_pct + 1 AS ret, 2 AS version, 'Closed' AS status FROM {ledger()} b WHERE id % 5 = 0)"
+    """All trades as stored, two thirds of them closed, and all of them again as they come in later, beside a new one for each."""
+    return (
+        f"(SELECT id, direction, trade_return_pct AS ret, 1 AS version, CASE WHEN id % 3 = 0 THEN 'Open' ELSE 'Closed' END AS status FROM {ledger()} a "
+        f"UNION ALL SELECT id, direction, trade_return_pct + 1 AS ret, 2 AS version, 'Closed' AS status FROM {ledger()} b "
+        f"UNION ALL SELECT -1 - id AS id, direction, trade_return_pct AS ret, 2 AS version, 'Open' AS status FROM {ledger()} c)"
+    )
 
 
 @series
 def upsert_latest_wins(d):
-    return f"SELECT id, ret, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS k FROM {_two_versions()} u) q WHERE k = 1"
+    if d.name == "duckdb":
+        return f"WITH u AS MATERIALIZED (SELECT * FROM {_two_versions()}) SELECT id, ret, version FROM u WHERE version = 2 UNION ALL SELECT id, ret, version FROM u WHERE version = 1 AND id NOT IN (SELECT id FROM u WHERE version = 2)"
+    return f"SELECT id, max_by(ret, version) AS ret, max(version) AS version FROM {_two_versions()} u GROUP BY id"
 
 
 @series
 def upsert_open_only(d):
     """Stored rows are replaced only while they are open."""
-    inner = f"SELECT *, max(CASE WHEN version = 1 THEN status END) OVER (PARTITION BY id) AS stored FROM {_two_versions()} u"
-    return f"SELECT id, ret, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN stored = 'Closed' THEN version ELSE -version END) AS k FROM ({inner}) i) q WHERE k = 1"
+    if d.name == "duckdb":
+        return f"WITH u AS MATERIALIZED (SELECT * FROM {_two_versions()}), old AS (SELECT * FROM u WHERE version = 1), new AS (SELECT * FROM u WHERE version = 2) SELECT n.id, CASE WHEN o.status = 'Closed' THEN o.ret ELSE n.ret END AS ret, CASE WHEN o.status = 'Closed' THEN 1 ELSE 2 END AS version FROM new n LEFT JOIN old o ON o.id = n.id"
+    closed = "max(CASE WHEN version = 1 AND status = 'Closed' THEN 1 ELSE 0 END) = 1"
+    return f"SELECT id, CASE WHEN {closed} THEN min_by(ret, version) ELSE max_by(ret, version) END AS ret, CASE WHEN {closed} THEN min(version) ELSE max(version) END AS version FROM {_two_versions()} u GROUP BY id"
 
 
 @series
 def insert_ignore(d):
-    return f"SELECT id, ret, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version) AS k FROM {_two_versions()} u) q WHERE k = 1"
+    """First write wins."""
+    if d.name == "duckdb":
+        return f"WITH u AS MATERIALIZED (SELECT * FROM {_two_versions()}) SELECT id, ret, version FROM u WHERE version = 1 UNION ALL SELECT id, ret, version FROM u n WHERE version = 2 AND NOT EXISTS (SELECT 1 FROM u o WHERE o.version = 1 AND o.id = n.id)"
+    return f"SELECT id, min_by(ret, version) AS ret, min(version) AS version FROM {_two_versions()} u GROUP BY id"
 
 
 @series
