@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import Dialect, Duck, Spark
-from tidewright.operators import info_bars, montecarlo, recursive, regimes, swings, window_stats
+from tidewright.operators import backtest, info_bars, montecarlo, recursive, regimes, swings, window_stats
 
 from . import portfolio, research  # noqa: F401  they register their queries
-from .series import SERIES, bars, ledger, ticks
+from .series import SERIES, _signals, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"
 _TABLE = re.compile(r"\{(\w+)\}")
@@ -83,3 +83,53 @@ ORACLES["ema_recursive"] = _TABLE.sub(
 e(symbol, ts, k, ema) AS (SELECT symbol, ts, k, c FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.ts, b.k, e.ema + 2e0 / 13 * (b.c - e.ema) FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1)
 SELECT symbol, ts, round(ema, 6) AS ema FROM e""",
 )
+
+
+# ---- backtests: the twin carries the account from bar to bar in a recursive query --------------------------------------------
+
+_RULES = {"fixed": backtest.Rules(), "trailing": backtest.Rules(target=0.5, stop=0.2, trail=0.1, activation=0.05)}
+
+
+def _signal_bars(d: Dialect) -> str:
+    return f"SELECT b.symbol, b.ts, b.o, b.h, b.l, s.signal FROM {bars(d)} b JOIN (SELECT symbol, ts, {d.lag('trend_signals')} AS signal FROM {_signals(d)} g) s ON s.symbol = b.symbol AND s.ts = b.ts"
+
+
+def _backtest(r: backtest.Rules):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        run = backtest.backtest(run_sql(spark, _signal_bars(Spark()), sf_dir), r)
+        return run.selectExpr("symbol", "ts", "closed", "round(pnl, 6) + 0D AS pnl", "reason", "position", "round(entry, 6) AS entry", "round(balance, 6) AS balance")
+
+    return query
+
+
+def _account_sql(r: backtest.Rules) -> str:
+    cost, begin = r.fee + r.slippage, "symbol, ts, k, o, h, l, signal"
+    rows = f"rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM ({_signal_bars(Duck())}) q)"
+    # One bar: wish, close on a change, open, touch.
+    step = f"""SELECT symbol, ts, k, o, h, l, wish, bal, alive, alive AND side <> 0 AND side <> wish AS flip, side, entry, lvl, act FROM (
+      SELECT r.symbol, r.ts, r.k, r.o, r.h, r.l, a.side, a.entry, a.lvl, a.act, a.bal, a.bal >= {r.broken * r.balance} AS alive, CASE WHEN a.bal >= {r.broken * r.balance} AND coalesce(r.signal, 0) <> 0 THEN CAST(r.signal AS INT) ELSE a.wish END AS wish FROM acc a JOIN rows r ON r.symbol = a.symbol AND r.k = a.k + 1)"""
+    opened = f"""SELECT *, CASE WHEN flip THEN side * (o - entry) / entry * 100 * {r.leverage} - {cost} ELSE 0e0 END AS pnl1, CASE WHEN alive AND (side = 0 OR flip) THEN wish ELSE side END AS s1, alive AND (side = 0 OR flip) AND wish <> 0 AS fresh FROM ({step})"""
+    entered = f"SELECT *, CASE WHEN fresh THEN o ELSE entry END AS e1, CASE WHEN fresh THEN o * (1 - wish * {r.stop}) ELSE lvl END AS l1, CASE WHEN fresh THEN {r.activation <= 0} ELSE act END AS a1 FROM ({opened})"
+    if r.trail is None:
+        low = f"(s1 > 0 AND l <= e1 * (1 - s1 * {r.stop})) OR (s1 < 0 AND l <= e1 * (1 + s1 * {r.target}))"
+        high = f"(s1 > 0 AND h >= e1 * (1 + s1 * {r.target})) OR (s1 < 0 AND h >= e1 * (1 - s1 * {r.stop}))"
+        reason = f"CASE WHEN NOT alive OR s1 = 0 THEN NULL WHEN {low} THEN CASE WHEN s1 > 0 THEN 'stop' ELSE 'target' END WHEN {high} THEN CASE WHEN s1 > 0 THEN 'target' ELSE 'stop' END END"
+        paid, level, active = f"CASE why WHEN 'target' THEN {r.target * 100} ELSE -{r.stop * 100} END", "l1", "a1"
+    else:
+        best, worst = "(CASE WHEN s1 > 0 THEN h ELSE l END)", "(CASE WHEN s1 > 0 THEN l ELSE h END)"
+        reason = f"CASE WHEN NOT alive OR s1 = 0 THEN NULL WHEN s1 * ({worst} - l1) <= 0 THEN 'trailing' WHEN s1 * ({best} - e1 * (1 + s1 * {r.target})) >= 0 THEN 'target' END"
+        paid = f"s1 * ((CASE why WHEN 'target' THEN e1 * (1 + s1 * {r.target}) ELSE l1 END) - e1) / e1 * 100"
+        active = f"(a1 OR s1 * ({best} - e1 * (1 + s1 * {r.activation})) >= 0)"
+        level = f"CASE WHEN NOT {active} THEN l1 WHEN s1 > 0 THEN greatest(l1, h * {1 - r.trail}) ELSE least(l1, l * {1 + r.trail}) END"
+    touched = f"SELECT *, {reason} AS why FROM ({entered})"
+    paid_ = f"SELECT *, CASE WHEN why IS NULL THEN 0e0 ELSE ({paid}) * {r.leverage} - {cost} END AS pnl2 FROM ({touched})"
+    state = f"""SELECT symbol, ts, k, wish, CASE WHEN why IS NULL THEN s1 ELSE 0 END AS side, e1 AS entry, CASE WHEN why IS NULL AND s1 <> 0 AND alive THEN {level} ELSE l1 END AS lvl, CASE WHEN why IS NULL AND s1 <> 0 AND alive THEN {active} ELSE a1 END AS act,
+      bal + {r.size} * pnl1 / 100 + {r.size} * pnl2 / 100 AS bal, CAST(flip AS INT) + CASE WHEN why IS NULL THEN 0 ELSE 1 END AS closed, pnl1 + pnl2 AS pnl, coalesce(why, CASE WHEN flip THEN 'direction change' END) AS reason FROM ({paid_})"""
+    first = f"SELECT symbol, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS k, 0 AS wish, 0 AS side, 0e0 AS entry, 0e0 AS lvl, false AS act, {r.balance}::DOUBLE AS bal, 0 AS closed, 0e0 AS pnl, CAST(NULL AS VARCHAR) AS reason FROM rows WHERE k = 1"
+    del begin
+    return f"WITH RECURSIVE {rows}, acc AS ({first} UNION ALL {state}) SELECT symbol, ts, closed, round(pnl, 6) + 0e0 AS pnl, reason, side AS position, CASE WHEN side <> 0 THEN round(entry, 6) END AS entry, round(bal, 6) AS balance FROM acc WHERE k > 0"
+
+
+for _kind, _r in _RULES.items():
+    QUERIES[f"backtest_{_kind}_stops"] = _backtest(_r)
+    ORACLES[f"backtest_{_kind}_stops"] = _TABLE.sub(r"\1", _account_sql(_r))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.operators.info_bars import BAR, BarParams, InfoBars
+from tidewright.streaming.messages import MESSAGES, forward_filled, parse_messages  # noqa: F401
 
 
 def ohlcv_stream(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -22,31 +23,6 @@ def ohlcv_stream(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 mi
     return bars.select("symbol", F.col("window.start").alias("ts"), "o", "h", "l", "c", "v")
 
 
-#: Fields of exchange messages: kind -> (array that holds the rows or None, row field -> path and type); fixed values.
-MESSAGES: dict[str, tuple[str | None, dict[str, tuple[str, str]]]] = {
-    "trades": (None, {"symbol": ("s", "string"), "trade_id": ("a", "long"), "price": ("p", "double"), "quantity": ("q", "double"), "time_ms": ("T", "long"), "is_buyer_maker": ("m", "boolean")}),
-    "mark_price": (None, {"symbol": ("s", "string"), "mark_price": ("p", "double"), "index_price": ("i", "double"), "funding_rate": ("r", "double"), "time_ms": ("E", "long")}),
-    "kline": (None, {"symbol": ("s", "string"), "time_ms": ("k.t", "long"), "o": ("k.o", "double"), "h": ("k.h", "double"), "l": ("k.l", "double"), "c": ("k.c", "double"), "v": ("k.v", "double"), "closed": ("k.x", "boolean")}),
-    "book_ticker": (None, {"symbol": ("s", "string"), "bid": ("b", "double"), "bid_size": ("B", "double"), "ask": ("a", "double"), "ask_size": ("A", "double"), "time_ms": ("T", "long")}),
-    "liquidations": (None, {"symbol": ("o.s", "string"), "side": ("o.S", "string"), "price": ("o.p", "double"), "quantity": ("o.q", "double"), "time_ms": ("o.T", "long")}),
-    "trade_list": ("data", {"symbol": ("s", "string"), "trade_id": ("i", "string"), "price": ("p", "double"), "quantity": ("v", "double"), "time_ms": ("T", "long"), "side": ("S", "string")}),
-}
-
-
-def parse_messages(raw: DataFrame, kind: str, column: str = "value") -> DataFrame:
-    """Rows of JSON messages of one kind; a message with a list gives a row for each entry, unreadable ones none."""
-    holder, fields = MESSAGES[kind]
-    doc = F.try_parse_json(F.col(column).cast("string"))
-    if holder:
-        item = T.ArrayType(T.VariantType())
-        raw = raw.select(F.explode(F.try_variant_get(doc, f"$.{holder}", item.simpleString())).alias("_doc"))
-    else:
-        raw = raw.select(doc.alias("_doc"))
-    get: Callable[[str, str], Column] = lambda path, t: F.try_variant_get("_doc", f"$.{path}", t)
-    out = raw.select(*[get(path, t).alias(name) for name, (path, t) in fields.items()])
-    return out.filter(F.col("symbol").isNotNull())
-
-
 def info_bars_stream(ticks: DataFrame, kind: str, params: BarParams) -> DataFrame:
     """Information bars of a tick stream (``symbol, ts, trade_id, price, quantity, is_buyer_maker``), append mode.
 
@@ -86,3 +62,19 @@ def append_new(bars: DataFrame, path: str, checkpoint: str, keys: tuple = ("symb
         batch.dropDuplicates(list(keys)).join(stored, list(keys), "left_anti").write.mode("append").parquet(path)
 
     return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_streams(streams: dict[str, DataFrame], root: str, keys: tuple = ("symbol", "ts")) -> dict:
+    """Start one query per named stream of rows, each into its own table under ``root``; the running queries by name."""
+    return {name: append_new(rows, f"{root}/{name}", f"{root}/_checkpoints/{name}", keys) for name, rows in streams.items()}
+
+
+def stop_streams(queries: dict, timeout: int = 60) -> None:
+    """Let every query finish what it has (or stop it after ``timeout`` seconds); the first failure is raised when all have stopped."""
+    for q in queries.values():
+        q.processAllAvailable() if q.isActive else None
+        q.stop()
+        q.awaitTermination(timeout)
+    for q in queries.values():
+        if (error := q.exception()) is not None:
+            raise error
