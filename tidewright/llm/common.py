@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,53 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session has a value of its own: rows are texts of any
+#: length, so a limit on their number alone bounds no memory.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+#: Shuffle files of a query go when it ends, not when the driver happens to collect garbage.
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the bytes of Arrow batches in this session, where it has no limit of its own."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+
+
+def lean(run: Callable) -> Callable:
+    """A batch function that gives its memory back when its rows are through: Python workers are reused, what one task leaves
+    behind would add to the next one's.
+    """
+
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or the folder set by ``setCheckpointDir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made and
-    set as the checkpoint folder of this context.
+    Only in local mode, where all are one machine, a missing setting is made up for by a temporary folder; a cluster without it
+    is an error, as its executors would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -25,6 +68,9 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -38,11 +84,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     The plan is cut there: what follows neither repeats the work above nor depends on
-    executors that held its shuffle files.
+    executors that held its shuffle files, which go when the table is written.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path = new_path(spark, name)
+    with settings(spark, _CLEANUP):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables. Only those whose every reader has been written itself: a lost executor must not need them again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Spark's own runtime Bloom filters, from small tables on: at most 8 MB of bits however many keys.

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def local_labels(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -40,9 +40,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "x").filter("y > x").select(F.col("y").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
-        e = staged(small.distinct(), "components")
+        before, e = e, staged(small.distinct(), "components")
+        discard(before)
         now = e.select(mark).first()[0]
         if now == seen:
             break
         seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = staged(both, "components")
+    discard(e)
+    return out

@@ -5,12 +5,17 @@ blocks such that linked documents share one: sets that may be linked differ in a
 shingles, K following from their sizes, so if all shingles are dealt by hash into more than K
 parts, some part of both holds the same shingles. The parts' signatures are the blocking keys;
 they join several shingles each, so that a passage that many documents share ties nothing
-together. Within a block, documents whose sizes allow a link are joined by DivideSkip: of a
-document's inverted lists the longest are set aside, the short ones are merged with the lowered
-threshold, survivors are probed in the long ones by binary search, and those that reach the
-overlap are linked. Only links between different components are looked for and only a spanning
-forest leaves a task. Blocks beyond a tile are joined tile by tile, so that no task holds more
-than two tiles.
+together; sets too small for such parts are keyed by their first shingles in hash order. Documents of one task with a key in common are tied there, and only one of them sends
+the key on, so a key that a third of all documents have arrives once per slice of a task.
+
+Within a block, documents whose sizes allow a link are joined by DivideSkip: of a document's
+inverted lists the longest are set aside, the short ones are merged with the lowered threshold,
+survivors are probed in the long ones by binary search, and those that reach the overlap are
+linked. Only links between different components are looked for and only a spanning forest leaves
+a task. Blocks beyond a tile are dealt by size class into tiles and joined in two rounds. In the
+first each tile meets itself and a few pivots of its own and the next class, which is linear and
+leaves a cluster of near copies as one component. In the second, what is not in its block's
+largest component meets everything that it may still be linked to, tile by tile.
 """
 
 from __future__ import annotations
@@ -26,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, picked, staged, staged_selective
+from .common import bounded_batches, discard, fresh_name, lean, picked, staged, staged_selective
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
-#: Documents, and shingles, in a tile of a block.
-TILE_DOCS, TILE_SHINGLES = 2000, 4_000_000
+#: Documents, and shingles, in a tile of a block (twice that at most, as they are dealt by hash). Pivots of a size class of a block.
+TILE_DOCS, TILE_SHINGLES, PIVOTS = 2000, 1_000_000, 16
+#: Keys of a task that are compared with each other before they are sent on.
+SLICE_KEYS = 1 << 19
 _SALT, _HALF = np.uint64(0xA0761D6478BD642F), np.uint64(32)
 #: Up to so many list entries are merged with a heap, more with a sort.
 HEAP = 2048
@@ -48,25 +55,26 @@ class Parts:
     """
 
     def __init__(self, percent: int) -> None:
-        self.percent, self.low, self.parts = percent, [1], []
+        self.percent, self.low = percent, [1]
+        self.parts: list[tuple[int, int, int] | None] = []
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         return bisect.bisect_right(self.low, n) - 1
 
-    def number(self, c: int) -> tuple[int, int, int]:
+    def number(self, c: int) -> tuple[int, int, int] | None:
         """For a class as that of the smaller set: parts, weak parts that are left out, most shingles of a weak part.
 
         A part of one shingle or none is weak: it may be equal by chance. With w more parts than needed, some equal part is
-        strong unless both sets have more than w weak ones, and those keep theirs. No parts at all where only equal sets link.
+        strong unless both sets have more than w weak ones. None where that takes too many parts, or where only equal sets link.
         """
         while len(self.parts) <= c:
             k = len(self.parts)
             self.of(self.low[k])
             most = self.low[k + 1] - 1
             differ = (100 - self.percent) * (most + most * 100 // self.percent) // (100 + self.percent)
-            found = (differ + 1, 0, -1) if differ else (0, 0, -1)
+            found = None
             for weak in (1, 0) if differ else ():
                 parts = differ + 1
                 for _ in range(40):
@@ -83,7 +91,11 @@ class Parts:
         return self.parts[c]
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Signatures of a set's strong parts, as the smaller and as the larger set of a pair."""
+        """Signatures of a set's strong parts, as the smaller and as the larger set of a pair.
+
+        Where there are no parts, or more weak ones than may be left out, the first shingles in the order of their hashes take
+        their place: of two sets that share enough, some shingle is among the first of both (prefix filter).
+        """
         n = len(shingles)
         if not n:
             return shingles
@@ -91,17 +103,22 @@ class Parts:
         spread = np.sort(mixed(shingles))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed(spread ^ _SALT), out=total[1:])
+        first = spread[: n - -(-n * self.percent // 100) + 1]
         out = []
         for c in (own, own - 1):
-            parts, spare, weak = self.number(c) if c >= 0 else (0, 0, 0)
-            if not parts:
-                continue
-            count = np.bincount(((spread >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int64), minlength=parts)
-            end = np.cumsum(count)
-            keys = mixed(total[end] - total[end - count] + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
-            solid = count > weak
-            out.append(keys[solid] if parts - int(solid.sum()) <= spare else keys)
-        return np.concatenate(out) if out else shingles[:0]
+            scheme = self.number(c) if c >= 0 else None
+            few = True
+            if scheme:
+                parts, spare, weak = scheme
+                count = np.bincount(((spread >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int64), minlength=parts)
+                end = np.cumsum(count)
+                keys = mixed(total[end] - total[end - count] + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
+                solid = count > weak
+                out.append(keys[solid])
+                few = parts - int(solid.sum()) > spare
+            if few and c >= 0:
+                out.append(mixed(first + mixed(np.full(1, (c << 32) + (1 << 31), np.uint64))))
+        return np.concatenate(out)
 
 
 # ---- search within a tile --------------------------------------------------------------------------------------------------
@@ -154,8 +171,11 @@ class _Forest:
                 self.label[self.label == high] = low
 
 
-def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between documents (of the two sides, if ``side`` has two values; else among all)."""
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the links between documents (of the two sides, if ``side`` has two values; else among all).
+
+    Documents of one ``label`` are connected already.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((np.arange(n), size))
@@ -170,6 +190,8 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     vocabulary, begin, end = tokens[first], first, np.append(first[1:], len(tokens))
     size, side = size[order], side[order]
     forest = _Forest(n)
+    if label is not None:
+        forest.label = np.unique(label[order], return_inverse=True)[1]
     for q in range(n - 1):
         mine = int(size[q])
         top = int(np.searchsorted(size, mine * 100 // percent, "right"))  # documents q+1 .. top-1 are small enough
@@ -215,81 +237,163 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary")
+
+
+def combined(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Rows ``key, node, low`` of a slice: of each key its first node; any other node of it is tied to that one, ``low``, under a key of its own."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    first = np.repeat(nodes[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
+    tied = ~new & (first != nodes)
+    pairs = np.unique(np.stack([nodes[tied], first[tied]], axis=1), axis=0)
+    spread = mixed(pairs[:, 0].astype(np.uint64))
+    low = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pairs[:, 1])])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[new], spread]).view(np.int64)), pa.array(np.concatenate([nodes[new], pairs[:, 0]])), low], names=["key", "node", "low"])
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(percent)
+        nodes, keys, size = [], [], 0
 
-        def rows(nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
-            flat = np.concatenate(keys).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], names=["key", "node"])
+        def rows() -> pa.RecordBatch:
+            return combined(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]), np.concatenate(keys))
 
         for batch in batches:
-            nodes, keys, size = [], [], 0
             for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 nodes.append(node)
                 keys.append(parts.keys(s))
                 size += len(keys[-1])
-                if size > 1 << 18:
-                    yield rows(nodes, keys)
+                if size > SLICE_KEYS:
+                    yield rows()
                     nodes, keys, size = [], [], 0
-            if size:
-                yield rows(nodes, keys)
+        if size:
+            yield rows()
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, node long")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "key long, node long, low long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: ties every node to the first of its key; of a key only that one is remembered."""
+    """Rows sorted by key: ties every node to the first of its key; of a key only that one is remembered. Rows with ``low`` are ties already."""
     last_key, last_first = None, 0
     for batch in batches:
         key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        new = np.append(key[0] != last_key, key[1:] != key[:-1])
-        starts = np.flatnonzero(new)
-        first = np.full(len(key), last_first, np.int64)
-        if len(starts):
-            first[starts[0] :] = np.repeat(node[starts], np.diff(np.append(starts, len(key))))
-        last_key, last_first = key[-1], int(first[-1])
-        tied = first != node
-        pairs = np.unique(np.stack([node[tied], first[tied]], axis=1), axis=0)
+        done = np.zeros((0, 2), np.int64)
+        if batch.num_columns > 2:
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            done = np.stack([node[known], batch.column(2).drop_null().to_numpy()], axis=1)
+            key, node = key[~known], node[~known]
+        tied = first = np.zeros(0, bool)
+        if len(key):
+            new = np.append(key[0] != last_key, key[1:] != key[:-1])
+            starts = np.flatnonzero(new)
+            first = np.full(len(key), last_first, np.int64)
+            if len(starts):
+                first[starts[0] :] = np.repeat(node[starts], np.diff(np.append(starts, len(key))))
+            last_key, last_first = key[-1], int(first[-1])
+            tied = first != node
+        pairs = np.unique(np.concatenate([done, np.stack([node[tied], first[tied]], axis=1)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _sets(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
+_UNIT = "struct<low:int,a:int,kind:int,high:int,b:int,side:int>"
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], names=["node", *keep, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], names=["node", "block", "label", "units", "shingles"])
 
-    return docs.mapInArrow(run, "node long, block long, level int, tiles int, above int, below int, shingles binary")
+    return docs.mapInArrow(lean(run), f"node long, block long, label long, units array<{_UNIT}>, shingles binary")
 
 
 def _join_units(percent: int):
     """Rows sorted by unit; joins each unit when its last row has come."""
 
-    def solve(nodes: list[int], sides: list[int], sets: list[bytes]) -> pa.RecordBatch:
-        edges = divide_skip([np.frombuffer(s, np.uint64) for s in sets], np.array(sides), percent)
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        nodes, labels, sides, sets = zip(*rows, strict=True)
+        edges = divide_skip([np.frombuffer(s, np.uint64) for s in sets], np.array(sides), percent, np.array(labels))
         return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in edges], pa.int64()), pa.array([nodes[b] for _, b in edges], pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, sides, sets = None, [], [], []
+        unit, rows = None, []
         for batch in batches:
-            for block, a, b, side, node, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, a, b) != unit:  # a: classes and first tile
-                    if len(nodes) > 1:
-                        yield solve(nodes, sides, sets)
-                    unit, nodes, sides, sets = (block, a, b), [], [], []
-                nodes.append(node)
-                sides.append(side)
-                sets.append(s)
-        if len(nodes) > 1:
-            yield solve(nodes, sides, sets)
+            for *key, side, node, label, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != unit:
+                    if len(rows) > 1:
+                        yield solve(rows)
+                    unit, rows = key, []
+                rows.append((node, label, side, s))
+        if len(rows) > 1:
+            yield solve(rows)
+
+    return lean(run)
+
 
-    return run
+def _unit(low, a, high, b, side, kind: int = 0):
+    return F.struct(low.alias("low"), a.alias("a"), F.lit(kind).alias("kind"), high.alias("high"), b.alias("b"), side.alias("side"))
+
+
+def _each(n, unit):
+    """``unit`` of every number below ``n``; an empty array where ``n`` is null or 0."""
+    some = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), unit)
+    return F.when(n > 0, some).otherwise(F.filter(some, lambda x: F.lit(False)))
+
+
+def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int, parts: int, name: str) -> DataFrame:
+    """Links found in the units of ``members`` (``node, block, label, units``)."""
+    wanted = picked(staged(members.select("node", "block", "label", "units"), f"{name}-units"), "block")
+    sets = _sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").select("node", "text", "block", "label", "units"), width)
+    key = ["block", "low", "a", "kind", "high", "b"]
+    rows = sets.withColumn("unit", F.explode("units")).select("block", "unit.*", "node", "label", "shingles")
+    links = rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_join_units(percent), "u long, v long")
+    return staged_selective(links, name)
+
+
+def _tiles(count, shingles):
+    return F.greatest(F.ceil(count / TILE_DOCS), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+
+
+def _first_round(sized: DataFrame) -> DataFrame:
+    """Units of the first round: every tile, with the pivots of its size class and of the next one."""
+    load = sized.groupBy("block", "level").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
+    below = load.select("block", (F.col("level") + 1).alias("level"), F.col("tiles").alias("below"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivots = sized.filter("large").groupBy("block", "level", salt).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("pivot")).distinct()
+    rows = sized.join(load, ["block", "level"]).join(below, ["block", "level"], "left").join(pivots, "node", "left")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
+    zero = F.lit(0)
+    own = F.array(_unit(F.col("level"), F.col("tile"), zero, zero, zero))
+    everywhere = F.concat(_each(F.col("tiles"), lambda j: _unit(F.col("level"), j, zero, zero, zero)), _each(F.when(F.col("level") > 1, F.col("below")), lambda j: _unit(F.col("level") - 1, j, zero, zero, zero)))
+    return rows.select("node", "block", F.col("node").alias("label"), F.when(F.col("pivot"), everywhere).otherwise(own).alias("units"))
+
+
+def _second_round(sized: DataFrame, parts_of: DataFrame) -> DataFrame:
+    """Units of the second round: of large blocks, the members outside the largest component (kind 0 of tiles: rest; kind 1: that
+    component) with those of their own and the neighbouring size classes.
+    """
+    rows = sized.filter("large").join(parts_of, "node", "left").select("node", "block", "level", "n", F.coalesce("component", "node").alias("label"))
+    rows = staged(rows, "block-labels")
+    most = rows.groupBy("block", "label").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    rows = rows.join(most, "block").withColumn("rest", F.col("label") != F.col("main"))
+    load = rows.groupBy("block", "level").agg(_tiles(F.sum(F.col("rest").cast("int")), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0))).alias("r"), _tiles(F.sum((~F.col("rest")).cast("int")), F.sum(F.when(F.col("rest"), 0).otherwise(F.col("n")))).alias("d"))
+    # Level 0 has no neighbours.
+    near = lambda step: load.filter("level > 0").select("block", (F.col("level") - step).alias("level"), F.col("r").alias(f"r{step}"), F.col("d").alias(f"d{step}"))
+    rows = rows.join(load, ["block", "level"]).join(near(1), ["block", "level"], "left").join(near(-1), ["block", "level"], "left")
+    tile = F.pmod(F.xxhash64("node", F.lit(11)), F.when(F.col("rest"), F.col("r")).otherwise(F.col("d"))).cast("int")
+    rows = rows.withColumn("tile", tile)
+    level, tile, zero, one = F.col("level"), F.col("tile"), F.lit(0), F.lit(1)
+    of_rest = F.concat(
+        _each(F.col("r"), lambda j: _unit(level, F.least(tile, j), level, F.greatest(tile, j), tile)),
+        _each(F.col("r1"), lambda j: _unit(level, tile, level + 1, j, zero)),
+        _each(F.col("r-1"), lambda j: _unit(level - 1, j, level, tile, one)),
+        *(_each(F.col(f"d{step}" if step else "d"), lambda j, step=step: _unit(level, tile, level + step, j, zero, 1)) for step in (-1, 0, 1)),
+    )
+    of_main = F.concat(*(_each(F.col(f"r{step}" if step else "r"), lambda j, step=step: _unit(level + step, j, level, tile, one, 1)) for step in (-1, 0, 1)))
+    return rows.select("node", "block", "label", F.when(F.col("rest"), of_rest).otherwise(of_main).alias("units")).filter(F.size("units") > 0)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -303,40 +407,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     signed = staged(_digests(docs, width), "set-digests")
     classes = staged(signed.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").cast("long").alias("rep")), "set-classes")
     keyed = _keys(docs, width, percent).repartition(parts, "key").sortWithinPartitions("key")
-    near = staged(keyed.mapInArrow(_stars, "u long, v long").distinct(), "near")
+    near = staged(keyed.mapInArrow(lean(_stars), "u long, v long").distinct(), "near")
     rep_of = signed.join(classes, ["n", "digest"]).select(F.col("doc_id").cast("long").alias("node"), "rep").distinct()
-    near = near.join(rep_of.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u").join(rep_of.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v")
-    blocks = staged(connected_components(near.select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "blocks")
-    # A block within one tile is one unit. A larger one is dealt by size class, and classes by hash into tiles; a tile meets those
-    # of its own class and of the next ones, since linked sets differ by less than a class. Decided on counts, before texts move.
+    tied = near.join(rep_of.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u").join(rep_of.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v")
+    blocks = connected_components(tied.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    # A block within one tile is one unit. Decided on counts, before texts move.
     sized = blocks.withColumnRenamed("component", "block").join(classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("least")), "node")
-    # Where rows share an id but not a size, the block is dealt into tiles without classes.
-    plain = F.max((F.col("n") != F.col("least")).cast("int")) == 0
-    full = sized.groupBy("block").agg((plain & ((F.count("*") > TILE_DOCS) | (F.sum("n") > TILE_SHINGLES))).alias("large"))
+    # Where rows share an id but not a size, the block is dealt into tiles without size classes.
+    full = sized.groupBy("block").agg(((F.count("*") > TILE_DOCS) | (F.sum("n") > TILE_SHINGLES)).alias("large"), (F.max((F.col("n") != F.col("least")).cast("int")) == 0).alias("plain"))
     # A class is a little wider than linked sets can differ, so that rounding never puts two classes between them.
-    level = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) + 1).otherwise(F.lit(0)).cast("int")
-    sized = staged(sized.join(full, "block").withColumn("level", level), "block-sizes")
-    load = sized.groupBy("block", "level").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    near_level = lambda step, name: load.select("block", (F.col("level") + step).alias("level"), F.col("tiles").alias(name)).filter("level > 0")
-    members = sized.join(load, ["block", "level"]).join(near_level(-1, "above"), ["block", "level"], "left").join(near_level(1, "below"), ["block", "level"], "left")
-    members = picked(staged(members.select("node", "block", "level", "tiles", F.coalesce("above", F.lit(0)).alias("above"), F.when(F.col("level") > 1, F.coalesce("below", F.lit(0))).otherwise(0).alias("below")), "block-members"), "block")
-    keep = ["block", "level", "tiles", "above", "below"]
-    sets = _sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("node", "text", *keep), width, keep)
-    dealt = sets.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    upto = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda j: j)
-    unit = lambda low, high, a, b, side: F.struct(low.alias("low"), high.alias("high"), a.alias("a"), b.alias("b"), side.alias("side"))
-    own = F.transform(upto(F.col("tiles")), lambda j: unit(F.col("level"), F.col("level"), F.least("tile", j), F.greatest("tile", j), F.col("tile")))
-    up = F.when(F.col("above") > 0, F.transform(upto(F.col("above")), lambda j: unit(F.col("level"), F.col("level") + 1, F.col("tile"), j, F.lit(-1)))).otherwise(F.filter(own, lambda x: F.lit(False)))
-    down = F.when(F.col("below") > 0, F.transform(upto(F.col("below")), lambda j: unit(F.col("level") - 1, F.col("level"), j, F.col("tile"), F.lit(-2)))).otherwise(F.filter(own, lambda x: F.lit(False)))
-    units = dealt.withColumn("unit", F.explode(F.concat(own, up, down)))
-    units = units.select("block", F.struct("unit.low", "unit.high", "unit.a").alias("a"), F.col("unit.b").alias("b"), F.col("unit.side").alias("side"), "node", "shingles")
-    links = units.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(_join_units(percent), "u long, v long")
-    links = staged_selective(links, "links")
+    level = F.when(F.col("large") & F.col("plain"), F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) + 1).otherwise(F.lit(0)).cast("int")
+    sized = staged(sized.join(full, "block").select("node", "block", "n", "large", level.alias("level")), "block-sizes")
+    discard(near, blocks)
+    links = _linked(docs, _first_round(sized), width, percent, parts, "links")
     parts_of = connected_components(links)
+    again = _second_round(sized, parts_of)
+    if not again.isEmpty():
+        links = links.unionByName(_linked(docs, again, width, percent, parts, "more-links"))
+        parts_of = connected_components(links)
     named = classes.join(parts_of, classes["rep"] == parts_of["node"], "left").select(F.col("n").alias("_n"), F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
     joined = signed.join(named, (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
