@@ -5,11 +5,13 @@ deleted or replaced. Distinct lines come first, each with its earliest place. Tw
 apart share a variant: one of them with a word left out is the other, or both are the same with
 the word at one place left out. Variants are hashed keys with that place; of each key and place
 the earliest line is tied to the others, of each key the whole line to all. Nothing else is
-paired, so a template with thousands of fillings costs no more than its lines. The edit distance
-of what is tied is verified on the word hashes.
+paired, so a template with thousands of fillings costs no more than its lines, and of a slice of
+a task only the earliest line of a key and place is sent on. The edit distance of what is tied
+is verified on the word hashes; a line with an earlier line alike goes.
 
 Only lines that can have a partner emit variants: lines one edit apart agree in their first or in
-their last half, so lines that share no half with another are ruled out exactly.
+their last half, so lines that share no half with another are ruled out exactly. Lines are
+numbered in order of their places, so that a variant is a key, a place and one number.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, picked, staged, staged_selective
-from .jaccard_join import _stars
+from .common import bounded_batches, discard, fresh_name, lean, picked, staged, staged_selective
+from .jaccard_join import SLICE_KEYS, _stars, combined
 from .shingles import _powers, mixed, slices, word_hashes
 
 #: Lines of fewer words go only as exact copies; with one edit allowed, five words are a similarity of 0.8.
@@ -66,15 +68,35 @@ def line_hashes(texts: list[str | None], min_words: int) -> Iterator[tuple[np.nd
 
 
 def _scan(min_words: int):
+    """Place and two hashes of every line with a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, version = batch.column(0), batch.column(1)
-            for owner, number, first, second, long, halves, _ in line_hashes(batch.column(2).to_pylist(), min_words):
+            for owner, number, first, second, *_ in line_hashes(batch.column(2).to_pylist(), min_words):
                 rows = pa.array(owner)
-                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(4 * long)).astype(np.int32)), pa.array(np.stack(halves, axis=1).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([doc.take(rows), version.take(rows), pa.array(number.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), keys], names=["doc", "version", "no", "h1", "h2", "halves"])
+                yield pa.RecordBatch.from_arrays([doc.take(rows), version.take(rows), pa.array(number.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], names=["doc", "version", "no", "h1", "h2"])
+
+    return lean(run)
+
+
+def _halves(min_words: int):
+    """Halves of the lines of ``min_words`` words, as keys, with the first hash of the line; equal ones of a slice are tied there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, size = [], [], 0
+        for batch in batches:
+            for _, _, first, _, long, halves, _ in line_hashes(batch.column(0).to_pylist(), min_words):
+                nodes.append(np.tile(first[long], 4))
+                keys.append(np.concatenate(halves))
+                size += len(keys[-1])
+                if size > SLICE_KEYS:
+                    yield combined(np.concatenate(nodes).view(np.int64), np.concatenate(keys))
+                    nodes, keys, size = [], [], 0
+        if size:
+            yield combined(np.concatenate(nodes).view(np.int64), np.concatenate(keys))
 
-    return run
+    return lean(run)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,63 +122,62 @@ def variant_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.append(total[n] + np.uint64(n), without + np.uint64(n - 1))), np.arange(-1, n)
 
 
+def _group_starts(new: np.ndarray) -> np.ndarray:
+    """Of every row, the first row of its group; -1 where that lies before the first row."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, places, owners, size = [], [], [], 0
+    """Rows ``key, place, line, low``: of each key and place of a slice the earliest line; the others are tied to it, ``low``."""
 
-        def out() -> pa.RecordBatch:
-            flat, rows = np.concatenate(keys), pa.array(np.repeat(np.array(owners), [len(k) for k in keys]))
-            return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), *(batch.column(c).take(rows) for c in (2, 3, 4, 0))], names=["key", "place", "doc", "version", "no", "line"])
+    def out(keys: list, places: list, lines: list) -> pa.RecordBatch:
+        key, place, line = np.concatenate(keys).view(np.int64), np.concatenate(places).astype(np.int32), np.repeat(np.array(lines, np.int64), [len(k) for k in keys])
+        order = np.lexsort((line, place, key))
+        key, place, line = key[order], place[order], line[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))
+        low = line[_group_starts(new)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(line), pa.array(low, mask=new)], names=["key", "place", "line", "low"])
 
-        for row, words in enumerate(batch.column(1).to_pylist()):
+    keys, places, lines, size = [], [], [], 0
+    for batch in batches:
+        for line, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             k, p = variant_keys(np.frombuffer(words, np.uint64))
             keys.append(k)
             places.append(p)
-            owners.append(row)
+            lines.append(line)
             size += len(k)
-            if size > 1 << 18:
-                yield out()
-                keys, places, owners, size = [], [], [], 0
-        if size:
-            yield out()
+            if size > SLICE_KEYS:
+                yield out(keys, places, lines)
+                keys, places, lines, size = [], [], [], 0
+    if size:
+        yield out(keys, places, lines)
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, place and precedence: lines with an earlier line alike, and that line.
+    """Rows sorted by key, place and line: lines, each with an earlier one that shares a variant.
 
-    What is remembered from batch to batch: the whole line of the key, the earliest of its key and place.
+    What is remembered from batch to batch: the whole line of the key (-1: none), the earliest of its key and place.
     """
-    last = None  # key, place, whole line or None, earliest of the place
+    last_key = last_place = last_whole = last_best = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, place, doc, version, no, line = (c.to_numpy() for c in batch.columns)
-        n = len(key)
-        rows = list(zip(doc.tolist(), version.tolist(), no.tolist(), line.tolist(), strict=True))
-        new_key = np.append(last is None or key[0] != last[0], key[1:] != key[:-1])
-        new_place = new_key | np.append(last is None or place[0] != last[1], place[1:] != place[:-1])
-        out: list[tuple] = []
-        busy = np.flatnonzero(~new_place | ~new_key)
-        key_start = np.maximum.accumulate(np.where(new_key, np.arange(n), -1))
-        place_start = np.maximum.accumulate(np.where(new_place, np.arange(n), -1))
-        for i in busy.tolist():
-            k = key_start[i]
-            whole = (rows[k] if place[k] < 0 else None) if k >= 0 else last[2]
-            p = place_start[i]
-            best = rows[p] if p >= 0 else last[3]
-            me = rows[i]
-            if place[i] >= 0 and best[3] != me[3]:
-                out.append((me, best))
-            if whole is not None and place[i] >= 0 and whole[3] != me[3]:
-                out.append((me, whole))
-                if new_place[i]:
-                    out.append((whole, me))
-        k, p = key_start[-1], place_start[-1]
-        last = (key[-1], place[-1], (rows[k] if place[k] < 0 else None) if k >= 0 else last[2], rows[p] if p >= 0 else last[3])
-        out = [(a[3], *b) for a, b in out if b[:3] < a[:3]]
-        if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["line", "doc", "version", "no", "partner"])
+        tied = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        late, early = [batch.column(2).to_numpy()[tied]], [batch.column(3).drop_null().to_numpy()]
+        key, place, line = (batch.column(k).to_numpy()[~tied] for k in range(3))
+        if len(key):
+            new_key = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
+            new_place = new_key | np.append(place[0] != last_place, place[1:] != place[:-1])
+            k, p = _group_starts(new_key), _group_starts(new_place)
+            whole = np.where(k >= 0, np.where(place[k] < 0, line[k], -1), -1 if last_whole is None else last_whole)
+            best = np.where(p >= 0, line[p], -1 if last_best is None else last_best)
+            part = place >= 0
+            for mask, a, b in ((part & (best != line), line, best), (part & (whole >= 0) & (whole < line), line, whole), (part & (whole > line) & new_place, whole, line)):
+                late.append(a[mask])
+                early.append(b[mask])
+            last_key, last_place, last_whole, last_best = key[-1], place[-1], whole[-1], best[-1]
+        pairs = np.unique(np.stack([np.concatenate(late), np.concatenate(early)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["line", "partner"])
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -171,13 +192,15 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines whose partner is at most one edit away."""
     for batch in batches:
-        good = [one_edit(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(good, pa.bool_())).select(["line", "doc", "version", "no"])
+        good = [one_edit(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield batch.filter(pa.array(good, pa.bool_())).select(["line"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """A row's place among all: its id (null ids last), rows that share one by a hash of their text."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)), F.xxhash64(docs["text"])
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -185,32 +208,37 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A line goes when an earlier line anywhere is alike: equal, or one word inserted, deleted or replaced. Earlier means a smaller
     id (null ids last, rows that share an id by a hash of their text), then a smaller line number. Lines of fewer than
-    ``min_words`` words go only when equal, lines without words stay. A repeated row is its own twin, not an earlier one: all its copies are treated alike.
+    ``min_words`` words go only when equal, lines without words stay. A repeated row is its own twin, not an earlier one: all its
+    copies are treated alike. An empty table has no lines to drop. Words, halves and variants are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = _keyed(docs)
-    seen = staged(keyed.mapInArrow(_scan(min_words), "doc long, version int, no int, h1 long, h2 long, halves array<long>"), "lines")
+    doc, version = _place(docs)
+    keyed = docs.select(doc.alias("doc"), version.alias("version"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    seen = staged(keyed.mapInArrow(_scan(min_words), "doc long, version long, no int, h1 long, h2 long"), "lines")
     place = F.struct("doc", "version", "no")
-    lines = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"))
-    lines = staged(lines.select(F.monotonically_increasing_id().alias("line"), "h1", "h2", "first", "halves"), "distinct-lines")
-    halves = lines.select(F.explode("halves").alias("key"), F.col("line").alias("node")).repartition(parts, "key").sortWithinPartitions("key")
-    shared = halves.mapInArrow(_stars, "u long, v long")
-    able = shared.select(F.explode(F.array("u", "v")).alias("line")).distinct()
-    wanted = lines.join(able, "line").select("line", "first.*").groupBy("doc", "version").agg(F.collect_list(F.struct("no", "line")).alias("wanted"))
-    wanted = picked(staged(wanted, "wanted-lines"), "doc")
+    lines = staged(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "distinct-lines")
+    halves = keyed.select("text").mapInArrow(_halves(min_words), "key long, node long, low long").repartition(parts, "key").sortWithinPartitions("key")
+    able = staged(halves.mapInArrow(lean(_stars), "u long, v long").select(F.explode(F.array("u", "v")).alias("h1")).distinct(), "able-lines")
+    # In order of their places: the smaller number is the earlier line.
+    numbered = lines.join(able, "h1").select("h1", "h2", "first").orderBy("first").select(F.monotonically_increasing_id().alias("line"), "h1", "h2", "first.*")
+    numbered = staged(numbered, "numbered-lines")
+    wanted = staged(numbered.groupBy("doc", "version").agg(F.collect_list(F.struct("no", "line")).alias("wanted")), "wanted-lines")
     # One row per document, were it repeated, is enough.
-    words = keyed.join(wanted, ["doc", "version"]).select("text", "wanted").mapInArrow(_words_of, "line long, words binary").dropDuplicates(["line"])
-    words = staged_selective(words.join(lines.select("line", "first"), "line").select("line", "words", "first.doc", "first.version", "first.no"), "line-words")
-    variants = words.mapInArrow(_variants, "key long, place int, doc long, version int, no int, line long")
-    variants = variants.repartition(parts, "key").sortWithinPartitions("key", "place", "doc", "version", "no")
-    tied = variants.mapInArrow(_ties, "line long, doc long, version int, no int, partner long")
-    best = tied.groupBy("line").agg(F.min(F.struct("doc", "version", "no", "partner")).alias("best")).select("line", "best.*")
-    sides = best.join(words.select("line", F.col("words").alias("a")), "line").join(words.select(F.col("line").alias("partner"), F.col("words").alias("b")), "partner")
-    near = staged(sides.select("line", "doc", "version", "no", "a", "b").mapInArrow(_verify, "line long, doc long, version int, no int"), "near-lines")
-    earliest = lines.join(near.select("line", place.alias("near")), "line", "left").select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("earliest"))
-    late = seen.select("doc", "version", "no", "h1", "h2").join(earliest, ["h1", "h2"]).filter(place > F.col("earliest"))
-    return late.groupBy("doc", "version").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
+    words = keyed.join(picked(wanted, "doc"), ["doc", "version"]).select("text", "wanted").mapInArrow(lean(_words_of), "line long, words binary").dropDuplicates(["line"])
+    words = staged_selective(words, "line-words")
+    variants = words.mapInArrow(lean(_variants), "key long, place int, line long, low long").repartition(parts, "key").sortWithinPartitions("key", "place", "line")
+    pairs = staged(variants.mapInArrow(lean(_ties), "line long, partner long").distinct(), "tied-lines")
+    sides = pairs.join(words.select("line", F.col("words").alias("a")), "line").join(words.select(F.col("line").alias("partner"), F.col("words").alias("b")), "partner")
+    near = sides.select("line", "a", "b").mapInArrow(lean(_verify), "line long").distinct()
+    near = staged(near.join(numbered, "line").select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.lit(True).alias("near")), "near-lines")
+    again = lines.join(near, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")), "left").filter("copies > 1 OR near")
+    again = staged(again.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
+    late = seen.join(picked(again, "h1"), ["h1", "h2"]).filter(F.col("near") | (place > F.col("first")))
+    dropped = staged_selective(late.groupBy("doc", "version").agg(F.array_sort(F.collect_set("no")).alias("dropped")), "dropped-lines")
+    discard(seen, lines, able, numbered, wanted, words, pairs, near, again)
+    return dropped
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -219,17 +247,18 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Lines end at line feeds; null and empty texts have one line. An empty table gives an empty result.
     """
     dropped = dropped_lines(docs, min_words)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("version"), (F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1).cast("long").alias("n_lines"))
+    doc, version = _place(docs)
+    rows = docs.select("doc_id", doc.alias("doc"), version.alias("version"), (F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1).cast("long").alias("n_lines"))
     joined = rows.join(dropped, ["doc", "version"], "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines"))
 
 
 def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines of :func:`dropped_lines` taken out of ``text``; all rows and columns stay, texts may become empty."""
-    dropped = dropped_lines(docs, min_words)
-    doc, version, gone = (fresh_name(docs, x) for x in ("line_doc", "line_version", "line_dropped"))
-    dropped = dropped.toDF(doc, version, gone)
-    joined = docs.join(dropped, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)) == dropped[doc]) & (F.hash(docs["text"]) == dropped[version]), "left")
+    names = [fresh_name(docs, x) for x in ("line_doc", "line_version", "line_dropped")]
+    dropped = dropped_lines(docs, min_words).toDF(*names)
+    doc, version = _place(docs)
+    joined = docs.join(dropped, (doc == dropped[names[0]]) & (version == dropped[names[1]]), "left")
     index = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,4 +273,4 @@ def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns[index] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.select(*[docs[c] for c in docs.columns], gone).mapInArrow(run, T.StructType(docs.schema.fields))
+    return joined.select(*[docs[c] for c in docs.columns], names[2]).mapInArrow(lean(run), T.StructType(docs.schema.fields))
