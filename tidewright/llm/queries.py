@@ -124,15 +124,15 @@ OP10_SQL = rf"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 numbered AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS no FROM split),
 lines AS MATERIALIZED (SELECT doc_id, no, doc_id * 1000000 + no AS spot, regexp_extract_all(line, '{WORD}') AS w FROM numbered),
-firsts AS MATERIALIZED (SELECT w, len(w) AS n, array_to_string(w, ' ') AS k, min(spot) AS first FROM lines WHERE len(w) >= 5 GROUP BY w),
-places AS (SELECT *, unnest(range(1, n + 1)) AS p FROM firsts),
+firsts AS MATERIALIZED (SELECT w, len(w) AS n, array_to_string(w, ' ') AS k, min(spot) AS first FROM lines WHERE len(w) > 0 GROUP BY w),
+places AS (SELECT *, unnest(range(1, n + 1)) AS p FROM firsts WHERE n >= 5),
 variants AS MATERIALIZED (SELECT k, n, first, p, md5(array_to_string(list_concat(w[:p - 1], w[p + 1:]), ' ')) AS v FROM places),
 replaced AS (SELECT k, min(first) OVER (PARTITION BY v, p, n) AS e FROM variants),
-inserted AS (SELECT v.k AS k1, f.k AS k2, v.first AS f1, f.first AS f2 FROM variants v JOIN firsts f ON v.v = md5(f.k) AND f.n = v.n - 1),
+inserted AS (SELECT v.k AS k1, f.k AS k2, v.first AS f1, f.first AS f2 FROM variants v JOIN firsts f ON v.v = md5(f.k) AND f.n = v.n - 1 AND f.n >= 5),
 earliest AS (
   SELECT k, min(e) AS e FROM (SELECT k, first AS e FROM firsts UNION ALL SELECT k, e FROM replaced UNION ALL SELECT k1, f2 FROM inserted UNION ALL SELECT k2, f1 FROM inserted) GROUP BY k
 ),
-late AS (SELECT l.doc_id, l.no FROM lines l JOIN earliest e ON e.k = array_to_string(l.w, ' ') WHERE len(l.w) >= 5 AND l.spot > e.e),
+late AS (SELECT l.doc_id, l.no FROM lines l JOIN earliest e ON e.k = array_to_string(l.w, ' ') WHERE l.spot > e.e),
 gone AS (SELECT doc_id, count(*) AS n, string_agg(no::VARCHAR, ',' ORDER BY no) AS nos FROM late GROUP BY doc_id)
 SELECT s.doc_id, len(l) AS n_lines, coalesce(g.n, 0) AS n_dropped, coalesce(g.nos, '') AS dropped_lines FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id
 """
