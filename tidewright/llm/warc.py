@@ -142,8 +142,9 @@ def _warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def _warc_type(url: str) -> str:
-    return "response" if re.match(r"https?:", url, re.I) else "resource"
+def _warc_type(url: str, block: bytes = b"") -> str:
+    """A capture is a response if its block is an HTTP response, whatever its address, or its address is one of HTTP."""
+    return "response" if block.startswith(b"HTTP/") or re.match(r"https?:", url, re.I) else "resource"
 
 
 def _record_id(file: str, n: int, url: str, date: str) -> str:
@@ -198,7 +199,7 @@ def _arc_metadata(files: DataFrame, folder: str) -> DataFrame:
                         url, date = head["URL"], head["Archive-date"]
                         _, payload, fields = _http(block)
                         page = fields.get("x-page-id", "")
-                        row = (file, n, _record_id(file, n, url, date), int(page) if page else None, url, _warc_date(date), _warc_type(url), sha1_base32(payload), hashlib.sha256(payload).hexdigest(), len(payload))
+                        row = (file, n, _record_id(file, n, url, date), int(page) if page else None, url, _warc_date(date), _warc_type(url, block), sha1_base32(payload), hashlib.sha256(payload).hexdigest(), len(payload))
                         for values, v in zip(rows.values(), row, strict=True):
                             values.append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, pa.int64() if t == "long" else pa.string()) for k, t in (x.split() for x in _META.split(", "))]))
@@ -227,9 +228,9 @@ def _warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def convert_arc(files: DataFrame, folder: str, to_folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Convert listed ARC files to WARC files, one each; returns the list of WARC files.
 
-    The version block becomes a warcinfo record. Captures over HTTP become response records, or revisit records (with the HTTP
+    The version block becomes a warcinfo record. HTTP responses and captures of HTTP addresses become response records, or revisit records (with the HTTP
     header kept and the payload left out) if a record with an equal payload of at least ``revisit_bytes`` bytes has a smaller
-    page id; other addresses become resource records. Truncated records are marked as such.
+    page id; other captures become resource records. Truncated records are marked as such.
     """
     count = max(1, files.count())
     meta = staged(_revisits(staged(_arc_metadata(files.repartition(count), folder), "arc-meta"), revisit_bytes), "arc-plan")
