@@ -71,6 +71,60 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = "The long prose of the text goes on and on, with many words in it. " * 6
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Names that only contain a word of furniture, or that stand on wrappers.
+        (f"<body><div class='social-history'><p>{PROSE}</p></div></body>", PROSE.strip()),
+        (f"<body class='has-nav'><div class='content sidebar-right'><article><p>{PROSE}</p><p>short</p></article></div><div class='sidebar-box'>Some side things</div></body>", f"{PROSE.strip()}\nshort"),
+        (f"<body><div class='ad'>Buy now this thing that is good.</div><article><h1>Hi.</h1></article></body>", "Hi."),
+        # No article: density and threshold decide.
+        (f"<body><div id=wrap><h1>Title of it</h1><div class=text><p>{PROSE}</p><p>{PROSE}</p></div></div><div class='x'><a href=1>one</a> <a href=2>two</a></div></body>", f"Title of it\n{PROSE.strip()}\n{PROSE.strip()}"),
+        (f"<body><div class='ad'>Buy now this thing.</div><div id=main-content><h1>Head</h1><p>{PROSE}</p><p>ok</p></div><div class='related'><p>See also</p><a href=3>this</a></div></body>", f"Head\n{PROSE.strip()}\nok"),
+        # An article that is only a card beside the text.
+        (f"<body><article><a href=1>A card</a></article><div><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"{PROSE.strip()}\n{PROSE.strip()}"),
+        # Reader comments: by another name, without a telling name, under a heading.
+        (f"<article><h1>T</h1><p>{PROSE}</p><div class='response-list'><p>Nice text, I like it very much.</p></div></article>", f"T\n{PROSE.strip()}"),
+        (f"<article><h1>T</h1><p>{PROSE}</p><div class='xyz'><div class='r'><span class='author'>Bob</span><p>Nice text, I like it.</p></div><div class='r'><span class='author'>Al</span><p>Me too.</p></div></div></article>", f"T\n{PROSE.strip()}"),
+        (f"<article><h1>T</h1><p>{PROSE}</p><section><h3>3 Comments</h3><p>Nice text, I like it very much.</p><p>other</p></section><p>z</p></article>", f"T\n{PROSE.strip()}\nz"),
+        (f"<body><div id=c><h1>Head</h1><p>{PROSE}</p><h2>Comments</h2><ol><li>I say</li></ol></div></body>", f"Head\n{PROSE.strip()}"),
+    ],
+)
+def test_main_text_evidence(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part, n", [("<b>", 150_000), ("<a ", 300_000), ("<!", 400_000), ("<i><div>", 100_000), ("<li>", 150_000), ("<table><tr><td>", 60_000), ('<a x="', 150_000), ("<h2>Comments</h2>", 50_000), ("<div class=r><i class=by></i>", 30_000)])
+def test_main_text_is_linear(part, n):
+    """Pages of about a megabyte of unclosed or hostile tags."""
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * n + "</i>" * n)
+    assert time.process_time() - began < 20
+
+
+def brute_template(page):
+    """Main text of the pages of the tables, by their template: what stands in their one article, block by block."""
+    import html
+    import re
+
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", re.sub(r"<(script|style)>.*?</\1>|<!--.*?-->", "", page, flags=re.S), re.S)[1]
+    blocks = re.split(r"</?(?:h1|p|ul|ol|li|div|table|tr|td|blockquote|h2|h3|pre)\b[^>]*>", inner)
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks)
+    return "\n".join(t for t in texts if t)
+
+
+def test_main_text_of_every_page(spark):
+    got = queries.op1_html_main_text(spark, SF).toPandas()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id")
+    assert len(got) == len(pages) and (got.n_chars == got.text.str.len()).all()
+    assert [r.page_id for r in got.itertuples() if r.text != brute_template(pages.html[r.page_id])] == []
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "mine"), (1, "u", "<p>x</p>", "mine"), (2, None, None, None)], "page_id long, url string, html string, text2 string")
     out = html_text.extract_main_text(pages)
@@ -275,7 +329,7 @@ def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 16))
     x = np.concatenate([base, base[:4] + 0.15 * rng.normal(size=(4, 16)), base[:3], 2.5 * base[:2]]).astype(np.float32)
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(90, None, 1), (91, [0.0] * 16, 1), (92, [float("nan")] + [1.0] * 15, 1), (93, [], 1), (94, [1.0, None], 1), (95, [1.0, 2.0], 1), (96, [2.0, 4.0], 1)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(90, None, 1), (91, [0.0] * 16, 1), (92, [float("nan")] + [1.0] * 15, 1), (93, [], 1), (94, [1.0, None], 1), (95, [1.0, 2.0], 1), (96, [2.0, 4.0], 1), (97, [-2.0, 4.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     link = unit @ unit.T >= 0.9
@@ -286,10 +340,23 @@ def test_embeddings(spark):
         assert len(got) == len(rows)
         for i in range(len(x)):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum(), label[i], label[i] == i)
-        assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(90, 95)) and got[96].component_id == 95
+        assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(90, 95))
+        assert [(got[i].n_links, got[i].component_id) for i in (95, 96, 97)] == [(1, 95), (1, 95), (0, 97)]
     assert embedding_dedup.embedding_near_dups(frame.limit(0)).count() == 0
 
 
+def test_embeddings_odd(spark):
+    """Repeated and null ids, extra columns whose names clash with the operator's own; a hot group of near copies over many tiles."""
+    rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "y"), (None, [0.0, 1.0], "z"), (2, [0.9, 0.1], None)]
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, vec string")).collect())
+    assert out == [(0, 0, None), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((90, 12)) + 0.02 * rng.normal(size=(90, 12)), rng.normal(size=(30, 12))])
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_dups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), tile=9).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert [got[i].n_links for i in range(120)] == ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 64))
@@ -386,6 +453,13 @@ def test_archives(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_any_address(spark):
+    """Page records are responses or revisits whatever their address; rows that share an id are records of their own."""
+    rows = [(1, "ftp://x/a", "<p>a</p>"), (2, "http://x/b", "<p>a</p>"), (3, "/rel", "<p>a</p>"), (4, None, "<p>b</p>"), (4, "", "<p>b</p>")]
+    out = sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert out == [(1, "response", 0), (2, "revisit", 1), (3, "revisit", 1), (4, "response", 0), (4, "revisit", 4)]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_parsing(version):
     name = "f.arc"
