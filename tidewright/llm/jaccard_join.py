@@ -386,13 +386,15 @@ def _second_round(sized: DataFrame, parts_of: DataFrame) -> DataFrame:
     tile = F.pmod(F.xxhash64("node", F.lit(11)), F.when(F.col("rest"), F.col("r")).otherwise(F.col("d"))).cast("int")
     rows = rows.withColumn("tile", tile)
     level, tile, zero, one = F.col("level"), F.col("tile"), F.lit(0), F.lit(1)
+    main_at = lambda step: lambda j: _unit(level, tile, level + step, j, zero, 1)
+    rest_at = lambda step: lambda j: _unit(level + step, j, level, tile, one, 1)
     of_rest = F.concat(
         _each(F.col("r"), lambda j: _unit(level, F.least(tile, j), level, F.greatest(tile, j), tile)),
         _each(F.col("r1"), lambda j: _unit(level, tile, level + 1, j, zero)),
         _each(F.col("r-1"), lambda j: _unit(level - 1, j, level, tile, one)),
-        *(_each(F.col(f"d{step}" if step else "d"), lambda j, step=step: _unit(level, tile, level + step, j, zero, 1)) for step in (-1, 0, 1)),
+        *(_each(F.col(f"d{step}" if step else "d"), main_at(step)) for step in (-1, 0, 1)),
     )
-    of_main = F.concat(*(_each(F.col(f"r{step}" if step else "r"), lambda j, step=step: _unit(level + step, j, level, tile, one, 1)) for step in (-1, 0, 1)))
+    of_main = F.concat(*(_each(F.col(f"r{step}" if step else "r"), rest_at(step)) for step in (-1, 0, 1)))
     return rows.select("node", "block", "label", F.when(F.col("rest"), of_rest).otherwise(of_main).alias("units")).filter(F.size("units") > 0)
 
 
