@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that come out of a queue together; tuples that a queue keeps in memory.
-BLOCK, MEMORY = 1 << 16, 1 << 23
+BLOCK, MEMORY = 1 << 16, 1 << 18
 #: Of so few symbols each is a block of its own: its suffixes come out in order without sorting.
 FEW = 1024
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, staged, staged_selective
+from .common import bounded_batches, discard, lean, picked, staged, staged_selective
 from .induced_sort import sort_suffixes
 from .shingles import _BYTES, _powers, mixed
 
@@ -121,8 +121,22 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the ``window`` bytes from each of ``a`` and ``b`` on are the same, byte by byte."""
+    views = np.lib.stride_tricks.sliding_window_view(raw, window)
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 12):
+        part = slice(at, at + (1 << 12))
+        out[part] = (views[a[part]] == views[b[part]]).all(axis=1)
+    return out
+
+
 def repeated_windows(pieces: list[tuple[bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """Of each piece (bytes, windows), which windows stand in another place of these pieces too."""
+    """Of each piece (bytes, windows), which windows stand in another place of these pieces too.
+
+    Suffixes that share a window are neighbours in their order. A fingerprint picks the neighbours whose common prefix may be that
+    long, their bytes decide.
+    """
     size = sum(len(t) + 1 for t, _ in pieces) + 1
     text = np.zeros(size, np.int64)
     is_window, at, starts = np.zeros(size, bool), 0, []
@@ -139,6 +153,8 @@ def repeated_windows(pieces: list[tuple[bytes, int]], window: int = WINDOW) -> l
     np.cumsum(mixed(text.astype(np.uint64)) * up[:size], out=total[1:])
     prefix = (total[order + window] - total[order]) * down[order]
     same = prefix[1:] == prefix[:-1]
+    maybe = np.flatnonzero(same)
+    same[maybe] = same_bytes(text.astype(np.uint16), order[maybe], order[maybe + 1], window)
     found = np.zeros(size, bool)
     found[order[:-1][same]] = found[order[1:][same]] = True
     return [found[a : a + n] for a, (_, n) in zip(starts, pieces, strict=True)]
@@ -296,12 +312,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     whole text. Empty tables give empty results; other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     text = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.hash("text").alias("version"), text.alias("text"))
-    pieces = keyed.select("doc", "version", "text").filter(F.length("text") >= window).mapInArrow(_cut(window, anchor), _PIECE)
+    pieces = keyed.select("doc", "version", "text").filter(F.length("text") >= window).mapInArrow(lean(_cut(window, anchor)), _PIECE)
     pieces = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "piece")
-    repeated = staged(pieces.mapInArrow(_repeated, _PIECE + ", copied boolean, leads boolean"), "repeated-pieces")
+    repeated = staged(pieces.mapInArrow(lean(_repeated), _PIECE + ", copied boolean, leads boolean"), "repeated-pieces")
     leads = repeated.filter("leads")
     several = leads.groupBy("anchor").agg(F.count("*").alias("pieces"), F.max("inner").alias("inner"), (F.sum(F.col("windows") + (window - 1)) > SHARD).alias("hot")).filter("pieces > 1 or inner").select("anchor", "hot")
     wanted = leads.join(several, "anchor").groupBy("hot", "doc", "version").agg(F.collect_list(F.struct("anchor", "start", "windows", "copied")).alias("wanted"))
@@ -309,21 +326,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     wanted = picked(every.filter("not hot").drop("hot"), "doc")
     # A repeated row's piece is wanted of one of the rows only; more would do no harm.
     sources = keyed.select("doc", "version", "text").join(wanted, ["doc", "version"])
-    fetched = sources.mapInArrow(_fetch(window), "anchor long, doc long, version int, start int, windows int, copied boolean, bytes binary")
+    fetched = sources.mapInArrow(lean(_fetch(window)), "anchor long, doc long, version int, start int, windows int, copied boolean, bytes binary")
     shards = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    sorted_ = staged_selective(shards.mapInArrow(_sort_shards(window), _DOC + ", lo int, hi int"), "repeated-windows")
-    hot = every.filter("hot").drop("hot")
+    sorted_ = staged_selective(shards.mapInArrow(lean(_sort_shards(window)), _DOC + ", lo int, hi int"), "repeated-windows")
+    hot, found = every.filter("hot").drop("hot"), [sorted_]
     if not hot.isEmpty():
         texts = keyed.select("doc", "version", "text").join(picked(hot, "doc"), ["doc", "version"])
-        places = texts.mapInArrow(_hash_windows(window), "anchor long, doc long, version int, copied boolean, at int, h long")
+        places = texts.mapInArrow(lean(_hash_windows(window)), "anchor long, doc long, version int, copied boolean, at int, h long")
         places = places.repartition(parts, "h", "anchor").sortWithinPartitions("h", "anchor")
-        sorted_ = sorted_.unionByName(staged_selective(places.mapInArrow(_equal_windows, _DOC + ", lo int, hi int"), "equal-windows"))
+        equal = staged_selective(places.mapInArrow(lean(_equal_windows), _DOC + ", lo int, hi int"), "equal-windows")
+        found, sorted_ = [*found, equal], sorted_.unionByName(equal)
     whole = repeated.filter("copied").select("doc", "version", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi"))
     ranges = whole.unionByName(sorted_).groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     ranges = staged(ranges, "ranges")
+    discard(repeated, every, *found)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = keyed.join(picked(ranges, "doc"), ["doc", "version"]).select("doc_id", "text", "ranges").mapInArrow(_strip(window, with_text), schema)
+    cut = keyed.join(picked(ranges, "doc"), ["doc", "version"]).select("doc_id", "text", "ranges").mapInArrow(lean(_strip(window, with_text)), schema)
     cut = staged_selective(cut, "cut-documents")
     # Texts that stay whole need no shuffle, only their digests do.
     whole_text = F.col("text") if with_text else F.lit(None).cast("binary")
