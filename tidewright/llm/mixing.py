@@ -28,7 +28,7 @@ SHARE = 1.5
 MOST = 2
 #: Words in a block. Rows in a chunk of the two-level prefix sums.
 BLOCK_WORDS = 256
-CHUNK_ROWS = 1 << 15
+CHUNK_ROWS = 1 << 13
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -123,7 +123,10 @@ def mix_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, carry: tuple = ()) -> DataFrame:
-    """Words that the mix takes of each document: ``doc_id, size, source_size, target, taken`` and ``carry``.
+    """Words that the mix takes of each document: ``doc_id, size, source_size, target, taken, first_slot`` and ``carry``.
+
+    ``first_slot`` is the schedule's first slot that takes words of the document, null if none does: reading documents in its order
+    is reading the mix.
 
     ``docs`` has ``doc_id, text, source``. A document's size is its number of words; null and
     empty texts have size 0 and are never taken. Null sources are a source of their own, the
@@ -138,23 +141,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     placed = _stream(sized, targets, chunks)
     last = F.greatest(F.col("_off"), F.col("_off") + F.col("size") - 1)
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("_off") / block_words), F.floor(last / block_words))))
-    slots = mix_schedule(targets, block_words).select("src", "block", "lo", "hi")
+    slots = mix_schedule(targets, block_words).select("src", "block", "slot", "lo", "hi")
     taken = F.when(F.col("hi").isNotNull(), F.least(F.col("hi"), F.col("_off") + F.col("size")) - F.greatest(F.col("lo"), F.col("_off")))
     key = ["doc_id", "size", "source_size", "target", *carry, "src", "_chunk", "_row"]
-    out = pieces.join(slots, ["src", "block"], "left").groupBy(*key).agg(F.coalesce(F.sum(F.greatest(taken, F.lit(0))), F.lit(0)).alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", *carry)
+    out = pieces.join(slots, ["src", "block"], "left").groupBy(*key).agg(F.coalesce(F.sum(F.greatest(taken, F.lit(0))), F.lit(0)).alias("taken"), F.min(F.when(taken > 0, F.col("slot"))).alias("first_slot"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot", *carry)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as ``taken`` is of its size, rounded half up.
 
     Whole documents stay whole. Columns are those of ``docs``; rows with a taken share under
-    one half (texts without words among them) go. Ids should be unique; rows that share an id
+    one half (texts without words among them) go. Ids should be unique, null ids are one id; rows that share an id
     are told apart by their size only, and those of equal size are taken alike.
     """
     size, copies, key = fresh_name(docs, "mix_size"), fresh_name(docs, "mix_copies"), fresh_name(docs, "mix_id")
     took = mix_sources(docs, **how).filter("size > 0")
     took = took.groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.min(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).alias(copies))
     took = took.filter(F.col(copies) > 0)
-    rows = docs.join(took, (docs["doc_id"] == took[key]) & (word_count(docs["text"]) == took[size]))
+    rows = docs.join(took, docs["doc_id"].eqNullSafe(took[key]) & (word_count(docs["text"]) == took[size]))
     return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)

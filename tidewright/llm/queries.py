@@ -39,11 +39,28 @@ WITH sized AS (
   SELECT *, least(most, floor(target + 0.5)::BIGINT) AS need FROM targets
 ), placed AS (
   SELECT doc_id, size, source_size, target, need, coalesce(sum(size) OVER (PARTITION BY n.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-  FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source
+  , n.source FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source
+), taken AS (
+  SELECT doc_id, size::BIGINT AS size, source_size, target, off, source, need,
+    (greatest(least(off + size, need) - off, 0) + greatest(least(off + size, need - source_size) - off, 0))::BIGINT AS taken FROM placed
+), plan AS (
+  SELECT *, sum(slots) OVER (ORDER BY src) - slots AS first, sum(slots) OVER () AS total FROM (
+    SELECT n.source, w.src, n.source_size, need % n.source_size AS rest, ceil(n.source_size / 256.0)::BIGINT AS blocks,
+      (need // n.source_size * ceil(n.source_size / 256.0) + ceil(need % n.source_size / 256.0))::BIGINT AS slots
+    FROM needs n JOIN weighted w ON w.source IS NOT DISTINCT FROM n.source WHERE need > 0)
+), points AS (
+  SELECT slot, (slot * 1327217885 % 2147483648)::DOUBLE / 2147483648 * total AS point FROM (SELECT max(total)::BIGINT AS total FROM plan) t, unnest(range(total)) AS u(slot)
+), drawn AS (
+  SELECT p.src, slot, row_number() OVER (PARTITION BY p.src ORDER BY slot) AS rank FROM points q JOIN plan p ON point >= first AND point < first + slots
+), have AS (SELECT src, count(*) AS n FROM drawn GROUP BY src),
+dealt AS (
+  SELECT d.src, slot, rank FROM drawn d JOIN plan p ON p.src = d.src WHERE rank <= slots
+  UNION ALL SELECT src, (total + first + rank)::BIGINT, rank FROM (SELECT p.*, unnest(range(coalesce(h.n, 0) + 1, slots + 1)) AS rank FROM plan p LEFT JOIN have h ON h.src = p.src) z
+), pieces AS (
+  SELECT p.source, d.slot, (rank - 1) % blocks * 256 AS lo, least((rank - 1) % blocks * 256 + 256, source_size, CASE WHEN rank = slots AND rest > 0 THEN rest ELSE source_size END) AS hi FROM dealt d JOIN plan p ON p.src = d.src
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (greatest(least(off + size, need) - off, 0) + greatest(least(off + size, need - source_size) - off, 0))::BIGINT AS taken
-FROM placed
+SELECT t.doc_id, size, source_size, target, taken, min(slot) AS first_slot FROM taken t LEFT JOIN pieces p ON p.source IS NOT DISTINCT FROM t.source AND size > 0 AND p.lo < off + size AND p.hi > off
+GROUP BY t.doc_id, size, source_size, target, taken, off
 """
 
 
