@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import bounded_batches, lean, staged
 
 ORDER = 4
 #: The training sample: documents of each language (those with the smallest hashed ids), and the characters counted of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 2_000_000
+#: Characters counted of all languages together: with many languages, each has its share.
+SAMPLE_TOTAL = 64_000_000
 #: A table of up to so many languages is sent to the executors.
 MANY = 10_000
 #: One in so many sampled documents calibrates score and rejection instead of being counted.
@@ -236,13 +238,17 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, s
     """Fit on a bounded sample of the labelled rows that are not held out; None if there are none.
 
     The sample holds at most ``sample_docs`` documents of each language, those with the smallest hashed ids, whole, until
-    ``sample_chars`` characters are reached. Only their n-gram counts come to the driver.
+    ``sample_chars`` characters are reached, or the language's share of ``SAMPLE_TOTAL``. Only their n-gram counts come to the
+    driver, whose size that bounds. An empty table, or one without labels, has no model.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = staged(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
     # Its size is checked; beyond that, rows are shuffled by language instead.
-    share = F.broadcast(share) if share.limit(MANY + 1).count() <= MANY else share
+    kinds = share.count()
+    sample_chars = min(sample_chars, max(1, SAMPLE_TOTAL // max(kinds, 1)))
+    share = F.broadcast(share) if kinds <= MANY else share
     near = rows.join(share, "lang").select("lang", "text", spread.alias("at"), "rows").filter(F.col("at") * F.col("rows") <= F.lit(2.0 * sample_docs) * (1 << 30))
 
     def run(group: pa.Table) -> pa.Table:
@@ -319,4 +325,4 @@ def predict(docs: DataFrame, model: CharModel | None, names: tuple[str, str, str
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(good, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=[*columns, *names])
 
-    return docs.select(*[docs[c] for c in columns], docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in columns], docs["text"].alias("__text")).mapInArrow(lean(run), schema)

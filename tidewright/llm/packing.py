@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, staged
+from .common import bounded_batches, fresh_name, lean, staged
 
 CAPACITY = 4096
 END_ID = 2
 #: Text that is tokenised at a time, in bytes. Words that a worker remembers.
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 600_000
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 300_000
 CHUNK_ROWS = 1 << 15
 
 
@@ -145,10 +145,11 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACIT
     empty table gives an empty result. Beyond the last sequence, padding is what ``capacity mod j`` leaves in a bin of class j.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     names = ["doc_id", *carry]
     schema = T.StructType([*(docs.schema[n] for n in names), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
     shared = spark.sparkContext.broadcast(tokenizer_json)
-    pieces = staged(docs.select(*names, "text").mapInArrow(_cut(shared, end_id, capacity, names), schema), "pieces")
+    pieces = staged(docs.select(*names, "text").mapInArrow(lean(_cut(shared, end_id, capacity, names)), schema), "pieces")
     chunks = max(1, math.ceil(pieces.count() / CHUNK_ROWS)) * 4
     chunk, rank = fresh_name(pieces, "chunk"), fresh_name(pieces, "rank")
     keyed = pieces.withColumn(chunk, F.pmod(F.xxhash64("doc_id", "start"), F.lit(chunks)))
