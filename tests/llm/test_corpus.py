@@ -193,6 +193,41 @@ def test_repeats_hot_anchor(spark, monkeypatch):
     assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 30)))
 
 
+def test_repeats_spill(docs, corpus, monkeypatch):
+    """Shards whose queues hold more tuples than memory may: their runs go to disk, the result stays."""
+    spilled = []
+    spill = induced_sort.BulkQueue._spill
+    monkeypatch.setattr(induced_sort.BulkQueue, "_spill", lambda self: (spilled.append(self.held), spill(self)))
+    texts = [(t or "").encode() for _, t, *_ in corpus]
+    pieces = [(t, max(0, len(t) - 29)) for t in texts]
+    sort = induced_sort.suffix_order
+    monkeypatch.setattr(suffix_dedup, "sort_suffixes", lambda text, size: _sorted(sort, text, size))
+    flags = suffix_dedup.repeated_windows(pieces, 30)
+    seen = Counter(t[i : i + 30] for t in texts for i in range(len(t) - 29))
+    assert spilled and all(f.tolist() == [seen[t[i : i + 30]] > 1 for i in range(max(0, len(t) - 29))] for f, t in zip(flags, texts, strict=True))
+
+
+def _sorted(sort, text, size):
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        return sort(text, size, folder, memory=2000, block=256)
+
+
+def test_repeats_long_text(spark, monkeypatch):
+    """Texts beyond the bytes hashed at a time, and pieces beyond the longest, lose nothing at the seams."""
+    monkeypatch.setattr(suffix_dedup, "PART", 500)
+    monkeypatch.setattr(suffix_dedup, "LONGEST", 64)
+    rng = random.Random(8)
+    shared = words(rng, 60, 5000)
+    texts = [words(rng, 200, 5000) + shared + words(rng, 90, 5000), words(rng, 10, 5000) + shared, "z" * 900]
+    for t, want in zip(texts, brute_repeats([t.encode() for t in texts], 30), strict=True):
+        parts = [p for part in suffix_dedup.pieces_of(t.encode(), 30, 12) for p in zip(part[2].tolist(), part[3].tolist(), strict=True)]
+        assert sorted(k for a, n in parts for k in range(a, a + n)) == list(range(len(t) - 29)) and want[0] == len(t)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC), 30, 12).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(brute_repeats([t.encode() for t in texts], 30)))
+
+
 def test_repeats_odd(odd):
     out = suffix_dedup.remove_repeats(odd, 10, 4, with_text=True).collect()
     assert len(out) == 5 and sorted(r.n_removed for r in out) == [0, 0, 0, 27, 27]
@@ -237,6 +272,20 @@ def test_mix_odd(odd):
     assert len(out) == 5 and sum(r.size for r in out) == 17
     assert mixing.mix_sources(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
     assert mixing.mixed_documents(odd).columns == odd.columns
+    # Every source stops at twice its words here, or takes its target: rows without an id are taken as any other.
+    took = {(r.doc_id, r.size): r.taken for r in mixing.mix_sources(odd).collect()}
+    kept = Counter((r.doc_id, len((r.text or "").split())) for r in mixing.mixed_documents(odd).collect())
+    assert kept[None, 5] == (2 * took[None, 5] + 5) // 10 > 0
+
+
+def test_mix_hot_source_and_long_text(spark):
+    """A source with most rows and a text longer than many blocks: targets are met, no document exceeds twice its size."""
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randrange(1, 9)), None, "hot" if i % 8 else "b", None) for i in range(400)] + [(1000, words(rng, 9000), None, "c", None), (1001, None, None, None, None)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, DOC)).toPandas().merge(spark.createDataFrame(rows, DOC).select("doc_id", "source").toPandas(), on="doc_id")
+    assert (out.taken <= 2 * out["size"]).all() and out.first_slot.notna().sum() == (out.taken > 0).sum()
+    for _, g in out.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5
 
 
 # ---- 4 ---------------------------------------------------------------------------------------------------------------------
@@ -290,6 +339,34 @@ def test_jaccard_tiles(spark, monkeypatch):
     assert got == brute_components([shingle_set(r[1], 3) for r in rows], 80)
 
 
+def test_jaccard_pivots_and_rest(spark, monkeypatch):
+    """Large blocks of several clusters in neighbouring size classes, tied by shared keys: both rounds find what brute force does."""
+    monkeypatch.setattr(jaccard_join, "TILE_DOCS", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    rng = random.Random(12)
+    base = words(rng, 60, 9000).split()
+    rows = []
+    for i in range(70):
+        w = list(base[: rng.choice([40, 46, 52, 60])])
+        for _ in range(rng.choice([0, 1, 3, 9])):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), None, None, None))
+    frame = spark.createDataFrame(rows, DOC)
+    for width, percent in ((3, 80), (2, 60)):
+        got = [r.component_id for r in jaccard_join.jaccard_components(frame, width, percent).orderBy("doc_id").collect()]
+        assert got == brute_components([shingle_set(r[1], width) for r in rows], percent)
+
+
+def test_jaccard_hot_copies(spark):
+    """A third of the rows are copies, a third near copies: ties within a slice and across slices meet."""
+    rng = random.Random(2)
+    base = words(rng, 120, 9000).split()
+    texts = [" ".join(base)] * 60 + [" ".join([*base[:k], f"z{k}", *base[k + 1 :]]) for k in range(60)] + [words(rng, 50, 9000) for _ in range(60)]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC).repartition(7)
+    got = [r.component_id for r in jaccard_join.jaccard_components(frame).orderBy("doc_id").collect()]
+    assert got == [0] * 120 + list(range(120, 180)) and jaccard_join.first_of_components(frame).count() == 61
+
+
 def test_divide_skip_and_parts():
     rng = np.random.default_rng(3)
     for percent in (50, 80, 90):
@@ -484,6 +561,70 @@ def test_language_held_out_accuracy(spark):
     assert set(out.doc_id) == {i for i in docs.toPandas().doc_id if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def brute_kneser_ney(texts, order=4):
+    """Probability of a character after a context, by the definition, over dictionaries."""
+
+    def letters(t):
+        out = " "
+        for ch in t.lower():
+            ch = ch if ch.isalpha() else " "
+            out += ch if ch != " " or out[-1] != " " else ""
+        return "   " + out
+
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        s = letters(t)
+        counts[order].update(s[i - order + 1 : i + 1] for i in range(order, len(s)))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    discount = [0.0]
+    for k in range(1, order + 1):
+        once, twice = (sum(v == n for v in counts[k].values()) for n in (1, 2))
+        discount.append(min(max(once / max(once + 2 * twice, 1), 0.1), 0.95))
+
+    def p(context, ch, floor):
+        k = len(context) + 1
+        below = p(context[1:], ch, floor) if context else floor
+        same = {g: n for g, n in counts[k].items() if g[:-1] == context}
+        if not same:
+            return below
+        total = sum(same.values())
+        return max(same.get(context + ch, 0) - discount[k], 0) / total + discount[k] * len(same) / total * below
+
+    return letters, p, {g for g in counts[1]}
+
+
+def test_language_models_by_definition():
+    texts = {"x": ["abc abd abe, cab", "bad cab aéb"], "y": ["xyz zyx xxz", "yyz a"]}
+    model = language_id.CharModel({k: language_id.count_grams(v) for k, v in texts.items()})
+    brute = {k: brute_kneser_ney(v) for k, v in texts.items()}
+    floor = 1 / (len(set().union(*(b[2] for b in brute.values()))) + 1)
+    for text in ("abc", "zzz ab", "a", "Bad, cab! xyz", "qqq", "b  c"):
+        h, n = model.cross_entropies([text])
+        for j, lang in enumerate(model.languages):
+            letters, p, _ = brute[lang]
+            s = letters(text)
+            want = -sum(math.log(p(s[i - 3 : i], s[i], floor)) for i in range(4, len(s))) / (len(s) - 4)
+            assert n[0] == len(s) - 4 and math.isclose(h[0, j], want, rel_tol=1e-4), (text, lang)
+
+
+def test_language_ties_long_texts_and_rejection(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    long = " ".join(r.text for r in docs.filter("lang = 'en' and text is not null").limit(20).collect())
+    odd = [(1, long), (2, "zqxj vkw qqpz xkcd wvz qjxz kkzq vwxq zzkq jjqx " * 20), (3, "1234 %% 99"), (4, long[:400])]
+    frame = spark.createDataFrame(odd, "doc_id long, text string")
+    whole = {r.doc_id: r for r in language_id.predict(frame, model).collect()}
+    assert whole[1].lang_pred == whole[4].lang_pred == "en" and whole[1].accepted and not whole[2].accepted and not whole[3].accepted and whole[3].lang_pred == "und"
+    monkeypatch.setattr(language_id, "SLICE", 50)  # texts beyond a slice are still whole
+    cut = {r.doc_id: r for r in language_id.predict(frame, model).collect()}
+    assert all(math.isclose(cut[k].cross_entropy or 0, whole[k].cross_entropy or 0, rel_tol=1e-6) for k in whole)
+    same = language_id.CharModel({k: language_id.count_grams(["abc abc"]) for k in ("a", "b")})
+    assert {r.lang_pred for r in language_id.predict(frame, same).filter("doc_id <> 3").collect()} == {"a"}
+    kept = docs.filter("lang is not null and length(text) > 40").count()
+    assert language_id.predict(docs.filter("lang is not null and length(text) > 40"), model).filter("accepted").count() >= 0.99 * kept
+
+
 def test_language_probabilities_add_up():
     model = language_id.CharModel({"x": language_id.count_grams(["abc abd abe cab", "bad cab"]), "y": language_id.count_grams(["xyz zyx xxz yyz"])})
     for prefix in ("", "a", "ab", "zz", "bad c"):
@@ -557,6 +698,17 @@ def test_short_lines_equal(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {0: texts[0], 1: "\nAll rights\none two four\n ", 2: "All rights Reserved."}
 
 
+def test_lines_hot_keys(spark):
+    """A template with many fillings, one very frequent line, and lines whose first partner in a key is itself late."""
+    rng = random.Random(21)
+    template = words(rng, 8, 5000).split()
+    texts = ["\n".join(" ".join([*template[:4], f"f{rng.randrange(10**6)}", *template[4:]]) for _ in range(3)) + "\nthe same line stands in every text" for _ in range(60)]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC).repartition(5)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame).collect()}
+    assert got == {0: 2, **{i: 4 for i in range(1, 60)}}
+    assert line_dedup.drop_lines(frame.limit(0)).count() == 0
+
+
 def test_one_edit():
     a = np.array([1, 2, 3, 4], np.uint64)
     for b, yes in (([1, 2, 3, 4], 1), ([1, 2, 4], 1), ([2, 3, 4], 1), ([1, 2, 3], 1), ([1, 9, 3, 4], 1), ([1, 2, 3, 4, 5], 1), ([0, 1, 2, 3, 4], 1), ([1, 3, 2, 4], 0), ([1, 2], 0), ([2, 3, 4, 5], 0)):
@@ -574,14 +726,91 @@ def test_word_hashes():
     assert h[1] == h[4] == h[6] and h[0] == h[5] and len({*h.tolist()}) == 4
 
 
+def near_lines(docs):
+    """Numbers of the lines to drop, by comparing every line with every earlier one."""
+    lines = [(i, k, tuple(line.split())) for i, t in docs for k, line in enumerate((t or "").split("\n")) if line.split()]
+    first, gone, by_size = {}, {}, {}
+    for i, k, w in lines:
+        seen = w in first
+        first.setdefault(w, (i, k))
+        if not seen and len(w) >= 5:
+            a = np.array([hash(x) for x in w], np.int64)
+            near = any(line_dedup.one_edit(a, b) for n in (len(w) - 1, len(w), len(w) + 1) if n >= 5 for b in by_size.get(n, ()))
+            by_size.setdefault(len(w), []).append(a)
+            first[w] = None if near else first[w]
+        if first[w] != (i, k):
+            gone.setdefault(i, set()).add(k)
+    return gone
+
+
 def test_pipeline(spark):
+    """Every stage on what the one before it kept, against brute force on the same rows; run() gives the last stage's rows."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SF)
-        assert after.columns == docs.columns, name
-        before = spark.createDataFrame(after.toPandas(), docs.schema)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "mixing", "packing"]
-    assert corpus_pipeline.STAGES[-1][1](spark, before, SF).count() > 0
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lambda df: sorted(((r.doc_id, r.text, r.lang, r.source) for r in df.collect()), key=str)
+
+    def step(name, df):
+        out = stages[name](spark, df, SF)
+        assert out.columns == docs.columns, name
+        return spark.createDataFrame(out.toPandas(), docs.schema)
+
+    known = step("language_id", docs)
+    model = language_id.train(docs)
+    h, n = model.cross_entropies([r.text or "" for r in docs.collect()])
+    best, low = h.argmin(axis=1), h.min(axis=1)
+    good = [bool(k and e <= model.limits[b] * (1 + language_id.SHORT / k)) for b, e, k in zip(best, low, n, strict=True)]
+    assert rows(known) == sorted(((r.doc_id, r.text, r.lang, r.source) for r, g in zip(docs.collect(), good, strict=True) if g), key=str)
+
+    fresh = step("line_dedup", known)
+    gone = near_lines(sorted((r.doc_id, r.text) for r in known.collect()))
+    cut = lambda i, t: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if i in gone else t
+    assert rows(fresh) == sorted(((r.doc_id, cut(r.doc_id, r.text), r.lang, r.source) for r in known.collect()), key=str)
+
+    apart = step("ngram_jaccard", fresh)
+    own = sorted(fresh.collect(), key=lambda r: r.doc_id)
+    label = brute_components([shingle_set(r.text, 5) for r in own], 80)
+    assert rows(apart) == sorted(((r.doc_id, r.text, r.lang, r.source) for k, r in enumerate(own) if label[k] == k), key=str)
+
+    mixed = step("mixing", apart)
+    own, want = apart.collect(), Counter()
+    size = {r.doc_id: len((r.text or "").split()) for r in own}
+    goal = {(r.doc_id): r.target for r in mixing.mix_sources(apart).collect()}
+    for source in {r.source for r in own}:
+        mine = sorted((r for r in own if r.source == source), key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id))
+        whole, at = sum(size[r.doc_id] for r in mine), 0
+        need = min(2 * whole, math.floor(goal[mine[0].doc_id] + 0.5))
+        for r in mine:
+            n = size[r.doc_id]
+            taken = max(min(at + n, need) - at, 0) + max(min(at + n, need - whole) - at, 0)
+            want[r.doc_id] += (2 * taken + n) // (2 * n) if n else 0
+            at += n
+    assert Counter(r.doc_id for r in mixed.collect()) == +want
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(queries.tokenizer_json())
+    packed = stages["packing"](spark, mixed, SF).collect()
+    ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 2] for r in mixed.collect()}
+    copies = Counter(r.doc_id for r in mixed.collect())
+    by_doc = {}
+    for r in packed:
+        by_doc.setdefault(r.doc_id, Counter())[r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+    for i, pieces in by_doc.items():
+        assert set(pieces.values()) == {copies[i]} and sum(length for _, length, _, _ in pieces) == len(ids[i])
+        assert all(crc == zlib.crc32(np.array(ids[i][a : a + n], "<u4").tobytes()) for a, n, crc, _ in pieces)
+    assert set(by_doc) == set(ids)
+    columns = packed[0].__fields__
+    assert corpus_pipeline.run(spark, SF).toPandas()[columns].sort_values(columns).values.tolist() == sorted([list(r) for r in packed])
+
+
+def test_pipeline_odd(spark, odd):
+    """Nulls in every column, empty tables, repeated rows, a column whose name clashes: every stage gives rows of its input's columns."""
+    import corpus_pipeline
+
+    for frame in (odd, odd.limit(0), spark.createDataFrame([(None,) * 5], DOC)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, SF)
+            assert out.columns == frame.columns and out.count() <= 2 * frame.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).filter("start = 0").count() == frame.count()
