@@ -54,16 +54,36 @@ DERIVED: dict[str, Callable[[Dialect], str]] = {
     "atr_proxy": lambda d: d.w("avg", "tr", -13, 0),
     "flip": lambda d: f"CASE WHEN sign(r) <> sign({d.lag('r')}) THEN 1e0 ELSE 0e0 END",
     "day_hi": lambda d: d.w("max", "c", -99, 0),
+    "bucket_r": lambda d: f"CASE WHEN rn > 50 THEN (CASE WHEN {d.w('avg', 'r', -50, -1)} > 0.02 THEN 1 WHEN {d.w('avg', 'r', -50, -1)} < -0.02 THEN -1 ELSE 0 END) END",
+    "fell": lambda d: f"CASE WHEN rn > 100 AND c / ({d.w('max', 'c', -100, -1)} + {EPS}) - 1 < -0.05 THEN rn END",
+    "closes20": lambda d: d.list("c", -20, -1),
+    "low20": lambda d: d.w("min", "c", -20, -1),
+    "high20": lambda d: d.w("max", "c", -20, -1),
 }
 #: Columns made of those of the second step.
 DERIVED2: dict[str, Callable[[Dialect], str]] = {
     "vov": lambda d: f"CASE WHEN rn > 15 THEN {d.w('stddev_pop', 'rv5', -10, -1)} END",
     "slowk": lambda d: f"CASE WHEN rn >= 16 THEN {d.w('avg', 'k14', -2, 0)} END",
     "brk": lambda d: "CASE WHEN rn > 20 AND c > hi20 THEN rn END",
-    "bucket_r": lambda d: f"CASE WHEN rn > 50 THEN (CASE WHEN {d.w('avg', 'r', -50, -1)} > 0.02 THEN 1 WHEN {d.w('avg', 'r', -50, -1)} < -0.02 THEN -1 ELSE 0 END) END",
+    "turned": lambda d: f"CASE WHEN bucket_r <> {d.lag('bucket_r')} THEN rn END",
+    "spread_": lambda d: f"c - ({d.w2('regr_intercept', 'c', 'c5', -100, -1)} + {d.w2('regr_slope', 'c', 'c5', -100, -1)} * c5)",
+    "entropy20": lambda d: f"CASE WHEN rn > 20 THEN {_bin_entropy(d)} END",
+}
+#: Columns made of those of the third step.
+DERIVED3: dict[str, Callable[[Dialect], str]] = {
+    "spread_lag": lambda d: f"CASE WHEN rn > 106 THEN {d.lag('spread_')} END",
+    "spread_move": lambda d: f"CASE WHEN rn > 106 THEN spread_ - {d.lag('spread_')} END",
 }
 
 
+def _bin_entropy(d: Dialect, bins: int = 10) -> str:
+    """Entropy, in nats, of the last twenty closes before the current one in ten bins of their range."""
+    place = "least(floor((q - low20) / (high20 - low20) * 10), 9)"
+    share = lambda b: f"({d.size(d.keep('closes20', 'q', f'{place} = {b}'))} / 20e0)"
+    terms = " + ".join(f"{share(b)} * ln({share(b)} + {EPS})" for b in range(bins))
+    return f"CASE WHEN high20 - low20 > {EPS} THEN -({terms}) ELSE 0e0 END"
+
+
 @dataclass(frozen=True)
 class Feature:
     family: str
@@ -205,6 +225,10 @@ def _statistics() -> None:
     _add(f, "autocorr_decay_rate", 41, lambda d: f"-{d.ln(f'(abs({_acf(d, "r", 40, 2)}) / (abs({_acf(d, "r", 40, 1)}) + {EPS}) + {EPS})')}")
     fit = lambda d, a, y, x: d.w2(a, y, x, -100, -1)
     _add(f, "coint_residual", 105, lambda d: f"c - ({fit(d, 'regr_intercept', 'c', 'c5')} + {fit(d, 'regr_slope', 'c', 'c5')} * c5)")
+    # t value of the spread's moves on its level over twenty values, a bar late.
+    drift = lambda d, a: d.w2(a, "spread_move", "spread_lag", -20, -2)
+    error = lambda d: f"(sqrt(greatest({drift(d, 'regr_syy')} - power({drift(d, 'regr_sxy')}, 2) / nullif({drift(d, 'regr_sxx')}, 0), 0.0) / 17) / (sqrt({drift(d, 'regr_sxx')}) + {EPS}))"
+    _add(f, "coint_t_stat", 126, lambda d: f"{drift(d, 'regr_slope')} / ({error(d)} + {EPS})")
     _add(f, "beta_to_btc", 62, lambda d: d.div(d.w2("covar_samp", "r", "r1", -60, -1), d.w("var_pop", "r1", -60, -1)))
     _add(f, "corr_matrix_eigenval", 62, lambda d: f"1 + abs({d.w2('corr', 'r', 'abs(r)', -60, -1)})")
     se = lambda d: f"sqrt(greatest(({d.w2('regr_syy', 'c', 'pc', -60, -1)} - power({d.w2('regr_sxy', 'c', 'pc', -60, -1)}, 2) / nullif({d.w2('regr_sxx', 'c', 'pc', -60, -1)}, 0)) / 58 / nullif({d.w2('regr_sxx', 'c', 'pc', -60, -1)}, 0), 0.0))"
@@ -228,6 +252,7 @@ def _shape() -> None:
     _add(f, "log_signature_coords", n + 1, lambda d: f"ln(abs({d.w('sum', 'r', -n + 1, -1)}) + {EPS})")
     _add(f, "bollinger_area", n + 1, lambda d: f"{4 * n} * {d.w('stddev_pop', 'c', -n, -1)}")
     _add(f, "consolidation_slope", 81, lambda d: d.w2("regr_slope", "rng20", "rn", -60, -1))
+    _add(f, "entropy_collapse_rate", 80, lambda d: d.w2("regr_slope", "entropy20", "rn", -60, -1))
     _add(f, "universal_multifractal_C1", 101, lambda d: f"0.5 * ({d.ln(d.w('avg', 'abs(r)', -100, -1))} - {d.ln(d.w('avg', '1 / (abs(r) + 1e-8)', -100, -1))})")
     _add(f, "convergent_cross_map", 101, lambda d: _acf(d, "r", 100, 10))
 
@@ -235,6 +260,8 @@ def _shape() -> None:
 def _events() -> None:
     f = "events"
     _add(f, "time_since_high_break", 20, lambda d: f"rn - coalesce({d.last('brk')}, 20)")
+    _add(f, "time_since_regime_change", 51, lambda d: f"rn - 1 - coalesce({d.ignoring('last_value', 'turned')} OVER ({d.over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 50)")
+    _add(f, "time_since_drawdown_5pct", 100, lambda d: f"rn - coalesce({d.last('fell')}, 1)")
     _add(f, "hazard_rate_weibull", 101, lambda d: f"{d.size(d.keep(d.list('abs(r)', -100, -1), 'q', f'q > 2 * {d.w("stddev_pop", "r", -100, -1)}'))} / 100.0")
     _add(f, "hawkes_branching_ratio", 102, lambda d: f"(1 - {d.w('sum', 'flip', -99, -1)} / 99e0) / (1 / (1 + {d.w('sum', 'flip', -99, -1)}) + {EPS})")
     _add(f, "expected_time_to_breakout", 20, lambda d: f"(CASE WHEN {d.div(d.w('max', 'h', -20, -1) + ' - ' + d.w('min', 'l', -20, -1), d.w('avg', 'c', -20, -1))} > 0.01 THEN 1 / ({d.div(d.w('max', 'h', -20, -1) + ' - ' + d.w('min', 'l', -20, -1), d.w('avg', 'c', -20, -1))} + {EPS}) END)")
@@ -290,6 +317,8 @@ def _smart() -> None:
     for n in (10, 20, 50):
         _add(f, f"volume_ratio_{n}", n, lambda d, n=n: d.div("v", d.pct("v", 0.5, -n + 1, 0)))
         _add(f, f"volume_zscore_{n}", n, lambda d, n=n: d.div(f"lv - {d.w('avg', 'lv', -n + 1, 0)}", d.w("stddev_pop", "lv", -n + 1, 0)))
+    ahead = lambda d: f"(c / {d.lag('c', 5)} - 1)"
+    _add(f, "pv_divergence", 10, lambda d: f"(CASE WHEN {ahead(d)} >= 0 THEN 1 ELSE -1 END) * (abs({ahead(d)}) - abs({d.div('v', d.pct('v', 0.5, -9, 0))}))")
     position = f"((c - l) / (h - l + {EPS}))"
     _add(f, "price_position", 0, lambda d: position)
     _add(f, "close_position", 0, lambda d: position)
@@ -334,6 +363,16 @@ def _indicators() -> None:
     _add(f, "bb_upper", 19, lambda d: f"{d.w('avg', 'c', -19, 0)} + 2 * {d.w('stddev_pop', 'c', -19, 0)}")
     _add(f, "bb_lower", 19, lambda d: f"{d.w('avg', 'c', -19, 0)} - 2 * {d.w('stddev_pop', 'c', -19, 0)}")
     _add(f, "midpoint_14", 13, lambda d: f"({d.w('max', 'c', -13, 0)} + {d.w('min', 'c', -13, 0)}) / 2")
+    gap = lambda d: f"({d.w('avg', 'c', -11, 0)} - {d.w('avg', 'c', -25, 0)})"
+    DERIVED["sma_gap"] = lambda d: f"CASE WHEN rn >= 26 THEN {gap(d)} END"
+    _add(f, "macdext", 33, lambda d: "sma_gap")
+    _add(f, "macdext_signal", 33, lambda d: d.w("avg", "sma_gap", -8, 0))
+    _add(f, "macdext_hist", 33, lambda d: f"sma_gap - {d.w('avg', 'sma_gap', -8, 0)}")
+    # A moving average whose length follows the bar's hour: 2 to 30 bars.
+    DERIVED["closes30"] = lambda d: d.list("c", -29, 0)
+    period = lambda d: f"(2 + {d.hour('ts')} % 29)"
+    tail = lambda d: f"slice(closes30, 31 - {period(d)}, {period(d)})" if d.name == "spark" else f"list_slice(closes30, 31 - {period(d)}, 30)"
+    _add(f, "mavp", 29, lambda d: d.mean(tail(d)))
     _add(f, "minus_dm_raw", 1, lambda d: f"CASE WHEN {d.lag('l')} - l > h - {d.lag('h')} AND {d.lag('l')} - l > 0 THEN {d.lag('l')} - l ELSE 0 END")
 
 
@@ -348,15 +387,16 @@ def features_sql(d: Dialect, names: list[str], source: str, digits: int | None =
     if unknown := [n for n in names if n not in FEATURES]:
         raise KeyError(f"unknown features: {unknown}")
     texts = {n: FEATURES[n].sql(d) for n in names}
-    need2 = _needed(DERIVED2, " ".join(texts.values()), d)
-    need1 = _needed(DERIVED, " ".join([*texts.values(), *need2.values()]), d)
+    need3 = _needed(DERIVED3, " ".join(texts.values()), d)
+    need2 = _needed(DERIVED2, " ".join([*texts.values(), *need3.values()]), d)
+    need1 = _needed(DERIVED, " ".join([*texts.values(), *need2.values(), *need3.values()]), d)
     step = lambda cols: "".join(f", {sql} AS {name}" for name, sql in cols.items())
     base = {n: sql(d) for n, sql in COLUMNS.items()}
     rounded = lambda x: f"(round(CAST({x} AS DOUBLE), {digits}) + 0e0)" if digits is not None else x
     out = "".join(f", {rounded(f'CASE WHEN rn > {FEATURES[n].after} THEN {sql} END')} AS {n}" for n, sql in texts.items())
     return (
         f"WITH bars_ AS (SELECT * FROM {source}), base_ AS (SELECT *{step(base)} FROM bars_), more_ AS (SELECT *{step(need1)} FROM base_), "
-        f"most_ AS (SELECT *{step(need2)} FROM more_) SELECT symbol, ts{out} FROM most_"
+        f"most_ AS (SELECT *{step(need2)} FROM more_), all_ AS (SELECT *{step(need3)} FROM most_) SELECT symbol, ts{out} FROM all_"
     )
 
 

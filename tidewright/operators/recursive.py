@@ -141,6 +141,61 @@ class Sar:
         return self.sar
 
 
+class SarExt(Sar):
+    """The stop with its side in the sign: negative while falling."""
+
+    def __call__(self, h: float, low: float) -> float:
+        value = super().__call__(h, low)
+        return value if self.rising else -value
+
+
+class Mama:
+    """Adaptive average by the phase of the dominant cycle, and its follower."""
+
+    # Taps of the discrete Hilbert transform.
+    TAPS = (0.0962, 0.0, 0.5769, 0.0, -0.5769, 0.0, -0.0962)
+
+    def __init__(self, fast: float = 0.5, slow: float = 0.05) -> None:
+        self.fast, self.slow, self.seen = fast, slow, 0
+        self.price, self.smooth, self.detrended, self.q, self.i = ([0.0] * 7 for _ in range(5))
+        self.i2 = self.q2 = self.re = self.im = self.period = self.phase = 0.0
+        self.mama = self.fama = NAN
+
+    def _turned(self, past: list[float], scale: float) -> float:
+        return sum(w * x for w, x in zip(self.TAPS, past, strict=True)) * scale
+
+    def __call__(self, x: float) -> tuple[float, float]:
+        self.seen += 1
+        shift = lambda past, v: past.__setitem__(slice(None), [v, *past[:-1]])
+        shift(self.price, x)
+        if self.mama != self.mama:
+            self.mama = self.fama = x
+        if self.seen < 7:
+            return NAN, NAN
+        p = self.price
+        shift(self.smooth, (4 * p[0] + 3 * p[1] + 2 * p[2] + p[3]) / 10)
+        scale = 0.075 * self.period + 0.54
+        shift(self.detrended, self._turned(self.smooth, scale))
+        shift(self.q, self._turned(self.detrended, scale))
+        shift(self.i, self.detrended[3])
+        i2, q2 = self.i[0] - self._turned(self.q, scale), self.q[0] + self._turned(self.i, scale)
+        before_i, before_q = self.i2, self.q2
+        self.i2, self.q2 = 0.2 * i2 + 0.8 * before_i, 0.2 * q2 + 0.8 * before_q
+        self.re = 0.2 * (self.i2 * before_i + self.q2 * before_q) + 0.8 * self.re
+        self.im = 0.2 * (self.i2 * before_q - self.q2 * before_i) + 0.8 * self.im
+        period = self.period
+        if self.im and self.re:
+            period = 2 * math.pi / math.atan(self.im / self.re)
+        period = min(max(period, 0.67 * self.period), 1.5 * self.period if self.period else period)
+        self.period = 0.2 * min(max(period, 6.0), 50.0) + 0.8 * self.period
+        phase = math.degrees(math.atan(self.q[0] / self.i[0])) if self.i[0] else self.phase
+        delta, self.phase = max(self.phase - phase, 1.0), phase
+        alpha = max(self.fast / delta, self.slow)
+        self.mama += alpha * (x - self.mama)
+        self.fama += 0.5 * alpha * (self.mama - self.fama)
+        return (self.mama, self.fama) if self.seen > 32 else (NAN, NAN)
+
+
 class Cusum:
     """Symmetric filter: 1 or -1 where the sum of moves passes ``h``; the side that fired starts anew."""
 
@@ -173,7 +228,7 @@ class _Last:
 
 NAMES = (
     "ema_5 ema_12 ema_20 ema_26 ema_50 ema_200 dema_20 tema_20 t3_5 trix_15 macd macd_signal macd_hist rsi_14 rsi_slope cmo_14 atr_14 natr_14 atr_percent keltner_upper bb_squeeze adx_14 plus_di minus_di dx adx_slope kama_30 "
-    "supertrend supertrend_dir sar volume_ema_ratio volume_compression range_compression_ratio chaikin_oscillator ema_slope cusum ewm_vol"
+    "adxr_14 stochrsi_k stochrsi_d sarext mama fama supertrend supertrend_dir sar volume_ema_ratio volume_compression range_compression_ratio chaikin_oscillator ema_slope cusum ewm_vol"
 ).split()
 
 
@@ -184,6 +239,7 @@ def _indicators() -> Step:
     chain, triple = [Ema(5, 5) for _ in range(6)], [Ema(15, 15) for _ in range(3)]
     kama, trend, sar, v5, v20, c3, c10 = Kama(), Supertrend(), Sar(), Ema(5), Ema(20), Ema(3), Ema(10)
     rsi3, adx5, ema5, last_triple, keltner = _Last(3), _Last(5), _Last(5), _Last(1), wilder(10)
+    adx13, sarext, mama, strength, fastk = _Last(13), SarExt(), Mama(), [], []
     cusum, mean, var = Cusum(0.5), Ema(50), Ema(50)
     window: list[float] = []
     state = {"c": NAN, "ad": 0.0}
@@ -226,6 +282,16 @@ def _indicators() -> Step:
             row["bb_squeeze"] = 4 * sd / (3 * a) if len(window) == 20 and a == a and a > 1e-8 else NAN
             row["plus_di"], row["minus_di"], row["dx"], row["adx_14"] = adx(h, low, c)
             row["adx_slope"] = (row["adx_14"] - adx5(row["adx_14"])) / 5
+            row["adxr_14"] = (row["adx_14"] + adx13(row["adx_14"])) / 2
+            strength.append(value)
+            del strength[:-14]
+            low14, high14 = (min(strength), max(strength)) if len(strength) == 14 and strength[0] == strength[0] else (NAN, NAN)
+            row["stochrsi_k"] = (100 * (value - low14) / (high14 - low14) if high14 > low14 else 0.0) if high14 == high14 else NAN
+            fastk.append(row["stochrsi_k"])
+            del fastk[:-3]
+            row["stochrsi_d"] = sum(fastk) / 3 if len(fastk) == 3 else NAN
+            row["sarext"] = sarext(h, low)
+            row["mama"], row["fama"] = mama(c)
             row["kama_30"] = kama(c)
             row["supertrend"], row["supertrend_dir"] = trend(h, low, c)
             row["sar"] = sar(h, low)
