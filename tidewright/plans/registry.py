@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import Dialect, Duck, Spark
-from tidewright.operators import backtest, info_bars, montecarlo, recursive, regimes, swings, window_stats
+from tidewright.operators import backtest, info_bars, montecarlo, recursive, regimes, swings, touches, window_stats
 
 from . import portfolio, research  # noqa: F401  they register their queries
-from .series import SERIES, _signals, bars, ledger, ticks
+from .series import SERIES, _signals, _swings, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"
 _TABLE = re.compile(r"\{(\w+)\}")
@@ -133,3 +133,35 @@ def _account_sql(r: backtest.Rules) -> str:
 for _kind, _r in _RULES.items():
     QUERIES[f"backtest_{_kind}_stops"] = _backtest(_r)
     ORACLES[f"backtest_{_kind}_stops"] = _TABLE.sub(r"\1", _account_sql(_r))
+
+
+# ---- levels and their first touch: the twin is a range join ------------------------------------------------------------------
+
+
+def _gaps(d: Dialect) -> str:
+    """Fair value gaps as levels, known at the last of their three candles: back to the near edge."""
+    bull, bear = f"{d.lag('h', 2)} < l AND {d.lag('c')} > {d.lag('o')}", f"{d.lag('l', 2)} > h AND {d.lag('c')} < {d.lag('o')}"
+    rows = f"SELECT symbol, ts, row_number() OVER ({d.over}) AS id, CASE WHEN {bull} THEN l WHEN {bear} THEN h END AS level, CASE WHEN {bull} THEN false WHEN {bear} THEN true END AS up FROM {bars(d)} b"
+    return f"(SELECT * FROM ({rows}) g WHERE level IS NOT NULL)"
+
+
+def _swing_levels(d: Dialect) -> str:
+    return f"(SELECT symbol, ts, k AS id, level, side = 1 AS up FROM {_swings(d)} w)"
+
+
+def _touched(levels: Callable[[Dialect], str], select: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        level = run_sql(spark, f"SELECT * FROM {levels(Spark())} l", sf_dir)
+        found = touches.first_touches(level, _bars(spark, sf_dir))
+        return spark.sql(select.format(rows="{rows}", bars="{bars}"), rows=found, bars=_bars(spark, sf_dir))
+
+    inner = f"(SELECT v.*, (SELECT min(b.ts) FROM {bars(Duck())} b WHERE b.symbol = v.symbol AND b.ts > v.ts AND CASE WHEN v.up THEN b.h >= v.level ELSE b.l <= v.level END) AS touched FROM {levels(Duck())} v)"
+    return query, _TABLE.sub(r"\1", select.format(rows=inner, bars=bars(Duck())))
+
+
+for _name, _levels, _select in (
+    ("smc_fvg_mitigation", _gaps, "SELECT r.symbol, r.ts, r.level, r.up, r.touched FROM {rows} r"),
+    ("smc_mitigation_blocks", _gaps, "SELECT r.symbol, r.touched AS ts, CASE WHEN r.up THEN -1 ELSE 1 END AS kind, round(b.h, 2) AS top, round(b.l, 2) AS bottom, r.ts AS gap_ts FROM {rows} r JOIN {bars} b ON b.symbol = r.symbol AND b.ts = r.touched"),
+    ("smc_liquidity_sweeps", _swing_levels, "SELECT r.symbol, r.ts, CASE WHEN r.up THEN 1 ELSE -1 END AS side, r.level, r.touched FROM {rows} r"),
+):
+    QUERIES[_name], ORACLES[_name] = _touched(_levels, _select)

@@ -315,6 +315,51 @@ def smc_swing_candidates(d):
     return f"SELECT symbol, ts, CASE WHEN h = {d.w('max', 'h', -5, 5)} THEN 1 WHEN l = {d.w('min', 'l', -5, 5)} THEN -1 ELSE 0 END AS swing FROM {bars(d)} b"
 
 
+#: Bars on the far side of a swing point.
+REACH = 5
+
+
+def _swings(d: Dialect) -> str:
+    """Swing points ``symbol, ts, k, side, level``: extremes among the bars around, and of neighbours on one side the most extreme."""
+    ranked = f"SELECT symbol, ts, h, l, row_number() OVER ({d.over}) AS k, count(*) OVER (PARTITION BY symbol) AS n, {d.w('max', 'h', -REACH + 1, REACH)} AS top, {d.w('min', 'l', -REACH + 1, REACH)} AS low FROM {bars(d)} b"
+    points = f"SELECT symbol, ts, k, CASE WHEN h = top THEN 1 ELSE -1 END AS side, CASE WHEN h = top THEN h ELSE l END AS level FROM ({ranked}) r WHERE k >= {REACH} AND k <= n - {REACH} AND (h = top OR l = low)"
+    turns = f"SELECT *, CASE WHEN side = {d.lag('side')} THEN 0 ELSE 1 END AS turn FROM ({points}) p"
+    runs = f"SELECT *, sum(turn) OVER ({d.over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ({turns}) t"
+    best = f"SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY side * level DESC, ts) AS place FROM ({runs}) u"
+    return f"(SELECT symbol, ts, k, side, level FROM ({best}) v WHERE place = 1)"
+
+
+@series
+def smc_swing_points(d):
+    return f"SELECT symbol, ts, side, level FROM {_swings(d)} s"
+
+
+@series
+def smc_retracements(d):
+    """How far a bar is back from the last swing towards the one before, in percent, and the deepest so far, a bar late."""
+    joined = f"SELECT b.symbol, b.ts, b.h, b.l, s.side, CASE WHEN s.side = 1 THEN s.level END AS high_, CASE WHEN s.side = -1 THEN s.level END AS low_ FROM {bars(d)} b LEFT JOIN {_swings(d)} s ON s.symbol = b.symbol AND s.ts = b.ts"
+    state = f"SELECT symbol, ts, h, l, {d.last('side')} AS side, {d.last('high_')} AS top, {d.last('low_')} AS bottom, sum(CASE WHEN side IS NULL THEN 0 ELSE 1 END) OVER ({d.over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ({joined}) j"
+    back = f"SELECT *, CASE WHEN top > bottom AND side = 1 THEN 100 - (l - bottom) / (top - bottom) * 100 WHEN top > bottom AND side = -1 THEN 100 - (h - top) / (bottom - top) * 100 END AS now FROM ({state}) s"
+    deep = f"SELECT *, greatest(0, max(now) OVER (PARTITION BY symbol, run ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS deepest FROM ({back}) k"
+    return f"SELECT symbol, ts, {d.lag('side')} AS direction, {r6(d.lag('now'))} AS retracement, {r6(d.lag('deepest'))} AS deepest FROM ({deep}) q"
+
+
+@series
+def smc_breaker_blocks(d):
+    """Between a swing and the next beyond it on the same side: the first bar that breaks the earlier level, and its rejection wick."""
+    w = "PARTITION BY symbol ORDER BY ts"
+    legs = f"SELECT symbol, k AS k2, side, level AS level2, lag(k) OVER ({w}) AS k1, lag(level, 2) OVER ({w}) AS level0 FROM {_swings(d)} s"
+    numbered = f"(SELECT symbol, ts, o, h, l, c, row_number() OVER ({d.over}) AS k FROM {bars(d)} b)"
+    # A bar lies in one leg only, which is carried to it from the leg's end.
+    marked = f"SELECT b.*, s.k AS mark FROM {numbered} b LEFT JOIN {_swings(d)} s ON s.symbol = b.symbol AND s.k = b.k"
+    leg_of = f"SELECT symbol, ts, o, h, l, c, k, min(mark) OVER ({d.over} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ends FROM ({marked}) m"
+    if d.name == "spark":  # the next end, carried against time: a frame that ends with the series would be read anew for every row
+        leg_of = f"SELECT symbol, ts, o, h, l, c, k, last_value(mark, true) OVER (PARTITION BY symbol ORDER BY ts DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ends FROM ({marked}) m"
+    broken = f"SELECT q.*, g.side, row_number() OVER (PARTITION BY q.symbol, q.ends ORDER BY q.ts) AS place FROM ({leg_of}) q JOIN ({legs}) g ON g.symbol = q.symbol AND g.k2 = q.ends WHERE q.k >= g.k1 AND g.side * g.level2 > g.side * g.level0 AND CASE WHEN g.side = 1 THEN q.h > g.level0 ELSE q.l < g.level0 END"
+    wick = "CASE WHEN side = 1 THEN h - greatest(o, c) ELSE least(o, c) - l END"
+    return f"SELECT symbol, ts, -side AS kind, CASE WHEN side = 1 THEN h ELSE l END AS level, {r6(f'CASE WHEN abs(c - o) > 0 THEN least(100e0, ({wick}) / abs(c - o) * 100) END')} AS strength FROM ({broken}) z WHERE place = 1"
+
+
 @series
 def regime_vol_percentile(d):
     """Share of up to 500 earlier volatilities strictly below the current one."""
