@@ -1,12 +1,12 @@
 """Jaccard join of documents on word shingles by T-occurrence search.
 
 Documents with equal sets are one class and need no search. The rest are first brought into
-blocks such that linked documents share one: sets that may be linked differ in at most K
-shingles, K following from their sizes, so if all shingles are dealt by hash into more than K
-parts, some part of both holds the same shingles. The parts' signatures are the blocking keys;
-they join several shingles each, so that a passage that many documents share ties nothing
-together; sets too small for such parts are keyed by their first shingles in hash order. Documents of one task with a key in common are tied there, and only one of them sends
-the key on, so a key that a third of all documents have arrives once per slice of a task.
+blocks such that linked documents share one: of two sets that share enough, some shingle is among
+the first few of both in any one order of all shingles (prefix filter). The order is by frequency,
+rarest first, as counted over all documents in a table of hash buckets of fixed size, so a passage
+that many documents share stands last and ties nothing together. Documents of one task with a key
+in common are tied there, and only one of them sends the key on, so a key that a third of all
+documents have arrives once per slice of a task.
 
 Within a block, documents whose sizes allow a link are joined by DivideSkip: of a document's
 inverted lists the longest are set aside, the short ones are merged with the lowered threshold,
@@ -20,7 +20,6 @@ largest component meets everything that it may still be linked to, tile by tile.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import heapq
 import math
@@ -39,7 +38,9 @@ from .shingles import mixed, shingle_sets
 TILE_DOCS, TILE_SHINGLES, PIVOTS = 2000, 1_000_000, 16
 #: Keys of a task that are compared with each other before they are sent on.
 SLICE_KEYS = 1 << 19
-_SALT, _HALF = np.uint64(0xA0761D6478BD642F), np.uint64(32)
+#: Hash buckets in which the documents of shingles are counted, whatever their number.
+BUCKETS = 1 << 16
+_LOW, _MASK = np.uint64(48), np.uint64((1 << 48) - 1)
 #: Up to so many list entries are merged with a heap, more with a sort.
 HEAP = 2048
 
@@ -49,76 +50,27 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-class Parts:
-    """Numbers of parts by size class. Class c has the sizes from ``low[c]`` to below ``low[c + 1]``; the larger set of a linked
-    pair is of the smaller one's class or the next.
-    """
+def prefix_length(n: int, percent: int) -> int:
+    """So many of a set's first shingles: two linked sets share one of them, whatever the order."""
+    return n - -(-n * percent // 100) + 1 if n else 0
+
+
+class Order:
+    """An order of all shingles by the number of documents in their hash bucket, rarest first, then by hash."""
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.low = percent, [1]
-        self.parts: list[tuple[int, int, int] | None] = []
-
-    def of(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-        return bisect.bisect_right(self.low, n) - 1
-
-    def number(self, c: int) -> tuple[int, int, int] | None:
-        """For a class as that of the smaller set: parts, weak parts that are left out, most shingles of a weak part.
-
-        A part of one shingle or none is weak: it may be equal by chance. With w more parts than needed, some equal part is
-        strong unless both sets have more than w weak ones. None where that takes too many parts, or where only equal sets link.
-        """
-        while len(self.parts) <= c:
-            k = len(self.parts)
-            self.of(self.low[k])
-            most = self.low[k + 1] - 1
-            differ = (100 - self.percent) * (most + most * 100 // self.percent) // (100 + self.percent)
-            found = None
-            for weak in (1, 0) if differ else ():
-                parts = differ + 1
-                for _ in range(40):
-                    mean = self.low[k] / parts
-                    expected = parts * math.exp(-mean) * (1 + mean * weak)
-                    spare = math.ceil(expected + 4 * math.sqrt(expected))
-                    if parts == differ + 1 + spare or parts > 1.5 * (differ + 2):
-                        break
-                    parts = differ + 1 + spare
-                if parts <= 1.5 * (differ + 2):
-                    found = (parts, parts - differ - 1, weak)
-                    break
-            self.parts.append(found)
-        return self.parts[c]
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Signatures of a set's strong parts, as the smaller and as the larger set of a pair.
-
-        Where there are no parts, or more weak ones than may be left out, the first shingles in the order of their hashes take
-        their place: of two sets that share enough, some shingle is among the first of both (prefix filter).
-        """
-        n = len(shingles)
-        if not n:
+    def __init__(self, counts: np.ndarray) -> None:
+        rank = np.empty(BUCKETS, np.uint64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+        self.rank = rank << _LOW
+
+    def first(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """The first shingles of a set: hashes whose leading bits, the bucket, give way to the bucket's rank."""
+        k = prefix_length(len(shingles), percent)
+        if not k:
             return shingles
-        own = self.of(n)
-        spread = np.sort(mixed(shingles))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed(spread ^ _SALT), out=total[1:])
-        first = spread[: n - -(-n * self.percent // 100) + 1]
-        out = []
-        for c in (own, own - 1):
-            scheme = self.number(c) if c >= 0 else None
-            few = True
-            if scheme:
-                parts, spare, weak = scheme
-                count = np.bincount(((spread >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int64), minlength=parts)
-                end = np.cumsum(count)
-                keys = mixed(total[end] - total[end - count] + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
-                solid = count > weak
-                out.append(keys[solid])
-                few = parts - int(solid.sum()) > spare
-            if few and c >= 0:
-                out.append(mixed(first + mixed(np.full(1, (c << 32) + (1 << 31), np.uint64))))
-        return np.concatenate(out)
+        h = mixed(shingles)
+        placed = self.rank[(h >> _LOW).astype(np.int64)] | (h & _MASK)
+        return np.partition(placed, k - 1)[:k]
 
 
 # ---- search within a tile --------------------------------------------------------------------------------------------------
@@ -227,19 +179,39 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int, label: n
 
 
 def _digests(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its set's size and digest."""
+    """Per document its set's size and digest; per task one more row (size -1) with the documents counted in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, names = np.zeros(BUCKETS, np.int64), ["doc_id", "n", "digest"]
         for batch in batches:
             sizes, digests = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "digest"])
+                if len(s):
+                    np.add.at(counts, (mixed(s) >> _LOW).astype(np.int64), 1)
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary")
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total += np.frombuffer(x, "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["counts"])
+
+
+def _order(signed: DataFrame) -> Order:
+    """The order that the counts of all tasks give; sums of at most 16 partitions, half a megabyte each, come to the driver."""
+    rows = signed.filter("n < 0").select("digest").repartition(16).mapInArrow(_summed, "counts binary").collect()
+    return Order(sum((np.frombuffer(r.counts, "<i8") for r in rows), np.zeros(BUCKETS, np.int64)))
+
+
 def combined(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     """Rows ``key, node, low`` of a slice: of each key its first node; any other node of it is tied to that one, ``low``, under a key of its own."""
     order = np.argsort(keys, kind="stable")
@@ -253,9 +225,8 @@ def combined(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[new], spread]).view(np.int64)), pa.array(np.concatenate([nodes[new], pairs[:, 0]])), low], names=["key", "node", "low"])
 
 
-def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
         nodes, keys, size = [], [], 0
 
         def rows() -> pa.RecordBatch:
@@ -264,7 +235,7 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 nodes.append(node)
-                keys.append(parts.keys(s))
+                keys.append(order.first(s, percent))
                 size += len(keys[-1])
                 if size > SLICE_KEYS:
                     yield rows()
@@ -411,9 +382,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    signed = staged(_digests(docs, width), "set-digests")
+    counted = staged(_digests(docs, width), "set-digests")
+    signed = counted.filter("n >= 0")
     classes = staged(signed.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").cast("long").alias("rep")), "set-classes")
-    keyed = _keys(docs, width, percent).repartition(parts, "key").sortWithinPartitions("key")
+    keyed = _keys(docs, width, percent, _order(counted)).repartition(parts, "key").sortWithinPartitions("key")
     near = staged(keyed.mapInArrow(lean(_stars), "u long, v long").distinct(), "near")
     rep_of = signed.join(classes, ["n", "digest"]).select(F.col("doc_id").cast("long").alias("node"), "rep").distinct()
     tied = near.join(rep_of.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u").join(rep_of.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v")
