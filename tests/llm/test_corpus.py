@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.llm import shingles as shingle_hashes
 from tidewright.llm import components, embedding_dedup, html_text, induced_sort, jaccard_join, language_id, line_dedup, mixing, packing, queries, shingles, stream_dedup, suffix_dedup, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -367,7 +368,7 @@ def test_jaccard_hot_copies(spark):
     assert got == [0] * 120 + list(range(120, 180)) and jaccard_join.first_of_components(frame).count() == 61
 
 
-def test_divide_skip_and_parts():
+def test_divide_skip_and_prefixes():
     rng = np.random.default_rng(3)
     for percent in (50, 80, 90):
         base = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
@@ -381,9 +382,21 @@ def test_divide_skip_and_parts():
         assert all((max(e), min(e)) in linked for e in edges)
         got = components.local_labels(np.array([a for a, _ in edges] or [0]), np.array([b for _, b in edges] or [0]), 30)
         assert got.tolist() == want.tolist()
-        parts = jaccard_join.Parts(percent)
-        keys = [set(parts.keys(s).tolist()) for s in sets]
-        assert all(keys[i] & keys[j] or np.array_equal(sets[i], sets[j]) for i, j in linked)
+        for counts in (np.zeros(jaccard_join.BUCKETS), rng.integers(0, 9, jaccard_join.BUCKETS)):
+            order = jaccard_join.Order(counts)
+            keys = [set(order.first(s, percent).tolist()) for s in sets]
+            assert all(keys[i] & keys[j] for i, j in linked) and all(len(k) == jaccard_join.prefix_length(len(s), percent) for k, s in zip(keys, sets, strict=True))
+
+
+def test_common_shingles_stand_last():
+    rng = np.random.default_rng(1)
+    shingles = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    counts = np.ones(jaccard_join.BUCKETS, np.int64)
+    common = shingles[::3]
+    counts[(shingle_hashes.mixed(common) >> np.uint64(48)).astype(np.int64)] = 1000
+    order = jaccard_join.Order(counts)
+    first, rare = set(order.first(shingles, 80).tolist()), np.setdiff1d(shingles, common)
+    assert len(first) == 101 and not first & set(order.first(common, 1).tolist()) and first <= set(order.first(rare, 1).tolist())
 
 
 def test_jaccard_odd(odd):
