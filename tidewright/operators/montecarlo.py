@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PRIME = 2**31 - 1
+
 
 def resampled_paths(ledger: DataFrame, column: str, paths: int = 50, seed: int = 42, method: str = "bootstrap") -> DataFrame:
     """``path, total_return, max_drawdown, final`` of trades in percent, compounded at one hundredth of each trade's return.
@@ -14,13 +16,19 @@ def resampled_paths(ledger: DataFrame, column: str, paths: int = 50, seed: int =
     """
     if method not in ("bootstrap", "shuffle"):
         raise ValueError(f"unknown method: {method}")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("path"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    # Squares modulo a prime: a hash that any engine can repeat.
+    def hashed(salt: int):
+        first = (F.col("id") * 48271 + 11) % PRIME
+        second = (first * first + F.col("path") * 69621 + F.lit(seed + salt)) % PRIME
+        return (second * second + first) % PRIME
+
+    u = hashed(0) / float(PRIME)
     runs = ledger.select("id", (F.col(column) / 10_000).alias("r")).withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
     # Poisson(1) by inversion.
     edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     times = sum(((F.col("u") >= e).cast("int") for e in edges), F.lit(0)) if method == "bootstrap" else F.lit(1)
     runs = runs.withColumn("u", u).withColumn("times", times).filter("times > 0")
-    along = Window.partitionBy("path").orderBy(F.xxhash64(F.lit(seed + 1), F.col("path"), F.col("id")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("path").orderBy(hashed(1), "id").rowsBetween(Window.unboundedPreceding, 0)
     grown = runs.withColumn("equity", F.exp(F.sum(F.log1p("r") * F.col("times")).over(along)))
     peaked = grown.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(along)))
     return peaked.groupBy("path").agg(F.exp(F.sum(F.log1p("r") * F.col("times"))).alias("final"), F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown")).withColumn("total_return", F.col("final") - 1)

@@ -1,4 +1,8 @@
-"""Market regimes: trend, volatility and momentum states of a series with hysteresis, as one carried-state scan."""
+"""Market regimes: trend, volatility and momentum states of a series with hysteresis, as one carried-state scan.
+
+Exponential averages run over the whole series; bars of the warm-up, and as many after a gap in time, have no result but
+``INSUFFICIENT_DATA`` for labels.
+"""
 
 from __future__ import annotations
 
@@ -13,18 +17,24 @@ from pyspark.sql import types as T
 
 from .scan import Step, ordered_scan
 
-NAN = float("nan")
+EPS = 1e-10
+NONE, STILL = "INSUFFICIENT_DATA", "INSUFFICIENT_VOLATILITY"
 
 
 @dataclass(frozen=True)
 class RegimeConfig:
-    """Fixed values of the engine; speeds, thresholds, hysteresis and lengths."""
+    """Fixed values of the engine: speeds, thresholds, hysteresis and lengths."""
 
     alpha_fast: float = 0.15
     alpha_slow: float = 0.04
     alpha_vol: float = 0.10
     alpha_expansion: float = 0.05
     alpha_z: float = 0.02
+    alpha_persistence: float = 0.10
+    alpha_confidence: float = 0.02
+    alpha_min: float = 0.02
+    alpha_max: float = 0.20
+    alpha_interval: float = 0.10
     trend: float = 1.0
     vol_high: float = 0.75
     vol_low: float = 0.25
@@ -36,88 +46,149 @@ class RegimeConfig:
     min_duration: int = 3
     ring: int = 500
     gap: float = 5.0
+    steepness: float = 5.0
+    stability_cap: int = 100
+    floor: float = 1e-8
+    floor_bars: int = 20
+    epsilon: float = 0.05
 
     @property
     def warmup(self) -> int:
-        return math.ceil(math.log(0.05) / math.log(1 - self.alpha_z))
+        """Bars until the slowest average has forgotten its seed."""
+        return math.ceil(math.log(self.epsilon) / math.log(1 - self.alpha_min))
+
+
+class _Average:
+    """Exponential average that begins at ``seed``, or at its first value."""
+
+    def __init__(self, alpha: float, seed: float | None = None) -> None:
+        self.alpha, self.value = alpha, seed
+
+    def __call__(self, x: float) -> float:
+        self.value = x if self.value is None else self.alpha * x + (1 - self.alpha) * self.value
+        return self.value
+
+
+class _Spread:
+    """Average of values and of their squared distances from it."""
+
+    def __init__(self, alpha: float) -> None:
+        self.mean, self.var = _Average(alpha), _Average(alpha, 0.0)
+
+    def __call__(self, x: float) -> float:
+        m = self.mean(x)
+        return self.var((x - m) ** 2)
+
+
+class _Held:
+    """A label that changes when another one has stood far enough from its threshold for some bars in a row."""
+
+    def __init__(self, bars: int) -> None:
+        self.bars, self.label, self.next, self.count = bars, None, None, 0
+
+    def __call__(self, raw: str, distance: float, buffer: float) -> str:
+        if self.label is None or raw == "TRANSITION":
+            self.label, self.next, self.count = raw, None, 0
+        elif raw == self.label or distance <= buffer:
+            self.next, self.count = None, 0
+        else:
+            self.next, self.count = raw, self.count + 1 if self.next == raw else 1
+            if self.count >= self.bars:
+                self.label, self.next, self.count = raw, None, 0
+        return self.label
+
+
+def _clip(x: float) -> float:
+    return max(0.0, min(1.0, x))
 
 
 class _State:
     def __init__(self, cfg: RegimeConfig) -> None:
-        self.cfg = cfg
-        self.reset()
-        self.interval, self.last_ts = NAN, None
+        k = self.cfg = cfg
+        self.n, self.last_c, self.last_ts, self.z, self.sign = 0, None, None, 0.0, 0
+        self.fast, self.slow, self.mean, self.var = _Average(k.alpha_fast), _Average(k.alpha_slow), _Average(k.alpha_z), _Average(k.alpha_z, 0.0)
+        self.up, self.down, self.expansion, self.persistence = _Average(k.alpha_vol), _Average(k.alpha_vol), _Average(k.alpha_expansion), _Average(k.alpha_persistence)
+        self.spread_z, self.spread_p = _Spread(k.alpha_confidence), _Spread(k.alpha_confidence)
+        self.ring, self.sorted, self.interval, self.since_gap, self.quiet = deque(), [], None, None, 0
+        self.transition, self.trend, self.vol, self.momentum = False, _Held(k.min_duration), _Held(k.min_duration), _Held(k.min_duration)
+        self.label, self.run = None, 0
+
+    def _gap(self, ts: float) -> bool:
+        passed, self.last_ts = (0.0 if self.last_ts is None else ts - self.last_ts), ts
+        if passed <= 0:
+            return False
+        if self.interval is None:
+            self.interval = passed
+        elif passed > self.cfg.gap * self.interval:
+            self.interval = None
+            return True
+        else:
+            self.interval = self.cfg.alpha_interval * passed + (1 - self.cfg.alpha_interval) * self.interval
+        return False
 
-    def reset(self) -> None:
-        self.n, self.fast, self.slow, self.mean, self.var = 0, NAN, NAN, 0.0, 0.0
-        self.up = self.down = 0.0
-        self.expansion, self.last_c, self.last_z = NAN, NAN, 0.0
-        self.ring, self.sorted = deque(), []
-        self.transition, self.trend, self.waiting, self.run = False, "RANGE", 0, 0
+    def _rank(self, level: float) -> float:
+        rank = bisect_left(self.sorted, level) / len(self.sorted) if self.sorted else 0.0
+        self.ring.append(level)
+        insort(self.sorted, level)
+        if len(self.ring) > self.cfg.ring:
+            self.sorted.pop(bisect_left(self.sorted, self.ring.popleft()))
+        return rank
 
     def step(self, ts: float, c: float) -> tuple:
         k = self.cfg
-        if self.last_ts is not None:
-            passed = ts - self.last_ts
-            if self.interval == self.interval and passed > k.gap * self.interval:
-                self.reset()
-            else:
-                self.interval = passed if self.interval != self.interval else self.interval + 0.1 * (passed - self.interval)
-        self.last_ts = ts
-        self.n += 1
-        r = c / self.last_c - 1 if self.last_c == self.last_c else 0.0
-        self.last_c = c
-        self.fast = c if self.fast != self.fast else self.fast + k.alpha_fast * (c - self.fast)
-        self.slow = c if self.slow != self.slow else self.slow + k.alpha_slow * (c - self.slow)
-        strength = math.log(self.fast / self.slow)
-        sd = math.sqrt(self.var)
-        z = (strength - self.mean) / sd if sd > 1e-8 else 0.0
-        self.mean += k.alpha_z * (strength - self.mean)
-        self.var += k.alpha_z * ((strength - self.mean) ** 2 - self.var)
-        self.up += k.alpha_vol * (max(r, 0.0) ** 2 - self.up)
-        self.down += k.alpha_vol * (min(r, 0.0) ** 2 - self.down)
-        up, down = math.sqrt(self.up), math.sqrt(self.down)
+        self.since_gap = 0 if self._gap(ts) else None if self.since_gap is None else self.since_gap + 1
+        r = math.log(c / self.last_c) if self.last_c else 0.0
+        self.last_c, self.n = c, self.n + 1
+        raw = math.log(self.fast(c) / self.slow(c))
+        before = self.z
+        self.z = z = (raw - self.mean.value) / math.sqrt(self.var.value + EPS) if self.n > 1 else 0.0
+        self.var((raw - self.mean(raw)) ** 2)
+        persistence = self.persistence(float(np.sign(r)))
+        up, down = math.sqrt(self.up(max(r, 0.0) ** 2)), math.sqrt(self.down(max(-r, 0.0) ** 2))
         level = max(up, down)
-        pct = bisect_left(self.sorted, level) / len(self.sorted) if self.sorted else 0.5
-        self.ring.append(level)
-        insort(self.sorted, level)
-        if len(self.ring) > k.ring:
-            self.sorted.pop(bisect_left(self.sorted, self.ring.popleft()))
-        self.expansion = level if self.expansion != self.expansion else self.expansion + k.alpha_expansion * (level - self.expansion)
-        pressure = abs(z - self.last_z) * (level / self.expansion if self.expansion > 1e-8 else 1.0)
+        pct = self._rank(level)
+        pressure = abs(z - before) * level / (self.expansion(level) + EPS)
+        sd_z, sd_p = math.sqrt(self.spread_z(abs(z))) + EPS, math.sqrt(self.spread_p(pressure)) + EPS
+        sign = int(np.sign(z))
         if self.transition:
             self.transition = pressure >= k.transition_out
         else:
-            self.transition = pressure > k.transition_in and z * self.last_z < 0
-        self.last_z = z
-        raw = "BULL" if z > k.trend else "BEAR" if z < -k.trend else "RANGE"
-        if raw != self.trend:
-            far = abs(abs(z) - k.trend) > k.hysteresis + k.hysteresis_vol * pct
-            self.waiting = self.waiting + 1 if far else 0
-            if self.waiting >= k.min_duration:
-                self.trend, self.waiting, self.run = raw, 0, 0
-        else:
-            self.waiting = 0
-        self.run += 1
-        if self.n < k.warmup:
-            return None, None, None, "INSUFFICIENT_DATA", NAN, z, pct, pressure, NAN, NAN, NAN, NAN
-        vol = "HIGH" if pct > k.vol_high else "LOW" if pct < k.vol_low else "NORMAL"
-        momentum = "ACCELERATING" if pressure > k.accelerating else "STABLE"
-        label = "TRANSITION" if self.transition else f"{self.trend}_{vol}_{momentum}"
-        clip = lambda x: max(0.0, min(1.0, x))
-        confidence = (clip(abs(abs(z) - k.trend) / k.trend) + clip(min(abs(pct - k.vol_high), abs(pct - k.vol_low)) / 0.25) + clip(abs(pressure - k.accelerating) / k.accelerating)) / 3
-        soft = lambda x: 1 / (1 + math.exp(-max(-60.0, min(60.0, 5 * x))))
-        return self.trend, vol, momentum, label, confidence, z, pct, pressure, min(self.run / 100, 1.0), down / up if up > 1e-8 else NAN, soft(z - k.trend), soft(-z - k.trend)
+            self.transition = sign != self.sign and self.sign != 0 and pressure > k.transition_in
+        self.sign = sign
+        self.quiet = self.quiet + 1 if level < k.floor else 0
+        trend = vol = momentum = label = NONE
+        if self.n >= k.warmup:
+            buffer = k.hysteresis + k.hysteresis_vol * pct
+            raw_trend = "TRANSITION" if self.transition else "BULL" if z > k.trend else "BEAR" if z < -k.trend else "RANGE"
+            trend = self.trend(raw_trend, abs(abs(z) - k.trend), buffer)
+            vol = self.vol("HIGH_VOL" if pct > k.vol_high else "LOW_VOL" if pct < k.vol_low else "NORMAL_VOL", min(abs(pct - k.vol_high), abs(pct - k.vol_low)), buffer)
+            momentum = self.momentum("ACCELERATING" if pressure > k.accelerating else "STABLE", abs(pressure - k.accelerating), buffer)
+            trend = "TRANSITION" if self.transition else trend
+            label = "TRANSITION" if trend == "TRANSITION" else f"{trend}_{vol}_{momentum}"
+        masked = self.n < k.warmup or self.since_gap is not None and self.since_gap < k.warmup - 1
+        if self.quiet >= k.floor_bars and not masked:
+            trend = vol = momentum = label = STILL
+        self.run, self.label = (self.run + 1 if label == self.label else 1), label
+        if masked:
+            return (NONE,) * 4 + (math.nan,) * (len(OUT) - 4)
+        confidence = _clip((_clip((abs(z) - k.trend) / sd_z) + _clip(abs(pct - 0.5) / 0.25) + _clip((pressure - k.accelerating) / sd_p)) / (3 + EPS))
+        soft = lambda x: 1 / (1 + math.exp(-max(-50.0, min(50.0, k.steepness * x))))
+        scores = (z - k.trend, -z - k.trend, k.trend - abs(z), pressure - k.transition_in, pct - k.vol_high, k.vol_low - pct, pressure - k.accelerating)
+        return trend, vol, momentum, label, confidence, z, pct, pressure, min(self.run / k.stability_cap, 1.0), down / (up + EPS), z - before, k.alpha_min + (k.alpha_max - k.alpha_min) * pct, up, down, persistence, *map(soft, scores)
 
 
 OUT = {
     **dict.fromkeys(("regime_trend", "regime_volatility", "regime_momentum", "regime_label"), T.StringType()),
-    **dict.fromkeys(("regime_confidence", "trend_strength_z", "vol_percentile", "transition_pressure", "regime_stability", "volatility_skew", "score_bull", "score_bear"), T.DoubleType()),
+    **dict.fromkeys(
+        "regime_confidence trend_strength_z vol_percentile transition_pressure regime_stability volatility_skew trend_acceleration adaptive_alpha up_vol down_vol directional_persistence "
+        "score_bull score_bear score_range score_transition score_high_vol score_low_vol score_accelerating".split(),
+        T.DoubleType(),
+    ),
 }
 
 
 def regime_engine(bars: DataFrame, cfg: RegimeConfig = RegimeConfig(), by: str = "symbol", order: str = "ts") -> DataFrame:
-    """Regime columns for every bar; labels are null (and ``INSUFFICIENT_DATA``) while the state warms up, also after a time gap."""
+    """Regime columns (:data:`OUT`) for every bar; numbers are null and labels ``INSUFFICIENT_DATA`` in the warm-up and after a gap."""
 
     def make() -> Step:
         state = _State(cfg)

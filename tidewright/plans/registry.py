@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -50,7 +51,39 @@ _BAR_PARAMS = {
     "dollar": info_bars.BarParams(60_000.0), "volume": info_bars.BarParams(250.0), "volatility": info_bars.BarParams(60.0), "range": info_bars.BarParams(50.0),
     "renko": info_bars.BarParams(20.0), "hybrid": info_bars.BarParams(60_000.0, second_target=100.0),
 }
-QUERIES.update({f"bars_{kind}": _info(kind, p) for kind, p in _BAR_PARAMS.items()})
+_BAR_NUMBERS = "open high low close volume dollar_volume vwap bar_size target duration_minutes buy_share bar_return price_range close_position".split()
+
+
+def _bars_of(kind: str, p: info_bars.BarParams):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _info(kind, p)(spark, sf_dir).selectExpr("symbol", "datetime_start", "datetime_end", *[f"round({n}, 6) + 0D AS {n}" for n in _BAR_NUMBERS], "tick_count", "direction")
+
+    return query
+
+
+def _bars_sql(kind: str, p: info_bars.BarParams) -> str:
+    """The open bar and its parameters carried from tick to tick."""
+    size = {"dollar": "d", "volume": "v", "volatility": "path", "range": "(h - l) / price", "renko": "abs(price - ref) / ref", "hybrid": "d"}[kind]
+    full = f"size >= target OR path >= {p.second_target}" if kind == "hybrid" else "size >= target"
+    rows = f"rows AS MATERIALIZED (SELECT symbol, ts, price, quantity, is_buyer_maker AS seller, row_number() OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS k FROM {ticks()} t WHERE price > 0 AND quantity > 0)"
+    carried = "o h l v d buy path".split()
+    first = f"SELECT symbol, CAST(0 AS BIGINT) AS k, false AS running, CAST(NULL AS TIMESTAMP) AS start, {', '.join(f'0e0 AS {n}' for n in carried)}, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS ref, CAST(NULL AS DOUBLE) AS last, {p.target}::DOUBLE AS target, {p.alpha}::DOUBLE AS alpha, {p.min_minutes}::DOUBLE AS mn, CAST(0 AS BIGINT) AS closed, CAST(0 AS BIGINT) AS tuned, []::DOUBLE[] AS targets, []::DOUBLE[] AS sizes, []::DOUBLE[] AS mins, false AS done, CAST(NULL AS TIMESTAMP) AS ts, 0e0 AS price, 0e0 AS size, 0e0 AS minutes, 0e0 AS was FROM rows WHERE k = 1"
+    a = f"SELECT r.symbol, r.k, r.ts, r.price, a.target, a.alpha, a.mn, a.closed, a.tuned, a.targets, a.sizes, a.mins, CASE WHEN a.running THEN a.start ELSE r.ts END AS start, CASE WHEN a.running THEN a.o ELSE r.price END AS o, CASE WHEN a.running THEN greatest(a.h, r.price) ELSE r.price END AS h, CASE WHEN a.running THEN least(a.l, r.price) ELSE r.price END AS l, CASE WHEN a.running THEN a.v ELSE 0 END + r.quantity AS v, CASE WHEN a.running THEN a.d ELSE 0 END + r.price * r.quantity AS d, CASE WHEN a.running THEN a.buy ELSE 0 END + CASE WHEN r.seller THEN 0 ELSE r.price * r.quantity END AS buy, CASE WHEN a.running THEN a.path ELSE 0 END + CASE WHEN a.last IS NULL THEN 0 ELSE abs(r.price - a.last) / a.last END AS path, CASE WHEN a.running THEN a.n ELSE 0 END + 1 AS n, coalesce(a.ref, r.price) AS ref FROM acc a JOIN rows r ON r.symbol = a.symbol AND r.k = a.k + 1"
+    b = f"SELECT *, {size} AS size, (epoch(ts) - epoch(start)) / 60 AS minutes FROM ({a})"
+    c = f"SELECT *, (({full}) AND minutes >= mn) OR minutes >= {p.max_minutes} AS done FROM ({b})"
+    seen = "size" if kind == "dollar" else "least(size, 2 * target)"
+    e = f"SELECT *, closed + done::INT AS closed2, CASE WHEN done THEN (1 - alpha) * target + alpha * {seen} ELSE target END AS target2, CASE WHEN done THEN list_append(sizes[-199:], size) ELSE sizes END AS sizes2, CASE WHEN done THEN list_append(mins[-199:], minutes) ELSE mins END AS mins2 FROM ({c})"
+    f = f"SELECT *, CASE WHEN done THEN list_append(targets[-19:], target2) ELSE targets END AS targets2, done AND closed2 % {p.optimise_every} = 0 AND closed2 - tuned >= least({p.cooldown}, closed2) AND len(sizes2) >= 50 AS tune FROM ({e})"
+    g = f"SELECT *, CASE WHEN done AND closed2 % {p.monitor_every} = 0 AND len(targets2) >= 5 THEN {p.alpha_min} + {p.alpha_max - p.alpha_min!r} * least(1e0, list_stddev_pop(targets2) / list_avg(targets2) / 0.8) ELSE alpha END AS alpha2, 1 / (1 + list_stddev_pop(sizes2) / greatest(list_avg(sizes2), 1e-12)) AS even, 1 / (1 + list_stddev_pop(mins2) / greatest(list_avg(mins2), 1e-12)) AS pace FROM ({f})"
+    step = f"SELECT symbol, k, NOT done AS running, start, {', '.join(carried)}, n, CASE WHEN done THEN price ELSE ref END AS ref, price AS last, CASE WHEN tune AND (even + pace) / 2 < 0.5 AND even < 0.4 THEN target2 / 1.1 ELSE target2 END AS target, CASE WHEN abs(alpha2 - alpha) > 0.01 THEN alpha2 ELSE alpha END AS alpha, CASE WHEN tune AND pace < 0.4 THEN least(mn + 1, {p.max_minutes / 2}) ELSE mn END AS mn, closed2 AS closed, CASE WHEN tune THEN closed2 ELSE tuned END AS tuned, targets2 AS targets, sizes2 AS sizes, mins2 AS mins, done, ts, price, size, minutes, target AS was FROM ({g})"
+    values = ("o", "h", "l", "price", "v", "d", "d / v", "size", "was", "minutes", "buy / d", "price / o - 1", "(h - l) / o", "CASE WHEN h > l THEN (price - l) / (h - l) ELSE 0.5 END")
+    numbers = ", ".join(f"round({v}, 6) + 0e0 AS {name}" for v, name in zip(values, _BAR_NUMBERS, strict=True))
+    return f"WITH RECURSIVE {rows}, acc AS ({first} UNION ALL {step}) SELECT symbol, start AS datetime_start, ts AS datetime_end, {numbers}, n AS tick_count, CASE WHEN price >= o THEN 'bullish' ELSE 'bearish' END AS direction FROM acc WHERE done"
+
+
+for _kind, _p in _BAR_PARAMS.items():
+    QUERIES[f"bars_{_kind}"] = _bars_of(_kind, _p)
+    ORACLES[f"bars_{_kind}"] = _TABLE.sub(r"\1", _bars_sql(_kind, _p))
 
 
 def _calibration(kind: str):
@@ -66,9 +99,7 @@ for _kind in info_bars.KINDS:
     QUERIES[f"calibrate_{_kind}"], ORACLES[f"calibrate_{_kind}"] = _calibration(_kind)
 QUERIES["indicators_recursive"] = lambda spark, sf_dir: recursive.recursive_indicators(_bars(spark, sf_dir))
 QUERIES["window_stats"] = lambda spark, sf_dir: window_stats.window_stats(_bars(spark, sf_dir))
-QUERIES["regime_engine"] = lambda spark, sf_dir: regimes.regime_engine(_bars(spark, sf_dir))
 QUERIES["smc_structure"] = lambda spark, sf_dir: swings.market_structure(_bars(spark, sf_dir))
-QUERIES["monte_carlo"] = lambda spark, sf_dir: montecarlo.resampled_paths(run_sql(spark, f"SELECT * FROM {ledger()} t", sf_dir), "trade_return_pct")
 
 
 def _ema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,3 +196,86 @@ for _name, _levels, _select in (
     ("smc_liquidity_sweeps", _swing_levels, "SELECT r.symbol, r.ts, CASE WHEN r.up THEN 1 ELSE -1 END AS side, r.level, r.touched FROM {rows} r"),
 ):
     QUERIES[_name], ORACLES[_name] = _touched(_levels, _select)
+
+
+# ---- regimes: the twin carries the averages, then the labels, from bar to bar --------------------------------------------------
+
+
+def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = regimes.regime_engine(_bars(spark, sf_dir))
+    return out.selectExpr("symbol", "ts", *[n if t.typeName() == "string" else f"round({n}, 5) + 0D AS {n}" for n, t in regimes.OUT.items()])
+
+
+def _regime_sql(k: regimes.RegimeConfig) -> str:
+    e = regimes.EPS
+    avg = lambda a, x, old: f"({a} * ({x}) + {1 - a!r} * {old})"
+    rows = f"rows AS MATERIALIZED (SELECT symbol, ts, c, row_number() OVER w AS k, coalesce(ln(c / lag(c) OVER w), 0e0) AS r, coalesce(epoch(ts) - epoch(lag(ts) OVER w), 0e0) AS iv FROM {bars(Duck())} b WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+    zero = "fast slow mean var z was up2 dn2 ex per zm zv pm pv pressure level iva".split()
+    first = f"SELECT symbol, k, " + ", ".join(f"{'c' if n in ('fast', 'slow') else '0e0'} AS {n}" for n in zero) + ", false AS started, false AS gap FROM rows WHERE k = 1"
+    a = f"SELECT r.symbol, r.k, r.r, r.iv, {avg(k.alpha_fast, 'r.c', 'm.fast')} AS fast, {avg(k.alpha_slow, 'r.c', 'm.slow')} AS slow, m.mean AS mean0, m.var AS var0, m.z AS was, {avg(k.alpha_vol, 'power(greatest(r.r, 0), 2)', 'm.up2')} AS up2, {avg(k.alpha_vol, 'power(greatest(-r.r, 0), 2)', 'm.dn2')} AS dn2, m.ex AS ex0, {avg(k.alpha_persistence, 'sign(r.r)', 'm.per')} AS per, m.zm AS zm0, m.zv AS zv0, m.pm AS pm0, m.pv AS pv0, m.iva AS iva0, m.started AS s0 FROM m JOIN rows r ON r.symbol = m.symbol AND r.k = m.k + 1"
+    b = f"SELECT *, ln(fast / slow) AS raw, (ln(fast / slow) - mean0) / sqrt(var0 + {e}) AS z, {avg(k.alpha_z, 'ln(fast / slow)', 'mean0')} AS mean, sqrt(greatest(up2, dn2)) AS level FROM ({a})"
+    c = f"SELECT *, {avg(k.alpha_z, 'power(raw - mean, 2)', 'var0')} AS var, {avg(k.alpha_expansion, 'level', 'ex0')} AS ex, {avg(k.alpha_confidence, 'abs(z)', 'zm0')} AS zm FROM ({b})"
+    d = f"SELECT *, abs(z - was) * level / (ex + {e}) AS pressure, {avg(k.alpha_confidence, 'power(abs(z) - zm, 2)', 'zv0')} AS zv FROM ({c})"
+    f = f"SELECT *, {avg(k.alpha_confidence, 'pressure', 'pm0')} AS pm FROM ({d})"
+    step = f"SELECT symbol, k, fast, slow, mean, var, z, was, up2, dn2, ex, per, zm, zv, pm, {avg(k.alpha_confidence, 'power(pressure - pm, 2)', 'pv0')} AS pv, pressure, level, CASE WHEN iv <= 0 THEN iva0 WHEN NOT s0 THEN iv WHEN iv > {k.gap} * iva0 THEN iva0 ELSE {avg(k.alpha_interval, 'iv', 'iva0')} END AS iva, CASE WHEN iv <= 0 THEN s0 WHEN NOT s0 THEN true ELSE iv <= {k.gap} * iva0 END AS started, iv > 0 AND s0 AND iv > {k.gap} * iva0 AS gap FROM ({f})"
+    ranked = f"SELECT *, list(level) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN {k.ring} PRECEDING AND 1 PRECEDING) AS past FROM m"
+    pct = "CASE WHEN len(past) > 0 THEN len(list_filter(past, lambda q: q < level)) / len(past) ELSE 0e0 END"
+    masks = f"k < {k.warmup} OR max(gap::INT) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN {k.warmup - 2} PRECEDING AND CURRENT ROW) = 1"
+    x = f"x AS MATERIALIZED (SELECT *, {pct} AS pct, {masks} AS masked, CASE WHEN z > {k.trend} THEN 'BULL' WHEN z < -{k.trend} THEN 'BEAR' ELSE 'RANGE' END AS rt, sum(CASE WHEN level >= {k.floor} THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN {k.floor_bars - 1} PRECEDING AND CURRENT ROW) = 0 AND k >= {k.floor_bars} AS quiet FROM ({ranked}) q)"
+    held = lambda n, raw, far: (  # noqa: E731  label, waiting label, its bars
+        f"CASE WHEN {n}l IS NULL OR {raw} = 'TRANSITION' THEN {raw} WHEN {raw} <> {n}l AND {far} > buf AND CASE WHEN {n}w = {raw} THEN {n}n + 1 ELSE 1 END >= {k.min_duration} THEN {raw} ELSE {n}l END AS {n}l2",
+        f"CASE WHEN {n}l IS NULL OR {raw} = 'TRANSITION' OR {raw} = {n}l OR {far} <= buf OR CASE WHEN {n}w = {raw} THEN {n}n + 1 ELSE 1 END >= {k.min_duration} THEN NULL ELSE {raw} END AS {n}w2",
+        f"CASE WHEN {n}l IS NULL OR {raw} = 'TRANSITION' OR {raw} = {n}l OR {far} <= buf OR CASE WHEN {n}w = {raw} THEN {n}n + 1 ELSE 1 END >= {k.min_duration} THEN 0 WHEN {n}w = {raw} THEN {n}n + 1 ELSE 1 END AS {n}n2",
+    )
+    dims = [held("t", "rawt", f"abs(abs(z) - {k.trend})"), held("v", "rawv", f"least(abs(pct - {k.vol_high}), abs(pct - {k.vol_low}))"), held("a", "rawa", f"abs(pressure - {k.accelerating})")]
+    names = [f"{n}{y}" for n in "tva" for y in "lwn"]
+    begin = "SELECT symbol, CAST(0 AS BIGINT) AS k, false AS tr, 0e0 AS sg, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {n}" if n[1] != "n" else f"0 AS {n}" for n in names) + ", CAST(NULL AS VARCHAR) AS label, 0 AS run FROM rows WHERE k = 1"
+    g = f"SELECT x.symbol, x.k, x.z, x.pct, x.pressure, x.rt, x.masked, x.quiet, {', '.join('l.' + n for n in names)}, l.label AS label0, l.run AS run0, CASE WHEN l.tr THEN x.pressure >= {k.transition_out} ELSE sign(x.z) <> l.sg AND l.sg <> 0 AND x.pressure > {k.transition_in} END AS tr, sign(x.z) AS sg FROM l JOIN x ON x.symbol = l.symbol AND x.k = l.k + 1"
+    h = f"SELECT *, CASE WHEN tr THEN 'TRANSITION' ELSE rt END AS rawt, CASE WHEN pct > {k.vol_high} THEN 'HIGH_VOL' WHEN pct < {k.vol_low} THEN 'LOW_VOL' ELSE 'NORMAL_VOL' END AS rawv, CASE WHEN pressure > {k.accelerating} THEN 'ACCELERATING' ELSE 'STABLE' END AS rawa, {k.hysteresis} + {k.hysteresis_vol} * pct AS buf FROM ({g})"
+    i = f"SELECT *, {', '.join(y for dim in dims for y in dim)} FROM ({h})"
+    now = f"CASE WHEN quiet AND NOT masked THEN '{regimes.STILL}' WHEN k < {k.warmup} THEN '{regimes.NONE}' WHEN tr OR tl2 = 'TRANSITION' THEN 'TRANSITION' ELSE tl2 || '_' || vl2 || '_' || al2 END"
+    kept = ", ".join(f"CASE WHEN k < {k.warmup} THEN {n} ELSE {n}2 END AS {n}" for n in names)
+    labels = f"SELECT symbol, k, tr, sg, {kept}, {now} AS label, CASE WHEN {now} = label0 THEN run0 + 1 ELSE 1 END AS run FROM ({i})"
+    num = lambda v: f"CASE WHEN NOT masked THEN round({v}, 5) + 0e0 END"
+    lab = lambda v: f"CASE WHEN masked THEN '{regimes.NONE}' WHEN quiet THEN '{regimes.STILL}' ELSE {v} END"
+    clip = lambda v: f"greatest(0e0, least(1e0, {v}))"
+    conf = clip(f"({clip(f'(abs(z) - {k.trend}) / (sqrt(zv) + {e})')} + {clip('abs(pct - 0.5) / 0.25')} + {clip(f'(pressure - {k.accelerating}) / (sqrt(pv) + {e})')}) / {3 + e!r}")
+    soft = lambda v: num(f"1 / (1 + exp(-greatest(-50e0, least(50e0, {k.steepness} * ({v})))))")
+    values = {
+        "regime_trend": lab("CASE WHEN l.tr THEN 'TRANSITION' ELSE tl END"), "regime_volatility": lab("vl"), "regime_momentum": lab("al"), "regime_label": lab("label"), "regime_confidence": num(conf), "trend_strength_z": num("z"), "vol_percentile": num("pct"), "transition_pressure": num("pressure"),
+        "regime_stability": num(f"least(run / {k.stability_cap}, 1)"), "volatility_skew": num(f"sqrt(dn2) / (sqrt(up2) + {e})"), "trend_acceleration": num("z - was"), "adaptive_alpha": num(f"{k.alpha_min} + {k.alpha_max - k.alpha_min!r} * pct"), "up_vol": num("sqrt(up2)"), "down_vol": num("sqrt(dn2)"),
+        "directional_persistence": num("per"), "score_bull": soft(f"z - {k.trend}"), "score_bear": soft(f"-z - {k.trend}"), "score_range": soft(f"{k.trend} - abs(z)"), "score_transition": soft(f"pressure - {k.transition_in}"), "score_high_vol": soft(f"pct - {k.vol_high}"), "score_low_vol": soft(f"{k.vol_low} - pct"), "score_accelerating": soft(f"pressure - {k.accelerating}"),
+    }
+    return f"WITH RECURSIVE {rows}, m AS ({first} UNION ALL {step}), {x}, l AS ({begin} UNION ALL {labels}) SELECT r.symbol, r.ts, {', '.join(f'{v} AS {n}' for n, v in values.items())} FROM x JOIN l ON l.symbol = x.symbol AND l.k = x.k JOIN rows r ON r.symbol = x.symbol AND r.k = x.k"
+
+
+QUERIES["regime_engine"] = _regimes
+ORACLES["regime_engine"] = _TABLE.sub(r"\1", _regime_sql(regimes.RegimeConfig()))
+
+
+# ---- resampled paths -----------------------------------------------------------------------------------------------------------
+
+
+def _monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = montecarlo.resampled_paths(run_sql(spark, f"SELECT * FROM {ledger()} t", sf_dir), "trade_return_pct")
+    return paths.selectExpr("path", *[f"round({n}, 8) + 0D AS {n}" for n in ("final", "max_drawdown", "total_return")])
+
+
+def _monte_carlo_sql(paths: int = 50, seed: int = 42) -> str:
+    prime = montecarlo.PRIME
+    first = f"SELECT id, trade_return_pct / 10000 AS r, path, (id * 48271 + 11) % {prime} AS x FROM {ledger()} t CROSS JOIN (SELECT unnest(range(1, {paths + 1})) AS path) p"
+    mixed = lambda salt: f"(power_{salt} * power_{salt} + x) % {prime}"
+    second = f"SELECT *, (x * x + path * 69621 + {seed}) % {prime} AS power_0, (x * x + path * 69621 + {seed + 1}) % {prime} AS power_1 FROM ({first}) f"
+    # Poisson with mean 1 by inversion of its distribution function.
+    terms, total = [], 0.0
+    for k in range(6):
+        total += math.exp(-1) / math.factorial(k)
+        terms.append(f"(u >= {total!r})::INT")
+    drawn = f"SELECT path, id, r, place, {' + '.join(terms)} AS times FROM (SELECT *, ({mixed(0)}) / {float(prime)!r} AS u, {mixed(1)} AS place FROM ({second}) s) v"
+    wealth = f"SELECT path, exp(sum(ln(1 + r) * times) OVER (PARTITION BY path ORDER BY place, id)) AS w, ln(1 + r) * times AS g, place, id FROM ({drawn}) d WHERE times > 0"
+    falls = f"SELECT path, g, w / greatest(1, max(w) OVER (PARTITION BY path ORDER BY place, id)) - 1 AS fall FROM ({wealth}) w"
+    return f"SELECT path::INT AS path, round(exp(sum(g)), 8) + 0e0 AS final, round(min(fall), 8) + 0e0 AS max_drawdown, round(exp(sum(g)) - 1, 8) + 0e0 AS total_return FROM ({falls}) f GROUP BY path"
+
+
+QUERIES["monte_carlo"] = _monte_carlo
+ORACLES["monte_carlo"] = _TABLE.sub(r"\1", _monte_carlo_sql())
