@@ -1,7 +1,9 @@
 """Jaccard join of documents on word shingles by T-occurrence search.
 
-Documents with equal sets are one class and need no search. The rest are first brought into
-blocks such that linked documents share one: of two sets that share enough, some shingle is among
+Documents with equal sets are one class and need no search. A document can only be linked if
+enough of its shingles stand in another one too; how many do is counted by one shuffle of all
+shingles, in which nothing is paired, and the documents with too many shingles of their own are
+out. The rest are brought into blocks such that linked documents share one: of two sets that share enough, some shingle is among
 the first few of both in any one order of all shingles (prefix filter). The order is by frequency,
 rarest first, as counted over all documents in a table of hash buckets of fixed size, so a passage
 that many documents share stands last and ties nothing together. Documents of one task with a key
@@ -198,6 +200,81 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary")
 
 
+def _occurrences(docs: DataFrame, width: int) -> DataFrame:
+    """Rows ``key, node, shared`` of all shingles. 0: one occurrence. Of a slice of a task, shingles with several documents are counted
+    there: a positive number is that count of a node's shingles, -1 the one row that still tells the other tasks of the shingle.
+    """
+
+    def slice_rows(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        same = keys[1:] == keys[:-1]
+        again, more = np.append(False, same), np.append(same, False)
+        counts = np.bincount(owner[again | more], minlength=len(sets))
+        node, some = np.array(nodes, np.int64), np.flatnonzero(counts)
+        send = ~again
+        key = np.concatenate([keys[send], mixed(node[some].astype(np.uint64))]).view(np.int64)
+        shared = np.concatenate([np.where(more[send], -1, 0), counts[some]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([node[owner[send]], node[some]])), pa.array(shared)], names=["key", "node", "shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, size, seen = [], [], 0, set()
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if not len(s) or digest in seen:  # a copy says nothing new of its class
+                    continue
+                seen.add(digest)
+                nodes.append(node)
+                sets.append(s)
+                size += len(s)
+                if size > SLICE_KEYS:
+                    yield slice_rows(nodes, sets)
+                    nodes, sets, size = [], [], 0
+                    if len(seen) > 1 << 16:
+                        seen = set()
+        if size:
+            yield slice_rows(nodes, sets)
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "key long, node long, shared int")
+
+
+def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: how many of a node's shingles stand in another document too, in parts that add up."""
+    held: tuple | None = None  # the last row while its key may go on, and whether it is known to be shared
+    for batch in _closed(batches):
+        if batch is None:
+            key, node, shared = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
+        else:
+            key, node, shared = (c.to_numpy() for c in batch.columns)
+        counted = shared > 0
+        ready = [(node[counted], shared[counted])]
+        key, node, shared = key[~counted], node[~counted], shared[~counted]
+        known = np.zeros(len(key), bool)
+        if held is not None:
+            key, node, shared, known = np.append(held[0], key), np.append(held[1], node), np.append(held[2], shared), np.append(held[3], known)
+        if len(key):
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            several = (np.diff(np.append(start, len(key))) > 1) | np.logical_or.reduceat((shared < 0) | known, start)
+            # The last row waits: it may be its key's first of several.
+            done = np.ones(len(key), bool)
+            done[-1] = batch is None or bool(several[-1])
+            take = done & (shared == 0) & several[group] & ~(known & (shared == 0) & (np.arange(len(key)) == 0))
+            ready.append((node[take], np.ones(int(take.sum()), np.int32)))
+            held = (key[-1], node[-1], shared[-1], bool(several[-1]))
+        nodes = np.concatenate([n for n, _ in ready])
+        if len(nodes):
+            unique, at = np.unique(nodes, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(at, np.concatenate([k for _, k in ready])).astype(np.int64))], names=["node", "k"])
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -385,7 +462,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     counted = staged(_digests(docs, width), "set-digests")
     signed = counted.filter("n >= 0")
     classes = staged(signed.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").cast("long").alias("rep")), "set-classes")
-    keyed = _keys(docs, width, percent, _order(counted)).repartition(parts, "key").sortWithinPartitions("key")
+    # A linked document shares at least its percentage of shingles with one other.
+    occurrences = _occurrences(docs, width).repartition(parts, "key").sortWithinPartitions("key")
+    shared = occurrences.mapInArrow(lean(_shared_counts), "node long, k long").groupBy("node").agg(F.sum("k").alias("k"))
+    able = signed.filter("n > 0").join(staged(shared, "shared-shingles"), F.col("doc_id").cast("long") == F.col("node")).filter(F.col("k") * 100 >= F.col("n") * percent)
+    able = staged(able.join(classes, ["n", "digest"]).select(F.col("rep").alias("able")).distinct(), "able-documents")
+    some = staged_selective(docs.select("doc_id", "text").join(picked(able, "able"), F.col("doc_id").cast("long") == F.col("able")).select("doc_id", "text"), "able-texts")
+    keyed = _keys(some, width, percent, _order(counted)).repartition(parts, "key").sortWithinPartitions("key")
     near = staged(keyed.mapInArrow(lean(_stars), "u long, v long").distinct(), "near")
     rep_of = signed.join(classes, ["n", "digest"]).select(F.col("doc_id").cast("long").alias("node"), "rep").distinct()
     tied = near.join(rep_of.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u").join(rep_of.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v")
@@ -398,11 +481,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     level = F.when(F.col("large") & F.col("plain"), F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) + 1).otherwise(F.lit(0)).cast("int")
     sized = staged(sized.join(full, "block").select("node", "block", "n", "large", level.alias("level")), "block-sizes")
     discard(near, blocks)
-    links = _linked(docs, _first_round(sized), width, percent, parts, "links")
+    links = _linked(some, _first_round(sized), width, percent, parts, "links")
     parts_of = connected_components(links)
     again = _second_round(sized, parts_of)
     if not again.isEmpty():
-        links = links.unionByName(_linked(docs, again, width, percent, parts, "more-links"))
+        links = links.unionByName(_linked(some, again, width, percent, parts, "more-links"))
         parts_of = connected_components(links)
     named = classes.join(parts_of, classes["rep"] == parts_of["node"], "left").select(F.col("n").alias("_n"), F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
     joined = signed.join(named, (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")
