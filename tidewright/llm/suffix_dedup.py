@@ -122,12 +122,16 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
-    """Whether the ``window`` bytes from each of ``a`` and ``b`` on are the same, byte by byte."""
-    views = np.lib.stride_tricks.sliding_window_view(raw, window)
-    out = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 12):
-        part = slice(at, at + (1 << 12))
-        out[part] = (views[a[part]] == views[b[part]]).all(axis=1)
+    """Whether the ``window`` bytes from each of ``a`` and ``b`` on are the same, eight at a time."""
+    step = min(8, window)
+    words = np.lib.stride_tricks.sliding_window_view(raw, step).view(f"V{step}")[:, 0] if step < 8 else np.ndarray(max(0, len(raw) - 7), "<u8", raw, 0, (1,))
+    out = np.ones(len(a), bool)
+    left = np.arange(len(a))
+    for k in [*range(0, window - step + 1, step), window - step]:
+        equal = words[a[left] + k] == words[b[left] + k]
+        if not equal.all():
+            out[left[~equal]] = False
+            left = left[equal]
     return out
 
 
@@ -154,7 +158,7 @@ def repeated_windows(pieces: list[tuple[bytes, int]], window: int = WINDOW) -> l
     prefix = (total[order + window] - total[order]) * down[order]
     same = prefix[1:] == prefix[:-1]
     maybe = np.flatnonzero(same)
-    same[maybe] = same_bytes(text.astype(np.uint16), order[maybe], order[maybe + 1], window)
+    same[maybe] = same_bytes((text - 2).astype(np.uint8), order[maybe], order[maybe + 1], window)
     found = np.zeros(size, bool)
     found[order[:-1][same]] = found[order[1:][same]] = True
     return [found[a : a + n] for a, (_, n) in zip(starts, pieces, strict=True)]
