@@ -13,6 +13,14 @@ def _bound(k: int) -> str:
     return "CURRENT ROW" if k == 0 else f"{-k} PRECEDING" if k < 0 else f"{k} FOLLOWING"
 
 
+def corr(x: str, y: str, cond: str = "", over: str = "") -> str:
+    """Correlation of the rows that have both (and meet ``cond``); null where either doesn't vary, which is an error of division in one engine."""
+    cond = f" AND {cond}" if cond else ""
+    a, b = f"CASE WHEN {y} IS NOT NULL{cond} THEN {x} END", f"CASE WHEN {x} IS NOT NULL{cond} THEN {y} END"
+    spread = f"(stddev_pop({a}){over} * stddev_pop({b}){over})"
+    return f"(CASE WHEN {spread} > 1e-14 THEN covar_pop({a}, {b}){over} / {spread} END)"
+
+
 class Dialect:
     """SQL of one engine for series partitioned by ``by`` and totally ordered by ``order``."""
 
@@ -27,6 +35,8 @@ class Dialect:
         return f"{agg}({x}) OVER ({self.over} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})"
 
     def w2(self, agg: str, y: str, x: str, lo: int, hi: int) -> str:
+        if agg == "corr":
+            return corr(y, x, over=f" OVER ({self.over} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})")
         return f"{agg}({y}, {x}) OVER ({self.over} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})"
 
     def lag(self, x: str, n: int = 1) -> str:

@@ -5,8 +5,8 @@ Windows without a key run over days, of which there are few whatever the number
 
 from __future__ import annotations
 
-from tidewright.plans.dialect import Dialect
-from tidewright.plans.research import _corr, normal_cdf
+from tidewright.plans.dialect import Dialect, corr
+from tidewright.plans.research import normal_cdf
 from tidewright.plans.series import asof, daily, ledger, r6, running, series
 
 #: Days a year; the 5 % point of the normal law.
@@ -156,7 +156,7 @@ def chart_rolling_sharpe(d, window: int = 30):
 def chart_rolling_correlation(d, window: int = 3):
     """Correlation of the last three days' returns with the market's; days on which both are known."""
     frame = f" OVER (ORDER BY day ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
-    return f"SELECT day, round(coalesce({_corr('r', 'm', over=frame)}, 0e0), 4) AS correlation FROM (SELECT * FROM {_days(d)} q WHERE m IS NOT NULL) z"
+    return f"SELECT day, round(coalesce({corr('r', 'm', over=frame)}, 0e0), 4) AS correlation FROM (SELECT * FROM {_days(d)} q WHERE m IS NOT NULL) z"
 
 
 @series

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from tidewright.plans.dialect import Dialect
+from tidewright.plans.dialect import Dialect, corr
 from tidewright.plans.series import _concurrency, _signals, asof, bars, daily, ledger, r6, series
 
 # ---- events, barriers, labels ------------------------------------------------------------------------------------------------
@@ -238,18 +238,10 @@ def _measured(d: Dialect) -> str:
 _OF = "PARTITION BY symbol, feature ORDER BY ts"
 
 
-def _corr(x: str, y: str, cond: str = "", over: str = "") -> str:
-    """Correlation of the rows that have both (and meet ``cond``); null where either doesn't vary."""
-    cond = f" AND {cond}" if cond else ""
-    a, b = f"CASE WHEN {y} IS NOT NULL{cond} THEN {x} END", f"CASE WHEN {x} IS NOT NULL{cond} THEN {y} END"
-    spread = f"(stddev_pop({a}){over} * stddev_pop({b}){over})"
-    return f"(CASE WHEN {spread} > 1e-14 THEN covar_pop({a}, {b}){over} / {spread} END)"
-
-
 def _rolling_ic(d: Dialect, window: int) -> str:
     """Correlation of feature and five-bar return over the last ``window`` bars, from the first full window on; undefined counts as 0."""
     frame = f" OVER ({_OF} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
-    rows = f"SELECT symbol, feature, ts, rn, dollars, move, coalesce({_corr('f', 'y5', over=frame)}, 0e0) AS ic FROM {_measured(d)} m"
+    rows = f"SELECT symbol, feature, ts, rn, dollars, move, coalesce({corr('f', 'y5', over=frame)}, 0e0) AS ic FROM {_measured(d)} m"
     return f"(SELECT *, row_number() OVER ({_OF}) AS t, count(*) OVER (PARTITION BY symbol, feature) AS n FROM ({rows}) r WHERE rn >= {window})"
 
 
@@ -277,7 +269,7 @@ def feature_ic_drawdown(d, window: int = 100):
 
 
 def _pair(x: str, y: str, cond: str) -> str:
-    return f"coalesce({_corr(x, y, '' if cond == 'true' else cond)}, 0e0)"
+    return f"coalesce({corr(x, y, '' if cond == 'true' else cond)}, 0e0)"
 
 
 def _conditional(d: Dialect) -> str:
@@ -315,7 +307,7 @@ def feature_regime_consistency(d):
 def feature_regime_transitions(d, window: int = 10):
     """Median relative change of a short rolling correlation around changes of regime (mean of the window after against that before)."""
     frame = f"{_OF} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW"
-    rows = f"SELECT symbol, feature, ts, regime, lag(regime) OVER ({_OF}) AS was, rn, CASE WHEN count(CASE WHEN f IS NOT NULL AND y5 IS NOT NULL THEN 1 END) OVER ({frame}) >= 5 THEN {_corr('f', 'y5', over=f' OVER ({frame})')} END AS ic FROM {_measured(d)} m"
+    rows = f"SELECT symbol, feature, ts, regime, lag(regime) OVER ({_OF}) AS was, rn, CASE WHEN count(CASE WHEN f IS NOT NULL AND y5 IS NOT NULL THEN 1 END) OVER ({frame}) >= 5 THEN {corr('f', 'y5', over=f' OVER ({frame})')} END AS ic FROM {_measured(d)} m"
     # The correlation of the window that begins at a bar stands window - 1 rows later.
     around = f"SELECT symbol, feature, regime, was, rn, avg(ic) OVER ({_OF} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING) AS lead_in, avg(ic) OVER ({_OF} ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS follow FROM ({rows}) t"
     change = f"SELECT symbol, feature, abs(follow - lead_in) / (abs(lead_in) + 1e-10) AS change FROM ({around}) a WHERE was IS NOT NULL AND regime <> was AND abs(lead_in) > 0.01 AND follow IS NOT NULL"

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from tidewright.functions.features import FAMILIES, FEATURES, features_sql
 from tidewright.functions.patterns import PATTERNS
-from tidewright.plans.dialect import Dialect
+from tidewright.plans.dialect import Dialect, corr
 
 SERIES: dict[str, Callable[[Dialect], str]] = {}
 
@@ -552,7 +552,7 @@ def ledger_benchmark(d):
     x = f"SELECT k.day, coalesce(a.r, 0e0) AS r, k.m FROM ({market}) k LEFT JOIN ({mine}) a ON a.day = k.day WHERE k.m IS NOT NULL"
     return (
         f"SELECT count(*) AS days, {r6('covar_samp(r, m) / var_samp(m)')} AS beta, {r6('avg(r) - covar_samp(r, m) / var_samp(m) * avg(m)')} AS alpha, {r6('stddev_samp(r - m)')} AS tracking_error, "
-        f"{r6('avg(r - m) / stddev_samp(r - m)')} AS information_ratio, {r6('corr(r, m)')} AS correlation, {r6('avg(CASE WHEN m > 0 THEN r END) / avg(CASE WHEN m > 0 THEN m END)')} AS up_capture FROM ({x}) z"
+        f"{r6('avg(r - m) / stddev_samp(r - m)')} AS information_ratio, {r6(corr('r', 'm'))} AS correlation, {r6('avg(CASE WHEN m > 0 THEN r END) / avg(CASE WHEN m > 0 THEN m END)')} AS up_capture FROM ({x}) z"
     )
 
 
@@ -599,7 +599,7 @@ def variance_ratio_test(d):
 def ic_conditional(d):
     """Correlation of momentum and next return in calm and in wild bars."""
     x = f"SELECT symbol, c / {d.lag('c', 5)} - 1 AS f, {d.lead('c')} / c - 1 AS y, abs(c / {d.lag('c')} - 1) AS m FROM {bars(d)} b"
-    return f"SELECT symbol, {r6('corr(CASE WHEN m < 0.5 THEN f END, CASE WHEN m < 0.5 THEN y END)')} AS calm, {r6('corr(CASE WHEN m > 2 THEN f END, CASE WHEN m > 2 THEN y END)')} AS wild, {r6('corr(f, y)')} AS every FROM ({x}) z WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol"
+    return f"SELECT symbol, {r6(corr('f', 'y', 'm < 0.5'))} AS calm, {r6(corr('f', 'y', 'm > 2'))} AS wild, {r6(corr('f', 'y'))} AS every FROM ({x}) z WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol"
 
 
 @series
@@ -739,7 +739,7 @@ def rank_ic(d):
     """Spearman correlation of a feature with the return five bars ahead, average ranks."""
     x = f"SELECT symbol, c / {d.lag('c', 5)} - 1 AS f, {d.lead('c', 5)} / c - 1 AS y FROM {bars(d)} b"
     rank = lambda z: f"(rank() OVER (PARTITION BY symbol ORDER BY {z}) + (count(*) OVER (PARTITION BY symbol, {z}) - 1) / 2.0)"
-    return f"SELECT symbol, {r6('corr(rf, ry)')} AS ic, count(*) AS n FROM (SELECT symbol, {rank('f')} AS rf, {rank('y')} AS ry FROM ({x}) a WHERE f IS NOT NULL AND y IS NOT NULL) q GROUP BY symbol"
+    return f"SELECT symbol, {r6(corr('rf', 'ry'))} AS ic, count(*) AS n FROM (SELECT symbol, {rank('f')} AS rf, {rank('y')} AS ry FROM ({x}) a WHERE f IS NOT NULL AND y IS NOT NULL) q GROUP BY symbol"
 
 
 @series
@@ -747,8 +747,8 @@ def ic_decay_profile(d):
     horizons = (1, 3, 5, 10, 20)
     moves = f"SELECT symbol, c / {d.lag('c', 5)} - 1 AS f, " + ", ".join(f"{d.lead('c', k)} / c - 1 AS y{k}" for k in horizons) + f" FROM {bars(d)} b"
     if d.name == "spark":  # one pass over the bars
-        return f"SELECT symbol, horizon, {r6('corr(f, y)')} AS ic FROM ({moves}) a LATERAL VIEW stack({len(horizons)}, {', '.join(f'{k}, y{k}' for k in horizons)}) u AS horizon, y WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol, horizon"
-    parts = " UNION ALL ".join(f"SELECT symbol, {k} AS horizon, {r6(f'corr(f, y{k})')} AS ic FROM ({moves}) a WHERE f IS NOT NULL AND y{k} IS NOT NULL GROUP BY symbol" for k in horizons)
+        return f"SELECT symbol, horizon, {r6(corr('f', 'y'))} AS ic FROM ({moves}) a LATERAL VIEW stack({len(horizons)}, {', '.join(f'{k}, y{k}' for k in horizons)}) u AS horizon, y WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY symbol, horizon"
+    parts = " UNION ALL ".join(f"SELECT symbol, {k} AS horizon, {r6(corr('f', f'y{k}'))} AS ic FROM ({moves}) a WHERE f IS NOT NULL AND y{k} IS NOT NULL GROUP BY symbol" for k in horizons)
     return f"SELECT symbol, horizon, ic FROM ({parts}) u"
 
 
