@@ -185,3 +185,16 @@ def test_first_touches(spark):
     got = touches.first_touches(spark.createDataFrame(levels, "symbol string, ts long, id long, level double, up boolean"), spark.createDataFrame(bars, "symbol string, ts long, h double, l double"))
     want = {i: min((t for s, t, h, low in bars if s == symbol and t > ts and (h >= level if up else low <= level)), default=None) for symbol, ts, i, level, up in levels}
     assert {r.id: r.touched for r in got.collect()} == want
+
+
+def test_times_and_json(spark):
+    from tidewright.operators import frames
+
+    df = spark.createDataFrame([(1_700_000_000, float("nan"), "a"), (1_700_000_000_000, 1.5, None), (1_700_000_000_000_000, float("inf"), "b")], "t long, x double, s string")
+    out = frames.datetime_column(df)
+    assert {str(r.datetime) for r in out.collect()} == {"2023-11-14 22:13:20"} and out.columns == ["datetime", "x", "s"]
+    assert {r.e for r in out.select(frames.to_epoch(F.col("datetime")).alias("e")).collect()} == {1_700_000_000_000}
+    assert [json.loads(r.value) for r in frames.json_rows(df.select("x", "s")).collect()] == [{"x": None, "s": "a"}, {"x": 1.5, "s": None}, {"x": None, "s": "b"}]
+    with pytest.raises(ValueError):
+        frames.datetime_column(df.select("x"))
+    assert frames.datetime_column(spark.createDataFrame([("2024-01-01 00:00:00",)], "Date string")).columns == ["datetime"]

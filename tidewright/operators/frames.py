@@ -97,3 +97,37 @@ def majority(signals: DataFrame, columns: list[str] | None = None, name: str = "
     """Sign of the sum of all ``*_signals`` columns."""
     columns = columns or [c for c in signals.columns if c.endswith("_signals")]
     return signals.withColumn(name, F.signum(sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0))).cast("int"))
+
+
+def datetime_column(df: DataFrame, name: str = "datetime") -> DataFrame:
+    """``df`` with its time in a timestamp column ``name``: of that name, or one named like a time; text is parsed, numbers are
+    seconds, milliseconds or microseconds by their size. A ValueError if there is none.
+    """
+    from tidewright.sources.files import TIME_NAMES
+
+    names = {c.lower(): c for c in df.columns}
+    found = names.get(name.lower()) or next((names[n] for n in TIME_NAMES if n in names), None)
+    if found is None:
+        raise ValueError(f"no time among {df.columns}")
+    kind = df.schema[found].dataType.typeName()
+    if kind in ("long", "integer", "double"):
+        value = from_epoch(F.col(found))
+    else:
+        value = F.to_timestamp(F.col(found)) if kind == "string" else F.col(found).cast("timestamp")
+    return df.withColumn(found, value).withColumnRenamed(found, name)
+
+
+def from_epoch(x: Column) -> Column:
+    """A number of seconds, milliseconds or microseconds since 1970 as a timestamp."""
+    size = F.abs(x)
+    return F.when(size < 1e11, F.timestamp_millis((x * 1000).cast("long"))).when(size < 1e14, F.timestamp_millis(x.cast("long"))).otherwise(F.timestamp_micros(x.cast("long")))
+
+
+def to_epoch(ts: Column, unit: str = "ms") -> Column:
+    return {"s": F.unix_seconds, "ms": F.unix_millis, "us": F.unix_micros}[unit](ts.cast("timestamp"))
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """Rows as JSON texts; NaN and infinite numbers are null, as JSON has none."""
+    clean = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("value"))

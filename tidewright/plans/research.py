@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from tidewright.plans.dialect import Dialect, corr
-from tidewright.plans.series import _concurrency, _signals, asof, bars, daily, ledger, r6, series
+from tidewright.plans.series import _concurrency, _signals, asof, bars, daily, ledger, r6, series, ticks
 
 # ---- events, barriers, labels ------------------------------------------------------------------------------------------------
 
@@ -386,3 +386,67 @@ def feature_final_score(d, cost: float = 0.001):
     total = sum(w for w, _ in tests)
     score = " + ".join(f"CASE WHEN {cond} THEN {w} ELSE 0 END" for w, cond in tests)
     return f"SELECT s.symbol, s.feature, round(CAST(({score}) / {total!r} * 100 AS DOUBLE), 4) AS score FROM {_spearman(d)} s JOIN {_conditional(d)} c {on('c')} JOIN ({ic}) i {on('i')} JOIN ({stable}) x {on('x')} JOIN {_regime_consistency(d)} r {on('r')} JOIN {_noise(d)} n {on('n')}"
+
+
+# ---- ticks and distributions -------------------------------------------------------------------------------------------------
+
+
+def _tick_moves(d: Dialect) -> str:
+    """Log returns of consecutive ticks other than zero, numbered from the last (``back``) and the first (``k``)."""
+    raw = f"SELECT symbol, trade_id, ln(price) - ln(lag(price) OVER (PARTITION BY symbol ORDER BY trade_id)) AS lr FROM {ticks()} t"
+    return f"(SELECT symbol, trade_id, lr, row_number() OVER (PARTITION BY symbol ORDER BY trade_id) AS k, row_number() OVER (PARTITION BY symbol ORDER BY trade_id DESC) AS back FROM ({raw}) r WHERE lr <> 0)"
+
+
+@series
+def tick_daily_metric(d):
+    """Dollar volume, volume and path of each series' ticks by day."""
+    moves = f"SELECT symbol, {d.bucket('ts', 24)} AS day, price * quantity AS dollars, quantity, abs(price / lag(price) OVER (PARTITION BY symbol ORDER BY trade_id) - 1) AS move FROM {ticks()} t"
+    return f"SELECT symbol, day, {r6('sum(dollars)')} AS dollars, {r6('sum(quantity)')} AS volume, {r6('coalesce(sum(move), 0)')} AS path FROM ({moves}) m GROUP BY symbol, day"
+
+
+@series
+def tick_quality(d, window: int = 500, recent: int = 300, lag: int = 50):
+    """Of tick returns: entropy in bits over 50 bins, stability (correlation of sizes fifty ticks apart), noise, efficiency."""
+    m = _tick_moves(d)
+    edges = f"SELECT symbol AS s, min(lr) AS lo, max(lr) AS hi, count(*) AS n FROM {m} m GROUP BY symbol"
+    cells = f"SELECT symbol, least(floor((lr - lo) / (hi - lo) * 50), 49) AS bin, max(n) AS n, count(*) AS c FROM {m} m JOIN ({edges}) e ON e.s = m.symbol GROUP BY symbol, least(floor((lr - lo) / (hi - lo) * 50), 49)"
+    entropy = f"SELECT symbol, -sum(1e0 * c / n * log2(1e0 * c / n)) AS entropy FROM ({cells}) c GROUP BY symbol"
+    after = f"SELECT *, lag(lr) OVER (PARTITION BY symbol ORDER BY k) AS before, lag(lr, {lag}) OVER (PARTITION BY symbol ORDER BY k) AS far FROM {m} m"
+    steady = corr("abs(lr)", "abs(far)", f"back <= {window}")
+    noise = f"stddev_pop(CASE WHEN back <= {recent} THEN lr END) / nullif(avg(CASE WHEN back <= {recent} THEN abs(lr) END), 0)"
+    clip = lambda x: f"greatest(0e0, least(1e0, {x}))"
+    ratio = "var_pop(CASE WHEN k % 2 = 1 THEN lr END) / (2 * nullif(var_pop(lr), 0))"
+    stats = f"SELECT symbol, count(*) AS n, CASE WHEN count(*) >= {2 * window} THEN coalesce({clip(f'({steady} + 1) / 2')}, 5e-1) ELSE 5e-1 END AS stability, CASE WHEN count(*) >= 50 THEN coalesce({clip(f'({noise} - 2) / 18')}, 5e-1) ELSE 5e-1 END AS noise, greatest(0e0, 1 - abs(coalesce({corr('lr', 'before')}, 0e0)) * 10) AS calm, coalesce(greatest(0e0, 1 - abs({ratio} - 1) * 2), 5e-1) AS even FROM ({after}) a GROUP BY symbol"
+    return f"SELECT s.symbol, s.n, {r6('e.entropy')} AS entropy, {r6('s.stability')} AS stability, {r6('s.noise')} AS noise, {r6('greatest(1e-1, least(9e-1, (s.calm + s.even) / 2))')} AS efficiency FROM ({stats}) s JOIN ({entropy}) e ON e.symbol = s.symbol"
+
+
+@series
+def distribution_comparison(d):
+    """Every pair of series: Mann-Whitney U, Kolmogorov-Smirnov distance and Cohen's d of their log returns.
+
+    Ranks and distribution functions are windows over the pair's values; equal values share the mean rank.
+    """
+    r = f"(SELECT symbol, r FROM (SELECT symbol, ln(c) - ln({d.lag('c')}) AS r FROM {bars(d, 24)} b) q WHERE r IS NOT NULL)"
+    names = f"(SELECT DISTINCT symbol FROM {r} q)"
+    pairs = f"SELECT a.symbol AS a, b.symbol AS b FROM {names} a JOIN {names} b ON a.symbol < b.symbol"
+    values = f"SELECT p.a, p.b, CASE WHEN q.symbol = p.a THEN 1 ELSE 0 END AS first, q.r FROM ({pairs}) p JOIN {r} q ON q.symbol = p.a OR q.symbol = p.b"
+    w = "PARTITION BY a, b ORDER BY r RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    placed = f"SELECT *, rank() OVER (PARTITION BY a, b ORDER BY r) + (count(*) OVER (PARTITION BY a, b, r) - 1) / 2e0 AS place, sum(first) OVER ({w}) AS below_a, sum(1 - first) OVER ({w}) AS below_b, sum(first) OVER (PARTITION BY a, b) AS n, sum(1 - first) OVER (PARTITION BY a, b) AS m FROM ({values}) v"
+    mean = lambda x: f"avg(CASE WHEN first = {x} THEN r END)"
+    var = lambda x: f"var_samp(CASE WHEN first = {x} THEN r END)"
+    return f"SELECT a, b, round(sum(CASE WHEN first = 1 THEN place END) - max(n) * (max(n) + 1) / 2e0, 2) AS mann_whitney, round(max(abs(1e0 * below_a / n - 1e0 * below_b / m)), 6) AS kolmogorov_smirnov, round(({mean(1)} - {mean(0)}) / nullif(sqrt(({var(1)} + {var(0)}) / 2), 0), 4) AS cohen_d FROM ({placed}) z GROUP BY a, b"
+
+
+@series
+def pattern_signals(d):
+    """Pattern codes as strengths: the place of a code's size among the sizes that occur, with the code's sign."""
+    from tidewright.plans.series import SERIES
+
+    names = ("engulfing", "harami", "doji_star", "hikkake", "marubozu")
+    codes = SERIES["candle_patterns"](d)
+    if d.name == "spark":
+        sizes = ", ".join(f"array_sort(collect_set(abs({n}))) AS s_{n}" for n in names)
+        strength = ", ".join(f"CAST(sign({n}) * (array_position(s_{n}, abs({n})) - 1) AS INT) AS signal_{n}" for n in names)
+        return f"SELECT symbol, ts, {strength} FROM ({codes}) c CROSS JOIN (SELECT {sizes} FROM ({codes}) x) s"
+    strength = ", ".join(f"CAST(sign({n}) * (dense_rank() OVER (ORDER BY abs({n})) - 1) AS INT) AS signal_{n}" for n in names)
+    return f"SELECT symbol, ts, {strength} FROM ({codes}) c"
