@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from tidewright.llm.common import staged, table
+from tidewright.llm.common import discard, staged, table
 from tidewright.llm.queries import tokenizer_json
 
 
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are a table in the shared folder before the next begins."""
+    """All stages over ``documents``; each stage's rows are a table in the shared folder before the next begins, and go when that has ended."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        if hasattr(before, "staged_path"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
