@@ -17,6 +17,23 @@ def op2_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: Every 200-byte string by its hash (bytes as two hexadecimal digits); starts of repeated ones give the removed runs.
+OP2_SQL = """
+WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS d, hex(encode(coalesce(text, ''))) AS x FROM documents),
+spots AS (SELECT d, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM t WHERE length(x) >= 400),
+hashed AS MATERIALIZED (SELECT d, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM spots),
+again AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT d, i, lag(i) OVER (PARTITION BY d ORDER BY i) AS before FROM hashed SEMI JOIN again USING (h)),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY i) AS run FROM hits),
+runs AS MATERIALIZED (SELECT d, run, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY d, run),
+gaps AS (SELECT d, lo, coalesce(lag(hi) OVER (PARTITION BY d ORDER BY lo), 0) AS from_ FROM runs),
+heads AS (SELECT t.d, string_agg(substr(x, 2 * from_ + 1, 2 * (lo - from_)), '' ORDER BY lo) AS kept FROM gaps g JOIN t ON t.d = g.d GROUP BY t.d),
+ends AS (SELECT d, max(hi) AS hi, sum(hi - lo) AS gone, count(*) AS n FROM runs GROUP BY d)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(e.gone, 0)::BIGINT AS n_removed, coalesce(e.n, 0) AS n_spans, sha256(unhex(CASE WHEN e.d IS NULL THEN x ELSE h.kept || substr(x, 2 * e.hi + 1) END)) AS kept_sha256
+FROM t LEFT JOIN ends e ON e.d = t.d LEFT JOIN heads h ON h.d = t.d
+"""
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -175,6 +192,7 @@ QUERIES = {
     "op10_line_neighbourhood_dedup": op10_line_neighbourhood_dedup,
 }
 ORACLES = {
+    "op2_suffix_array_dedup": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op4_jaccard_divide_skip": OP4_SQL,
     "op5_embedding_near_dedup": OP5_SQL,
