@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, packing, stream_dedup, suffix_dedup, warc
+from . import embedding_dedup, fingerprints, html_text, jaccard_join, language_id, line_dedup, merkle, mixing, packing, stream_dedup, suffix_dedup, warc, whitening
 from .common import WORD, table
 
 
@@ -179,6 +179,53 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM p
 """
 
+
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), merkle.tampered_leaf()).drop("source", "path")
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda h, b: CASE WHEN b >= 0 THEN xor(h, b) ELSE xor(h >> 1, 3988292384::BIGINT * (h & 1)) END), 4294967295)"""
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars")) + " || coalesce(octet_length(encode(text)) || ':' || {0}, '-'))"
+
+#: Nodes of all trees level by level (the sources' tree counts from level 100), then each document's way up through them.
+OP11_SQL = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, {_LEAF.format("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents
+), leaves AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source COLLATE "binary" NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM rows_
+), nodes(tree, lvl, idx, n, h) AS (
+  SELECT tree, 0, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, lvl, idx // 16, n
+), under AS MATERIALIZED (SELECT * FROM nodes),
+tops AS MATERIALIZED (SELECT tree, lvl, h, count(*) OVER () AS s FROM under WHERE n = 1),
+over_(lvl, idx, n, h) AS (
+  SELECT 100, tree, s, h FROM tops UNION ALL SELECT lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM over_ WHERE n > 1 GROUP BY lvl, idx // 16, n
+), all_ AS MATERIALIZED (SELECT tree, lvl, idx, n, h FROM under WHERE n > 1 UNION ALL SELECT -1, lvl, idx, n, h FROM over_ WHERE n > 1),
+runs AS MATERIALIZED (SELECT tree, lvl, idx // 16 AS p, list(h ORDER BY idx) AS kids FROM all_ GROUP BY tree, lvl, idx // 16),
+sides AS MATERIALIZED (SELECT a.tree, a.lvl, a.idx, array_to_string(kids[:a.idx % 16], '') AS lft, array_to_string(kids[a.idx % 16 + 2:], '') AS rgt FROM all_ a JOIN runs r ON r.tree = a.tree AND r.lvl = a.lvl AND r.p = a.idx // 16),
+starts AS (SELECT row_number() OVER () AS doc, l.*, t.lvl AS height, t.h AS subroot FROM leaves l JOIN tops t ON t.tree = l.tree),
+ways(doc, own, height, tree, lvl, idx, proof, fold) AS (
+  SELECT doc, tree, height, CASE WHEN height = 0 THEN -1 ELSE tree END, CASE WHEN height = 0 THEN 100 ELSE 0 END, CASE WHEN height = 0 THEN tree ELSE idx END, '', coalesce(other, leaf) FROM starts
+  UNION ALL
+  SELECT w.doc, own, height, CASE WHEN w.lvl + 1 = height THEN -1 ELSE w.tree END, CASE WHEN w.lvl + 1 = height THEN 100 ELSE w.lvl + 1 END, CASE WHEN w.lvl + 1 = height THEN own ELSE w.idx // 16 END, proof || lft || rgt, sha256(lft || fold || rgt)
+  FROM ways w JOIN sides s ON s.tree = w.tree AND s.lvl = w.lvl AND s.idx = w.idx
+), ends AS (SELECT doc, arg_max(proof, lvl) AS proof, arg_max(fold, lvl) AS fold FROM ways WHERE lvl >= 100 GROUP BY doc)
+SELECT doc_id, leaf, subroot, (SELECT h FROM over_ WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT h FROM over_ WHERE n = 1) AS verified
+FROM starts s JOIN ends e ON e.doc = s.doc
+"""
+
+
+def op12_winnowing_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -190,6 +237,9 @@ QUERIES = {
     "op8_warc_from_arc": op8_warc_from_arc,
     "op9_language_id": op9_language_id,
     "op10_line_neighbourhood_dedup": op10_line_neighbourhood_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_winnowing_fingerprints": op12_winnowing_fingerprints,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES = {
     "op2_suffix_array_dedup": OP2_SQL,
@@ -199,4 +249,5 @@ ORACLES = {
     "op6_stream_exact_dedup": OP6_SQL,
     "op8_warc_from_arc": OP8_SQL,
     "op10_line_neighbourhood_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
