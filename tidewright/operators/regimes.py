@@ -6,19 +6,22 @@ Exponential averages run over the whole series; bars of the warm-up, and as many
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_left, insort
 from collections import deque
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import Step, ordered_scan
+from .scan import Step, ordered_scan, sessions
 
 EPS = 1e-10
-NONE, STILL = "INSUFFICIENT_DATA", "INSUFFICIENT_VOLATILITY"
+NONE, STILL, GAP = "INSUFFICIENT_DATA", "INSUFFICIENT_VOLATILITY", "GAP_DETECTED"
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,8 @@ class RegimeConfig:
     floor: float = 1e-8
     floor_bars: int = 20
     epsilon: float = 0.05
+    #: After a gap begin anew, with a row that says so, instead of carrying the averages over it.
+    reset_on_gap: bool = False
 
     @property
     def warmup(self) -> int:
@@ -136,7 +141,12 @@ class _State:
 
     def step(self, ts: float, c: float) -> tuple:
         k = self.cfg
-        self.since_gap = 0 if self._gap(ts) else None if self.since_gap is None else self.since_gap + 1
+        gap = self._gap(ts)
+        if gap and k.reset_on_gap:
+            self.__init__(k)
+            self.step(ts, c)
+            return (GAP,) * 4 + (math.nan,) * (len(OUT) - 4)
+        self.since_gap = 0 if gap else None if self.since_gap is None else self.since_gap + 1
         r = math.log(c / self.last_c) if self.last_c else 0.0
         self.last_c, self.n = c, self.n + 1
         raw = math.log(self.fast(c) / self.slow(c))
@@ -177,6 +187,32 @@ class _State:
         return trend, vol, momentum, label, confidence, z, pct, pressure, min(self.run / k.stability_cap, 1.0), down / (up + EPS), z - before, k.alpha_min + (k.alpha_max - k.alpha_min) * pct, up, down, persistence, *map(soft, scores)
 
 
+    # What a later run goes on from, as JSON: numbers come back as they were.
+
+    _PLAIN = "n last_c last_ts z sign interval since_gap quiet transition label run".split()
+    _AVERAGES = "fast slow mean var up down expansion persistence".split()
+
+    def dump(self) -> str:
+        held = {n: [getattr(self, n).label, getattr(self, n).next, getattr(self, n).count] for n in ("trend", "vol", "momentum")}
+        spreads = {n: [getattr(self, n).mean.value, getattr(self, n).var.value] for n in ("spread_z", "spread_p")}
+        return json.dumps({**{n: getattr(self, n) for n in self._PLAIN}, **{n: getattr(self, n).value for n in self._AVERAGES}, **spreads, **held, "ring": list(self.ring)})
+
+    @classmethod
+    def load(cls, cfg: RegimeConfig, text: str) -> _State:
+        found, out = json.loads(text), cls(cfg)
+        for n in cls._PLAIN:
+            setattr(out, n, found[n])
+        for n in cls._AVERAGES:
+            getattr(out, n).value = found[n]
+        for n in ("spread_z", "spread_p"):
+            getattr(out, n).mean.value, getattr(out, n).var.value = found[n]
+        for n in ("trend", "vol", "momentum"):
+            h = getattr(out, n)
+            h.label, h.next, h.count = found[n]
+        out.ring, out.sorted = deque(found["ring"]), sorted(found["ring"])
+        return out
+
+
 OUT = {
     **dict.fromkeys(("regime_trend", "regime_volatility", "regime_momentum", "regime_label"), T.StringType()),
     **dict.fromkeys(
@@ -201,3 +237,37 @@ def regime_engine(bars: DataFrame, cfg: RegimeConfig = RegimeConfig(), by: str =
         return step
 
     return ordered_scan(bars, [by], [order], ["c", order], make, OUT)
+
+
+class _Resumed:
+    """A series' bars after those of its stored state, which comes as its first row; the last bar's row has the new state."""
+
+    def __init__(self, cfg: RegimeConfig) -> None:
+        self.cfg, self.state, self.waiting = cfg, _State(cfg), None
+
+    def push(self, row: tuple) -> list[tuple]:
+        ts, c, stored = row
+        if stored is not None:
+            self.state = _State.load(self.cfg, stored)
+            return []
+        at = ts.replace(tzinfo=timezone.utc).timestamp()
+        if c is None or self.state.last_ts is not None and at <= self.state.last_ts:
+            return []
+        out, self.waiting = [self.waiting] if self.waiting else [], (ts, *(None if v != v else v for v in self.state.step(at, c)), None)
+        return out
+
+    def close(self) -> list[tuple]:
+        return [(*self.waiting[:-1], self.state.dump())] if self.waiting else []
+
+
+def regime_update(bars: DataFrame, states: DataFrame | None = None, cfg: RegimeConfig = RegimeConfig(), by: str = "symbol", order: str = "ts") -> DataFrame:
+    """:func:`regime_engine` on the bars that come after a stored state: its columns and ``state``, which each series' last row has.
+
+    ``states`` holds ``by, state`` of an earlier run; series without one begin anew. Bars up to a state's last one have been processed and
+    are left out, as are bars without a close and bars of a time that has been. Series without new bars have no rows: their state stays.
+    """
+    ntz = bars.select(by, F.col(order).cast("timestamp_ntz").alias(order), F.col("c").cast("double").alias("c"), F.lit(None).cast("string").alias("state"))
+    if states is not None:
+        ntz = ntz.unionByName(states.select(by, F.lit(datetime(1, 1, 1)).cast("timestamp_ntz").alias(order), F.lit(None).cast("double").alias("c"), "state"))
+    schema = T.StructType([T.StructField(order, T.TimestampNTZType()), *(T.StructField(n, t) for n, t in OUT.items()), T.StructField("state", T.StringType())])
+    return sessions(ntz, [by], [order], [order, "c", "state"], lambda: _Resumed(cfg), schema)

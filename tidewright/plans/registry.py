@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .dialect import Dialect, Duck, Spark
 from tidewright.operators import backtest, info_bars, montecarlo, recursive, regimes, swings, touches, window_stats
 
-from . import portfolio, research  # noqa: F401  they register their queries
+from . import modelling, portfolio, research  # noqa: F401  they register their queries
 from .series import SERIES, _signals, _swings, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"
@@ -279,3 +279,16 @@ def _monte_carlo_sql(paths: int = 50, seed: int = 42) -> str:
 
 QUERIES["monte_carlo"] = _monte_carlo
 ORACLES["monte_carlo"] = _TABLE.sub(r"\1", _monte_carlo_sql())
+
+
+# ---- modelling steps -----------------------------------------------------------------------------------------------------------
+
+
+def _framed(build: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(lambda text: run_sql(spark, text, sf_dir))
+
+
+for _name, (_build, _twin) in modelling.FRAMES.items():
+    QUERIES[_name] = _framed(_build)
+    if _twin:
+        ORACLES[_name] = _TABLE.sub(r"\1", _twin)

@@ -1,4 +1,4 @@
-"""Streams: bars with watermarks, message parsing, information bars and regimes with the batch operators' own steps."""
+"""Streams: bars with watermarks, message parsing, information bars with the batch operator's own steps. Regimes are in ``regimes.py``."""
 
 from __future__ import annotations
 
