@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, discard, fresh_name, lean, picked, staged, staged_selective
 from .jaccard_join import SLICE_KEYS, _stars, combined
-from .shingles import _powers, mixed, slices, word_hashes
+from .shingles import Sequences, mixed, slices, word_hashes
 
 #: Lines of fewer words go only as exact copies; with one edit allowed, five words are a similarity of 0.8.
 MIN_WORDS = 5
@@ -49,21 +49,17 @@ def line_hashes(texts: list[str | None], min_words: int) -> Iterator[tuple[np.nd
         to = np.searchsorted(start, ends)
         at = np.append(0, to[:-1])
         n = to - at
-        up, down = _powers(len(words) + 1)
-        total, other = np.zeros(len(words) + 1, np.uint64), np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=total[1:])
-        np.cumsum(mixed(words ^ _SALT) * up[: len(words)], out=other[1:])
+        whole, other = Sequences(words), Sequences(mixed(words ^ _SALT), 1)
         keep = np.flatnonzero(n)
         a, b, n = at[keep], to[keep], n[keep].astype(np.uint64)
-        first = mixed((total[b] - total[a]) * down[a] + n)
-        second = mixed((other[b] - other[a]) * down[a] + n)
+        first, second = whole.of(a, b, n), other.of(a, b, n)
         long = n >= min_words
         a, b, n, halves = a[long], b[long], n[long], []
         for m in (n, n - np.uint64(1)):  # as the line is, and as the longer of two lines
             half = (m >> np.uint64(1)).astype(np.int64)
             rest = m.astype(np.int64) - half
-            halves.append(mixed((total[a + half] - total[a]) * down[a] + (m << np.uint64(1))))
-            halves.append(mixed((total[b] - total[b - rest]) * down[b - rest] + (m << np.uint64(1)) + np.uint64(1)))
+            halves.append(whole.of(a, a + half, m << np.uint64(1)))
+            halves.append(whole.of(b - rest, b, (m << np.uint64(1)) + np.uint64(1)))
         yield owner[keep] + part.start, number[keep], first, second, long, halves, np.bincount(owner, minlength=len(some))
 
 
@@ -115,11 +111,9 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def variant_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a line and of the line without each of its words, and the places left out (-1: none)."""
     n = len(words)
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up[:n], out=total[1:])
-    without = total[:-1] + (total[n] - total[1:]) * down[1]
-    return mixed(np.append(total[n] + np.uint64(n), without + np.uint64(n - 1))), np.arange(-1, n)
+    sums = Sequences(words)
+    whole = sums.of(np.zeros(1, np.int64), np.full(1, n), np.full(1, n, np.uint64))
+    return np.append(whole, sums.without_each(np.full(1, n - 1, np.uint64))), np.arange(-1, n)
 
 
 def _group_starts(new: np.ndarray) -> np.ndarray:
@@ -209,7 +203,9 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A line goes when an earlier line anywhere is alike: equal, or one word inserted, deleted or replaced. Earlier means a smaller
     id (null ids last, rows that share an id by a hash of their text), then a smaller line number. Lines of fewer than
     ``min_words`` words go only when equal, lines without words stay. A repeated row is its own twin, not an earlier one: all its
-    copies are treated alike. An empty table has no lines to drop. Words, halves and variants are compared by 64-bit hashes.
+    copies are treated alike. An empty table has no lines to drop. Words, halves and variants are compared by 64-bit hashes, equal
+    lines by two hashes over other fields and bases, near ones by their words. A line without blanks is one word, so scripts that are
+    written without them have exact copies only.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -50,7 +50,7 @@ def pieces_of(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> Iterat
             since = np.arange(len(least)) - np.repeat(start, np.diff(np.append(start, len(least))))
             start = np.flatnonzero(new | (since % LONGEST == 0))
         end = np.append(start[1:], len(least))
-        piece = mixed((total[end - 1 + window] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        piece = _chained(h, start, end - 1 + window, anchor)
         # An anchor's places: where a string is the smallest of some window that it lies in.
         over = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
         over = np.append(over, np.zeros(-len(over) % width, np.uint64)).reshape(-1, width)
@@ -62,6 +62,17 @@ def pieces_of(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> Iterat
         yield least[start], piece, start + at, end - start, inner
 
 
+def _chained(h: np.ndarray, start: np.ndarray, stop: np.ndarray, anchor: int) -> np.ndarray:
+    """Hashes of the bytes start..stop-1: of their anchor-long strings end to end and the last one, each mixed into what came before."""
+    size = stop - start
+    out = mixed(size.astype(np.uint64) ^ h[stop - anchor])
+    at = np.arange(len(start))
+    for k in range(0, int(size.max()) - anchor + 1, anchor):
+        at = at[size[at] >= k + anchor]
+        out[at] = mixed(out[at] * np.uint64(0x9E3779B97F4A7C15) + h[start[at] + k])
+    return out
+
+
 def _cut(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list, docs: list, versions: list, counts: list) -> pa.RecordBatch:
