@@ -12,10 +12,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators import bootstrap, clusters, minute_bars, unit_root
+from tidewright.operators import bootstrap, clusters, granger, learning, minute_bars, transforms, unit_root
 from tidewright.plans.dialect import Dialect, Duck, Spark
-from tidewright.plans.research import _events, normal_cdf
-from tidewright.plans.series import bars, r6, series, ticks
+from tidewright.plans.research import _combinatorial, _events, _walk_forward, normal_cdf, normal_ppf
+from tidewright.plans.series import bars, ledger, r6, series, ticks
 
 Run = Callable[[str], DataFrame]
 FRAMES: dict[str, tuple[Callable[[Run], DataFrame], str]] = {}
@@ -319,3 +319,173 @@ def _minute_bars_sql(kind: str) -> str:
 
 for _kind in MINUTE_KINDS:
     FRAMES[f"minute_bars_{_kind}"] = (_minute_bars(_kind), _minute_bars_sql(_kind))
+
+# ---- Granger causality -----------------------------------------------------------------------------------------------------------
+
+GRANGER_LAGS = 5
+CAUSES = tuple(n for n in WIDE if n != "momentum_1")
+
+
+def _paired(d: Dialect) -> str:
+    """A row per bar and feature, with the bar's own return as the target."""
+    if d.name == "spark":
+        return f"(SELECT symbol, ts, momentum_1 AS y, feature, f FROM {_wide(d)} w LATERAL VIEW stack({len(CAUSES)}, {', '.join(f"'{n}', {n}" for n in CAUSES)}) u AS feature, f)"
+    return "(" + " UNION ALL ".join(f"SELECT symbol, ts, momentum_1 AS y, '{n}' AS feature, {n} AS f FROM {_wide(d)} w" for n in CAUSES) + ")"
+
+
+def granger_causality(run: Run) -> DataFrame:
+    found = granger.granger_tests(run(f"SELECT * FROM {_paired(Spark())} p"), ["symbol", "feature"], "ts", "y", "f", GRANGER_LAGS)
+    return found.selectExpr("symbol", "feature", "lag", "n_obs", "round(f_stat, 4) + 0D AS f_stat", "round(p_value, 5) + 0D AS p_value")
+
+
+def granger_scores(run: Run) -> DataFrame:
+    found = granger.granger_tests(run(f"SELECT * FROM {_paired(Spark())} p"), ["symbol", "feature"], "ts", "y", "f", GRANGER_LAGS)
+    return granger.granger_scores(found, ["symbol", "feature"]).selectExpr("symbol", "feature", "round(score, 3) + 0D AS score")
+
+
+def _granger_sql() -> str:
+    """Residuals column after column, own lags before the feature's; the tail of F by the power series of the incomplete beta function."""
+    n, by = GRANGER_LAGS, "symbol, feature"
+    over = f"OVER (PARTITION BY {by} ORDER BY ts)"
+    lagged = ", ".join([f"lag(y, {j}) {over} AS y{j}" for j in range(1, n + 1)] + [f"lag(f, {j}) {over} AS f{j}" for j in range(1, n + 1)])
+    parts = [f"lagged AS MATERIALIZED (SELECT {by}, y, {lagged}, row_number() {over} AS k FROM {_paired(Duck())} p)"]
+    for lag in range(1, n + 1):
+        cols = [f"y{j}" for j in range(1, lag + 1)] + [f"f{j}" for j in range(1, lag + 1)]
+        parts.append(f"g{lag}_0 AS MATERIALIZED (SELECT {by}, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}' for c in ['y', *cols])} FROM lagged WHERE k > {lag})")
+        for i, c in enumerate(cols):
+            rest = ["y", *cols[i + 1 :]]
+            slope = lambda z, c=c: f"{z} - coalesce(sum({z} * {c}) OVER (PARTITION BY {by}) / nullif(sum({c} * {c}) OVER (PARTITION BY {by}), 0), 0) * {c} AS {z}"
+            parts.append(f"g{lag}_{i + 1} AS MATERIALIZED (SELECT {by}, {', '.join(map(slope, rest))} FROM g{lag}_{i})")
+        own, both = (f"(SELECT {by}, count(*) AS m, sum(y * y) AS rss FROM g{lag}_{k} GROUP BY {by})" for k in (lag, 2 * lag))
+        parts.append(f"t{lag} AS (SELECT a.symbol, a.feature, {lag} AS lag, a.m AS n_obs, a.m - {2 * lag + 1} AS free, (a.rss - b.rss) / b.rss / {lag} * (a.m - {2 * lag + 1}) AS f_stat FROM {own} a JOIN {both} b USING (symbol, feature))")
+    tests = " UNION ALL ".join(f"SELECT * FROM t{lag}" for lag in range(1, n + 1))
+    # I_x(a, b) from its series where x is small against a / (a + b), else from that of the other end.
+    ends = "SELECT *, free / 2e0 AS a0, lag / 2e0 AS b0, free / (free + lag * f_stat) AS x0 FROM tests"
+    sides = f"SELECT *, x0 > (a0 + 1) / (a0 + b0 + 2) AS flip FROM ({ends})"
+    args = f"args AS MATERIALIZED (SELECT *, CASE WHEN flip THEN b0 ELSE a0 END AS a, CASE WHEN flip THEN a0 ELSE b0 END AS b, CASE WHEN flip THEN 1 - x0 ELSE x0 END AS x FROM ({sides}))"
+    series_ = "terms(symbol, feature, lag, i, term, total) AS (SELECT symbol, feature, lag, 0, 1e0, 1e0 FROM args UNION ALL SELECT t.symbol, t.feature, t.lag, i + 1, term * x * (a + b + i) / (a + 1 + i), total + term * x * (a + b + i) / (a + 1 + i) FROM terms t JOIN args g USING (symbol, feature, lag) WHERE term > total * 1e-17 AND i < 20000)"
+    value = "exp(a * ln(x) + b * ln(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a * s"
+    done = f"done AS MATERIALIZED (SELECT g.symbol, g.feature, g.lag, n_obs, f_stat, CASE WHEN f_stat <= 0 THEN 1e0 WHEN flip THEN 1 - {value} ELSE {value} END AS p FROM args g JOIN (SELECT symbol, feature, lag, max(total) AS s FROM terms GROUP BY ALL) t USING (symbol, feature, lag))"
+    return f"WITH RECURSIVE {', '.join(parts)}, tests AS MATERIALIZED ({tests}), {args}, {series_}, {done}"
+
+
+FRAMES["granger_causality"] = (granger_causality, f"{_granger_sql()} SELECT symbol, feature, lag, n_obs, round(f_stat, 4) + 0e0 AS f_stat, round(p, 5) + 0e0 AS p_value FROM done")
+FRAMES["granger_scores"] = (granger_scores, f"{_granger_sql()} SELECT symbol, feature, round(coalesce(-log10(greatest(min(p), 1e-300)), 0e0), 3) + 0e0 AS score FROM done GROUP BY symbol, feature")
+
+# ---- normal scores of trailing ranks, residuals --------------------------------------------------------------------------------------
+
+TRAIL = 100
+
+
+def trailing_normal_scores(run: Run) -> DataFrame:
+    """Three features among their last hundred values: share and, from it, the normal score."""
+    names = ("momentum_3", "volume", "position")
+    found = transforms.trailing_normal(run(f"SELECT * FROM {_wide(Spark())} w"), ["symbol"], ["ts"], list(names), TRAIL)
+    return found.selectExpr("symbol", "ts", *(x for n in names for x in (f"round({n}_share, 6) + 0D AS {n}_share", f"round({_score(f'{n}_share')}, 5) + 0D AS {n}_score")))
+
+
+def _score(p: str) -> str:
+    return f"(CASE WHEN {p} <= {transforms.EDGE!r} THEN -{transforms.LIMIT!r} WHEN {p} >= {1 - transforms.EDGE!r} THEN {transforms.LIMIT!r} ELSE {normal_ppf(p)} END)"
+
+
+def _trailing_sql() -> str:
+    names = ("momentum_3", "volume", "position")
+    lists = f"SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, {', '.join(f'{n}, list({n}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {TRAIL} PRECEDING AND 1 PRECEDING) AS w_{n}' for n in names)} FROM {_wide(Duck())} w"
+    below, upto = "len(list_filter(w_{n}, lambda z: z < {n}))", "len(list_filter(w_{n}, lambda z: z <= {n}))"
+    share = (
+        "CASE WHEN k <= {m} THEN NULL WHEN {n} - {e} < list_min(w_{n}) THEN 0e0 WHEN {n} + {e} > list_max(w_{n}) THEN 1e0 WHEN {u} > {b} THEN ({b} + {u} - 1) / 2e0 / {last} "
+        "ELSE ({b} - 1 + ({n} - list_max(list_filter(w_{n}, lambda z: z < {n}))) / (list_min(list_filter(w_{n}, lambda z: z > {n})) - list_max(list_filter(w_{n}, lambda z: z < {n})))) / {last} END AS p_{n}"
+    )
+    shares = ", ".join(share.format(n=n, m=TRAIL, e=transforms.EDGE, b=below.format(n=n), u=upto.format(n=n), last=f"{TRAIL - 1}e0") for n in names)
+    out = ", ".join(f"round(p_{n}, 6) + 0e0 AS {n}_share, round({_score(f'p_{n}')}, 5) + 0e0 AS {n}_score" for n in names)
+    return f"SELECT symbol, ts, {out} FROM (SELECT symbol, ts, {shares} FROM ({lists}) l) s"
+
+
+FRAMES["trailing_normal_scores"] = (trailing_normal_scores, _trailing_sql())
+
+
+def feature_neutralisation(run: Run) -> DataFrame:
+    """Four features without what the bar's return and its trend explain."""
+    out = transforms.neutralised(run(f"SELECT * FROM {_wide(Spark())} w"), ["symbol"], ["span", "volume", "position", "reversal"], ["momentum_1", "trend"])
+    return out.selectExpr("symbol", "ts", *(f"round({n}, 6) + 0D AS {n}" for n in ("span", "volume", "position", "reversal")))
+
+
+def _neutral_sql() -> str:
+    names, over = ("span", "volume", "position", "reversal"), "OVER (PARTITION BY symbol)"
+    # The trend is made orthogonal to the return, then both are taken out one after the other.
+    two = f"SELECT *, trend - sum(trend * momentum_1) {over} / sum(momentum_1 * momentum_1) {over} * momentum_1 AS q, count(*) {over} AS n FROM {_wide(Duck())} w"
+    value = "CASE WHEN n < 50 THEN {0} ELSE {0} - sum({0} * momentum_1) OVER (PARTITION BY symbol) / sum(momentum_1 * momentum_1) OVER (PARTITION BY symbol) * momentum_1 - sum({0} * q) OVER (PARTITION BY symbol) / sum(q * q) OVER (PARTITION BY symbol) * q END"
+    return f"SELECT symbol, ts, {', '.join(f'round({value.format(n)}, 6) + 0e0 AS {n}' for n in names)} FROM ({two}) t"
+
+
+FRAMES["feature_neutralisation"] = (feature_neutralisation, _neutral_sql())
+
+# ---- training on purged folds ------------------------------------------------------------------------------------------------------
+
+TRADE_FEATURES = ["log_size", "long", "priority", "weekday", "month"]
+
+
+def _trades(d: Dialect) -> str:
+    """Closed trades with what was known when they were entered, and whether they paid."""
+    return (
+        f"(SELECT id, {d.hours_between("TIMESTAMP '1990-01-01 00:00:00'", 'CAST(entry_datetime AS TIMESTAMP)')} / 24 AS entered, ln(size) AS log_size, CASE WHEN direction = 'Long' THEN 1e0 ELSE 0e0 END AS long, CAST(substr(regime, 1, 1) AS DOUBLE) AS priority, "
+        f"CAST({d.weekday('entry_datetime')} AS DOUBLE) AS weekday, CAST(month(entry_datetime) AS DOUBLE) AS month, CASE WHEN trade_return_pct > 0 THEN 1 ELSE -1 END AS label FROM {ledger()} t)"
+    )
+
+
+def _frequency_model(d: Dialect) -> str:
+    """Out-of-sample predictions of every fold of both methods by the labels' frequencies among like training trades (one more of each label)."""
+    folds = f"(SELECT 'walk_forward' AS method, fold AS f1, 0 AS f2, id, role FROM {_walk_forward(d)} a UNION ALL SELECT 'combinatorial' AS method, g1 AS f1, g2 AS f2, id, role FROM {_combinatorial(d)} b)"
+    rows = f"SELECT f.method, f.f1, f.f2, f.id, f.role, t.priority, t.long, t.label FROM {folds} f JOIN {_trades(d)} t ON t.id = f.id"
+    if d.name == "spark":
+        like = "OVER (PARTITION BY method, f1, f2, priority, long)"
+        known = f"SELECT *, sum(CASE WHEN role = 'train' AND label = 1 THEN 1 ELSE 0 END) {like} + 1e0 AS up, sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) {like} + 2e0 AS n FROM ({rows}) r"
+        return f"(SELECT method, f1, f2, id, label AS y_true, CASE WHEN up / n > 0.5 THEN 1 ELSE -1 END AS y_pred, 1 - up / n AS prob_m1, 0e0 AS prob_0, up / n AS prob_p1 FROM ({known}) k WHERE role = 'test')"
+    known = f"SELECT method, f1, f2, priority, long, sum(CASE WHEN role = 'train' AND label = 1 THEN 1 ELSE 0 END) + 1e0 AS up, sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) + 2e0 AS n FROM ({rows}) r GROUP BY method, f1, f2, priority, long"
+    return (
+        f"(SELECT r.method, r.f1, r.f2, r.id, r.label AS y_true, CASE WHEN k.up / k.n > 0.5 THEN 1 ELSE -1 END AS y_pred, 1 - k.up / k.n AS prob_m1, 0e0 AS prob_0, k.up / k.n AS prob_p1 FROM ({rows}) r "
+        "JOIN ({known}) k ON k.method = r.method AND k.f1 = r.f1 AND k.f2 = r.f2 AND k.priority = r.priority AND k.long = r.long WHERE r.role = 'test')".replace("{known}", known)
+    )
+
+
+def cv_fold_metrics(run: Run) -> DataFrame:
+    found = learning.fold_metrics(run(f"SELECT * FROM {_frequency_model(Spark())} p"), ["method", "f1", "f2"])
+    return found.selectExpr("method", "f1", "f2", "n", *(f"round({x}, 6) + 0D AS {x}" for x in ("accuracy", "f1_weighted", "log_loss", "auc")))
+
+
+def _metrics_sql() -> str:
+    """F1 of each label apart; the area by mean ranks."""
+    by = "method, f1, f2"
+    p = f"p AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY prob_p1) + (count(*) OVER (PARTITION BY {by}, prob_p1) - 1) / 2e0 AS r FROM {_frequency_model(Duck())} q)"
+    f1 = lambda y: f"coalesce(2e0 * sum((y_true = {y} AND y_pred = {y})::INT) / nullif(sum((y_true = {y})::INT) + sum((y_pred = {y})::INT), 0), 0) * sum((y_true = {y})::INT)"
+    pos, neg = "sum((y_true = 1)::INT)", "sum((y_true <> 1)::INT)"
+    auc = f"CASE WHEN {pos} > 0 AND {neg} > 0 THEN (sum(CASE WHEN y_true = 1 THEN r END) - {pos} * ({pos} + 1) / 2e0) / ({pos} * {neg}) END"
+    out = {"accuracy": "avg((y_true = y_pred)::INT)", "f1_weighted": f"({f1(-1)} + {f1(1)}) / count(*)", "log_loss": "avg(-ln(greatest(1e-15, CASE WHEN y_true = 1 THEN prob_p1 ELSE prob_m1 END)))", "auc": auc}
+    return f"WITH {p} SELECT {by}, count(*) AS n, {', '.join(f'round({v}, 6) + 0e0 AS {k}' for k, v in out.items())} FROM p GROUP BY {by}"
+
+
+FRAMES["cv_fold_metrics"] = (cv_fold_metrics, _metrics_sql())
+
+
+def _small_forest():
+    return learning.forest(TRADE_FEATURES, trees=16, depth=5, leaf=5)
+
+
+def purged_forest_metrics(run: Run) -> DataFrame:
+    """Calibrated forests, one for each walk-forward fold, trained on what purging and embargo leave: metrics of the test trades."""
+    rows, folds = run(f"SELECT * FROM {_trades(Spark())} t"), run(f"SELECT * FROM {_walk_forward(Spark())} f")
+    predicted, _ = learning.train_on_folds(rows, folds, "fold", TRADE_FEATURES, "label", "entered", make=_small_forest)
+    return learning.fold_metrics(predicted)
+
+
+def forest_importances(run: Run) -> DataFrame:
+    """Of a calibrated forest on all trades: mean decrease of impurity, and how much accuracy falls when a feature is dealt out anew."""
+    rows = run(f"SELECT * FROM {_trades(Spark())} t")
+    model = learning.Calibrated.fit(_small_forest, learning.balanced(rows, "label", None), "entered")
+    falls = learning.permutation_importance(model, rows, TRADE_FEATURES, "label", repeats=2)
+    impurity = F.create_map(*(x for k, v in model.importances(TRADE_FEATURES).items() for x in (F.lit(k), F.lit(v))))
+    return falls.select("feature", impurity[F.col("feature")].alias("impurity"), "importance", "deviation")
+
+
+FRAMES["purged_forest_metrics"] = (purged_forest_metrics, "")
+FRAMES["forest_importances"] = (forest_importances, "")

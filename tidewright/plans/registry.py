@@ -253,6 +253,18 @@ QUERIES["regime_engine"] = _regimes
 ORACLES["regime_engine"] = _TABLE.sub(r"\1", _regime_sql(regimes.RegimeConfig()))
 
 
+def _regimes_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the month, then everything again from the states that it left: what was processed is left out."""
+    bars_ = _bars(spark, sf_dir)
+    first = regimes.regime_update(bars_.filter("ts < timestamp_ntz'2024-01-16 00:00:00'"))
+    rest = regimes.regime_update(bars_, first.filter("state IS NOT NULL").select("symbol", "state"))
+    return first.unionByName(rest).selectExpr("symbol", "ts", *[n if t.typeName() == "string" else f"round({n}, 5) + 0D AS {n}" for n, t in regimes.OUT.items()])
+
+
+QUERIES["regime_in_runs"] = _regimes_in_runs
+ORACLES["regime_in_runs"] = ORACLES["regime_engine"]
+
+
 # ---- resampled paths -----------------------------------------------------------------------------------------------------------
 
 
