@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .dialect import Dialect, Duck, Spark
 from tidewright.operators import backtest, info_bars, montecarlo, recursive, regimes, swings, touches, window_stats
 
-from . import modelling, portfolio, research, structure  # noqa: F401  they register their queries
+from . import checked, modelling, portfolio, research, structure  # noqa: F401  they register their queries
 from .series import SERIES, _signals, _swings, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"
@@ -300,7 +300,7 @@ def _framed(build: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callabl
     return lambda spark, sf_dir: build(lambda text: run_sql(spark, text, sf_dir))
 
 
-for _name, (_build, _twin) in {**modelling.FRAMES, **structure.FRAMES}.items():
+for _name, (_build, _twin) in {**modelling.FRAMES, **structure.FRAMES, **checked.FRAMES}.items():
     QUERIES[_name] = _framed(_build)
     if _twin:
         ORACLES[_name] = _TABLE.sub(r"\1", _twin)

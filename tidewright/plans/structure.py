@@ -35,13 +35,13 @@ def smc_balanced_ranges(d: Dialect) -> str:
         runs = f"SELECT symbol, ts, lo, hi, island, count(*) AS n, min(b) AS start FROM ({full}) f GROUP BY symbol, ts, lo, hi, island"
         best = f"SELECT * FROM ({runs}) z QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY n DESC, start) = 1"
         return f"WITH r AS MATERIALIZED ({rows}) SELECT symbol, ts, {value('n', 'start')} FROM ({best}) y WHERE n >= {LEAST}"
+    # A row per price and then per bin: one expression over arrays of arrays would be worked out anew wherever it is used.
     rows = f"SELECT symbol, ts, row_number() OVER ({d.over}) AS k, {d.list('h', -BACK, -1)} AS hs, {d.list('l', -BACK, -1)} AS ls FROM {bars(d)} b"
-    ends = f"SELECT symbol, ts, concat(hs, ls) AS ps, array_min(ls) AS lo, array_max(hs) AS hi FROM ({rows}) r WHERE k > {BACK}"
-    bins = f"SELECT *, transform(ps, p -> least({BINS - 1}, CAST(floor((p - lo) / (hi - lo + 0.0001) * {BINS}) AS INT))) AS bins FROM ({ends}) e"
-    full = f"SELECT symbol, ts, lo, hi, array_sort(filter(array_distinct(bins), b -> size(filter(bins, x -> x = b)) > {dense})) AS full FROM ({bins}) n"
-    keys = f"SELECT *, transform(full, (b, i) -> b - i) AS keys FROM ({full}) f"
-    best = f"SELECT *, array_max(transform(array_distinct(keys), k -> named_struct('n', size(filter(keys, x -> x = k)), 'start', -(k + CAST(array_position(keys, k) AS INT) - 1)))) AS best FROM ({keys}) q"
-    return f"SELECT symbol, ts, {value('best.n', '(-best.start)')} FROM ({best}) z WHERE best.n >= {LEAST}"
+    prices = f"SELECT symbol, ts, array_min(ls) AS lo, array_max(hs) AS hi, explode(concat(hs, ls)) AS p FROM ({rows}) r WHERE k > {BACK}"
+    full = f"SELECT symbol, ts, lo, hi, b FROM (SELECT *, least({BINS - 1}, CAST(floor((p - lo) / (hi - lo + 0.0001) * {BINS}) AS INT)) AS b FROM ({prices}) e) n GROUP BY symbol, ts, lo, hi, b HAVING count(*) > {dense}"
+    runs = f"SELECT symbol, ts, lo, hi, island, count(*) AS n, min(b) AS start FROM (SELECT *, b - row_number() OVER (PARTITION BY symbol, ts ORDER BY b) AS island FROM ({full}) f) g GROUP BY symbol, ts, lo, hi, island"
+    best = f"SELECT symbol, ts, lo, hi, max(struct(n, -start AS start)) AS best FROM ({runs}) z GROUP BY symbol, ts, lo, hi"
+    return f"SELECT symbol, ts, {value('best.n', '(-best.start)')} FROM ({best}) y WHERE best.n >= {LEAST}"
 
 
 @series
