@@ -226,3 +226,75 @@ def _events_sql() -> str:
 
 for _name, _twin in (("window_entropies", _entropies_sql()), ("window_scaling", _scaling_sql()), ("window_events", _events_sql())):
     FRAMES[_name] = (_windowed(WINDOWS[_name]), _twin)
+
+
+def _granger_window_sql(lag: int = 5, size: int = 100) -> str:
+    """The lags are taken out of the window's returns one after the other."""
+    own = [f"x{j}" for j in range(1, lag + 1)]
+    over = "OVER (PARTITION BY symbol, k)"
+    parts = [_rows_sql(), _win("w100", size)]
+    parts.append(f"l AS MATERIALIZED (SELECT symbol, k, j, x AS y, {', '.join(f'lag(x, {j}) OVER (PARTITION BY symbol, k ORDER BY j) AS x{j}' for j in range(1, lag + 1))} FROM w100)")
+    parts.append(f"q0 AS MATERIALIZED (SELECT symbol, k, {', '.join(f'{c} - avg({c}) {over} AS {c}' for c in ['y', *own])}, 0e0 AS total FROM l WHERE j >= {lag})")
+    parts.append(f"t AS (SELECT symbol, k, sum(y * y) AS total FROM q0 GROUP BY symbol, k)")
+    for i, c in enumerate(own):
+        rest = ["y", *own[i + 1 :]]
+        parts.append(f"q{i + 1} AS MATERIALIZED (SELECT symbol, k, {', '.join(f'{z} - sum({z} * {c}) {over} / nullif(sum({c} * {c}) {over}, 0) * {c} AS {z}' for z in rest)} FROM q{i})")
+    free = size - 2 * lag - 1
+    parts.append(f"f AS (SELECT symbol, k, CASE WHEN sum(y * y) > {_EPS} THEN (max(total) - sum(y * y)) / {lag} / (sum(y * y) / {free}) END AS granger_f_stat FROM q{lag} JOIN t USING (symbol, k) GROUP BY symbol, k)")
+    return f"WITH {', '.join(parts)} SELECT symbol, ts, round(granger_f_stat, 4) + 0e0 AS granger_f_stat FROM base LEFT JOIN f USING (symbol, k)"
+
+
+FRAMES["window_autoregression"] = (_windowed(["granger_f_stat"]), _granger_window_sql())
+
+
+def _adaptive_sql() -> str:
+    """Shift registers as lists that are carried from bar to bar."""
+    turned = lambda x: f"(0.0962 * {x}[1] + 0.5769 * {x}[3] - 0.5769 * {x}[5] - 0.0962 * {x}[7])"  # noqa: E731  fixed taps
+    w = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+    lags = lambda x, n: [f"coalesce(lag({x}, {j}) OVER w, 0)" if j else x for j in range(n)]
+    p = lags("c", 4)
+    first = f"SELECT symbol, ts, c, row_number() OVER w AS k, first_value(c) OVER w AS c0, CASE WHEN row_number() OVER w >= 7 THEN (4 * {p[0]} + 3 * {p[1]} + 2 * {p[2]} + {p[3]}) / 10 ELSE 0e0 END AS smooth FROM {bars(Duck())} b {w}"
+    rows = f"rows_ AS MATERIALIZED (SELECT *, [{', '.join(lags('smooth', 7))}] AS sl FROM ({first}) f {w})"
+    zeros = "[0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0]"
+    start = f"SELECT symbol, CAST(6 AS BIGINT) AS k, {zeros} AS dl, {zeros} AS ql, {zeros} AS il, 0e0 AS i2, 0e0 AS q2, 0e0 AS re, 0e0 AS im, 0e0 AS period, 0e0 AS phase, c0 AS mama, c0 AS fama FROM rows_ WHERE k = 6"
+    x = "SELECT r.symbol, r.k, r.c, r.sl, a.dl AS dl0, a.ql AS ql0, a.il AS il0, a.i2 AS i20, a.q2 AS q20, a.re AS re0, a.im AS im0, a.period AS period0, a.phase AS phase0, a.mama AS mama0, a.fama AS fama0, 0.075 * a.period + 0.54 AS scale FROM acc a JOIN rows_ r ON r.symbol = a.symbol AND r.k = a.k + 1"
+    x = f"SELECT *, list_prepend({turned('sl')} * scale, dl0[1:6]) AS dl FROM ({x})"
+    x = f"SELECT *, list_prepend({turned('dl')} * scale, ql0[1:6]) AS ql, list_prepend(dl[4], il0[1:6]) AS il FROM ({x})"
+    x = f"SELECT *, 0.2 * (il[1] - {turned('ql')} * scale) + 0.8 * i20 AS i2, 0.2 * (ql[1] + {turned('il')} * scale) + 0.8 * q20 AS q2 FROM ({x})"
+    x = f"SELECT *, 0.2 * (i2 * i20 + q2 * q20) + 0.8 * re0 AS re, 0.2 * (i2 * q20 - q2 * i20) + 0.8 * im0 AS im FROM ({x})"
+    x = f"SELECT *, CASE WHEN im <> 0 AND re <> 0 THEN 2 * pi() / atan(im / re) ELSE period0 END AS p1, CASE WHEN il[1] <> 0 THEN degrees(atan(ql[1] / il[1])) ELSE phase0 END AS phase FROM ({x})"
+    x = f"SELECT *, 0.2 * least(greatest(CASE WHEN period0 <> 0 THEN least(greatest(p1, 0.67 * period0), 1.5 * period0) ELSE p1 END, 6), 50) + 0.8 * period0 AS period, greatest(0.5 / greatest(phase0 - phase, 1), 0.05) AS alpha FROM ({x})"
+    x = f"SELECT *, mama0 + alpha * (c - mama0) AS mama FROM ({x})"
+    step = f"SELECT symbol, k, dl, ql, il, i2, q2, re, im, period, phase, mama, fama0 + 0.5 * alpha * (mama - fama0) FROM ({x})"
+    return f"WITH RECURSIVE {rows}, acc AS ({start} UNION ALL {step}) SELECT r.symbol, r.ts, CASE WHEN r.k > 32 THEN round(a.mama, 4) + 0e0 END AS mama, CASE WHEN r.k > 32 THEN round(a.fama, 4) + 0e0 END AS fama FROM rows_ r LEFT JOIN acc a USING (symbol, k)"
+
+
+FRAMES["indicators_adaptive"] = (_indicators(["mama", "fama"]), _adaptive_sql())
+
+
+# ---- structure ---------------------------------------------------------------------------------------------------------------------
+
+
+def smc_structure_sql(reach: int = 5) -> str:
+    """The last swings and the trend carried from bar to bar; each kind of event picked from the bars that have it."""
+    w = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+    frame = f"OVER (w ROWS {2 * reach} PRECEDING)"
+    known = f"SELECT symbol, ts, o, h, l, c, row_number() OVER w AS k, lag(ts, {reach}) OVER w AS sts, lag(h, {reach}) OVER w AS sh, lag(l, {reach}) OVER w AS sl, max(h) {frame} AS top, min(l) {frame} AS low FROM {bars(Duck())} b {w}"
+    last = lambda x, cond: f"last_value(CASE WHEN {cond} THEN {x} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    marks = f"SELECT *, k > {2 * reach} AND sh = top AS is_high, k > {2 * reach} AND sh <> top AND sl = low AS is_low, {last('ts', 'c < o')} AS dts, {last('l', 'c < o')} AS dl, {last('k', 'c < o')} AS dk, {last('ts', 'c > o')} AS uts, {last('h', 'c > o')} AS uh, {last('k', 'c > o')} AS uk FROM ({known}) q {w}"
+    rows = f"rows_ AS MATERIALIZED ({marks})"
+    null = "CAST(NULL AS {})"
+    start = f"SELECT symbol, CAST(0 AS BIGINT) AS k, {null.format('DOUBLE')} AS hi, {null.format('BIGINT')} AS hk, {null.format('DOUBLE')} AS lo, {null.format('BIGINT')} AS lk, 0 AS trend, 0 AS t0, 0 AS t1, {null.format('DOUBLE')} AS a, {null.format('BIGINT')} AS ak, {null.format('DOUBLE')} AS z, {null.format('BIGINT')} AS zk, false AS up, false AS over_, false AS down, false AS under FROM rows_ WHERE k = 1"
+    x = f"SELECT r.symbol, r.k, r.h, r.l, r.c, CASE WHEN r.is_high THEN r.sh ELSE a.hi END AS a, CASE WHEN r.is_high THEN r.k - {reach} ELSE a.hk END AS ak, CASE WHEN r.is_low THEN r.sl ELSE a.lo END AS z, CASE WHEN r.is_low THEN r.k - {reach} ELSE a.lk END AS zk, a.trend AS t0 FROM acc a JOIN rows_ r ON r.symbol = a.symbol AND r.k = a.k + 1"
+    x = f"SELECT *, coalesce(h > a AND c > a, false) AS up, coalesce(h > a AND c <= a, false) AS over_, coalesce(l < z AND c < z, false) AS down, coalesce(l < z AND c >= z, false) AS under FROM ({x})"
+    x = f"SELECT *, CASE WHEN up THEN 1 ELSE t0 END AS t1 FROM ({x})"
+    step = f"SELECT symbol, k, CASE WHEN NOT up THEN a END, CASE WHEN NOT up THEN ak END, CASE WHEN NOT down THEN z END, CASE WHEN NOT down THEN zk END, CASE WHEN down THEN -1 ELSE t1 END, t0, t1, a, ak, z, zk, up, over_, down, under FROM ({x})"
+    found = "SELECT r.symbol, {0} AS ts, {1} AS event, {2} AS level, {3} AS bars_since_swing FROM rows_ r JOIN acc USING (symbol, k) WHERE {4}"
+    events = [
+        ("sts", "'swing_high'", "sh", "0", "is_high"), ("sts", "'swing_low'", "sl", "0", "is_low"), ("ts", "CASE WHEN t0 >= 0 THEN 'bos_up' ELSE 'choch_up' END", "a", "k - ak", "up"), ("dts", "'order_block_up'", "dl", "k - dk", "up AND dts IS NOT NULL"), ("ts", "'sweep_high'", "a", "k - ak", "over_"),
+        ("ts", "CASE WHEN t1 <= 0 THEN 'bos_down' ELSE 'choch_down' END", "z", "k - zk", "down"), ("uts", "'order_block_down'", "uh", "k - uk", "down AND uts IS NOT NULL"), ("ts", "'sweep_low'", "z", "k - zk", "under"),
+    ]
+    return f"WITH RECURSIVE {rows}, acc AS ({start} UNION ALL {step}) SELECT symbol, ts, event, level, bars_since_swing::BIGINT AS bars_since_swing FROM ({' UNION ALL '.join(found.format(*e) for e in events)}) e"
+
+
+FRAMES["smc_structure"] = (lambda run: swings.market_structure(run(_BARS)), smc_structure_sql())
