@@ -203,3 +203,21 @@ def test_neutralised(spark):
                 want[good] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
             assert np.allclose(got.loc[part["id"], c].to_numpy(dtype=float), want.to_numpy(dtype=float), atol=1e-9, equal_nan=True)
         assert np.allclose(got.loc[part["id"], "other"], part["other"])
+
+
+def test_scalers_stay_as_fitted(spark):
+    rows = [("x", float(i), float(i % 5), None if i == 3 else float(i * i), 2.0) for i in range(20)] + [("y", 1.0, float("nan"), 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double, c double, d double")
+    kinds = {"a": "standard", "b": "minmax", "c": "robust_log", "d": "signed_log"}
+    table = transforms.fit_scalers(df.filter("a < 10"), ["symbol"], kinds)
+    got = {r["a"]: r for r in transforms.apply_scalers(df.filter("symbol = 'x'").withColumn("k", F.col("a")), ["symbol"], table, kinds).collect()}
+    a, c = np.arange(10.0), np.log1p(np.array([i * i for i in range(10) if i != 3], float))
+    q1, q2, q3 = np.percentile(c, [25, 50, 75])
+    for r in got.values():
+        i = r["k"]
+        assert abs(r["a"] - (i - a.mean()) / a.std()) < 1e-12 and abs(r["b"] - (i % 5) / 4) < 1e-12 and abs(r["d"] - math.log(3)) < 1e-12
+        assert r["c"] is None if i == 3 else abs(r["c"] - (math.log1p(i * i) - q2) / (q3 - q1)) < 1e-12
+    lone = transforms.apply_scalers(df.filter("symbol = 'y'"), ["symbol"], table, kinds).first()
+    assert lone["a"] == 0.0 and abs(lone["d"] - math.log(3)) < 1e-12
+    with pytest.raises(ValueError):
+        transforms.fit_scalers(df, ["symbol"], {"a": "other"})

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.operators import backtest, touches
 from tidewright.sources import tables
@@ -198,3 +199,33 @@ def test_times_and_json(spark):
     with pytest.raises(ValueError):
         frames.datetime_column(df.select("x"))
     assert frames.datetime_column(spark.createDataFrame([("2024-01-01 00:00:00",)], "Date string")).columns == ["datetime"]
+
+
+def test_rewrite_that_was_cut_short(spark, tmp_path):
+    """The table that stepped aside comes back, or goes where the new rows have its name already."""
+    path = str(tmp_path / "t")
+    tables.create_table(spark, path, T.StructType.fromDDL("id long, v string"))
+    tables.insert_rows(spark, path, [{"id": 7, "v": "x"}])
+    before = sorted(map(tuple, tables.open_table(spark, path).collect()))
+    (tmp_path / "t").rename(tmp_path / "t-replaced")
+    assert tables.recover(spark, path) and sorted(map(tuple, tables.open_table(spark, path).collect())) == before
+    assert not tables.recover(spark, path)
+    tables.rewrite(spark, path, tables.open_table(spark, path).filter("id = 7"))
+    assert [tuple(r) for r in tables.open_table(spark, path).collect()] == [(7, "x")] and not (tmp_path / "t-replaced").exists()
+    (tmp_path / "t-replaced").mkdir()
+    assert tables.recover(spark, path) and not (tmp_path / "t-replaced").exists() and tables.open_table(spark, path).count() == 1
+
+
+def test_append_reads_the_range_of_a_batch(spark, tmp_path):
+    """Keys that are stored, or come twice, are written once; nulls among keys are keys like others."""
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "symbol string, ts timestamp, v int"
+    ts = lambda h: f"2024-01-01 {h:02d}:00:00"
+    frame = lambda rows: spark.createDataFrame(rows, "symbol string, ts string, v int").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+    for batch in ([("a", ts(1), 1), ("a", ts(2), 2), (None, ts(1), 3)], [("a", ts(2), 9), ("a", ts(3), 4), (None, ts(1), 9), ("b", None, 5)], [("b", None, 9), ("c", ts(1), 6), ("c", ts(1), 6)]):
+        frame(batch).write.mode("append").parquet(folder)
+        q = jobs.append_new(spark.readStream.schema(schema).parquet(folder), out, ck)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["v"] for r in got) == [1, 2, 3, 4, 5, 6]

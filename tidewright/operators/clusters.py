@@ -178,3 +178,32 @@ def best_of_clusters(table: DataFrame, by: list[str], scores: DataFrame) -> Data
     rated = table.select(*by, "feature", "cluster", "members").join(scores.select(*by, "feature", "score"), [*by, "feature"], "left")
     first = F.min(F.struct((-F.coalesce(F.abs("score"), F.lit(-1.0))).alias("far"), "feature", "score", "members"))
     return rated.groupBy(*by, "cluster").agg(first.alias("b")).select(*by, "cluster", "b.feature", "b.score", "b.members")
+
+
+def max_relevance(df: DataFrame, by: list[str], columns: list[str], target: str, k: int) -> DataFrame:
+    """``by, place, feature, relevance, score`` of up to ``k`` features, chosen one after the other in each group.
+
+    Relevance is the F value of the correlation with the target; each step takes the feature with the most of it per mean absolute
+    correlation with those taken before (each at least a thousandth), of equally good ones the first. Correlations come from one pass.
+    """
+    names = [*columns, target]
+    keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = len(names)
+        r, n = np.zeros((m, m)), np.zeros((m, m))
+        i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+        r[i, j] = r[j, i] = np.nan_to_num(pdf["r"].to_numpy(dtype=float))
+        n[i, j] = n[j, i] = pdf["n"].to_numpy()
+        square = r[:-1, -1] ** 2
+        f = square / np.maximum(1 - square, 1e-300) * (n[:-1, -1] - 2)
+        near, taken, out = np.maximum(np.abs(r[:-1, :-1]), 0.001), [], []
+        for place in range(1, min(k, m - 1) + 1):
+            score = f / (near[:, taken].mean(axis=1) if taken else 1.0)
+            score[taken] = -np.inf
+            best = int(score.argmax())
+            taken.append(best)
+            out.append((*key, place, names[best], float(f[best]), float(score[best])))
+        return pd.DataFrame(out, columns=[*by, "place", "feature", "relevance", "score"])
+
+    return pair_moments(df, by, names).groupBy(*by).applyInPandas(run, f"{keys}, place int, feature string, relevance double, score double")

@@ -122,3 +122,41 @@ def neutralised(df: DataFrame, by: list[str], features: list[str], against: list
         explained = sum((F.col("betas_")[f][i] * F.col(f"x_{a}") for i, a in enumerate(against)), F.lit(0.0))
         out = out.withColumn(f, F.when(known[f], F.col(f"x_{f}") - explained).otherwise(F.col(f"x_{f}")))
     return out.select(*df.columns)
+
+
+def _signed_log(x):
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+def fit_scalers(df: DataFrame, by: list[str], kinds: dict[str, str]) -> DataFrame:
+    """What scalers of columns need, a row per group: ``<column>_centre`` and ``<column>_width``. Keep it, and apply it to other rows.
+
+    Kinds: ``standard`` (mean, deviation), ``minmax`` (least, range), ``robust`` (median, distance of the quartiles), each also with ``_log`` after a
+    signed logarithm; ``signed_log`` alone needs nothing. Nulls and NaN are left out; a width of 0 counts as 1.
+    """
+    out = []
+    for c, kind in kinds.items():
+        x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        x = _signed_log(x) if kind.endswith("log") else x
+        base = kind.removesuffix("_log")
+        if base == "standard":
+            centre, width = F.avg(x), F.stddev_pop(x)
+        elif base == "minmax":
+            centre, width = F.min(x), F.max(x) - F.min(x)
+        elif base == "robust":
+            centre, width = F.percentile(x, 0.5), F.percentile(x, 0.75) - F.percentile(x, 0.25)
+        elif kind == "signed_log":
+            centre, width = F.lit(0.0), F.lit(1.0)
+        else:
+            raise ValueError(f"unknown kind of scaler: {kind}")
+        out += [F.first(centre).alias(f"{c}_centre") if kind == "signed_log" else centre.alias(f"{c}_centre"), (F.first(width) if kind == "signed_log" else F.when(width > 0, width).otherwise(1.0)).alias(f"{c}_width")]
+    return df.groupBy(*by).agg(*out)
+
+
+def apply_scalers(df: DataFrame, by: list[str], table: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``df`` with its columns scaled by a table of :func:`fit_scalers`; null in groups that it doesn't have."""
+    out = df.join(table, by, "left")
+    for c, kind in kinds.items():
+        x = F.col(c).cast("double")
+        out = out.withColumn(c, ((_signed_log(x) if kind.endswith("log") else x) - F.col(f"{c}_centre")) / F.col(f"{c}_width"))
+    return out.select(*df.columns)

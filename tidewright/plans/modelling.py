@@ -489,3 +489,84 @@ def forest_importances(run: Run) -> DataFrame:
 
 FRAMES["purged_forest_metrics"] = (purged_forest_metrics, "")
 FRAMES["forest_importances"] = (forest_importances, "")
+
+
+# ---- labels by barriers of any width -----------------------------------------------------------------------------------------------
+
+
+def _barriers(d: Dialect, width: str, up: float, down: float, horizon: int) -> str:
+    """1 or -1 by which of c + up x width, c - down x width a later close reaches first among ``horizon``; 0 for neither, without a width and in the last bars."""
+    tr = f"greatest(h - l, coalesce(abs(h - {d.lag('c')}), 0e0), coalesce(abs(l - {d.lag('c')}), 0e0))"
+    rows = f"SELECT symbol, ts, c, row_number() OVER ({d.over}) AS k, count(*) OVER (PARTITION BY symbol) AS n, {tr} AS tr FROM {bars(d)} b"
+    wide = f"SELECT symbol, ts, c, k, n, {width.format(atr=f'CASE WHEN k >= 14 THEN {d.w('avg', 'tr', -13, 0)} END')} AS width FROM ({rows}) r"
+    if d.name == "duckdb":
+        ends = f"SELECT a.symbol, a.ts, a.k, a.n, min(CASE WHEN b.c >= a.c + {up} * a.width THEN b.k END) AS hi, min(CASE WHEN b.c <= a.c - {down} * a.width THEN b.k END) AS lo FROM w a LEFT JOIN w b ON b.symbol = a.symbol AND b.k > a.k AND b.k <= a.k + {horizon} GROUP BY a.symbol, a.ts, a.k, a.n"
+        return f"WITH w AS MATERIALIZED ({wide}) SELECT symbol, ts, CASE WHEN k > n - {horizon} OR coalesce(hi, lo) IS NULL THEN 0 WHEN lo IS NULL OR hi < lo THEN 1 WHEN hi IS NULL OR lo < hi THEN -1 ELSE 0 END AS label FROM ({ends}) e"
+    ahead = f"SELECT *, {d.list('c', 1, horizon)} AS ahead FROM ({wide}) w"
+    # One walk over the closes ahead: the first that reaches either.
+    first = f"aggregate(ahead, 0, (s, x) -> CASE WHEN s <> 0 THEN s WHEN x >= c + {up} * width AND x <= c - {down} * width THEN 2 WHEN x >= c + {up} * width THEN 1 WHEN x <= c - {down} * width THEN -1 ELSE 0 END)"
+    return f"SELECT symbol, ts, CASE WHEN k > n - {horizon} OR width IS NULL THEN 0 ELSE {first} % 2 END AS label FROM ({ahead}) a"
+
+
+@series
+def labels_triple_barrier_atr(d, up: float = 2.0, down: float = 1.0, horizon: int = 20):
+    """Profit at two average true ranges, stop at one, within twenty bars."""
+    return _barriers(d, "{atr}", up, down, horizon)
+
+
+@series
+def labels_triple_barrier_percent(d, up: float = 2.0, down: float = 1.0, horizon: int = 20, base: float = 0.01):
+    """Profit at two percent, stop at one, within twenty bars."""
+    return _barriers(d, f"c * {base}", up, down, horizon)
+
+
+# ---- relevance without redundancy ----------------------------------------------------------------------------------------------------
+
+CHOSEN = 5
+
+
+def feature_relevance_redundancy(run: Run) -> DataFrame:
+    """The first five features by F value of the next return over mean correlation with those chosen before."""
+    wide = run(f"SELECT w.*, y.y FROM {_wide(Spark())} w JOIN ({_ahead(Spark())}) y ON y.symbol = w.symbol AND y.ts = w.ts WHERE y.y IS NOT NULL")
+    return clusters.max_relevance(wide, ["symbol"], WIDE, "y", CHOSEN).selectExpr("symbol", "place", "feature", "round(relevance, 5) + 0D AS relevance", "round(score, 4) + 0D AS score")
+
+
+def _relevance_sql() -> str:
+    """The chosen ones in a list that grows by one in every step."""
+    d = Duck()
+    long = f"long AS MATERIALIZED (SELECT w.symbol, w.ts, w.feature, w.x, a.y FROM (SELECT * FROM {_wide(d)} q UNPIVOT (x FOR feature IN ({', '.join(WIDE)}))) w JOIN ({_ahead(d)}) a ON a.symbol = w.symbol AND a.ts = w.ts WHERE a.y IS NOT NULL)"
+    r = "CASE WHEN stddev_pop({0}) * stddev_pop({1}) > 1e-14 THEN covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) ELSE 0e0 END"
+    place = "[" + ", ".join(f"'{n}'" for n in WIDE) + "]"
+    own = f"own AS MATERIALIZED (SELECT symbol, feature, list_position({place}, feature) AS i, power(r, 2) / (1 - power(r, 2)) * (n - 2) AS f FROM (SELECT symbol, feature, count(*) AS n, {r.format('x', 'y')} AS r FROM long GROUP BY symbol, feature) z)"
+    pairs = f"pairs AS MATERIALIZED (SELECT a.symbol, a.feature AS f1, b.feature AS f2, greatest(abs({r.format('a.x', 'b.x')}), 0.001) AS r FROM long a JOIN long b ON b.symbol = a.symbol AND b.ts = a.ts GROUP BY a.symbol, a.feature, b.feature)"
+    start = "SELECT symbol, CAST([] AS VARCHAR[]) AS chosen, CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS DOUBLE) AS relevance, CAST(NULL AS DOUBLE) AS score FROM own GROUP BY symbol"
+    rated = "SELECT p.symbol, p.chosen, o.feature, o.f, o.i, o.f / coalesce(avg(q.r), 1) AS score FROM picked p JOIN own o ON o.symbol = p.symbol AND NOT list_contains(p.chosen, o.feature) LEFT JOIN pairs q ON q.symbol = p.symbol AND q.f1 = o.feature AND list_contains(p.chosen, q.f2) GROUP BY p.symbol, p.chosen, o.feature, o.f, o.i"
+    step = f"SELECT symbol, list_append(any_value(chosen), arg_max(feature, (score, -i))), arg_max(feature, (score, -i)), arg_max(f, (score, -i)), max(score) FROM ({rated}) z WHERE len(chosen) < {CHOSEN} GROUP BY symbol"
+    return f"WITH RECURSIVE {long}, {own}, {pairs}, picked AS ({start} UNION ALL {step}) SELECT symbol, len(chosen)::INT AS place, feature, round(relevance, 5) + 0e0 AS relevance, round(score, 4) + 0e0 AS score FROM picked WHERE len(chosen) > 0"
+
+
+FRAMES["feature_relevance_redundancy"] = (feature_relevance_redundancy, _relevance_sql())
+
+# ---- scalers that are fitted before and then stay ------------------------------------------------------------------------------------
+
+FIT_UNTIL = "2024-01-20 00:00:00"
+SCALED = {"volume": "standard", "span": "minmax", "position": "robust", "momentum_3": "signed_log", "activity": "standard_log"}
+
+
+def scalers_frozen(run: Run) -> DataFrame:
+    """Scalers of five features, fitted to the bars up to a day, on the bars after it."""
+    rows = run(f"SELECT * FROM {_wide(Spark())} w")
+    until = f"timestamp_ntz'{FIT_UNTIL}'"
+    table = transforms.fit_scalers(rows.filter(f"ts < {until}"), ["symbol"], SCALED)
+    return transforms.apply_scalers(rows.filter(f"ts >= {until}"), ["symbol"], table, SCALED).selectExpr("symbol", "ts", *(f"round({n}, 5) + 0D AS {n}" for n in SCALED))
+
+
+def _scalers_sql() -> str:
+    log = "sign({0}) * ln(1 + abs({0}))"
+    before = f"SELECT * FROM w WHERE ts < TIMESTAMP '{FIT_UNTIL}'"
+    q = lambda x, p: f"quantile_cont({x}, {p})"
+    fit = f"SELECT symbol, avg(volume) AS vm, stddev_pop(volume) AS vs, min(span) AS lo, max(span) AS hi, {q('position', 0.5)} AS med, {q('position', 0.75)} - {q('position', 0.25)} AS iqr, avg({log.format('activity')}) AS am, stddev_pop({log.format('activity')}) AS sd FROM ({before}) b GROUP BY symbol"
+    return f"WITH w AS MATERIALIZED (SELECT * FROM {_wide(Duck())} x) SELECT symbol, ts, round((volume - vm) / CASE WHEN vs > 0 THEN vs ELSE 1 END, 5) + 0e0 AS volume, round((span - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 5) + 0e0 AS span, round((position - med) / CASE WHEN iqr > 0 THEN iqr ELSE 1 END, 5) + 0e0 AS position, round({log.format('momentum_3')}, 5) + 0e0 AS momentum_3, round(({log.format('activity')} - am) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) + 0e0 AS activity FROM w JOIN ({fit}) f USING (symbol) WHERE ts >= TIMESTAMP '{FIT_UNTIL}'"
+
+
+FRAMES["scalers_frozen"] = (scalers_frozen, _scalers_sql())

@@ -83,13 +83,32 @@ def insert_rows(spark: SparkSession, path: str, rows: DataFrame | list[dict] | d
 
 
 def rewrite(spark: SparkSession, path: str, rows: DataFrame, kind: str | None = None) -> None:
-    """Replace a table by rows that may be made of it: they are written beside it first."""
+    """Replace a table by rows that may be made of it: they are written beside it, the table steps aside, and only when they have its name it goes.
+
+    Of a run that ends in between, the old or the new rows are whole under one of the names; :func:`recover` puts them back.
+    """
     schema, beside = open_table(spark, path).schema, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     rows.select(*schema.names).write.partitionBy(*(KINDS[kind][1] if kind else ())).parquet(beside)
     spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{beside}/_schema")
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-replaced")
+    fs.delete(old, True)
+    fs.rename(p, old)
     fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), p)
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """After a :func:`rewrite` that was cut short: the table that had stepped aside gets its name back. Whether there was one."""
+    fs, p = _fs(spark, path)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-replaced")
+    if not fs.exists(old):
+        return False
+    if fs.exists(p):  # the new rows have the name already
+        fs.delete(old, True)
+    else:
+        fs.rename(old, p)
+    return True
 
 
 # ---- reads -------------------------------------------------------------------------------------------------------------------

@@ -49,7 +49,11 @@ def info_bars_stream(ticks: DataFrame, kind: str, params: BarParams) -> DataFram
 
 
 def append_new(bars: DataFrame, path: str, checkpoint: str, keys: tuple = ("symbol", "ts")):
-    """Start writing a stream of bars, each batch without the rows whose keys are stored already; first write wins."""
+    """Start writing a stream of bars, each batch without the rows whose keys are stored already; first write wins.
+
+    Of what is stored only the range of the batch's last key is read, which the files' statistics pick out; equal keys are equal
+    in nulls too.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         from pyspark.errors import AnalysisException
@@ -59,7 +63,14 @@ def append_new(bars: DataFrame, path: str, checkpoint: str, keys: tuple = ("symb
             stored = spark.read.parquet(path).select(*keys)
         except AnalysisException:
             stored = batch.limit(0).select(*keys)
-        batch.dropDuplicates(list(keys)).join(stored, list(keys), "left_anti").write.mode("append").parquet(path)
+        last = keys[-1]
+        ends = batch.agg(F.min(last).alias("a"), F.max(last).alias("z"), F.max(F.col(last).isNull()).alias("n")).first()
+        inside = F.lit(False) if ends["a"] is None else F.col(last).between(F.lit(ends["a"]), F.lit(ends["z"]))
+        stored = stored.filter(inside | F.col(last).isNull() if ends["n"] else inside).select(*(F.col(k).alias(f"_{k}") for k in keys))
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        batch.dropDuplicates(list(keys)).join(stored, same, "left_anti").write.mode("append").parquet(path)
 
     return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
