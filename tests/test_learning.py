@@ -221,3 +221,39 @@ def test_scalers_stay_as_fitted(spark):
     assert lone["a"] == 0.0 and abs(lone["d"] - math.log(3)) < 1e-12
     with pytest.raises(ValueError):
         transforms.fit_scalers(df, ["symbol"], {"a": "other"})
+
+
+# ---- mutual information by neighbours --------------------------------------------------------------------------------------------
+
+
+def psi(n):
+    return -0.5772156649015329 + sum(1 / i for i in range(1, n))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_mutual_information_by_definition(spark, parts):
+    """All pairs of points; groups of any kind, one with a hot value."""
+    from tidewright.operators import neighbours
+
+    rng = np.random.default_rng(6)
+    groups = {}
+    x = rng.standard_normal(160)
+    groups["line"] = (x, 2 * x + 0.3 * rng.standard_normal(160))
+    groups["none"] = (rng.standard_normal(150), rng.standard_normal(150))
+    groups["heavy"] = (np.where(rng.random(120) < 0.3, 1.0, rng.standard_normal(120) ** 3), rng.standard_normal(120))
+    groups["flat"], groups["few"] = (np.ones(30), rng.standard_normal(30)), (np.arange(3.0), np.arange(3.0))
+    rows = [(g, i, float(a), float(b)) for g, (p, q) in groups.items() for i, (a, b) in enumerate(zip(p, q, strict=True))] + [("line", 999, None, 1.0), ("line", 998, float("nan"), 1.0)]
+    got = {r["g"]: r for r in neighbours.mutual_information(spark.createDataFrame(rows, "g string, id long, x double, y double").repartition(4), ["g"], "id", "x", "y", parts=parts).collect()}
+    for g in ("line", "none", "heavy"):
+        p, q = (v / v.std() for v in groups[g])
+        dx, dy = (np.abs(v[:, None] - v[None]) for v in (p, q))
+        d = np.maximum(dx, dy)
+        np.fill_diagonal(d, np.inf)
+        r = np.sort(d, axis=1)[:, 2]
+        for z in (dx, dy):
+            np.fill_diagonal(z, np.inf)
+        n = len(p)
+        want = psi(n) + psi(3) - np.mean([psi(int((dx[i] < r[i]).sum()) + 1) + psi(int((dy[i] < r[i]).sum()) + 1) for i in range(n)])
+        assert got[g]["n"] == n and abs(got[g]["mutual_information"] - max(0, want)) < 1e-9
+    assert got["line"]["mutual_information"] > 1 > 0.3 > got["none"]["mutual_information"]
+    assert got["flat"]["mutual_information"] == 0.0 and got["few"]["mutual_information"] is None

@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators import bootstrap, clusters, granger, learning, minute_bars, transforms, unit_root
+from tidewright.operators import bootstrap, clusters, granger, learning, minute_bars, neighbours, transforms, unit_root
 from tidewright.plans.dialect import Dialect, Duck, Spark
 from tidewright.plans.research import _combinatorial, _events, _walk_forward, normal_cdf, normal_ppf
 from tidewright.plans.series import bars, ledger, r6, series, ticks
@@ -570,3 +570,33 @@ def _scalers_sql() -> str:
 
 
 FRAMES["scalers_frozen"] = (scalers_frozen, _scalers_sql())
+
+# ---- mutual information by nearest neighbours --------------------------------------------------------------------------------------
+
+INFORMED = ("momentum_3", "span", "volume")
+
+
+def _informing(d: Dialect) -> str:
+    """A row per bar and feature with the next return; features as they are, without bars before the first value."""
+    rows = f"SELECT w.symbol, w.ts, {', '.join('w.' + n for n in INFORMED)}, y.y, row_number() OVER (PARTITION BY w.symbol ORDER BY w.ts) AS k FROM {_wide(d)} w JOIN ({_ahead(d)}) y ON y.symbol = w.symbol AND y.ts = w.ts"
+    if d.name == "spark":
+        return f"(SELECT symbol, k, feature, f, y FROM ({rows}) r LATERAL VIEW stack({len(INFORMED)}, {', '.join(f"'{n}', {n}" for n in INFORMED)}) u AS feature, f WHERE y IS NOT NULL AND k > 10)"
+    return "(" + " UNION ALL ".join(f"SELECT symbol, k, '{n}' AS feature, {n} AS f, y FROM ({rows}) r WHERE y IS NOT NULL AND k > 10" for n in INFORMED) + ")"
+
+
+def feature_neighbour_information(run: Run) -> DataFrame:
+    found = neighbours.mutual_information(run(f"SELECT * FROM {_informing(Spark())} i"), ["symbol", "feature"], "k", "f", "y", parts=4)
+    return found.selectExpr("symbol", "feature", "n", "round(mutual_information, 5) + 0D AS mutual_information")
+
+
+def _neighbour_sql(k: int = 3) -> str:
+    """Every pair of points; harmonic numbers for the logarithmic derivative."""
+    p = f"p AS MATERIALIZED (SELECT symbol, feature, k, f / stddev_pop(f) OVER w AS x, y / stddev_pop(y) OVER w AS y, count(*) OVER w AS n FROM {_informing(Duck())} i WINDOW w AS (PARTITION BY symbol, feature))"
+    pairs = "pairs AS MATERIALIZED (SELECT a.symbol, a.feature, a.k, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM p a JOIN p b ON b.symbol = a.symbol AND b.feature = a.feature AND b.k <> a.k)"
+    radius = f"radius AS MATERIALIZED (SELECT symbol, feature, k, list_sort(list(greatest(dx, dy)))[{k}] AS r FROM pairs GROUP BY symbol, feature, k)"
+    counts = "counts AS (SELECT symbol, feature, k, sum((dx < r)::INT) AS nx, sum((dy < r)::INT) AS ny FROM pairs JOIN radius USING (symbol, feature, k) GROUP BY symbol, feature, k)"
+    psi = "psi AS MATERIALIZED (SELECT i AS m, -0.5772156649015329 + coalesce(sum(1e0 / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v FROM (SELECT unnest(range(1, (SELECT max(n) + 2 FROM p))) AS i))"
+    return f"WITH {p}, {pairs}, {radius}, {counts}, {psi}, sizes AS (SELECT symbol, feature, max(n) AS n FROM p GROUP BY symbol, feature) SELECT symbol, feature, n, round(greatest(0e0, (SELECT v FROM psi WHERE m = n) + (SELECT v FROM psi WHERE m = {k}) - t), 5) + 0e0 AS mutual_information FROM sizes JOIN (SELECT symbol, feature, avg(a.v + b.v) AS t FROM counts c JOIN psi a ON a.m = c.nx + 1 JOIN psi b ON b.m = c.ny + 1 GROUP BY symbol, feature) q USING (symbol, feature)"
+
+
+FRAMES["feature_neighbour_information"] = (feature_neighbour_information, _neighbour_sql())
