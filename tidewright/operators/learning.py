@@ -42,7 +42,8 @@ def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``rows`` with ``p_``, an array of the probabilities of :data:`LABELS`; labels that training didn't have get 0."""
     p = vector_to_array("probability")
     padded = F.slice(F.concat(p, F.array_repeat(F.lit(0.0), 3)), 1, 3)
-    return model.transform(rows).withColumn("p_", padded).drop("probability", "rawPrediction", "prediction", "x_", *[c for c in model.transform(rows.limit(0)).columns if c.endswith("__filled")])
+    out = model.transform(rows).withColumn("p_", padded)
+    return out.drop("probability", "rawPrediction", "prediction", "x_", *(c for c in out.columns if c.endswith("__filled")))
 
 
 class Calibrated:
