@@ -92,7 +92,8 @@ def portfolio_time_series(d, window: int = 30):
     values = f"{'collect_list' if d.name == 'spark' else 'list'}(w) {frame}"
     rows = f"SELECT day, k, r, w, lag(r) OVER (ORDER BY day) AS before, avg(r) {frame} AS mean, stddev_samp(r) {frame} AS sd, {values} AS ws FROM {_days(d)} q"
     if d.name == "spark":
-        fall = "aggregate(ws, named_struct('top', 0D, 'low', 0D), (a_, x_) -> named_struct('top', greatest(a_.top, x_), 'low', least(a_.low, x_ / greatest(a_.top, x_) - 1))).low"
+        # NaN is the largest: a window of infinite values alone has no fall, which isn't a fall of 0.
+        fall = "aggregate(ws, named_struct('top', 0D, 'low', double('NaN')), (a_, x_) -> named_struct('top', greatest(a_.top, x_), 'low', least(a_.low, x_ / greatest(a_.top, x_) - 1))).low"
     else:
         fall = "list_min(list_transform(range(1, len(ws) + 1), lambda i: ws[i] / list_max(ws[1:i]) - 1))"
     full = f"SELECT *, CASE WHEN k >= {window} THEN mean * {ANN} END AS rr, CASE WHEN k >= {window} THEN sd * sqrt({ANN}e0) END AS rv, CASE WHEN k >= {window} THEN mean / nullif(sd, 0) * sqrt({ANN}e0) END AS rs, CASE WHEN k >= {window} THEN {fall} END AS rd FROM ({rows}) z"
