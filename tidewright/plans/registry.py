@@ -11,17 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from .dialect import Dialect, Duck, Spark
 from tidewright.operators import backtest, info_bars, montecarlo, recursive, regimes, swings, touches, window_stats
 
+from tidewright.sources.staging import staged
+
 from . import checked, modelling, portfolio, research, structure  # noqa: F401  they register their queries
-from .series import SERIES, _signals, _swings, bars, ledger, ticks
+from .series import SERIES, STEPS, _signals, _swings, bars, ledger, ticks
 
 FLAGSHIP = "features_returns"
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
 def run_sql(spark: SparkSession, text: str, sf_dir: str) -> DataFrame:
-    """Run SQL whose ``{table}`` marks are Parquet tables of a folder."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLE.findall(text))}
-    return spark.sql(text, **tables)
+    """Run SQL whose ``{table}`` marks are Parquet tables of a folder, or steps, each run once."""
+    kept: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in kept:
+            kept[name] = staged(resolve(f"SELECT * FROM {STEPS[name](Spark())} s")) if name in STEPS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return kept[name]
+
+    def resolve(text: str) -> DataFrame:
+        return spark.sql(text, **{t: table(t) for t in sorted(set(_TABLE.findall(text)))})
+
+    return resolve(text)
 
 
 def _query(make: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:

@@ -19,6 +19,17 @@ def series(fn: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return fn
 
 
+#: Steps by name, which Spark runs once per query and keeps.
+STEPS: dict[str, Callable[[Dialect], str]] = {}
+
+
+def step(fn: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+    """A step used more than once: Spark's text names it by a mark, and each query runs it once; the twin repeats its text."""
+    name = fn.__name__.lstrip("_")
+    STEPS[name] = fn
+    return lambda d: f"{{{name}}}" if d.name == "spark" else fn(d)
+
+
 def r6(x: str) -> str:
     """Six digits; a rounded negative zero is zero."""
     return f"(round(CAST({x} AS DOUBLE), 6) + 0e0)"
@@ -48,6 +59,12 @@ def ledger() -> str:
     )
 
 
+@step
+def _closed(d: Dialect) -> str:
+    """The ledger, for queries that read it several times."""
+    return ledger()
+
+
 def daily() -> str:
     """Long daily series of order prices."""
     return (
@@ -231,9 +248,10 @@ def range_join_intervals(d):
     return f"SELECT symbol, CAST(v AS INT) AS interval_id, count(*) AS ticks, min(id) AS first_id, max(id) AS last_id FROM {asof(d, all_ticks, marks)} j WHERE v IS NOT NULL GROUP BY symbol, v"
 
 
-def _concurrency() -> str:
+def _concurrency(trades: str | None = None) -> str:
     """Open trades on each day of the ledger: +1 at entry, -1 on the day after exit."""
-    steps = f"SELECT entry_datetime AS day, 1 AS step FROM {ledger()} a UNION ALL SELECT exit_datetime AS day, -1 AS step FROM {ledger()} b"
+    trades = trades or ledger()
+    steps = f"SELECT entry_datetime AS day, 1 AS step FROM {trades} a UNION ALL SELECT exit_datetime AS day, -1 AS step FROM {trades} b"
     return f"(SELECT day, sum(step) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_trades FROM (SELECT day, sum(step) AS step FROM ({steps}) s GROUP BY day) g)"
 
 
@@ -498,7 +516,16 @@ def ledger_trade_analysis(d):
 
 @series
 def ledger_streaks(d):
-    """Longest winning and losing runs per direction, by differences of row numbers."""
+    """Longest winning and losing runs per direction, by differences of row numbers. Spark counts rows by day first, then within it."""
+    if d.name == "spark":
+        signs = f"(SELECT direction, entry_datetime AS day, id, CASE WHEN trade_return_pct > 0 THEN 1 ELSE 0 END AS win FROM {_closed(d)} t)"
+        days = f"SELECT direction, day, count(*) AS m, sum(win) AS w FROM {signs} s GROUP BY direction, day"
+        before = f"SELECT direction, day, sum(m) OVER (PARTITION BY direction ORDER BY day) - m AS m, sum(w) OVER (PARTITION BY direction ORDER BY day) - w AS w FROM ({days}) x"
+        within = "OVER (PARTITION BY s.direction, s.day ORDER BY s.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        # Rows and wins so far, this one included: their difference stays the same along a winning run, the wins along a losing one.
+        places = f"SELECT /*+ BROADCAST(b) */ s.direction, s.win, b.m + row_number() OVER (PARTITION BY s.direction, s.day ORDER BY s.id) AS k, b.w + sum(s.win) {within} AS wins FROM {signs} s JOIN ({before}) b ON b.direction = s.direction AND b.day = s.day"
+        islands = f"SELECT direction, win, CASE WHEN win = 1 THEN k - wins ELSE wins END AS g FROM ({places}) p"
+        return f"SELECT direction, win, max(n) AS longest FROM (SELECT direction, win, g, count(*) AS n FROM ({islands}) i GROUP BY direction, win, g) q GROUP BY direction, win"
     signs = f"SELECT direction, entry_datetime, id, CASE WHEN trade_return_pct > 0 THEN 1 ELSE 0 END AS win FROM {ledger()} t"
     islands = f"SELECT direction, win, row_number() OVER (PARTITION BY direction ORDER BY entry_datetime, id) - row_number() OVER (PARTITION BY direction, win ORDER BY entry_datetime, id) AS g FROM ({signs}) s"
     return f"SELECT direction, win, max(n) AS longest FROM (SELECT direction, win, g, count(*) AS n FROM ({islands}) i GROUP BY direction, win, g) q GROUP BY direction, win"
