@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from tidewright.plans.dialect import Dialect, corr
-from tidewright.plans.series import _concurrency, _signals, asof, bars, daily, ledger, r6, series, ticks
+from tidewright.plans.series import _closed, _concurrency, _signals, asof, bars, daily, ledger, r6, series, step, ticks
 
 # ---- events, barriers, labels ------------------------------------------------------------------------------------------------
 
@@ -93,13 +93,14 @@ def signals_fractional_kelly(d, threshold: float = 0.55, fraction: float = 0.25,
 # ---- sample weights ----------------------------------------------------------------------------------------------------------
 
 
+@step
 def _ranked(d: Dialect) -> str:
     """Trades with their place ``k`` (from 0) in order of entry, and the number of all. Places are counted per day, then within it."""
     if d.name == "duckdb":
         return f"(SELECT id, entry_datetime, exit_datetime, trade_return_pct, row_number() OVER (ORDER BY entry_datetime, id) - 1 AS k, count(*) OVER () AS n FROM {ledger()} t)"
-    days = f"SELECT entry_datetime AS day, count(*) AS m FROM {ledger()} t GROUP BY entry_datetime"
+    days = f"SELECT entry_datetime AS day, count(*) AS m FROM {_closed(d)} t GROUP BY entry_datetime"
     before = f"SELECT day, sum(m) OVER (ORDER BY day) - m AS before, sum(m) OVER () AS n FROM ({days}) x"
-    return f"(SELECT t.id, t.entry_datetime, t.exit_datetime, t.trade_return_pct, b.before + row_number() OVER (PARTITION BY t.entry_datetime ORDER BY t.id) - 1 AS k, b.n FROM {ledger()} t JOIN ({before}) b ON b.day = t.entry_datetime)"
+    return f"(SELECT /*+ BROADCAST(b) */ t.id, t.entry_datetime, t.exit_datetime, t.trade_return_pct, t.direction, t.regime, b.before + row_number() OVER (PARTITION BY t.entry_datetime ORDER BY t.id) - 1 AS k, b.n FROM {_closed(d)} t JOIN ({before}) b ON b.day = t.entry_datetime)"
 
 
 def _raw_weights(d: Dialect) -> str:
@@ -134,6 +135,12 @@ def _walk_forward(d: Dialect, splits: int = 5, first: float = 0.4, embargo: floa
     start, size = f"CAST(floor(n * {first}) AS BIGINT)", f"greatest(1, CAST(floor((n - floor(n * {first})) / {folds}) AS BIGINT))"
     numbers = ", ".join(f"({f})" for f in range(folds))
     edges = f"SELECT fold, {start} + fold * {size} AS a, least({start} + (fold + 1) * {size}, n) AS b, n, greatest(1, CAST(floor(n * {embargo}) AS BIGINT)) AS e FROM (SELECT count(*) AS n FROM {ledger()} t) c CROSS JOIN (VALUES {numbers}) AS f(fold)"
+    if d.name == "spark":
+        # Of the folds' edges there is a handful; they go to every task.
+        edges = edges.replace(ledger(), _ranked(d)).replace("SELECT fold", "SELECT /*+ BROADCAST(c) */ fold", 1)
+        begins = f"SELECT /*+ BROADCAST(w) */ w.fold, w.a, w.b, w.e, r.entry_datetime AS begins FROM ({edges}) w JOIN {_ranked(d)} r ON r.k = w.a"
+        role = "CASE WHEN r.k >= w.a AND r.k < w.b THEN 'test' WHEN r.k < greatest(0, w.a - w.e) AND r.exit_datetime < w.begins THEN 'train' END"
+        return f"(SELECT * FROM (SELECT /*+ BROADCAST(w) */ w.fold, r.id, r.trade_return_pct, r.direction, r.regime, {role} AS role FROM {_ranked(d)} r CROSS JOIN ({begins}) w) q WHERE role IS NOT NULL)"
     begins = f"SELECT w.fold, w.a, w.b, w.e, r.entry_datetime AS begins FROM ({edges}) w JOIN {_ranked(d)} r ON r.k = w.a"
     role = "CASE WHEN r.k >= w.a AND r.k < w.b THEN 'test' WHEN r.k < greatest(0, w.a - w.e) AND r.exit_datetime < w.begins THEN 'train' END"
     return f"(SELECT fold, id, role FROM (SELECT w.fold, r.id, {role} AS role FROM {_ranked(d)} r CROSS JOIN ({begins}) w) q WHERE role IS NOT NULL)"
