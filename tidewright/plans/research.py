@@ -169,15 +169,18 @@ def _combinatorial(d: Dialect, splits: int = 6, embargo: float = 0.01, least: in
         rows = f"SELECT g1, g2, id, CASE WHEN {inside} THEN 'test' WHEN {near} THEN 'out' ELSE 'train' END AS role FROM ranked r CROSS JOIN blocks"
         # A pair that is one block has it named twice, which changes nothing.
         return f"(WITH {ranked}, {blocks}, rows AS MATERIALIZED ({rows}) SELECT g1, g2, id, role FROM rows q WHERE role <> 'out' AND (SELECT count(*) FROM rows z WHERE z.g1 = q.g1 AND z.g2 = q.g2 AND z.role = 'train') >= {least})"
+    # Groups and pairs are a handful; they go to every task.
+    n = n.replace(ledger(), _ranked(d))
     numbers = ", ".join(f"({g})" for g in range(splits))
-    groups = f"SELECT g, n.n, n.e, CAST(floor(g * n.n / {splits}D) AS BIGINT) AS lo, CAST(floor((g + 1) * n.n / {splits}D) AS BIGINT) AS hi FROM (VALUES {numbers}) AS f(g) CROSS JOIN {n} n"
-    known = f"SELECT g.*, a.entry_datetime AS opens, b.entry_datetime AS closes FROM ({groups}) g JOIN {_ranked(d)} a ON a.k = g.lo JOIN {_ranked(d)} b ON b.k = g.hi - 1"
-    pairs = f"SELECT a.g AS g1, b.g AS g2, a.e, a.lo AS lo1, a.hi AS hi1, b.lo AS lo2, b.hi AS hi2, a.opens AS opens1, CASE WHEN b.g = a.g + 1 THEN b.closes ELSE a.closes END AS closes1, CASE WHEN b.g > a.g + 1 THEN b.opens END AS opens2, b.closes AS closes2, CASE WHEN b.g > a.g + 1 THEN b.lo END AS cut2 FROM ({known}) a JOIN ({known}) b ON a.g < b.g"
+    groups = f"SELECT /*+ BROADCAST(n) */ g, n.n, n.e, CAST(floor(g * n.n / {splits}D) AS BIGINT) AS lo, CAST(floor((g + 1) * n.n / {splits}D) AS BIGINT) AS hi FROM (VALUES {numbers}) AS f(g) CROSS JOIN {n} n"
+    opened = f"SELECT /*+ BROADCAST(g) */ g.*, a.entry_datetime AS opens FROM ({groups}) g JOIN {_ranked(d)} a ON a.k = g.lo"
+    known = f"SELECT /*+ BROADCAST(g) */ g.*, b.entry_datetime AS closes FROM ({opened}) g JOIN {_ranked(d)} b ON b.k = g.hi - 1"
+    pairs = f"SELECT /*+ BROADCAST(b) */ a.g AS g1, b.g AS g2, a.e, a.lo AS lo1, a.hi AS hi1, b.lo AS lo2, b.hi AS hi2, a.opens AS opens1, CASE WHEN b.g = a.g + 1 THEN b.closes ELSE a.closes END AS closes1, CASE WHEN b.g > a.g + 1 THEN b.opens END AS opens2, b.closes AS closes2, CASE WHEN b.g > a.g + 1 THEN b.lo END AS cut2 FROM ({known}) a JOIN ({known}) b ON a.g < b.g"
     inside = "(r.k >= p.lo1 AND r.k < p.hi1) OR (r.k >= p.lo2 AND r.k < p.hi2)"
     near = "(r.exit_datetime >= p.opens1 AND r.entry_datetime < p.closes1) OR (r.k >= p.lo1 - p.e AND r.k < p.lo1) OR coalesce((r.exit_datetime >= p.opens2 AND r.entry_datetime < p.closes2) OR (r.k >= p.cut2 - p.e AND r.k < p.cut2), false)"
-    rows = f"SELECT p.g1, p.g2, r.id, CASE WHEN {inside} THEN 'test' WHEN {near} THEN 'out' ELSE 'train' END AS role FROM {_ranked(d)} r CROSS JOIN ({pairs}) p"
-    enough = f"SELECT g1, g2 FROM ({rows}) x WHERE role = 'train' GROUP BY g1, g2 HAVING count(*) >= {least}"
-    return f"(SELECT q.g1, q.g2, q.id, q.role FROM ({rows}) q JOIN ({enough}) k ON k.g1 = q.g1 AND k.g2 = q.g2 WHERE q.role <> 'out')"
+    rows = f"SELECT /*+ BROADCAST(p) */ p.g1, p.g2, r.id, r.trade_return_pct, r.direction, r.regime, CASE WHEN {inside} THEN 'test' WHEN {near} THEN 'out' ELSE 'train' END AS role FROM {_ranked(d)} r CROSS JOIN ({pairs}) p"
+    enough = f"SELECT g1 AS k1, g2 AS k2 FROM ({rows}) x WHERE role = 'train' GROUP BY g1, g2 HAVING count(*) >= {least}"
+    return f"(SELECT /*+ BROADCAST(k) */ q.* FROM ({rows}) q JOIN ({enough}) k ON k.k1 = q.g1 AND k.k2 = q.g2 WHERE q.role <> 'out')"
 
 
 @series
