@@ -191,6 +191,11 @@ def cv_combinatorial(d):
 @series
 def cv_combined_scores(d):
     """Mean and deviation over the folds of each method: win rate and mean return of a fold's test trades."""
+    if d.name == "spark":
+        wf = f"SELECT 'walk_forward' AS method, fold AS f1, 0 AS f2, trade_return_pct AS ret FROM {_walk_forward(d)} a WHERE role = 'test'"
+        cp = f"SELECT 'combinatorial' AS method, g1 AS f1, g2 AS f2, trade_return_pct AS ret FROM {_combinatorial(d)} b WHERE role = 'test'"
+        scores = f"SELECT method, f1, f2, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS accuracy, avg(ret) AS ret FROM ({wf} UNION ALL {cp}) s GROUP BY method, f1, f2"
+        return f"SELECT method, count(*) AS n_folds, {r6('avg(accuracy)')} AS accuracy_mean, {r6('stddev_samp(accuracy)')} AS accuracy_std, {r6('avg(ret)')} AS ret_mean, {r6('stddev_samp(ret)')} AS ret_std FROM ({scores}) z GROUP BY method"
     wf = f"SELECT 'walk_forward' AS method, fold AS f1, 0 AS f2, id FROM {_walk_forward(d)} a WHERE role = 'test'"
     cp = f"SELECT 'combinatorial' AS method, g1 AS f1, g2 AS f2, id FROM {_combinatorial(d)} b WHERE role = 'test'"
     scores = f"SELECT method, f1, f2, avg(CASE WHEN t.trade_return_pct > 0 THEN 1e0 ELSE 0e0 END) AS accuracy, avg(t.trade_return_pct) AS ret FROM ({wf} UNION ALL {cp}) s JOIN {ledger()} t ON t.id = s.id GROUP BY method, f1, f2"
