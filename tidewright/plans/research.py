@@ -226,6 +226,8 @@ def deflated_sharpe(d):
     """Of the combinatorial paths' Sharpe ratios: the probability that the best is more than the best of as many trials by luck."""
     cp = f"SELECT g1, g2, id FROM {_combinatorial(d)} b WHERE role = 'test'"
     paths = f"SELECT g1, g2, avg(t.trade_return_pct) / stddev_samp(t.trade_return_pct) AS sr FROM ({cp}) s JOIN {ledger()} t ON t.id = s.id GROUP BY g1, g2"
+    if d.name == "spark":
+        paths = f"SELECT g1, g2, avg(trade_return_pct) / stddev_samp(trade_return_pct) AS sr FROM {_combinatorial(d)} b WHERE role = 'test' GROUP BY g1, g2"
     gamma = 0.5772156649
     stats = f"SELECT max(sr) AS best, stddev_samp(sr) AS sd, CAST(count(*) AS DOUBLE) AS n FROM ({paths}) p"
     luck = f"SELECT *, {1 - gamma!r} * {normal_ppf('(1e0 - 1e0 / n)')} + {gamma} * {normal_ppf(f'(1e0 - 1e0 / (n * {math.e!r}))')} AS expected FROM ({stats}) q"
