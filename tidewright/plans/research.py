@@ -103,19 +103,29 @@ def _ranked(d: Dialect) -> str:
     return f"(SELECT /*+ BROADCAST(b) */ t.id, t.entry_datetime, t.exit_datetime, t.trade_return_pct, t.direction, t.regime, b.before + row_number() OVER (PARTITION BY t.entry_datetime ORDER BY t.id) - 1 AS k, b.n FROM {_closed(d)} t JOIN ({before}) b ON b.day = t.entry_datetime)"
 
 
+@step
 def _raw_weights(d: Dialect) -> str:
-    """Average uniqueness times the size of the market's log return from entry to exit (last price known on the day)."""
+    """Average uniqueness times the size of the market's log return from entry to exit (last price known on the day).
+
+    What depends on the day alone, Spark works out once per day.
+    """
     price = f"(SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, c AS v FROM {daily()} b)"
     ends = f"(SELECT 'orders' AS symbol, CAST(exit_datetime AS TIMESTAMP) AS ts, id FROM {ledger()} t)"
     starts = f"(SELECT 'orders' AS symbol, CAST(entry_datetime AS TIMESTAMP) AS ts, id FROM {ledger()} t)"
-    c = f"SELECT day, CASE WHEN open_trades > 0 THEN 1e0 / open_trades ELSE 0e0 END AS u FROM {_concurrency()} q"
+    c = f"SELECT day, CASE WHEN open_trades > 0 THEN 1e0 / open_trades ELSE 0e0 END AS u FROM {_concurrency(_closed(d))} q"
     p = f"SELECT day, sum(u) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - u AS before, row_number() OVER (ORDER BY day) AS k FROM ({c}) z"
+    if d.name == "spark":
+        known = f"SELECT ts, v FROM {asof(d, f"(SELECT 'orders' AS symbol, CAST(day AS TIMESTAMP) AS ts, k AS id FROM ({p}) z)", price)} j"
+        days = f"SELECT p.day, p.before, p.k, j.v FROM ({p}) p JOIN ({known}) j ON j.ts = CAST(p.day AS TIMESTAMP)"
+        return f"(SELECT /*+ BROADCAST(e, x) */ t.id, t.k, t.n, (x.before - e.before) / (x.k - e.k) * abs(ln(x.v / e.v)) AS w FROM {_ranked(d)} t JOIN ({days}) e ON e.day = t.entry_datetime JOIN ({days}) x ON x.day = t.exit_datetime)"
     unique = f"SELECT t.id, t.k, t.n, (x.before - e.before) / (x.k - e.k) AS u FROM {_ranked(d)} t JOIN ({p}) e ON e.day = t.entry_datetime JOIN ({p}) x ON x.day = t.exit_datetime"
     return f"(SELECT q.id, q.k, q.n, q.u * abs(ln(b.v / a.v)) AS w FROM ({unique}) q JOIN {asof(d, starts, price)} a ON a.id = q.id JOIN {asof(d, ends, price)} b ON b.id = q.id)"
 
 
 @series
 def weights_return(d):
+    if d.name == "spark":
+        return f"SELECT /*+ BROADCAST(a) */ id, {r6('w / m')} AS weight FROM {_raw_weights(d)} r CROSS JOIN (SELECT avg(w) AS m FROM {_raw_weights(d)} r) a"
     return f"SELECT id, {r6('w / m')} AS weight FROM {_raw_weights(d)} r CROSS JOIN (SELECT avg(w) AS m FROM {_raw_weights(d)} r) a"
 
 
@@ -123,6 +133,8 @@ def weights_return(d):
 def weights_time_decay(d, decay: float = 0.5):
     """Return weights times 1 - decay (1 - rank / n), not below 0, with mean 1."""
     factor = f"greatest(0e0, least(1e0, 1 - {decay} * (1 - (k + 1e0) / n)))"
+    if d.name == "spark":
+        return f"SELECT /*+ BROADCAST(a) */ id, {r6(f'w * {factor} / m')} AS weight FROM {_raw_weights(d)} r CROSS JOIN (SELECT avg(w * {factor}) AS m FROM {_raw_weights(d)} r) a"
     return f"SELECT id, {r6(f'w * {factor} / m')} AS weight FROM {_raw_weights(d)} r CROSS JOIN (SELECT avg(w * {factor}) AS m FROM {_raw_weights(d)} r) a"
 
 
