@@ -435,12 +435,17 @@ def _trades(d: Dialect) -> str:
 
 def _frequency_model(d: Dialect) -> str:
     """Out-of-sample predictions of every fold of both methods by the labels' frequencies among like training trades (one more of each label)."""
+    if d.name == "spark":
+        # The folds' rows bring the features along; of frequencies there are a few per fold, which go to every task.
+        own = "CAST(substr(regime, 1, 1) AS DOUBLE) AS priority, CASE WHEN direction = 'Long' THEN 1e0 ELSE 0e0 END AS long, CASE WHEN trade_return_pct > 0 THEN 1 ELSE -1 END AS label"
+        rows = f"(SELECT 'walk_forward' AS method, fold AS f1, 0 AS f2, id, role, {own} FROM {_walk_forward(d)} a UNION ALL SELECT 'combinatorial' AS method, g1 AS f1, g2 AS f2, id, role, {own} FROM {_combinatorial(d)} b)"
+        known = f"SELECT method AS m, f1 AS k1, f2 AS k2, priority AS p, long AS l, sum(CASE WHEN role = 'train' AND label = 1 THEN 1 ELSE 0 END) + 1e0 AS up, sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) + 2e0 AS n FROM {rows} r GROUP BY method, f1, f2, priority, long"
+        return (
+            f"(SELECT /*+ BROADCAST(k) */ r.method, r.f1, r.f2, r.id, r.label AS y_true, CASE WHEN k.up / k.n > 0.5 THEN 1 ELSE -1 END AS y_pred, 1 - k.up / k.n AS prob_m1, 0e0 AS prob_0, k.up / k.n AS prob_p1 FROM {rows} r "
+            f"JOIN ({known}) k ON k.m = r.method AND k.k1 = r.f1 AND k.k2 = r.f2 AND k.p <=> r.priority AND k.l = r.long WHERE r.role = 'test')"
+        )
     folds = f"(SELECT 'walk_forward' AS method, fold AS f1, 0 AS f2, id, role FROM {_walk_forward(d)} a UNION ALL SELECT 'combinatorial' AS method, g1 AS f1, g2 AS f2, id, role FROM {_combinatorial(d)} b)"
     rows = f"SELECT f.method, f.f1, f.f2, f.id, f.role, t.priority, t.long, t.label FROM {folds} f JOIN {_trades(d)} t ON t.id = f.id"
-    if d.name == "spark":
-        like = "OVER (PARTITION BY method, f1, f2, priority, long)"
-        known = f"SELECT *, sum(CASE WHEN role = 'train' AND label = 1 THEN 1 ELSE 0 END) {like} + 1e0 AS up, sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) {like} + 2e0 AS n FROM ({rows}) r"
-        return f"(SELECT method, f1, f2, id, label AS y_true, CASE WHEN up / n > 0.5 THEN 1 ELSE -1 END AS y_pred, 1 - up / n AS prob_m1, 0e0 AS prob_0, up / n AS prob_p1 FROM ({known}) k WHERE role = 'test')"
     known = f"SELECT method, f1, f2, priority, long, sum(CASE WHEN role = 'train' AND label = 1 THEN 1 ELSE 0 END) + 1e0 AS up, sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) + 2e0 AS n FROM ({rows}) r GROUP BY method, f1, f2, priority, long"
     return (
         f"(SELECT r.method, r.f1, r.f2, r.id, r.label AS y_true, CASE WHEN k.up / k.n > 0.5 THEN 1 ELSE -1 END AS y_pred, 1 - k.up / k.n AS prob_m1, 0e0 AS prob_0, k.up / k.n AS prob_p1 FROM ({rows}) r "
