@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.staging import staged
+
 PRIME = 2**31 - 1
+#: Stretches of a path, each sorted apart.
+STRETCHES = 64
 
 
 def resampled_paths(ledger: DataFrame, column: str, paths: int = 50, seed: int = 42, method: str = "bootstrap") -> DataFrame:
@@ -13,6 +17,7 @@ def resampled_paths(ledger: DataFrame, column: str, paths: int = 50, seed: int =
 
     ``bootstrap`` draws trades with replacement by Poisson weights of a hash (each trade 0, 1, 2, ... times), ``shuffle`` only
     reorders. Both are functions of (seed, path, trade), so reruns agree and trades are never collected.
+    A path is cut into stretches by the leading part of its order; each carries in the equity and the peak that the stretches before it leave.
     """
     if method not in ("bootstrap", "shuffle"):
         raise ValueError(f"unknown method: {method}")
@@ -23,12 +28,23 @@ def resampled_paths(ledger: DataFrame, column: str, paths: int = 50, seed: int =
         return (second * second + first) % PRIME
 
     u = hashed(0) / float(PRIME)
-    runs = ledger.select("id", (F.col(column) / 10_000).alias("r")).withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
+    parts = max(1, int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Read for the sums and for the paths, of which each part makes many rows.
+    trades = staged(ledger.select("id", (F.col(column) / 10_000).alias("r")).repartition(parts, "id"))
+    runs = trades.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
     # Poisson(1) by inversion.
     edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     times = sum(((F.col("u") >= e).cast("int") for e in edges), F.lit(0)) if method == "bootstrap" else F.lit(1)
-    runs = runs.withColumn("u", u).withColumn("times", times).filter("times > 0")
-    along = Window.partitionBy("path").orderBy(hashed(1), "id").rowsBetween(Window.unboundedPreceding, 0)
-    grown = runs.withColumn("equity", F.exp(F.sum(F.log1p("r") * F.col("times")).over(along)))
-    peaked = grown.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(along)))
-    return peaked.groupBy("path").agg(F.exp(F.sum(F.log1p("r") * F.col("times"))).alias("final"), F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown")).withColumn("total_return", F.col("final") - 1)
+    runs = runs.withColumn("u", u).withColumn("times", times).filter("times > 0").select("path", "id", hashed(1).alias("place"), (F.log1p("r") * F.col("times")).alias("growth"))
+    runs = runs.withColumn("stretch", F.floor(F.col("place") * STRETCHES / PRIME).cast("int"))
+    before = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("path", "stretch").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = runs.groupBy("path", "stretch").agg(F.sum("growth").alias("total"))
+    sums = sums.select(F.col("path").alias("path_"), F.col("stretch").alias("stretch_"), "total", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("so_far"))
+    grown = runs.withColumn("grown", F.sum("growth").over(along)).join(F.broadcast(sums), F.expr("path = path_ AND stretch = stretch_"))
+    grown = grown.withColumn("equity", F.exp(F.col("so_far") + F.col("grown"))).withColumn("top", F.max("equity").over(along))
+    # A fall is from the peak of the stretch or of those before it, whichever is higher; it is undefined (NaN, the largest) between infinite values.
+    ends = grown.groupBy("path", "stretch").agg(F.first("total").alias("total"), F.min("equity").alias("low"), F.max("equity").alias("top"), F.min(F.col("equity") / F.col("top")).alias("within"))
+    peak = F.greatest(F.lit(1.0), F.max("top").over(before))
+    ends = ends.withColumn("left", F.when(F.col("low") == float("inf"), F.lit(float("nan"))).otherwise(F.least(F.col("low") / peak, "within")))
+    return ends.groupBy("path").agg(F.exp(F.sum("total")).alias("final"), (F.min("left") - 1).alias("max_drawdown")).withColumn("total_return", F.col("final") - 1)
