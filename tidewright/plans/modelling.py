@@ -478,7 +478,7 @@ def _small_forest():
 
 def purged_forest_metrics(run: Run) -> DataFrame:
     """Calibrated forests, one for each walk-forward fold, trained on what purging and embargo leave: metrics of the test trades."""
-    rows, folds = run(f"SELECT * FROM {_trades(Spark())} t"), run(f"SELECT * FROM {_walk_forward(Spark())} f")
+    rows, folds = run(f"SELECT * FROM {_trades(Spark())} t"), run(f"SELECT fold, id, role FROM {_walk_forward(Spark())} f")
     predicted, _ = learning.train_on_folds(rows, folds, "fold", TRADE_FEATURES, "label", "entered", make=_small_forest)
     return learning.fold_metrics(predicted)
 
