@@ -89,6 +89,33 @@ def test_permutation_importance(trades, model):
     assert got["a"] > 0.2 and abs(got["b"]) < 0.1
 
 
+def test_vectors_that_no_tree_tells_apart(trades, model):
+    """Far fewer vectors than rows, the same probabilities; unknown values stay unknown."""
+    odd = trades.filter("id < 3").withColumn("id", F.col("id") + 1000).withColumn("a", F.expr("CASE id WHEN 1000 THEN double('NaN') WHEN 1001 THEN 1e300 ELSE double('-Infinity') END"))
+    rows = trades.unionByName(odd)
+    few = learning.alike(rows, model.models).persist()
+    assert few.select("a", "b").distinct().count() < 0.7 * trades.count()
+    assert few.filter("a IS NULL").count() == rows.filter("a IS NULL").count() and few.filter("isnan(a)").count() == 1
+    want, got = ({r["id"]: r["p_"] for r in model.probabilities(df).select("id", "p_").collect()} for df in (rows, few))
+    assert got == want and len(got) == 603
+
+
+def test_trials_are_dealt_together_and_scored_once(trades, model):
+    """As by definition, each trial scored row by row; features don't add shuffles."""
+    rows = trades.withColumn("label", F.when(F.col("id") % 50 > 0, F.col("label"))).withColumn("a", F.when(F.col("id") == 7, math.nan).otherwise(F.col("a")))
+    right = lambda df: learning.predictions(model.probabilities(df), "label").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
+    found, base = learning.permutation_importance(model, rows, ["a", "b"], "label", repeats=2, seed=3), right(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 2 * 2
+    got = {r["feature"]: r for r in found.collect()}
+    assert set(got) == {"a", "b"}
+    for f in got:
+        falls = [base - right(learning.shuffled(rows, f, 3000 + k)) for k in range(2)]
+        assert abs(got[f]["importance"] - np.mean(falls)) < 1e-12 and abs(got[f]["deviation"] - np.std(falls)) < 1e-12
+    one = learning.permutation_importance(model, rows, ["a"], "label", repeats=2, seed=3).collect()
+    assert [tuple(r) for r in one] == [tuple(got["a"])]
+
+
 def test_values_are_dealt_out_anew(trades):
     a = {r["id"]: r["b"] for r in learning.shuffled(trades.select("id", "b"), "b", 1).collect()}
     b = {r["id"]: r["b"] for r in learning.shuffled(trades.select("id", "b").repartition(2), "b", 1).collect()}

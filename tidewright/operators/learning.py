@@ -6,19 +6,23 @@ the folds, of which there are a few dozen.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.sources.staging import staged
 
 LABELS = (-1, 0, 1)
+#: A split as a forest describes it: the feature's place and the threshold.
+_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
 
 
 def forest(features: list[str], trees: int = 100, depth: int = 8, leaf: int = 5, seed: int = 42) -> Pipeline:
@@ -46,6 +50,40 @@ def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.drop("probability", "rawPrediction", "prediction", "x_", *(c for c in out.columns if c.endswith("__filled")))
 
 
+def _inputs(model: PipelineModel) -> list[str]:
+    """Features of a model that is as :func:`forest` makes it; none of another."""
+    kinds = (ImputerModel, VectorAssembler, RandomForestClassificationModel)
+    return list(model.stages[0].getInputCols()) if tuple(map(type, model.stages)) == kinds else []
+
+
+def _stepped(x: Column, edges: list[float], above: float) -> Column:
+    """The smallest of the ascending ``edges`` that ``x`` doesn't exceed, or ``above``."""
+    if not edges:
+        return F.lit(above)
+    mid = len(edges) // 2
+    return F.when(x <= edges[mid], _stepped(x, edges[:mid], edges[mid])).otherwise(_stepped(x, edges[mid + 1 :], above))
+
+
+def alike(rows: DataFrame, models: list[PipelineModel]) -> DataFrame:
+    """``rows`` with one value for all that lie between the same two thresholds of a feature, which no tree of the models tells apart.
+
+    So there are few vectors, however many rows, and predictions stay what they are. Models other than :func:`forest`'s change nothing.
+    """
+    inputs = [_inputs(m) for m in models]
+    if not all(inputs):
+        return rows
+    edges: dict[str, set[float]] = {f: set() for names in inputs for f in names}
+    for names, model in zip(inputs, models, strict=True):
+        for k, at in _SPLIT.findall(model.stages[-1].toDebugString):
+            edges[names[int(k)]].add(float(at))
+    kinds, new = dict(rows.dtypes), {}
+    for f in edges:
+        if kinds[f] == "double":
+            x, at = F.col(f), sorted(edges[f])
+            new[f] = F.when(x.isNull() | F.isnan(x), x).otherwise(_stepped(x, at, math.nextafter(at[-1], math.inf) if at else 0.0))
+    return rows.withColumns(new) if new else rows
+
+
 class Calibrated:
     """A forest per inner fold, and for each label an isotonic map from its out-of-fold probability to the label's frequency.
 
@@ -69,11 +107,15 @@ class Calibrated:
         models, maps = [], []
         for k in range(folds):
             model = make().fit(rows.filter(F.col("inner_") != k))
-            held = probabilities(model, rows.filter(F.col("inner_") == k))
+            held = rows.filter(F.col("inner_") == k)
+            if names := _inputs(model):  # rows that no tree tells apart are scored once
+                held = alike(held, [model]).groupBy(*names, "y_").agg(F.sum("w_").alias("w_"))
+            held = probabilities(model, held).persist()
             models.append(model)
             maps.append([
                 IsotonicRegression(featuresCol="f_", labelCol="l_", weightCol="w_").fit(held.select(F.col("p_")[j].alias("f_"), (F.col("y_") == j).cast("double").alias("l_"), "w_")) for j in range(len(LABELS))
             ])
+            held.unpersist()
         rows.unpersist()
         return cls(models, maps)
 
@@ -155,12 +197,13 @@ def fold_metrics(predicted: DataFrame, by: list[str] = ["fold"]) -> DataFrame:
     return base.join(wins, by).select(*by, "n", "accuracy", "f1_weighted", "log_loss", auc)
 
 
-def shuffled(rows: DataFrame, column: str, seed: int, parts: int = 256) -> DataFrame:
-    """``rows`` (with a unique ``id``) whose ``column`` has its values dealt out anew by a hash of the seed; reruns agree.
+def shuffled(rows: DataFrame, columns: str | list[str], seed: int, parts: int = 256) -> DataFrame:
+    """``rows`` (with a unique ``id``) whose ``columns`` have their values dealt out anew, together, by a hash of the seed; reruns agree.
 
-    The value at each place in order of one hash goes to the row at that place in order of another. Places are counted by leading bits
+    The values at each place in order of one hash go to the row at that place in order of another. Places are counted by leading bits
     of the hash first, then within them.
     """
+    columns = [columns] if isinstance(columns, str) else columns
 
     def places(df: DataFrame, salt: int) -> DataFrame:
         h = F.xxhash64("id", F.lit(seed), F.lit(salt))
@@ -168,22 +211,32 @@ def shuffled(rows: DataFrame, column: str, seed: int, parts: int = 256) -> DataF
         sizes = df.groupBy("b_").count().withColumn("before_", F.sum("count").over(Window.orderBy("b_")) - F.col("count")).drop("count")  # ``parts`` rows
         return df.join(F.broadcast(sizes), "b_").withColumn("place_", F.col("before_") + F.row_number().over(Window.partitionBy("b_").orderBy("h_", "id"))).drop("h_", "b_", "before_")
 
-    values = places(rows.select("id", F.col(column).alias("value_")), 1).select("place_", "value_")
-    return places(rows, 2).join(values, "place_").withColumn(column, F.col("value_")).drop("place_", "value_")
+    values = places(rows.select("id", *(F.col(c).alias(f"value{i}_") for i, c in enumerate(columns))), 1).drop("id")
+    dealt = {c: F.col(f"value{i}_") for i, c in enumerate(columns)}
+    return places(rows, 2).join(values, "place_").withColumns(dealt).drop("place_", *(f"value{i}_" for i in range(len(columns))))
 
 
-def permutation_importance(model, rows: DataFrame, features: list[str], label: str, repeats: int = 5, seed: int = 42) -> DataFrame:
+def permutation_importance(model: Calibrated, rows: DataFrame, features: list[str], label: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """``feature, importance, deviation``: how much accuracy falls when a feature's values are dealt out anew, mean and deviation over ``repeats``.
 
-    All repeats of all features are scored in one union, whose size is rows x features x repeats.
+    A repeat deals all features out in one go, by the same places; a trial takes one of them from there and the others from the row. Trials
+    are counted by vector and label, with values that no tree tells apart as one, and every vector is scored once.
     """
-    rows = staged(rows)
-    right = lambda df: predictions(model.probabilities(df), label).select((F.col("y_true") == F.col("y_pred")).cast("double").alias("right"))
-    whole = right(rows).agg(F.avg("right").alias("base"))
-    trials = None
-    for f in features:
-        for k in range(repeats):
-            part = right(shuffled(rows, f, seed * 1000 + k)).select(F.lit(f).alias("feature"), F.lit(k).alias("k"), "right")
-            trials = part if trials is None else trials.unionByName(part)
-    falls = trials.groupBy("feature", "k").agg(F.avg("right").alias("acc")).join(F.broadcast(whole)).withColumn("fall", F.col("base") - F.col("acc"))
-    return falls.groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_pop("fall").alias("deviation"))
+    inputs = [_inputs(m) for m in model.models]
+    read = {f for names in inputs for f in names} if all(inputs) else {*rows.columns} - {"id", label}
+    fixed = sorted(read - {*features})  # what the model reads besides
+    rows = staged(alike(rows.select("id", *features, *fixed, label), model.models))
+    trials = rows.select(*features, *fixed, label, F.lit(-1).alias("trial_"))
+    other = [f"{f}__dealt" for f in features]
+    for k in range(repeats):
+        dealt = shuffled(rows.select("*", *(F.col(f).alias(o) for f, o in zip(features, other, strict=True))), other, seed * 1000 + k)
+        each = [F.struct(*(F.col(other[j] if j == i else g).alias(g) for j, g in enumerate(features)), F.lit(i * repeats + k).alias("trial_")) for i in range(len(features))]
+        trials = trials.unionByName(dealt.select(*fixed, label, F.explode(F.array(*each)).alias("t_")).select("t_.*", *fixed, label))
+    counts = trials.filter(F.col(label).isNotNull()).groupBy(*features, *fixed, label, "trial_").agg(F.count("*").alias("c_"))
+    vectors = counts.groupBy(*features, *fixed).agg(F.collect_list(F.struct(label, "trial_", "c_")).alias("of_"))
+    scored = predictions(model.probabilities(vectors).select("p_", F.explode("of_").alias("t_")).select("p_", "t_.*"), label)
+    right = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("c_")).otherwise(0)) / F.sum("c_")
+    base = F.max(F.when(F.col("trial_") < 0, F.col("acc"))).over(Window.partitionBy())  # a row a trial
+    falls = scored.groupBy("trial_").agg(right.alias("acc")).withColumn("fall", base - F.col("acc")).filter("trial_ >= 0")
+    name = F.element_at(F.array(*map(F.lit, features)), F.floor(F.col("trial_") / repeats).cast("int") + 1)
+    return falls.groupBy(name.alias("feature")).agg(F.avg("fall").alias("importance"), F.stddev_pop("fall").alias("deviation"))

@@ -16,6 +16,7 @@ from tidewright.operators import bootstrap, clusters, granger, learning, minute_
 from tidewright.plans.dialect import Dialect, Duck, Spark
 from tidewright.plans.research import _combinatorial, _events, _walk_forward, normal_cdf, normal_ppf
 from tidewright.plans.series import bars, ledger, r6, series, ticks
+from tidewright.sources.staging import staged
 
 Run = Callable[[str], DataFrame]
 FRAMES: dict[str, tuple[Callable[[Run], DataFrame], str]] = {}
@@ -485,7 +486,7 @@ def purged_forest_metrics(run: Run) -> DataFrame:
 
 def forest_importances(run: Run) -> DataFrame:
     """Of a calibrated forest on all trades: mean decrease of impurity, and how much accuracy falls when a feature is dealt out anew."""
-    rows = run(f"SELECT * FROM {_trades(Spark())} t")
+    rows = staged(run(f"SELECT * FROM {_trades(Spark())} t"))
     model = learning.Calibrated.fit(_small_forest, learning.balanced(rows, "label", None), "entered")
     falls = learning.permutation_importance(model, rows, TRADE_FEATURES, "label", repeats=2)
     impurity = F.create_map(*(x for k, v in model.importances(TRADE_FEATURES).items() for x in (F.lit(k), F.lit(v))))
