@@ -1,8 +1,10 @@
 """Corpus operators on small tables: against brute force, and with nulls, empty tables, repeated rows and clashing names."""
 
 import hashlib
+import json
 import math
 import random
+import re
 import string
 import zlib
 from collections import Counter
@@ -517,6 +519,35 @@ def test_packing(docs, corpus):
         assert sequences <= sum(map(len, ids.values())) / capacity * 1.05 + 1
 
 
+def test_words_are_known_without_their_punctuation():
+    """Ids of texts of odd words are the tokenizer's own; capitals and punctuation at the end make no new words."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    text = queries.tokenizer_json()
+    plain = json.loads(text)
+    plain["normalizer"]["normalizers"] = [x for x in plain["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    rng = random.Random(8)
+    odd = [*"aZé9ß'.,;|#!~`<>-", "İ", "Σ", "\u0301", "\u0338", "\x1c", "\xa0", "٣", "’", "日", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'RE", "Don", "É", "E\u0301", "\x00", " "]
+    texts = ["", " ", *("".join(rng.choice(odd) for _ in range(rng.randrange(1, 9))) for _ in range(6000)), *(a + b for a in odd for b in ".;'")]
+    for setup in (text, json.dumps(plain)):
+        tok, words = Tokenizer.from_str(setup), packing.WordIds(setup, 2)
+        assert words.apart == (setup == text)
+        ids, sizes = words(pa.array(texts, pa.large_string()))
+        at = 0
+        for t, n in zip(texts, sizes.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == [*(i for w in packing_words(t) for i in tok.encode(w, add_special_tokens=False).ids), 2], repr(t)
+            at += n
+    words = packing.WordIds(text, 2)
+    words(pa.array(["Word word. WORD, word; Other other!"], pa.large_string()))
+    assert set(words.known) == {"", "word", "other", ".", ",", ";", "!"}
+    assert words(pa.array([], pa.large_string()))[0].tolist() == []
+
+
+def packing_words(text):
+    return [w for w in re.split("[ \t-\r]+", text) if w]
+
+
 def test_packing_odd(odd):
     out = packing.pack_documents(odd, queries.tokenizer_json(), carry=("block",)).collect()
     assert sum(r.start == 0 for r in out) == 5 and packing.pack_documents(odd.limit(0), queries.tokenizer_json()).count() == 0

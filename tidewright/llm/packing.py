@@ -12,6 +12,7 @@ best-fit in one small task.
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,12 @@ END_ID = 2
 #: Text that is tokenised at a time, in bytes. Words that a worker remembers.
 SLICE_BYTES, CACHE_WORDS = 4 << 20, 300_000
 CHUNK_ROWS = 1 << 15
+#: How tokenizers are set up that lower-case and cut between letters or digits and what is neither.
+_LOWER = {"type": "Lowercase"}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+#: ASCII punctuation but the apostrophe, at a word's end, behind an ASCII or Latin-1 letter or a digit.
+_TAIL = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)$"
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -46,23 +53,53 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+def cuts_at_punctuation(tokenizer_json: str) -> bool:
+    """Whether the tokenizer lower-cases a word and treats what :data:`_TAIL` finds apart from what is before it."""
+    told = json.loads(tokenizer_json)
+    normal, before = (told.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    steps, cuts = normal.get("normalizers", []), before.get("pretokenizers", [])
+    return (
+        normal.get("type") == before.get("type") == "Sequence" and _LOWER in steps and all(x in ({"type": "NFC"}, _SPACES, _LOWER) for x in steps)
+        and len(cuts) == 2 and cuts[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+        and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex", True)
+    )
+
+
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer never joins across ASCII white space."""
+    """Token ids of texts, word by word: the tokenizer never joins across ASCII white space.
+
+    Where the tokenizer lower-cases and cuts at punctuation, a word is looked up in lower case and the punctuation at its end apart, as
+    most words that are new in that they have a capital or a full stop are known without. Words with an added token stay as they are.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(tokenizer_json)
-        # Remembered words by number; number 0 is the end of a text.
-        self.known: dict[str, int] = {}
-        self.flat, self.size = np.array([end_id], np.uint32), np.ones(1, np.int64)
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by the end id, and the number of ids of each."""
-        words = pc.ascii_split_whitespace(texts)
-        ends = words.offsets.to_numpy()[1:].astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        unique = coded.dictionary.to_pylist()
+        self.apart = cuts_at_punctuation(tokenizer_json)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        # Remembered words by number; number 0 is the end of a text, number 1 no word.
+        self.known: dict[str, int] = {"": 1}
+        self.flat, self.size = np.array([end_id], np.uint32), np.array([1, 0])
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word without the punctuation at its end, and that."""
+        if not self.apart:
+            return words, pa.nulls(len(words), words.type).fill_null("")
+        same = pa.repeat(False, len(words))
+        for token in self.added:
+            same = pc.or_(same, pc.match_substring(words, token, ignore_case=True))
+        lower = pc.if_else(same, words, pc.ascii_lower(words))
+        cut = pc.and_(pc.match_substring_regex(lower, _TAIL), pc.invert(same))
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        ended = lower.take(pa.array(at))
+        bare = pc.replace_substring_regex(ended, _TAIL, r"\1")
+        behind = pc.struct_field(pc.extract_regex(ended, _TAIL.replace("([", "(?P<last>[", 1).replace(")([", ")(?P<tail>[", 1)), "tail")
+        return pc.replace_with_mask(lower, cut, bare), pc.replace_with_mask(pa.nulls(len(words), words.type).fill_null(""), cut, behind)
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of distinct words, and the ids and sizes by number that they stand for."""
+        unique = words.to_pylist()
         known = self.known.get
         number = np.fromiter((known(w, -1) for w in unique), np.int64, len(unique))
         flat, size = self.flat, self.size
@@ -75,12 +112,22 @@ class WordIds:
             if len(size) <= CACHE_WORDS:
                 self.known.update(zip(fresh, number[new].tolist(), strict=True))
                 self.flat, self.size = flat, size
+        return number, flat, size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by the end id, and the number of ids of each."""
+        words = pc.ascii_split_whitespace(texts)
+        ends = words.offsets.to_numpy()[1:].astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        parts = pa.concat_arrays(self._parts(coded.dictionary)).dictionary_encode()
+        number, flat, size = self._numbers(parts.dictionary)
+        pair = number[parts.indices.to_numpy()].reshape(2, -1)
+        index = np.insert(pair.T[coded.indices.to_numpy()].ravel(), 2 * ends, 0)
         first = np.cumsum(size) - size
-        index = np.insert(number[coded.indices.to_numpy()], ends, 0)
         length = size[index]
         stop = np.cumsum(length)
         ids = flat[np.repeat(first[index] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
-        return ids, np.diff(stop[ends + np.arange(len(ends))], prepend=0)
+        return ids, np.diff(stop[2 * ends + np.arange(len(ends))], prepend=0)
 
 
 def _cut(tokenizer, end_id: int, capacity: int, names: list[str]):
