@@ -196,6 +196,21 @@ def test_repeats_hot_anchor(spark, monkeypatch):
     assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 30)))
 
 
+def test_suffixes_of_a_shard_stay_in_memory(monkeypatch):
+    """A queue of the default size holds half a shard's tuples; symbols of any size sort stably."""
+    spilled = []
+    spill = induced_sort.BulkQueue._spill
+    monkeypatch.setattr(induced_sort.BulkQueue, "_spill", lambda self: (spilled.append(self.held), spill(self)))
+    rng = np.random.default_rng(5)
+    t = np.append(rng.integers(1, 3, 1 << 19), 0)
+    t[2000 : 1 << 18] = 2
+    order = induced_sort.sort_suffixes(t, 3)
+    assert sorted(order.tolist()) == list(range(len(t))) and (np.diff(t[order]) >= 0).all() and not spilled
+    for top in (5, 1 << 16, 1 << 40, 1 << 61):
+        x = rng.integers(0, 50, 3000) * (top // 50 + 1)
+        assert induced_sort._by(x).tolist() == sorted(range(len(x)), key=lambda i: x[i])
+
+
 def test_repeats_spill(docs, corpus, monkeypatch):
     """Shards whose queues hold more tuples than memory may: their runs go to disk, the result stays."""
     spilled = []

@@ -19,15 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that come out of a queue together; tuples that a queue keeps in memory.
-BLOCK, MEMORY = 1 << 16, 1 << 18
+BLOCK, MEMORY = 1 << 13, 1 << 20
 #: Of so few symbols each is a block of its own: its suffixes come out in order without sorting.
 FEW = 1024
 
 
 def _by(symbols: np.ndarray) -> np.ndarray:
-    """Stable order; symbols below 2**16 are sorted by radix."""
-    small = len(symbols) and int(symbols.max()) < 1 << 16
-    return np.argsort(symbols.astype(np.uint16) if small else symbols, kind="stable")
+    """Stable order of symbols of at least 0; those below 2**16 are sorted by radix, others with their places behind them in one number."""
+    most, bits = int(symbols.max()) if len(symbols) else 0, len(symbols).bit_length()
+    if most < 1 << 16:
+        return np.argsort(symbols.astype(np.uint16), kind="stable")
+    if most.bit_length() + bits > 62:
+        return np.argsort(symbols, kind="stable")
+    return np.sort(symbols << bits | np.arange(len(symbols))) & ((1 << bits) - 1)
 
 
 class BulkQueue:
