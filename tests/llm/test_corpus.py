@@ -202,9 +202,9 @@ def test_suffixes_of_a_shard_stay_in_memory(monkeypatch):
     spill = induced_sort.BulkQueue._spill
     monkeypatch.setattr(induced_sort.BulkQueue, "_spill", lambda self: (spilled.append(self.held), spill(self)))
     rng = np.random.default_rng(5)
-    t = np.append(rng.integers(1, 3, 1 << 19), 0)
-    t[2000 : 1 << 18] = 2
-    order = induced_sort.sort_suffixes(t, 3)
+    t = np.append(rng.integers(1, 9, 1 << 20), 0)
+    t[1:-1:2] += 100  # every other suffix waits in the queue
+    order = induced_sort.sort_suffixes(t, 109)
     assert sorted(order.tolist()) == list(range(len(t))) and (np.diff(t[order]) >= 0).all() and not spilled
     for top in (5, 1 << 16, 1 << 40, 1 << 61):
         x = rng.integers(0, 50, 3000) * (top // 50 + 1)
