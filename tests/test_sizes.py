@@ -93,3 +93,60 @@ def test_paths_in_stretches(spark, gain):
 def test_paths_sort_no_whole_path(spark):
     plan = montecarlo.resampled_paths(spark.range(10).selectExpr("id", "1D AS r"), "r")._jdf.queryExecution().optimizedPlan().toString()
     assert set(re.findall(r"windowspecdefinition\(path#\d+, (\w+)#", plan)) == {"stretch"}
+
+
+def one_by_one(r, path, draws):
+    """``final, max_drawdown`` of a path by one running sum over its trades in order; missing returns change nothing."""
+    p = montecarlo.PRIME
+    first = {i: int(math.fmod(i * 48271 + 11, p)) for i in r}
+
+    def hashed(i, salt):
+        return ((first[i] ** 2 + path * 69621 + 42 + salt) % p) ** 2 + first[i]
+
+    total, top, fall = 0.0, 1.0, 0.0
+    for i in sorted(r, key=lambda i: (int(math.fmod(hashed(i, 1), p)), i)):
+        u, cdf = math.fmod(hashed(i, 0), p) / p, [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(6)]
+        total += math.log1p((r[i] or 0.0) / 10_000) * (sum(u >= e for e in cdf) if draws else 1)
+        equity = math.exp(total) if total < 709.78 else math.inf
+        fall = min(fall, 0.0 if math.isinf(equity) else equity / max(top, equity) - 1)
+        top = max(top, equity)
+    return math.exp(total) if total < 709.78 else math.inf, fall
+
+
+@pytest.mark.parametrize("method", ["bootstrap", "shuffle"])
+@pytest.mark.parametrize("gain", [0.0, 4000.0])
+def test_paths_of_many_stretches(spark, monkeypatch, method, gain):
+    """Pairs of trades that share a place (their ids are a prime apart), ids below 0, missing returns, equity beyond doubles; stretches of a few trades."""
+    monkeypatch.setattr(montecarlo, "STRETCH", 64)
+    ids = [*range(-200, 2000), *range(montecarlo.PRIME, montecarlo.PRIME + 1000)]
+    r = {i: None if i % 13 == 0 else gain + ((k * 7919) % 4001 - 2000) * 4.0 for k, i in enumerate(ids)}
+    got = {x["path"]: x for x in montecarlo.resampled_paths(spark.createDataFrame(list(r.items()), "id long, r double"), "r", paths=4, method=method).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for path, x in got.items():
+        final, fall = one_by_one(r, path, method == "bootstrap")
+        assert math.isclose(x["final"], final, rel_tol=1e-9) and math.isclose(x["max_drawdown"], fall, rel_tol=1e-9) and x["total_return"] == x["final"] - 1
+    assert all(math.isinf(x["final"]) == (gain > 0) for x in got.values())
+
+
+def test_paths_without_known_returns(spark):
+    got = montecarlo.resampled_paths(spark.range(50).selectExpr("id", "CAST(NULL AS DOUBLE) AS r"), "r", paths=2).collect()
+    assert sorted(x["path"] for x in got) == [1, 2] and all(x["final"] is None and x["max_drawdown"] is None and x["total_return"] is None for x in got)
+    assert montecarlo.resampled_paths(spark.range(0).selectExpr("id", "1D AS r"), "r").collect() == []
+
+
+def test_paths_shuffle_packed_trades(spark):
+    """No row for each trade of each path goes through Spark's sort: trades are packed by path and stretch before the shuffle."""
+    trades = spark.range(20_000).selectExpr("id", "1D AS r")
+    paths = montecarlo.resampled_paths(trades, "r", paths=20)
+    assert len(paths.collect()) == 20
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    most, stack = 0, [paths._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.metrics().contains("shuffleRecordsWritten"):
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        below = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        children = node.children()
+        stack += below + [children.apply(i) for i in range(children.size())]
+    assert 0 < most <= 20 * 4 * 2
