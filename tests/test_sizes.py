@@ -150,3 +150,9 @@ def test_paths_shuffle_packed_trades(spark):
         children = node.children()
         stack += below + [children.apply(i) for i in range(children.size())]
     assert 0 < most <= 20 * 4 * 2
+
+
+def test_paths_that_lose_everything(spark):
+    """An equity below the smallest double is 0, a fall of all; a stretch that begins there has no peak of its own."""
+    got = montecarlo.resampled_paths(spark.range(300).selectExpr("id", "-9999.9D AS r"), "r", paths=2).collect()
+    assert [(x["final"], x["max_drawdown"], x["total_return"]) for x in got] == [(0.0, -1.0, -1.0)] * 2
